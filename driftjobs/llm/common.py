@@ -54,6 +54,12 @@ def attach(df: DataFrame, table: DataFrame, key: str, salts: int = 64) -> DataFr
     return salted.join(copies, on, "left").drop("__key", "__salt", "__copy")
 
 
+def sized_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``; its session sends texts to Python in batches of ``rows`` from now on, for whole texts are wide rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
 def row_key(df: DataFrame) -> F.Column:
     """A hash of all columns: with the id it tells rows apart, except rows that are alike in every column."""
     return F.xxhash64(*[df[f"`{c}`"] for c in df.columns])

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from driftjobs.llm.audio import audio_features
 from driftjobs.llm.language import document_evidence, identify_languages
 from driftjobs.llm.mixing import mix_sources
+from driftjobs.llm.passages import strip_passages
 from driftjobs.llm.secrets import BASE_KINDS, scan_secrets, spans_text
 from driftjobs.llm.sentence_pieces import encode_pieces
 from driftjobs.llm.simhash import simhash_groups
 from driftjobs.llm.token_counts import token_counts
+from driftjobs.llm.toxicity import score_toxicity, train
+from driftjobs.llm.vectors import link_vectors
 
 PIECES = "piece_bpe_32k.model"
 
@@ -41,6 +44,31 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "language", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
+def op4_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM fine a JOIN fine b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), counted AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+), least AS (
+  SELECT x, min(y) AS c FROM reach GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN least ON v.vec_id = least.x LEFT JOIN counted ON v.vec_id = counted.x
+"""
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "shuffle_key")
 
@@ -69,6 +97,39 @@ FROM drawn JOIN counted USING (r), unnest(generate_series(1, n)) AS s(c)
 """
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = strip_passages(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT r, doc_id, s, md5(array_to_string(list_slice(ws, s, s + 49), ' ')) AS m FROM d, unnest(generate_series(1, len(ws) - 49)) AS t(s)
+), firsts AS (
+  SELECT m, min(doc_id) AS f FROM starts GROUP BY m
+), covered AS (
+  SELECT DISTINCT r, s + k AS i FROM starts JOIN firsts USING (m), unnest(generate_series(0, 49)) AS t(k) WHERE f < doc_id
+), words AS (
+  SELECT r, i, ws[i] AS w FROM d, unnest(generate_series(1, len(ws))) AS t(i)
+), left_over AS (
+  SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN covered USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = train(docs, _read(spark, sf_dir, "labels").where(fold != 2))
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.to_json("toxic_spans").alias("spans"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("secret_spans")
@@ -97,6 +158,6 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_language_id, op5_source_mix, op8_secret_scan, op9_simhash, op10_audio)
+    f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_language_id, op4_vector_links, op5_source_mix, op6_passages, op7_toxicity, op8_secret_scan, op9_simhash, op10_audio)
 }
-ORACLE_SQL: dict[str, str] = {"op5_source_mix": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_vector_links": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_passages": OP6_SQL}
