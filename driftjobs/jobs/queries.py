@@ -15,6 +15,8 @@ from driftjobs.jobs.batch import BY, replay, replay_summary, run_pipeline, score
 from driftjobs.operators import alerts, baseline, drift, features, joins, windows
 from driftjobs.sources import io, tables
 from driftjobs.sources.tables import LEAVES, OBSERVATIONS, observations
+from driftjobs.streaming import streams
+from driftjobs.streaming.streams import drained, replayed
 
 SPLIT, AS_OF = "2024-01-21 00:00:00", "2024-01-31 00:00:00"
 K = "endpoint_id, segmentation_key"
@@ -598,3 +600,54 @@ def d3_distinct_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH a AS ({tables.ALERTS}), c AS ({tables.CHANNELS}) SELECT id, name AS channel, type AS channel_type, CASE WHEN type = 'pagerduty' THEN CASE severity WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'info' END ELSE severity END AS channel_severity FROM a JOIN c ON a.org_id = c.org_id WHERE is_active")
 def d5_routed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.route_alerts(tables.alerts(spark, sf_dir), tables.channels(spark, sf_dir)).select("id", "channel", "channel_type", "channel_severity")
+
+
+# Streams, run until their source is used up.
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as a stream of files."""
+    return replayed(observations(spark, sf_dir))
+
+
+@query(f"""WITH {O}, b AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, time) AS w FROM o)
+SELECT {K}, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS sample_count, round(avg(latency_ms), 3) AS mean, round(coalesce(stddev_samp(latency_ms), 0), 3) AS std, round(coalesce(avg(response_size_bytes), 0), 3) AS size_mean, count(*) FILTER (status_code >= 400) AS errors
+FROM b WHERE w + INTERVAL 15 MINUTE <= (SELECT max(time) - INTERVAL 10 MINUTE FROM o) GROUP BY ALL""")
+def x3_stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drained(streams.stream_features(_stream(spark, sf_dir)))
+    return rows.select(*KEY, _stamp("window_start"), "sample_count", *_r("mean", "std", "size_mean", digits=3), "errors")
+
+
+@query(f"WITH {O} SELECT {K}, request_id FROM o")
+def x7_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows delivered twice, each request once."""
+    twice = _stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return drained(streams.without_redelivered(twice)).select(*KEY, "request_id")
+
+
+@query(f"WITH {O} SELECT DISTINCT {K}, strftime(time_bucket(INTERVAL 15 MINUTE, time), '%Y-%m-%d %H:%M:%S') AS window_start FROM o")
+def x2_stream_once_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(streams.once_per_window(_stream(spark, sf_dir))).select(*KEY, _stamp("window_start"))
+
+
+@query(f"""WITH RECURSIVE {O}, r AS (SELECT {K}, time, row_number() OVER (PARTITION BY {K} ORDER BY time) AS i FROM o),
+f AS (SELECT {K}, time, i, 1 AS rows FROM r WHERE i = 1 UNION ALL
+  SELECT n.endpoint_id, n.segmentation_key, n.time, n.i, n.i - f.i AS rows FROM f JOIN LATERAL (SELECT * FROM r WHERE r.endpoint_id = f.endpoint_id AND r.segmentation_key = f.segmentation_key AND r.i > f.i AND (r.i - f.i >= 100 OR r.time - f.time >= INTERVAL 900 SECOND) ORDER BY r.i LIMIT 1) n ON TRUE)
+SELECT {K}, strftime(time, '%Y-%m-%d %H:%M:%S') AS fired_at, CAST(rows AS BIGINT) AS rows FROM f""")
+def x1_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(streams.triggers(_stream(spark, sf_dir))).select(*KEY, _stamp("fired_at"), "rows")
+
+
+_HOURLY = f"""h AS (SELECT {K}, date_trunc('hour', time) AS window_start, least(10, floor(avg(latency_ms) / 2) / 100) AS score FROM o GROUP BY ALL)"""
+_HOURLY_PERSISTENCE = f"""WITH {O}, {_HOURLY},
+p1 AS (SELECT *, last_value(CASE WHEN score >= 4 THEN window_start END IGNORE NULLS) OVER (PARTITION BY {K} ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grew FROM h),
+p2 AS (SELECT *, grew IS NULL OR window_start - grew >= INTERVAL 24 HOUR AS lost FROM p1),
+p3 AS (SELECT *, coalesce(sum(CASE WHEN score < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(CASE WHEN score >= 4 AND lost THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM p2)
+SELECT {K}, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, score, CAST(CASE WHEN lost THEN 0 ELSE coalesce(sum(CASE WHEN score >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY {K}, run ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS BIGINT) AS persistence FROM p3"""
+
+
+@query(_HOURLY_PERSISTENCE)
+def x4_stream_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly scores as a stream, each with the persistence that it meets."""
+    hours = windows.tumbling_windows(observations(spark, sf_dir), "1 hour").groupBy(*BY).agg(F.least(F.lit(10.0), F.floor(F.avg("latency_ms") / 2) / 100).alias("score"))
+    return drained(streams.persistence(replayed(hours))).select(*KEY, _stamp("window_start"), "score", "persistence")
