@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,14 @@ def row_key(df: DataFrame) -> F.Column:
     return F.xxhash64(*[df[f"`{c}`"] for c in df.columns])
 
 
+def tidy() -> None:
+    """At a task's end: give freed memory back, for a worker outlives its tasks and the next may need what it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that can't trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8")
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftjobs.llm.common import sized_batches, tidy
 from driftjobs.llm.pieces import MARK, PieceModel, marked_words, model_bytes
 
 NEVER = np.int64(1) << 40
@@ -174,7 +175,7 @@ def token_count(docs: DataFrame, text_col: str, model_path: str) -> F.Column:
             out = np.zeros(len(texts), dtype=np.int64)
             for k, text in enumerate(texts):
                 words = marked_words(text) if text else []
-                known.update(dict.fromkeys(set(words) - known.keys()))
+                known.update((w, None) for w in set(words) if w not in known)
                 out[k] = -1 if words else 0
             todo = [w for w, n in known.items() if n is None]
             for at in range(0, len(todo), 50_000):
@@ -184,6 +185,8 @@ def token_count(docs: DataFrame, text_col: str, model_path: str) -> F.Column:
                 if out[k] < 0:
                     out[k] = sum(map(known.__getitem__, marked_words(text)))
             yield pd.Series(out)
+        known.clear()
+        tidy()
 
     return count(F.col(text_col))
 
@@ -194,5 +197,5 @@ def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", limit
     One row for each row, repeated rows included; an empty table stays empty.
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    counted = docs.withColumns({"n_bytes": size, "n_tokens": token_count(docs, text_col, model_path)})
+    counted = sized_batches(docs).withColumns({"n_bytes": size, "n_tokens": token_count(docs, text_col, model_path)})
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
