@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftjobs.llm.common import sized_batches, tidy
 from driftjobs.llm.pieces import MARK, PieceModel, marked_words, model_bytes
 
 NOTHING = -1
-#: Pairs of pieces that a task remembers; beyond them it starts anew, and results stay the same.
-PAIRS_REMEMBERED = 1_000_000
+#: Pairs of pieces that a worker remembers; beyond them it starts anew, and results stay the same.
+PAIRS_REMEMBERED = 200_000
+#: Text bytes whose words go through one trie.
+TRIE_BYTES = 16 << 20
 
 
 class WordEncoder:
@@ -29,52 +33,55 @@ class WordEncoder:
     def __init__(self, model: PieceModel, merges: bool = True):
         self.model, self.merges = model, merges
         self.may_follow: dict[tuple, bool] = {}
-        self.scores = {p: model.scores[i] for p, i in model.ids.items()}
-        self.unknown_score = min(model.scores) - 10.0
+        self.pieces: dict = {p[:n]: False for p in model.ids for n in range(1, len(p))}  # beginnings of pieces
+        self.pieces |= {p: (model.scores[i], i) for p, i in model.ids.items()}
+        self.unknown = (min(model.scores) - 10.0, NOTHING)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and how many each word has; words are distinct and in order."""
-        ids, longest, merges = self.model.ids, self.model.longest, self.merges
-        score_of, known = self.scores.get, self.may_follow.get
-        best: list[tuple] = [(0.0, 0, "")]  # by prefix: forward score, start of the last piece, the piece
-        flat, counts, last = [], [], ""
+        merges, unknown, piece_of, known = self.merges, self.unknown, self.pieces.get, self.may_follow.get
+        best: list[tuple] = [(0.0, 0, "", 0)]  # by prefix: forward score, start of the last piece, the piece, its id
+        alive: list[list[int]] = [[]]  # by prefix: where those of its endings start that begin a piece
+        flat, counts, last = array("i"), [], ""
         for word in words:
             word = word.replace(" ", MARK)
             shared, most = 0, min(len(last), len(word))
             while shared < most and last[shared] == word[shared]:
                 shared += 1
-            del best[shared + 1 :]
+            del best[shared + 1 :], alive[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top = None
-                for start in range(end - longest if end > longest else 0, end):
+                top, open_ = None, []
+                for start in (*alive[end - 1], end - 1):
                     piece = word[start:end]
-                    score = score_of(piece)
-                    if score is None:
+                    found = piece_of(piece)
+                    if found is not None:
+                        open_.append(start)
+                    if not found:  # no piece
                         if end - start > 1:
                             continue
-                        score = self.unknown_score
-                    before = best[start]
+                        found = unknown
                     if merges:
-                        follows = known((before[2], piece))
-                        if follows or follows is None and self.follows(before[2], piece):
-                            top = (score + before[0], start, piece)
-                            break  # the others have no finite score
-                    elif top is None or score + before[0] > top[0]:
-                        top = (score + before[0], start, piece)
+                        if top is None:
+                            before = best[start]
+                            follows = known((before[2], piece))
+                            if follows or follows is None and self.follows(before[2], piece):
+                                top = (found[0] + before[0], start, piece, found[1])  # the others have no finite score
+                    elif top is None or found[0] + best[start][0] > top[0]:
+                        top = (found[0] + best[start][0], start, piece, found[1])
                 best.append(top)
+                alive.append(open_)
             at, path = len(word), []
             while at:
-                _, at, piece = best[at]
-                path.append(piece)
-            n = len(flat)
-            for piece in reversed(path):
-                if piece in ids:
-                    flat.append(ids[piece])
+                _, at, piece, i = best[at]
+                if i != NOTHING:
+                    path.append(i)
                 elif self.model.byte_ids:
-                    flat.extend(self.model.byte_ids[b] for b in piece.encode("utf-8"))
+                    path.extend(self.model.byte_ids[b] for b in reversed(piece.encode("utf-8")))
                 else:
-                    flat.append(self.model.unk)
-            counts.append(len(flat) - n)
+                    path.append(self.model.unk)
+            path.reverse()
+            flat.extend(path)
+            counts.append(len(path))
             last = word
         return np.array(flat, dtype=np.int32), np.array(counts, dtype=np.int64)
 
@@ -102,27 +109,81 @@ class WordEncoder:
             cut -= at < cut
 
 
+class _Codes(dict):
+    """Numbers words as they are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@lru_cache(maxsize=2)
+def _encoder(model: bytes, merges: bool) -> WordEncoder:
+    """One for each worker: what it remembers of pairs serves the worker's next tasks too."""
+    return WordEncoder(PieceModel(model), merges)
+
+
+def _encode_together(held: list[pa.Array], encoder: WordEncoder, table: list[bytes]) -> Iterator[pa.Array]:
+    codes = _Codes()
+    seen = []
+    for texts in held:
+        for text in texts:
+            own = marked_words(text.as_py() or "")
+            seen.append(np.fromiter(map(codes.__getitem__, own), dtype=np.int32, count=len(own)))
+    distinct = sorted(codes)
+    flat, counts = encoder.encode(distinct)
+    place = np.fromiter(map(codes.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+    del codes, distinct
+    size, first = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    size[place], first[place] = counts, np.cumsum(counts) - counts
+    at = 0
+    for texts in held:
+        values, ends, back = [], [0], []
+        for own in seen[at : at + len(texts)]:
+            n = size[own]
+            stop = np.cumsum(n)
+            ids = flat[np.repeat(first[own] - stop + n, n) + np.arange(stop[-1] if len(n) else 0)]
+            values.append(ids)
+            ends.append(ends[-1] + len(ids))
+            back.append(_text_of(ids, table))
+        at += len(texts)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+        yield pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], ["piece_ids", "decoded"])
+
+
+def _text_of(ids: np.ndarray, table: list[bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+
+
+def _piece_bytes(model: PieceModel) -> list[bytes]:
+    table = [p.replace(MARK, " ").encode("utf-8") if p in model.ids else b"" for p in model.pieces]
+    table[model.unk] = " ⁇ ".encode()
+    for byte, i in model.byte_ids.items():
+        table[i] = bytes([byte])
+    return table
+
+
 def encoded(docs: DataFrame, text_col: str, model_path: str, merges: bool = True) -> F.Column:
-    """An ``array<int>`` column of piece ids. Null and empty texts have none."""
+    """A column of piece ids and the text that they decode to. Null and empty texts have no pieces.
+
+    Words of some 16 MB of text share a trie; a task holds these texts and their distinct words, no more.
+    """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<piece_ids:array<int>,decoded:string>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(PieceModel(model.value), merges)
+        encoder = _encoder(model.value, merges)
+        table = _piece_bytes(encoder.model)
+        held, size = [], 0
         for texts in batches:
-            words = [marked_words(t) if t else [] for t in texts.to_pylist()]
-            distinct = sorted(set(chain.from_iterable(words)))
-            flat, counts = encoder.encode(distinct)
-            first = np.cumsum(counts) - counts
-            code = dict(zip(distinct, range(len(distinct)), strict=True))
-            values, ends = [], [0]
-            for own in words:
-                at = np.fromiter(map(code.__getitem__, own), dtype=np.int64, count=len(own))
-                n = counts[at]
-                steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                values.append(flat[np.repeat(first[at], n) + steps])
-                ends.append(ends[-1] + len(values[-1]))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int32()))
+            held.append(texts)
+            size += texts.nbytes
+            if size > TRIE_BYTES:
+                yield from _encode_together(held, encoder, table)
+                held, size = [], 0
+        yield from _encode_together(held, encoder, table)
+        del held
+        tidy()
 
     return encode(F.col(text_col))
 
@@ -133,13 +194,10 @@ def decoded(docs: DataFrame, ids: F.Column, model_path: str) -> F.Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = PieceModel(model.value)
-        table = [p.replace(MARK, " ").encode("utf-8") if p in pieces.ids else b"" for p in pieces.pieces]
-        table[pieces.unk] = " ⁇ ".encode()
-        for byte, i in pieces.byte_ids.items():
-            table[i] = bytes([byte])
+        table = _piece_bytes(PieceModel(model.value))
         for lists in batches:
-            yield pa.array([None if x is None else b"".join(map(table.__getitem__, x)).decode("utf-8", "replace")[1:] for x in lists.to_pylist()], pa.string())
+            yield pa.array([_text_of(x.values.to_numpy(zero_copy_only=False), table) if x.is_valid else None for x in lists], pa.string())
+        tidy()
 
     return decode(ids)
 
@@ -150,5 +208,6 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", merg
     A null or empty text has no pieces and decodes to the empty text. Decoding gives the text back, but that a
     mark (U+2581) in a text is a space, as in the library. Repeated rows stay; an empty table stays empty.
     """
-    out = docs.withColumn("piece_ids", encoded(docs, text_col, model_path, merges))
-    return out.withColumns({"n_pieces": F.size("piece_ids"), "decoded": decoded(docs, F.col("piece_ids"), model_path)})
+    out = sized_batches(docs).withColumn("__encoded", encoded(docs, text_col, model_path, merges))
+    found = {"piece_ids": F.col("__encoded.piece_ids"), "n_pieces": F.size("__encoded.piece_ids"), "decoded": F.col("__encoded.decoded")}
+    return out.withColumns(found).drop("__encoded")
