@@ -77,7 +77,7 @@ FLD = f"""pay AS (SELECT {K}, day, count(*) AS payloads FROM o WHERE payload_sam
 raw AS (SELECT {K}, day, path, count(*) FILTER (kind = 'visit') AS visits, count(*) FILTER (kind <> 'visit') AS vals, count(*) FILTER (kind = 'null') AS nulls,
   max(kind) FILTER (kind NOT IN ('visit', 'null')) AS kind, avg(num) AS m, coalesce(stddev_samp(num), 0) AS s, quantile_cont(num, [0.25, 0.5, 0.75, 0.95, 0.99]) AS q, min(num) AS lo, max(num) AS hi,
   avg(length(str)) AS ml, coalesce(stddev_samp(length(str)), 0) AS sl FROM lv GROUP BY ALL),
-fld AS (SELECT {K}, day, path, round(visits / payloads, 6) AS presence_rate, round(nulls / vals, 6) AS null_rate, CASE WHEN kind IS NULL THEN 0.0 ELSE 1.0 END AS type_consistency,
+fld AS (SELECT {K}, day, path, round(visits / payloads, 6) AS presence_rate, round(nulls / vals, 6) AS null_rate, CAST(CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS type_consistency,
   CASE kind WHEN 'int' THEN 'number' WHEN 'bool' THEN 'boolean' WHEN 'str' THEN 'string' ELSE 'null' END AS dominant_type, round(m, 6) AS mean,
   CASE WHEN kind = 'int' THEN round(s, 6) END AS std, CASE WHEN kind = 'int' THEN round(q[1], 6) END AS p25, CASE WHEN kind = 'int' THEN round(q[2], 6) END AS p50, CASE WHEN kind = 'int' THEN round(q[3], 6) END AS p75,
   CASE WHEN kind = 'int' THEN round(q[4], 6) END AS p95, CASE WHEN kind = 'int' THEN round(q[5], 6) END AS p99, CASE WHEN kind = 'int' THEN lo END AS min_val, CASE WHEN kind = 'int' THEN hi END AS max_val,
