@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftjobs.llm.common import sized_batches, tidy
+
 RATE, UP, DOWN = 8000, 3, 4
 TAPS = 24  # of each phase
 FRAME, HOP, FFT, BANDS = 192, 96, 256, 24
@@ -134,6 +136,7 @@ def _over(kind: str, one, of: pa.DataType):
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
             yield pa.array([one(v.as_py()) for v in values], of)
+        tidy()
 
     return each
 
@@ -161,5 +164,5 @@ def audio_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     length. A null or empty text is stored as 64 zero bytes. Equal texts have equal values. An empty
     table stays empty.
     """
-    stored = docs.withColumn("media", stored_sound(F.col(text_col)))
+    stored = sized_batches(docs).withColumn("media", stored_sound(F.col(text_col)))
     return stored.withColumns({"payload": read_payload(F.col("media")), "features": sound_features(F.col("media"))})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import attach, written
+from driftjobs.llm.common import attach, sized_batches, tidy, written
 
 #: Candidate languages: fixed, so the model's size is fixed too.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -59,6 +59,7 @@ def letter_model(labelled: DataFrame, text: F.Column, language: F.Column, langua
                         total[:, languages.index(lang)] += np.bincount(_trigrams(data), minlength=BUCKETS)
             bucket, at = np.nonzero(total)
             yield pd.DataFrame({"bucket": bucket.astype("int32"), "at": at.astype("int32"), "n": total[bucket, at]})
+            tidy()
 
         found = rows.where(F.col("h") <= bound).select("text", "language").mapInPandas(count, "bucket int, at int, n long")
         table = found.groupBy("bucket", "at").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
@@ -103,6 +104,7 @@ def text_scores(docs: DataFrame, text: F.Column, model: np.ndarray) -> F.Column:
                     size = 0
             flush()
             yield pa.array(rows, pa.list_(pa.float64()))
+        tidy()
 
     return score(text)
 
@@ -153,6 +155,7 @@ def identify_languages(
     empty. Texts are never shuffled: the host table comes to them.
     """
     languages = list(languages)
+    sized_batches(docs)
     model = letter_model(labelled, labelled_text, labelled_language, languages, train_rows)
     wide = docs.withColumns({"__scores": text_scores(docs, text, model), "__host": host, "__suffix": suffix, "__said": F.lower(F.substring(declared, 1, 2))})
     likely = F.slice("__scores", 2, len(languages))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import discard, sized_batches, words_of, written
+from driftjobs.llm.common import discard, sized_batches, tidy, words_of, written
 
 WINDOW, ANCHOR = 50, 16
 #: Text bytes and distinct phrase words that one automaton serves; what is beyond them gets another automaton.
@@ -99,6 +99,7 @@ def _anchors(text: F.Column) -> F.Column:
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield _lists([anchors_of(t.as_py()) for t in texts], ("h", "c", "a", "b")).cast(pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])))
+        tidy()
 
     return find(text)
 
@@ -109,6 +110,7 @@ def _windows(text: F.Column, spans: F.Column) -> F.Column:
         for texts, lists in batches:
             rows = [windows_of(t.as_py(), s.as_py()) for t, s in zip(texts, lists, strict=True)]
             yield _lists(rows, ("s", "w1", "w2")).cast(pa.list_(pa.struct([("s", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])))
+        tidy()
 
     return find(text, spans)
 
@@ -219,6 +221,7 @@ def _stripped(own: F.Column, text: F.Column, spans: F.Column) -> F.Column:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 rows += _strip(*[x.slice(a, b - a).to_pylist() for x in (ids, texts, lists)])
             yield pa.array([dict(zip(("n_words", "n_removed", "kept"), r, strict=True)) for r in rows], kind)
+        tidy()
 
     return strip(own, text, spans)
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftjobs.llm.common import sized_batches, tidy
+
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,6 +109,7 @@ def secret_spans(text: F.Column, scope: int = 200) -> F.Column:
         for texts in batches:
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py(), scope)] for t in texts]
             yield pa.array(rows, pa.list_(kind))
+        tidy()
 
     return find(text)
 
@@ -117,7 +120,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = 200) -> D
     Whole texts are scanned, each where it lies: a scope never crosses a text, so nothing is shuffled.
     Null and empty texts have no spans; repeated rows stay; an empty table stays empty.
     """
-    found = docs.withColumn("secret_spans", secret_spans(F.col(text_col), scope))
+    found = sized_batches(docs).withColumn("secret_spans", secret_spans(F.col(text_col), scope))
     return found.withColumns({f"n_{k}": _count(k) for k in BASE_KINDS})
 
 
@@ -141,8 +144,9 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFra
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([_redacted(t.as_py(), scope) for t in texts], pa.string())
+        tidy()
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return sized_batches(docs).withColumn(text_col, clean(F.col(text_col)))
 
 
 def _redacted(text: str | None, scope: int) -> str | None:

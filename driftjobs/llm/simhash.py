@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import discard, row_key, text_bytes, written
+from driftjobs.llm.common import discard, row_key, sized_batches, text_bytes, tidy, written
 from driftjobs.llm.components import connected_components
 
 SEED = 42
@@ -36,9 +38,11 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprint(text: F.Column, shingle: int = 3) -> F.Column:
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([simhash(t.as_py(), shingle) for t in texts], pa.int64())
+        tidy()
 
     return of(text)
 
@@ -70,7 +74,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id is never the smallest; a group of null ids has a null component. No rows: no rows. Other columns
     only enter ``row_key``.
     """
-    prints = written(docs.select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), fingerprint(F.col(text_col), shingle).alias("fp")))
+    prints = written(sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), fingerprint(F.col(text_col), shingle).alias("fp")))
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
     links = written(fingerprint_links(distinct))
     groups = connected_components(links)

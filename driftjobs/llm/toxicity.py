@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import sized_batches
+from driftjobs.llm.common import sized_batches, tidy
 
 #: The model is fitted on at most so many labelled rows of each class (smallest hash of the id first), of texts up to so many bytes.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 16_384
@@ -305,6 +305,8 @@ def score_toxicity(docs: DataFrame, model: TagModel, text_col: str = "text") ->
                 for t, s, p in zip(texts, shared.value.score(stats).tolist(), chances, strict=True):
                     rows.append({"score": s, "spans": _spans(t, p) if len(p) and p.max() >= SPAN_CHANCE else []})
             yield pa.array(rows, kind)
+        known.clear()
+        tidy()
 
     judged = sized_batches(docs).withColumn("__judged", score(F.col(text_col)))
     out = judged.withColumns({"score": F.col("__judged.score"), "toxic_spans": F.col("__judged.spans")}).drop("__judged")
