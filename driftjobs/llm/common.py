@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many (narrow) rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: A side of at most this many values may be broadcast; beyond it the join shuffles.
+BROADCAST_VALUES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,16 +43,18 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def attach(df: DataFrame, table: DataFrame, key: str, salts: int = 64) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8, salts: int = 64) -> DataFrame:
     """Left join of ``table`` (one row per ``key``, already written) to ``df``; a null key matches a null key.
 
-    The table is broadcast only when a count proves it small. Otherwise the join shuffles: rows of ``df``
-    are spread over ``salts`` sub-keys, for each of which the table has a copy, so a hot key is no hot task.
+    The table is broadcast only when a sum of its rows' ``width`` (values in a row) proves it small. Otherwise
+    the join shuffles: rows of ``df`` are spread over ``salts`` sub-keys by their content, for each of which
+    the table has a copy, so a hot key is no hot task.
     """
     other = table.withColumnRenamed(key, "__key")
-    if table.count() <= BROADCAST_ROWS:
+    values = table.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    if values <= BROADCAST_VALUES:
         return df.join(F.broadcast(other), df[key].eqNullSafe(F.col("__key")), "left").drop("__key")
-    salted = df.withColumn("__salt", (F.rand(7) * salts).cast("int"))
+    salted = df.withColumn("__salt", F.pmod(row_key(df), F.lit(salts)).cast("int"))
     copies = other.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = salted[key].eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy"))
     return salted.join(copies, on, "left").drop("__key", "__salt", "__copy")
@@ -66,7 +68,8 @@ def sized_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
 
 def row_key(df: DataFrame) -> F.Column:
     """A hash of all columns: with the id it tells rows apart, except rows that are alike in every column."""
-    return F.xxhash64(*[df[f"`{c}`"] for c in df.columns])
+    plain = lambda c, kind: F.to_json(F.struct(df[f"`{c}`"])) if "map<" in kind or "variant" in kind else df[f"`{c}`"]
+    return F.xxhash64(*[plain(c, kind) for c, kind in df.dtypes])
 
 
 def tidy() -> None:

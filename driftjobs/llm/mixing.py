@@ -68,11 +68,11 @@ def mix_sources(
     every run and machine. Rows of one id repeat alike; rows without an id share one number. ``copy_no`` counts
     from 1, and ``shuffle_key`` is a hash by which rows lie in random partitions and, within each, in random
     order; they replace columns of those names. Null sources are a source; null texts have size 0. An empty
-    table stays empty.
+    table stays empty. A source that is repeated r times on average takes r + 10 sqrt(r) + 30 steps.
     """
     rates = written(source_rates(docs, source_col, F.coalesce(F.octet_length(text_col), F.lit(0)), weights, total))
     steps = rates.select(F.col("source").alias("__source"), F.col("steps").alias("__steps"))
-    placed = attach(docs.withColumn("__source", F.col(source_col)), steps, "__source").drop("__source")
+    placed = attach(docs.withColumn("__source", F.col(source_col)), steps, "__source", F.coalesce(F.size("__steps"), F.lit(1))).drop("__source")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     number = F.size(F.filter(F.coalesce("__steps", F.array().cast("array<double>")), lambda p: p < F.col("__u")))
     drawn = placed.withColumn("__u", uniform(key, seed)).withColumn("__n", F.when(F.col("__steps").isNull(), 0).otherwise(number)).drop("__steps", "__u")

@@ -276,6 +276,8 @@ def test_simhash(spark, docs_of, sf):
     kept = drop_simhash_copies(df.union(df.where("doc_id = 3")).union(docs_of((None, "all alone in the world"), (None, "all alone in the world"))))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(group.values())) and kept.where("doc_id is null").count() == 1
     assert simhash_groups(df.limit(0)).count() == 0
+    mapped = df.where("doc_id in (14, 15)").withColumn("fp", F.create_map(F.lit("a"), F.col("doc_id")))
+    assert [r.doc_id for r in drop_simhash_copies(mapped).collect()] == [14]
 
 
 def test_near_fingerprints_meet(spark):
@@ -320,8 +322,8 @@ def test_audio(docs_of):
 def test_attach_beyond_the_broadcast_bound(spark, monkeypatch):
     left = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 3}") for i in range(30)], "i int, k string")
     table = written(spark.createDataFrame([(None, 0), ("k1", 1)], "k string, v int"))
-    for bound in (10, 0):
-        monkeypatch.setattr("driftjobs.llm.common.BROADCAST_ROWS", bound)
+    for bound in (100, 0):
+        monkeypatch.setattr("driftjobs.llm.common.BROADCAST_VALUES", bound)
         assert {(r.i % 3, r.v) for r in attach(left, table, "k").collect()} == {(0, 0), (1, 1), (2, None)}
 
 
