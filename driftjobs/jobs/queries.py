@@ -11,7 +11,7 @@ from driftjobs.constants import KEY
 from driftjobs.functions import confidence as conf
 from driftjobs.functions import stats
 from driftjobs.functions.payload import canonicalize, mask_string, safe_json
-from driftjobs.jobs.batch import BY, replay, replay_summary, run_pipeline, score_batch
+from driftjobs.jobs.batch import BY, extract_features, recompute_baselines, replay, replay_summary, run_pipeline
 from driftjobs.operators import alerts, baseline, drift, features, joins, windows
 from driftjobs.sources import io, tables
 from driftjobs.sources.tables import LEAVES, OBSERVATIONS, observations
@@ -329,10 +329,10 @@ _BASIS = f"WITH {O}, {RESP}, {ENT}, {STAT}, {VEC}, {BASE}"
 
 def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Vectors and fields of all days, and the baselines of the first twenty."""
-    obs = _days(spark, sf_dir)
-    vectors, fields = _vectors(spark, sf_dir)
-    base, base_fields = baseline.compute_baseline(vectors, fields)
-    return features.response_features(obs, BY), features.field_features(obs, BY), base, base_fields
+    responses, fields = extract_features(_days(spark, sf_dir))
+    split = F.lit(SPLIT).cast("timestamp")
+    before = F.col("window_start") < split
+    return responses, fields, *recompute_baselines(responses.where(before), fields.where(before), split, 30)
 
 
 @query(f"{_BASIS}, {DIST}, {SMOOTH} SELECT {K}, day, {_rs('jsd', 'kl', 'psi')} FROM dv")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,22 @@ PAYLOAD = "endpoint_id string, segmentation_key string, request_id string, statu
 ENVELOPE = f"event_id string, event_type string, schema_version string, timestamp timestamp, organization_id string, project_id string, payload struct<{PAYLOAD.replace(' ', ':').replace(',:', ',')}>"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share (``spark.checkpoint.dir``; where that is unset, as in tests, one of our own)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/driftjobs-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written in a shared folder and read again: for vectors and baselines that several steps read, so that payloads are flattened once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_observations(obs: DataFrame, start: Column, end: Column, max_per_key: int | None = None, duration: str = "15 minutes") -> DataFrame:
     """Rows from start to end, both included; the newest ``max_per_key`` of each key and window if it is given.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -13,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftjobs.constants import KEY, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, TRIGGER_COUNT, TRIGGER_SECONDS
 from driftjobs.jobs.batch import recompute_baselines
-from driftjobs.sources.io import parse_envelopes
+from driftjobs.sources.io import parse_envelopes, shared_folder
 
 DAY_US = PERSIST_SECONDS * 1_000_000
 
@@ -116,15 +114,9 @@ def recompute_requested(responses: DataFrame, fields: DataFrame, as_of: Column,
     return batch
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/driftjobs-{uuid.uuid4().hex}"
-
-
 def replayed(df: DataFrame) -> DataFrame:
     """A table as a stream of its files."""
-    path = _folder(df.sparkSession)
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
@@ -132,7 +124,7 @@ def replayed(df: DataFrame) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """What a stream gives until its source is used up, as a table in the shared folder."""
     spark = stream.sparkSession
-    path = _folder(spark)
+    path = shared_folder(spark)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
