@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,13 +68,22 @@ def _leaves(payload) -> list[tuple] | None:
     return rows
 
 
-def _flatten(payloads: pd.Series) -> pd.Series:
-    return pd.Series([_leaves(_parse(t)) for t in payloads], dtype=object)
+def _flatten(payloads: pa.Array) -> pa.Array:
+    rows: list[tuple] = []
+    starts: list[int | None] = []
+    for text in payloads.to_pylist():
+        leaves = _leaves(_parse(text))
+        starts.append(None if leaves is None else len(rows))
+        rows.extend(leaves or ())
+    types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)]
+    values = pa.StructArray.from_arrays(columns, ["path", "kind", "num", "str", "len"])
+    return pa.ListArray.from_arrays(pa.array([*starts, len(rows)], pa.int32()), values)
 
 
 def flatten_payload(payload: Column | str) -> Column:
     """An array of (path, kind, num, str, len); null for null and bad JSON, empty for what is no object."""
-    return F.pandas_udf(_flatten, LEAVES)(payload)
+    return F.arrow_udf(_flatten, LEAVES)(payload)
 
 
 def _mask(value: str) -> str:

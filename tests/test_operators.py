@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftjobs.constants import KEY
-from driftjobs.jobs.batch import BY, decide, replay, replay_summary, score_batch
+from driftjobs.jobs.batch import BY, decide, extract_features, recompute_baselines, replay, replay_summary, score_batch
 from driftjobs.operators import alerts, baseline, drift, features, joins, windows
 from driftjobs.sources import io
 from driftjobs.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
+LATER = T0 + dt.timedelta(days=1)
 OBS = "time timestamp, endpoint_id string, segmentation_key string, request_id string, status_code int, latency_ms int, response_size_bytes int, payload_hash string, payload_sample string"
 
 
@@ -102,14 +103,10 @@ def test_asof_join(spark):
     assert rows == {("a", 1): "x", ("a", 5): "y", ("b", 5): None}
 
 
-def built(spark, before, after, **more):
+def built(spark, before, after):
     """Baseline of ``before``, and vectors of ``after``, a day later."""
-    vectors = windows.baseline_vectors(features.response_features(before, BY), F.lit(T0).cast("timestamp") + F.expr("interval 1 day"))
-    base, base_fields = baseline.compute_baseline(vectors, features.field_features(before, BY))
-    return features.response_features(after, BY), features.field_features(after, BY), base, base_fields
-
-
-LATER = T0 + dt.timedelta(days=1)
+    responses, fields = extract_features(before)
+    return *extract_features(after), *recompute_baselines(responses, fields, F.lit(LATER).cast("timestamp"))
 
 
 CHANGES = {
