@@ -15,13 +15,15 @@ from driftjobs.llm.components import connected_components
 
 SEED = 42
 BITS = 64
+#: Bands of a text's least hashes, and hashes in a band: texts of similarity 0.8 share none once in 2,500 times.
+BANDS, BAND_HASHES = 20, 5
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64 values; no words: 0."""
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, in order; of all words where there are fewer."""
     words = text_bytes(text).lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -29,7 +31,16 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - size + 1
     spans = zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64 values; no words: 0."""
+    return _print_of(_shingle_hashes(text, shingle))
+
+
+def _print_of(hashes: np.ndarray) -> int:
+    n = len(hashes)
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 65536):
         bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little")
@@ -47,6 +58,11 @@ def fingerprint(text: F.Column, shingle: int = 3) -> F.Column:
     return of(text)
 
 
+def _ball(fp: F.Column) -> F.Column:
+    """The fingerprint and its one-bit variants."""
+    return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links ``(a, b)`` that join all distinct fingerprints ``fp`` at 2 or fewer differing bits, directly or over others.
 
@@ -56,11 +72,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     least of those at its variant, which keeps rows linear and loses no connection; the distance of
     every linked pair is verified.
     """
-    ball = F.concat(
-        F.array(F.col("fp")),
-        F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))),
-    )
-    variants = prints.select("fp", F.explode(ball).alias("variant"))
+    variants = prints.select("fp", F.explode(_ball(F.col("fp"))).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
@@ -95,10 +107,91 @@ def drop_simhash_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     groups = written(simhash_groups(docs, id_col, text_col))
     order = F.struct(F.col("id").isNull(), "id", "row_key")
-    keep = groups.groupBy("component").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n"))
-    keep = written(keep.select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__row_key")))
-    alike = groups.groupBy("id", "row_key").count().where("count > 1").limit(1).count()
+    return _keep_heads(docs, groups, groups.groupBy("component").agg(F.min(order).alias("k")), id_col)
+
+
+def _keep_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` at the ``(id, row_key)`` of ``heads.k``; rows alike in every column are one row."""
+    keep = written(heads.select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__row_key")))
+    alike = rows.groupBy("id", "row_key").count().where("count > 1").limit(1).count()
+    kept = _rows_at(docs, keep, id_col)
+    return kept.dropDuplicates() if alike else kept
+
+
+def _rows_at(docs: DataFrame, keep: DataFrame, id_col: str) -> DataFrame:
     keyed = docs.withColumn("__key", row_key(docs))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row_key"))
-    kept = keyed.join(keep, on, "left_semi").drop("__key")
-    return kept.dropDuplicates() if alike else kept
+    return keyed.join(keep, on, "left_semi").drop("__key")
+
+
+def sketch(text: F.Column, shingle: int) -> F.Column:
+    """``node`` (hash of the text's words), ``fp`` and ``bands`` (hashes of BAND_HASHES least hashes each; no words: none)."""
+    draw = np.random.default_rng(SEED)
+    flip, spread = draw.integers(0, 1 << 63, (2, BANDS * BAND_HASHES, 1), dtype=np.uint64)
+    spread = spread * np.uint64(2) + np.uint64(1)
+
+    def bands(hashes: np.ndarray) -> list[int]:
+        least = np.full(len(flip), np.iinfo(np.uint64).max, dtype="<u8")
+        for at in range(0, len(hashes), 8192):
+            least = np.minimum(least, ((hashes[at : at + 8192] ^ flip) * spread).min(axis=1))
+        return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, -1))] if len(hashes) else []
+
+    @F.arrow_udf("struct<node: long, fp: long, bands: array<long>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                value = t.as_py()
+                hashes = _shingle_hashes(value, shingle)
+                node = xxhash.xxh3_64_intdigest(b" ".join(text_bytes(value).lower().split())) - (1 << 63)
+                rows.append((node, _print_of(hashes) if len(hashes) else 0, bands(hashes)))
+            node, fp, band = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(band, pa.list_(pa.int64()))], ["node", "fp", "bands"])
+        tidy()
+
+    return of(text)
+
+
+def shingle_set(text: F.Column, shingle: int) -> F.Column:
+    @F.arrow_udf("array<long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([np.unique(_shingle_hashes(t.as_py(), shingle)).view("<i8") for t in texts], pa.list_(pa.int64()))
+        tidy()
+
+    return of(text)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group that links of Jaccard >= ``similarity`` over ``shingle``-word runs reach.
+
+    Texts of equal words are one node. Nodes meet where their SimHash balls of radius 1 do, and, as
+    the ball of a near copy of many changed words lies further off, where a band of their least hashes is
+    equal. At a place each is linked to the least and to the greatest there, so rows stay linear,
+    and a link counts only if the similarity of the two sets of shingles is high enough. The
+    row of the smallest id (nulls last), then of the smallest row key, stays as it is.
+    """
+    found = sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), sketch(F.col(text_col), shingle).alias("s"))
+    rows = written(found.select("id", "row_key", "s.node", "s.fp", "s.bands"))
+    order = F.struct(F.col("id").isNull(), "id", "row_key")
+    nodes = written(rows.groupBy("node").agg(F.min(order).alias("k"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    at = F.concat(F.transform(_ball(F.col("fp")), lambda v: F.xxhash64(v)), "bands")
+    placed = nodes.select("node", F.explode(at).alias("place"))
+    ends = placed.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    ends = written(ends.withColumnRenamed("place", "at"))
+    met = placed.join(ends, F.col("place") == F.col("at")).select("node", F.explode(F.array("a", "z")).alias("end")).where("node <> end")
+    pairs = written(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    heads = written(nodes.join(asked, F.col("node") == F.col("asked"), "left_semi").select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__row_key")))
+    texts = _rows_at(docs.select("*"), heads, id_col).select(F.col(text_col).alias("t"))
+    sets = texts.select(sketch(F.col("t"), shingle)["node"].alias("n"), shingle_set(F.col("t"), shingle).alias("s"))
+    sets = written(sets.dropDuplicates(["n"]))
+    both = pairs.join(sets.toDF("n1", "s1"), F.col("a") == F.col("n1")).join(sets.toDF("n2", "s2"), F.col("b") == F.col("n2"))
+    shared = F.size(F.array_intersect("s1", "s2"))
+    links = written(both.where(shared >= similarity * (F.size("s1") + F.size("s2") - shared)).select("a", "b"))
+    groups = connected_components(links).withColumnRenamed("node", "member")
+    grouped = nodes.join(groups, F.col("node") == F.col("member"), "left").select(F.coalesce("component", "node").alias("component"), "k")
+    least = written(grouped.groupBy("component").agg(F.min("k").alias("k")))
+    for table in (nodes, ends, pairs, heads, sets, links):
+        discard(table)
+    return _keep_heads(docs, rows, least, id_col)
