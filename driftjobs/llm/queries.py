@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftjobs.llm.audio import audio_features
-from driftjobs.llm.language import document_evidence, identify_languages
+from driftjobs.llm.language import document_evidence, identify_languages, page_evidence
 from driftjobs.llm.mixing import mix_sources
 from driftjobs.llm.passages import strip_passages
 from driftjobs.llm.secrets import BASE_KINDS, scan_secrets, spans_text
@@ -39,9 +39,14 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    out = identify_languages(docs, **document_evidence(), labelled=docs, labelled_text=F.col("text"), labelled_language=F.col("lang"))
-    return out.select("doc_id", "lang", "source", "language", F.round("posterior", 6).alias("posterior"), "accepted")
+    """Documents by their own evidence and pages by theirs: ``lang`` is what is declared, ``source`` the host."""
+    docs, pages = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
+    labelled = {"labelled": docs, "labelled_text": F.col("text"), "labelled_language": F.col("lang")}
+    evidence = page_evidence()
+    found = identify_languages(docs, **document_evidence(), **labelled).withColumn("page_id", F.lit(None).cast(pages.schema["page_id"].dataType))
+    paged = identify_languages(pages, **evidence, **labelled).withColumns({"doc_id": F.lit(None).cast(docs.schema["doc_id"].dataType), "lang": evidence["declared"], "source": evidence["host"]})
+    columns = ["doc_id", "lang", "source", "language", F.round("posterior", 6).alias("posterior"), "accepted", "page_id"]
+    return found.select(*columns, F.lit("documents").alias("table")).unionByName(paged.select(*columns, F.lit("pages").alias("table")))
 
 
 def op4_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:

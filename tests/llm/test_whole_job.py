@@ -3,10 +3,15 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from driftjobs.llm import queries
+from driftjobs.llm.language import letter_model
+from driftjobs.llm.secrets import KINDS, redact, scan
 from driftjobs.llm.simhash import drop_near_copies, simhash
+from driftjobs.llm.vectors import SmallWorld
 from tests_plain import groups_of
 
 
@@ -50,3 +55,11 @@ def test_a_large_group_of_near_copies_is_found_whole(spark, docs_of):
         texts.append(" ".join(own))
     kept = drop_near_copies(docs_of(*texts, *[" ".join(draw.choices(words, k=300)) for _ in range(50)]))
     assert kept.where(F.col("doc_id") < 400).count() == 1 and kept.count() == 51
+
+
+def test_language_query_judges_pages(spark, sf):
+    rows = queries.op3_language_id(spark, sf).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").withColumn("path_lang", F.regexp_extract("url", "/(en|de|fr|es)/", 1)).collect()}
+    got = {r.page_id: r for r in rows if r.table == "pages"}
+    assert got.keys() == pages.keys() and all(got[i].language == pages[i].path_lang and got[i].lang and got[i].source for i in pages)
+    assert sum(r.table == "documents" for r in rows) == spark.read.parquet(f"{sf}/documents.parquet").count() == sum(r.doc_id is not None for r in rows)
