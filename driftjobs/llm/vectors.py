@@ -17,6 +17,8 @@ DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 32, 48
 #: Vectors in a shard, at most on average; shards at least; queries in a block.
 SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 65_536, 8, 4096
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.999
+#: A shard whose audit no beam up to this one passes is answered by exact products, which cost less than wider beams.
+WIDEST_BEAM = 4096
 _STEP = 512
 
 
@@ -149,8 +151,17 @@ class SmallWorld:
         return self._beam(queries, 0, entry, min(beam, len(self.unit)))
 
     def within(self, queries: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, vector) of at least this similarity; a query's beam doubles until it holds something below, or all."""
+        """Pairs (query, vector) of at least this similarity; a query's beam doubles until it holds something below, or all.
+
+        A beam of 0 stands for exact products with every vector.
+        """
         slack = np.float32(least - 1e-4)
+        if beam == 0:
+            step = max(1, (1 << 22) // max(1, len(self.unit)))
+            for a in range(0, len(queries), step):
+                q, c = np.nonzero(queries[a : a + step] @ self.unit.T >= slack)
+                yield q + a, c
+            return
         for start in range(0, len(queries), _STEP):
             todo = np.arange(start, min(len(queries), start + _STEP))
             width = min(beam, len(self.unit))
@@ -167,7 +178,11 @@ class SmallWorld:
                 todo, width = np.concatenate(again), min(2 * width, len(self.unit))
 
     def audited_beam(self, least: float, beam: int = FIRST_BEAM) -> int:
-        """The first doubled beam that finds AUDIT_RECALL of what brute force finds near vectors moved to the limit of a link."""
+        """The first doubled beam that passes the audit, or 0 if none does: brute force near vectors moved to the limit of a link.
+
+        A query's recall counts once, however many links it has, and must average AUDIT_RECALL among the
+        queries of each power of two of links: a large group's links don't make up for those of small ones.
+        """
         n, dim = self.unit.shape
         draw = np.random.default_rng(7)
         moved = self.unit[draw.integers(0, n, AUDIT_ROWS)].astype(np.float64)
@@ -175,12 +190,17 @@ class SmallWorld:
         noise -= (noise * moved).sum(1, keepdims=True) * moved
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
         moved = (moved * (least + 0.002) + noise * np.sqrt(1 - (least + 0.002) ** 2)).astype(np.float32)
-        truth = int((moved @ self.unit.T >= np.float32(least - 1e-4)).sum())
-        while beam < n:
-            if sum(len(q) for q, _ in self.within(moved, least, beam)) >= AUDIT_RECALL * truth:
-                break
+        truth = np.bincount(_pairs(self.within(moved, least, 0))[0], minlength=AUDIT_ROWS)
+        linked = truth > 0
+        stratum = np.log2(np.maximum(truth, 1)).astype(int)
+        while True:
+            found = np.bincount(_pairs(self.within(moved, least, min(beam, n)))[0], minlength=AUDIT_ROWS)
+            recall = np.minimum(found, truth)[linked] / truth[linked]
+            if all(recall[stratum[linked] == k].mean() >= AUDIT_RECALL for k in np.unique(stratum[linked])):
+                return min(beam, n)
+            if beam >= min(n, WIDEST_BEAM):
+                return 0
             beam *= 2
-        return min(beam, n)
 
     def dump(self) -> bytes:
         n, dim = self.unit.shape
@@ -200,6 +220,11 @@ class SmallWorld:
         return self
 
 
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    every = list(found)
+    return np.concatenate([q for q, _ in every]), np.concatenate([c for _, c in every])
+
+
 def _units(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
@@ -227,7 +252,8 @@ def _ask(graphs: pd.DataFrame, block: pd.DataFrame, least: float) -> pd.DataFram
     own = np.stack(block["vector"].to_numpy()).astype(np.float64)
     asked = block["node"].to_numpy(np.int64)
     norms, own_norms = np.sqrt((raw * raw).sum(1)), np.sqrt((own * own).sum(1))
-    counts, parent = np.zeros(len(asked), np.int64), {}
+    place = np.minimum(np.searchsorted(nodes, asked), len(nodes) - 1)
+    counts, parent = np.where(nodes[place] == asked, sizes[place], 0), {}  # a vector counts itself, whatever the graph finds
 
     def find(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -236,7 +262,7 @@ def _ask(graphs: pd.DataFrame, block: pd.DataFrame, least: float) -> pd.DataFram
         return x
 
     for q, c in graph.within(_units(own).astype(np.float32), least, int(g["beam"])):
-        ok = np.einsum("ij,ij->i", own[q], raw[c]) / (own_norms[q] * norms[c]) >= least
+        ok = (asked[q] != nodes[c]) & (np.einsum("ij,ij->i", own[q], raw[c]) / (own_norms[q] * norms[c]) >= least)
         q, c = q[ok], c[ok]
         np.add.at(counts, q, sizes[c])
         for a, b in zip(asked[q].tolist(), nodes[c].tolist(), strict=True):
@@ -256,7 +282,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     whose id is null is counted, but never a least id. Repeated rows are rows. An empty table stays empty.
 
     Each shard's graph is built in one task and written; each block of queries then meets each graph in a
-    task of its own. Beams widen until an audit against brute force passes and until a query's beam holds
+    task of its own. Beams widen until an audit against brute force passes (exact products answer if none does) and until a query's beam holds
     something that is no link, so a large group is found whole. Cosine is verified in double precision.
     """
     value = F.col(vector_col).cast("array<double>")

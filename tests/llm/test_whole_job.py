@@ -63,3 +63,16 @@ def test_language_query_judges_pages(spark, sf):
     got = {r.page_id: r for r in rows if r.table == "pages"}
     assert got.keys() == pages.keys() and all(got[i].language == pages[i].path_lang and got[i].lang and got[i].source for i in pages)
     assert sum(r.table == "documents" for r in rows) == spark.read.parquet(f"{sf}/documents.parquet").count() == sum(r.doc_id is not None for r in rows)
+
+
+def test_large_groups_do_not_hide_misses():
+    draw = np.random.default_rng(4)
+    unit = draw.standard_normal((1500, 32))
+    unit[:500] = unit[0] + draw.standard_normal((500, 32)) * 0.02
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    graph = SmallWorld(unit)
+    for layer in graph.layers:  # nothing leads to these
+        layer[np.isin(layer, np.arange(1400, 1500))] = -1
+    beam = graph.audited_beam(0.95)
+    found = {(a, b) for q, c in graph.within(unit, 0.95, beam) for a, b in zip(q.tolist(), c.tolist(), strict=True)}
+    assert beam == 0 and found == set(zip(*[x.tolist() for x in np.nonzero(unit @ unit.T >= np.float32(0.95 - 1e-4))], strict=True))
