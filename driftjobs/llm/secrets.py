@@ -22,8 +22,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts too weak to report alone: short access identifiers, short hex, mixed base64 runs, and endpoints.
 WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{4,}")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\x20\t-\r\"'<>]{4,}|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"\b[A-Za-z][A-Za-z0-9+]{1,15}://[^\x20\t-\r\"'<>]{4,}|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "weak_access", "weak_secret", "endpoint")
 SPANS = "array<struct<kind:string,start:int,end:int>>"

@@ -76,3 +76,13 @@ def test_large_groups_do_not_hide_misses():
     beam = graph.audited_beam(0.95)
     found = {(a, b) for q, c in graph.within(unit, 0.95, beam) for a, b in zip(q.tolist(), c.tolist(), strict=True)}
     assert beam == 0 and found == set(zip(*[x.tolist() for x in np.nonzero(unit @ unit.T >= np.float32(0.95 - 1e-4))], strict=True))
+
+
+def test_long_keys_and_upper_case_schemes(docs_of):
+    key = "".join(random.Random(8).choices("ABCDEFghijkl0123456789+/", k=300))
+    spans = lambda text: {kind: text[a:b] for a, kind, b in scan(text, 200)}
+    found = spans(f"ASIAABCDEFGH {key} end")
+    assert found[KINDS.index("weak_secret")] == key and KINDS.index("weak_access") in found
+    assert KINDS.index("endpoint") in spans(f"HTTPS://host.example/path {key} end")
+    assert spans(f"plain {key} end") == {}
+    assert redact(docs_of(f"ASIAABCDEFGH {key} end")).first().text == "[weak_access] [weak_secret] end"
