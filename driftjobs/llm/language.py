@@ -16,7 +16,7 @@ from driftjobs.llm.common import attach, sized_batches, tidy, written
 #: Candidate languages: fixed, so the model's size is fixed too.
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
-#: Labelled rows that fit the letter model, at most (those of the smallest hash of their text).
+#: Labelled texts that fit the letter model, at most (those of the smallest hash); copies of a language are one text.
 TRAIN_ROWS = 8000
 #: A text counts as at most so many independent trigrams against the other evidence.
 EVIDENCE = 60.0
@@ -41,12 +41,12 @@ def _trigrams(data: bytes) -> np.ndarray:
 
 
 def letter_model(labelled: DataFrame, text: F.Column, language: F.Column, languages: Sequence[str] = LANGUAGES, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Log chances ``[bucket, language]`` of hashed byte trigrams, fitted on at most ``train_rows`` labelled rows (and ties).
+    """Log chances ``[bucket, language]`` of hashed byte trigrams, fitted on at most ``train_rows`` distinct labelled texts (and ties).
 
     Rows of other or no language, and null texts, don't count. The result has a fixed size.
     """
     rows = labelled.select(text.alias("text"), language.alias("language"), F.xxhash64(text).alias("h")).where(F.col("language").isin(*languages) & F.col("text").isNotNull())
-    bound = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    bound = rows.select("h", "language").distinct().orderBy("h", "language").limit(train_rows).agg(F.max("h")).first()[0]
     counts = np.full((BUCKETS, len(languages)), 0.5)
     if bound is not None:
 
@@ -61,7 +61,7 @@ def letter_model(labelled: DataFrame, text: F.Column, language: F.Column, langua
             yield pd.DataFrame({"bucket": bucket.astype("int32"), "at": at.astype("int32"), "n": total[bucket, at]})
             tidy()
 
-        found = rows.where(F.col("h") <= bound).select("text", "language").mapInPandas(count, "bucket int, at int, n long")
+        found = rows.where(F.col("h") <= bound).dropDuplicates(["h", "language"]).select("text", "language").mapInPandas(count, "bucket int, at int, n long")
         table = found.groupBy("bucket", "at").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
         np.add.at(counts, (table["bucket"], table["at"]), table["n"])
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)

@@ -65,6 +65,13 @@ def test_language_query_judges_pages(spark, sf):
     assert sum(r.table == "documents" for r in rows) == spark.read.parquet(f"{sf}/documents.parquet").count() == sum(r.doc_id is not None for r in rows)
 
 
+def test_copies_count_once_in_the_letter_model(spark):
+    texts = [(f"text {'abcdefghij'[i]} number {'qwertzuiop'[i]}", "en") for i in range(10)]
+    model = lambda rows, n: letter_model(spark.createDataFrame(rows, "t string, l string"), F.col("t"), F.col("l"), train_rows=n)
+    for n in (4, 100):
+        assert all((model(texts + [t] * 50, n) == model(texts, n)).all() for t in texts[:3])
+
+
 def test_large_groups_do_not_hide_misses():
     draw = np.random.default_rng(4)
     unit = draw.standard_normal((1500, 32))
