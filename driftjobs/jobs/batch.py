@@ -13,21 +13,21 @@ from driftjobs.operators.baseline import compute_baseline
 from driftjobs.operators.drift import score_drift
 from driftjobs.operators.features import field_features, response_features
 from driftjobs.operators.windows import anomaly_persistence, baseline_vectors, newest, replay_chunks, tumbling_windows
-from driftjobs.sources.io import materialized
+from driftjobs.sources.io import written
 
 BY = (*KEY, "window_start")
 
 
 def extract_features(obs: DataFrame, by: Sequence[str] = BY) -> tuple[DataFrame, DataFrame]:
     """Response-level and field vectors of rows that have the key columns of their window, written for the steps that read them."""
-    return materialized(response_features(obs, by)), materialized(field_features(obs, by))
+    return written(response_features(obs, by)), written(field_features(obs, by))
 
 
 def recompute_baselines(responses: DataFrame, fields: DataFrame, as_of: Column, days: Column | int = 7, keep: str = "oldest", min_lookback_days: int = 3) -> tuple[DataFrame, DataFrame]:
     """Baselines of all keys as of a time. Looking back less than ``min_lookback_days`` would find nothing, so it isn't done."""
     days = max(days, min_lookback_days) if isinstance(days, int) else F.greatest(days, F.lit(min_lookback_days))
     base, base_fields = compute_baseline(baseline_vectors(responses, as_of, days, keep=keep), fields)
-    return materialized(base), materialized(base_fields)
+    return written(base), written(base_fields)
 
 
 def decide(scored: DataFrame, base: DataFrame, as_of: Column, key: Sequence[str] = KEY) -> DataFrame:
@@ -47,7 +47,7 @@ def decide(scored: DataFrame, base: DataFrame, as_of: Column, key: Sequence[str]
 
 def score_batch(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Column, recency: Column | None = None, by: Sequence[str] = BY) -> DataFrame:
     """Windows with score, severity, confidence, decision and summary; the persistence that a window meets is that of those before it."""
-    scored = materialized(score_drift(responses, fields, base, base_fields, by))
+    scored = written(score_drift(responses, fields, base, base_fields, by))
     had = scored.join(base.where("sample_count > 0").select(*KEY), list(KEY), "left_semi")
     order = by[-1]
     lasting = anomaly_persistence(had, KEY, order).select(*by, "persistence")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +20,52 @@ PAYLOAD = "endpoint_id string, segmentation_key string, request_id string, statu
 ENVELOPE = f"event_id string, event_type string, schema_version string, timestamp timestamp, organization_id string, project_id string, payload struct<{PAYLOAD.replace(' ', ':').replace(',:', ',')}>"
 
 
+@cache
+def _own_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (``spark.checkpoint.dir``; where that is unset, as in tests, one of our own)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder in the one that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a folder of its own; on a cluster it is an error, for
+    executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_root(context.applicationId)
     return f"{root.rstrip('/')}/driftjobs-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written in a shared folder and read again: for vectors and baselines that several steps read, so that payloads are flattened once."""
-    path = shared_folder(df.sparkSession)
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again: lineage ends here, and a lost executor loses nothing.
+
+    The files go at the end of the application, or by ``discard``.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/driftjobs-" in path:
+                folder, files = _folder(df.sparkSession, path)
+                files.delete(folder, True)
+                files.cancelDeleteOnExit(folder)
 
 
 def read_observations(obs: DataFrame, start: Column, end: Column, max_per_key: int | None = None, duration: str = "15 minutes") -> DataFrame:
