@@ -5,42 +5,28 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most this many values may be broadcast; beyond it the join shuffles.
-BROADCAST_VALUES = 1_000_000
+from driftjobs.sources.io import discard, shared_folder, written
 
+__all__ = ["attach", "bucketed", "discard", "row_key", "sized_batches", "text_bytes", "tidy", "words_of", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+#: A side of at most this many values may be broadcast; beyond it the join shuffles.
+BROADCAST_VALUES = 1_000_000
+#: Bytes in an Arrow batch for Python.
+BATCH_BYTES = 4 << 20
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` written in the shared folder by hash of its keys, so that joins on them move only their other side."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftjobs-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``written`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/driftjobs-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"driftjobs_{uuid.uuid4().hex}", shared_folder(spark)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8, salts: int = 64) -> DataFrame:
@@ -60,9 +46,13 @@ def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8,
     return salted.join(copies, on, "left").drop("__key", "__salt", "__copy")
 
 
-def sized_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """``docs``; its session sends texts to Python in batches of ``rows`` from now on, for whole texts are wide rows."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sized_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; from now on its session sends Arrow batches of BATCH_BYTES at most to Python, for whole texts are wide rows.
+
+    Plans read the setting when they run, so it can't be put back here; narrow rows never fill such a batch.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(name, str(BATCH_BYTES))
     return docs
 
 

@@ -1,4 +1,4 @@
-"""Substring dedup: passages that recur in a later document go, found by automata of confirmed phrases."""
+"""Substring dedup: passages that recur in a later document go, located by sharded automata of recurring phrases."""
 
 from __future__ import annotations
 
@@ -7,21 +7,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from driftjobs.llm.common import discard, sized_batches, tidy, words_of, written
+from driftjobs.llm.common import attach, bucketed, discard, sized_batches, tidy, words_of, written
 
 WINDOW, ANCHOR = 50, 16
-#: Text bytes and distinct phrase words that one automaton serves; what is beyond them gets another automaton.
-SHARD_BYTES, SHARD_WORDS = 8 << 20, 500_000
+#: Words of phrases in an automaton (some 80 bytes each), and words of text that stream through one copy of it, on average.
+SHARD_WORDS, RANGE_WORDS = 100_000, 400_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 ANCHORS = "array<struct<h:bigint,c:bigint,a:int,b:int>>"
-WINDOWS = "array<struct<s:int,w1:bigint,w2:bigint>>"
+WINDOWS = "array<struct<s:int,w1:bigint,w2:bigint,h:bigint>>"
 
 
 def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +81,11 @@ def anchors_of(text: str | None) -> tuple[np.ndarray, ...]:
 
 
 def windows_of(text: str | None, spans: list[dict]) -> tuple[np.ndarray, ...]:
-    """Two hashes of each window that starts in one of the spans a..b."""
+    """Two hashes of each window that starts in one of the spans a..b, and the anchor h of its span."""
     words = words_of(text)
-    starts = np.unique(np.concatenate([np.arange(x["a"], x["b"] + 1) for x in spans]))
-    starts = starts[starts <= len(words) - WINDOW]
-    return starts.astype(np.int32), *[_Sums(words, k).run(starts, starts + WINDOW).view(np.int64) for k in (0, 1)]
+    starts, place = np.unique(np.concatenate([np.arange(x["a"], x["b"] + 1) for x in spans]), return_index=True)
+    anchor = np.concatenate([np.full(x["b"] + 1 - x["a"], x["h"], np.int64) for x in spans])[place]
+    return starts.astype(np.int32), *[_Sums(words, k).run(starts, starts + WINDOW).view(np.int64) for k in (0, 1)], anchor
 
 
 def _lists(rows: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.Array:
@@ -97,8 +97,9 @@ def _lists(rows: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.Arr
 def _anchors(text: F.Column) -> F.Column:
     @F.arrow_udf(ANCHORS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
         for texts in batches:
-            yield _lists([anchors_of(t.as_py()) for t in texts], ("h", "c", "a", "b")).cast(pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])))
+            yield _lists([anchors_of(t.as_py()) for t in texts], ("h", "c", "a", "b")).cast(kind)
         tidy()
 
     return find(text)
@@ -107,47 +108,52 @@ def _anchors(text: F.Column) -> F.Column:
 def _windows(text: F.Column, spans: F.Column) -> F.Column:
     @F.arrow_udf(WINDOWS)
     def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("h", pa.int64())]))
         for texts, lists in batches:
             rows = [windows_of(t.as_py(), s.as_py()) for t, s in zip(texts, lists, strict=True)]
-            yield _lists(rows, ("s", "w1", "w2")).cast(pa.list_(pa.struct([("s", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])))
+            yield _lists(rows, ("s", "w1", "w2", "h")).cast(kind)
         tidy()
 
     return find(text, spans)
 
 
-def confirmed_windows(docs: DataFrame) -> DataFrame:
-    """Windows of ``(id, key, text)`` that also start in a row of a smaller id: ``(id, key, a, b, earlier)``, starts a to b.
+def _beside(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have spans (a, b, h), with a list of them. The texts lie by row key already, so only spans move."""
+    lists = spans.groupBy(F.col("id").alias("sid"), F.col("key").alias("skey")).agg(F.collect_set(F.struct("a", "b", "h")).alias("spans"))
+    return docs.join(lists, (F.col("id") == F.col("sid")) & (F.col("key") == F.col("skey")))
 
-    Anchors whose hash is in one id only are done. Where an anchor's context recurs, all its windows do. Of the
-    other contexts of a recurring anchor, one representative each is told apart window by window.
+
+def candidate_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By hashes alone: windows that a row of a smaller id seems to have too, and all places of anchors that several ids have.
+
+    Both are rows ``(id, key, a, b, h)``: the windows that start at words a to b, whose anchor is h. Anchors of one
+    id only are done. Where an anchor's context recurs, all its windows do; of the other contexts of a
+    recurring anchor, one representative each is told apart window by window.
     """
     anchors = written(docs.where("id is not null").select("id", "key", F.explode(_anchors(F.col("text"))).alias("x")).select("id", "key", "x.*"))
     spread = anchors.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     recurring = written(spread.where("low < high").select(F.col("h").alias("rh"), "low", (F.col("c1") == F.col("c2")).alias("alike")))
     shared = written(anchors.join(recurring, F.col("h") == F.col("rh")).drop("rh"))
-    alike = shared.where("alike and low < id").select("id", "key", "a", "b", F.col("low").alias("earlier"))
+    discard(anchors, recurring)
+    span = ("id", "key", "a", "b", "h")
+    alike = shared.where("alike and low < id").select(*span)
     mixed = shared.where("not alike")
     classes = written(mixed.groupBy("h", "c").agg(F.min("id").alias("first")).select(F.col("h").alias("ch"), F.col("c").alias("cc"), "first"))
-    told = written(mixed.join(classes, (F.col("h") == F.col("ch")) & (F.col("c") == F.col("cc"))).select("id", "key", "a", "b", "first"))
-    known = told.where("first < id").select("id", "key", "a", "b", F.col("first").alias("earlier"))
-    open_spans = told.where("first = id").groupBy(F.col("id").alias("oid"), F.col("key").alias("okey")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    texts = docs.join(written(open_spans), (F.col("id") == F.col("oid")) & (F.col("key") == F.col("okey")))
+    told = written(mixed.join(classes, (F.col("h") == F.col("ch")) & (F.col("c") == F.col("cc"))).select(*span, "first"))
+    known = told.where("first < id").select(*span)
+    texts = _beside(docs, told.where("first = id"))
     windows = written(texts.select("id", "key", F.explode(_windows(F.col("text"), F.col("spans"))).alias("x")).select("id", "key", "x.*"))
     first = windows.groupBy("w1", "w2").agg(F.min("id").alias("earlier"), F.max("id").alias("high")).where("earlier < high")
     first = written(first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "earlier"))
     single = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where("earlier < id")
-    found = written(alike.union(known).union(single.select("id", "key", F.col("s").alias("a"), F.col("s").alias("b"), "earlier")))
-    for table in (anchors, recurring, shared, classes, told, windows, first):
-        discard(table)
-    return found
+    found = written(alike.union(known).union(single.select("id", "key", F.col("s").alias("a"), F.col("s").alias("b"), "h")))
+    discard(classes, told, windows, first)
+    return found, shared.select(*span)
 
 
 def cover(spans: list[dict]) -> list[tuple[int, int]]:
-    """Of the recurring windows (start, earlier id), enough to cover each run of them: every 50th and the last."""
-    at: dict[int, int] = {}
-    for x in spans:
-        for s in range(x["a"], x["b"] + 1):
-            at[s] = min(at.get(s, x["earlier"]), x["earlier"])
+    """Of windows (start, anchor), enough to cover each run of them: every 50th and the last."""
+    at = {s: x["h"] for x in spans for s in range(x["a"], x["b"] + 1)}
     out, begin, previous = [], None, None
     for s in sorted(at):
         if previous is None or s != previous + 1:
@@ -162,68 +168,142 @@ def cover(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def stretches(spans: list[dict], shards: int) -> list[tuple[int, int, int]]:
+    """Stretches of words (shard, first, end) that hold the windows of the spans, by the shard of their anchor; those of a shard don't overlap."""
+    out: list[list[int]] = []
+    for shard, a, end in sorted((x["h"] % shards, x["a"], x["b"] + WINDOW) for x in spans):
+        if out and out[-1][0] == shard and a <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], end)
+        else:
+            out.append([shard, a, end])
+    return [tuple(x) for x in out]
+
+
+def _cut(text: F.Column, spans: F.Column, shards: int = 0) -> F.Column:
+    """Words of the text, joined by one space, by ``at`` and anchor or shard: covering windows, or with ``shards`` the stretches of each."""
+    kind = pa.list_(pa.struct([("of", pa.int64()), ("at", pa.int32()), ("words", pa.string())]))
+
+    def pieces(text: str, spans: list[dict]) -> list[dict]:
+        words = words_of(text)
+        cuts = stretches(spans, shards) if shards else [(h, s, s + WINDOW) for s, h in cover(spans)]
+        return [{"of": k, "at": a, "words": b" ".join(words[a:end])} for k, a, end in cuts]
+
+    @F.arrow_udf("array<struct<of:bigint,at:int,words:string>>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in batches:
+            yield pa.array([pieces(t.as_py(), s.as_py()) for t, s in zip(texts, lists, strict=True)], kind)
+        tidy()
+
+    return cut(text, spans)
+
+
 class PhraseAutomaton:
     """Aho-Corasick over words: each distinct word of the phrases is a letter, all other words are one letter more."""
 
     def __init__(self) -> None:
         self.letters: dict[bytes, str] = {}
+        self.phrases: list[int] = []
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
 
-    def add(self, words: list[bytes], earlier: int) -> None:
+    def add(self, words: list[bytes], phrase: int) -> None:
         letters = self.letters
-        phrase = "".join([letters.setdefault(w, chr(len(letters) + 2 + 2048 * (len(letters) + 2 >= 0xD800))) for w in words])
-        self.trie.add_word(phrase, min(earlier, self.trie.get(phrase, earlier)))
-
-    def ends(self, words: list[bytes], own: int) -> list[int]:
-        """Last words of phrases that an id smaller than ``own`` has."""
-        return [end for end, earlier in self.trie.iter("".join([self.letters.get(w, "\x01") for w in words])) if earlier < own]
-
-
-def _strip(ids: list, texts: list, spans: list) -> list[tuple[int, int, str]]:
-    """Stream the texts of a shard through the automata of its confirmed phrases."""
-    automata = [PhraseAutomaton()]
-    for text, own in zip(texts, spans, strict=True):
-        if own:
-            words = words_of(text)
-            if len(automata[-1].letters) > SHARD_WORDS:
-                automata.append(PhraseAutomaton())
-            for start, earlier in cover(own):
-                automata[-1].add(words[start : start + WINDOW], earlier)
-    automata = [a for a in automata if len(a.trie)]
-    for a in automata:
-        a.trie.make_automaton()
-    out = []
-    for own, text in zip(ids, texts, strict=True):
-        words = words_of(text)
-        ends = [e for a in automata for e in a.ends(words, own)] if own is not None and len(words) >= WINDOW else []
-        if ends:
-            edge = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(edge, np.array(ends) - WINDOW + 1, 1)
-            np.add.at(edge, np.array(ends) + 1, -1)
-            left = np.cumsum(edge[:-1]) == 0
-            kept = [w for w, k in zip(words, left.tolist(), strict=True) if k]
-        else:
-            kept = words
-        out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8")))
-    return out
+        self.trie.add_word("".join([letters.setdefault(w, chr(len(letters) + 2 + 2048 * (len(letters) + 2 >= 0xD800))) for w in words]), len(self.phrases))
+        self.phrases.append(phrase)
+
+    def find(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Every occurrence of a phrase: the phrase, and its first word's place."""
+        if self.trie.kind != ahocorasick.AHOCORASICK:
+            self.trie.make_automaton()
+        text = "".join([self.letters.get(w, "\x01") for w in words])
+        return [(self.phrases[k], end - WINDOW + 1) for end, k in self.trie.iter(text)]
+
+
+HITS = "pid bigint, key bigint, at int"
+
+
+def _locate(id_type: pa.DataType):
+    """Of rows sorted by shard and range: phrases become an automaton, and the stretches that follow them stream through it."""
+    schema = pa.schema([("id", id_type), ("pid", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, automaton = None, PhraseAutomaton()
+        for batch in batches:
+            ids, keys, counts, phrases, places = [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("shard", "range", "pid", "id", "key", "at", "words")]
+            for shard, part, pid, own, key, at, text in zip(*columns, strict=True):
+                if group != (shard, part):
+                    group, automaton = (shard, part), PhraseAutomaton()
+                if pid is not None:
+                    automaton.add(words_of(text), pid)
+                elif hits := automaton.find(words_of(text)):
+                    ids.append(own)
+                    keys.append(key)
+                    counts.append(len(hits))
+                    phrases += [p for p, _ in hits]
+                    places += [at + s for _, s in hits]
+            again = pa.array(np.repeat(np.arange(len(ids)), counts))
+            own = [pa.array(ids, id_type).take(again), pa.array(phrases, pa.int64()), pa.array(keys, pa.int64()).take(again), pa.array(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(own, schema=schema)
+        del automaton
+        tidy()
+
+    return locate
 
 
-def _stripped(own: F.Column, text: F.Column, spans: F.Column) -> F.Column:
+def phrase_hits(docs: DataFrame, found: DataFrame, shared: DataFrame) -> DataFrame:
+    """Every place of every confirmed phrase: ``(id, pid, key, at)``, from automata that all rows which can hold a phrase stream through.
+
+    Phrases are the distinct windows that cover the candidates. A phrase and all its occurrences have the
+    same least 16-word run, whose hash decides the shard: a row passes each shard that has a phrase with one of
+    the row's runs, with the stretch of words about that run, and a row none of whose runs a phrase has passes none.
+    A shard has SHARD_WORDS words of phrases on average; a shard that many stretches pass is cut into ranges of
+    RANGE_WORDS words of text, each of which has a copy of the automaton.
+    """
+    spark = docs.sparkSession
+    cut = _beside(docs, found).select(F.explode(_cut(F.col("text"), F.col("spans"))).alias("x"))
+    distinct = cut.select(F.col("x.of").alias("h"), F.col("x.words").alias("words")).distinct()
+    phrases = written(distinct.withColumn("pid", F.monotonically_increasing_id()))
+    shards = max(1, -(-phrases.count() * WINDOW // SHARD_WORDS))
+    anchors = phrases.select(F.col("h").alias("ph")).distinct()
+    passing = written(shared.join(anchors, F.col("h") == F.col("ph"), "left_semi"))
+    texts = _beside(docs, passing).select("id", "key", F.explode(_cut(F.col("text"), F.col("spans"), shards)).alias("x"))
+    texts = written(texts.select("id", "key", F.col("x.of").alias("shard"), F.col("x.at").alias("at"), F.col("x.words").alias("words")))
+    loads = texts.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / (RANGE_WORDS * 6.0)).cast("int").alias("ranges"))
+    loads = written(loads)
+    dealt = attach(texts, loads, "shard", 2).withColumn("range", F.pmod(F.xxhash64("id", "key", "at"), F.col("ranges")).cast("int"))
+    copies = attach(phrases.withColumn("shard", F.pmod("h", F.lit(shards))), loads, "shard", 2).where("ranges is not null")
+    copies = copies.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+    rows = dealt.drop("ranges").unionByName(copies.select("shard", "range", "pid", "words"), allowMissingColumns=True)
+    laid = rows.repartition("shard", "range").sortWithinPartitions("shard", "range", F.col("pid").asc_nulls_last())
+    id_type = docs.schema["id"].dataType
+    hits = written(laid.mapInArrow(_locate(to_arrow_type(id_type)), f"id {id_type.simpleString()}, {HITS}"))
+    discard(phrases, passing, texts, loads)
+    return hits
+
+
+def _strip(text: str | None, starts: list[int] | None) -> tuple[int, int, str]:
+    words = words_of(text)
+    if not starts:
+        return len(words), 0, b" ".join(words).decode("utf-8")
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(edge, np.array(starts), 1)
+    np.add.at(edge, np.array(starts) + WINDOW, -1)
+    left = np.cumsum(edge[:-1]) == 0
+    kept = [w for w, k in zip(words, left.tolist(), strict=True) if k]
+    return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8")
+
+
+def _stripped(text: F.Column, starts: F.Column) -> F.Column:
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
-    def strip(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for ids, texts, lists in batches:
-            size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-            shard = (np.cumsum(size) - size) // SHARD_BYTES
-            cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(size)] if len(size) else [0]
-            rows: list = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                rows += _strip(*[x.slice(a, b - a).to_pylist() for x in (ids, texts, lists)])
+    def strip(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in batches:
+            rows = [_strip(t.as_py(), s.as_py()) for t, s in zip(texts, lists, strict=True)]
             yield pa.array([dict(zip(("n_words", "n_removed", "kept"), r, strict=True)) for r in rows], kind)
         tidy()
 
-    return strip(own, text, spans)
+    return strip(text, starts)
 
 
 def strip_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,14 +313,19 @@ def strip_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given. Words are runs of other characters than space and 0x09-0x0D; ``kept`` joins them by one space. The
     least id with a passage keeps it; rows of one id don't strip each other. Rows without an id neither lose
     nor cause anything. Null and empty texts and those under 50 words lose nothing. Texts are whole, whatever
-    their length. An empty table stays empty. Other columns don't enter.
+    their length. Repeated rows stay. An empty table stays empty. Other columns don't enter.
 
-    Hashes only choose phrases: automata, sharded by the documents whose phrases they hold, find each
-    occurrence word by word, so the work grows with the text and no shard holds phrases it can't meet.
+    Hashes only propose phrases. Automata find, word by word, which rows hold a phrase and where; the least id
+    of a phrase's hits keeps it, and every other hit removes its words.
     """
-    plain = sized_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    spans = confirmed_windows(plain)
-    lists = written(spans.groupBy(F.col("id").alias("sid"), F.col("key").alias("skey")).agg(F.collect_list(F.struct("a", "b", "earlier")).alias("spans")))
-    discard(spans)
-    joined = plain.join(lists, (F.col("id") == F.col("sid")) & (F.col("key") == F.col("skey")), "left")
-    return joined.select("id", _stripped(F.col("id"), F.col("text"), F.col("spans")).alias("x")).select("id", "x.*")
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    plain = bucketed(sized_batches(plain), "id", "key")
+    found, shared = candidate_windows(plain)
+    hits = phrase_hits(plain, found, shared)
+    discard(found, shared)
+    least = written(hits.groupBy("pid").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"))
+    gone = attach(hits, least, "pid", 2).where("least < id")
+    starts = written(gone.groupBy(F.col("id").alias("sid"), F.col("key").alias("skey")).agg(F.collect_set("at").alias("starts")))
+    discard(hits, least)
+    joined = plain.join(starts, (F.col("id") == F.col("sid")) & (F.col("key") == F.col("skey")), "left")
+    return joined.select("id", _stripped(F.col("text"), F.col("starts")).alias("x")).select("id", "x.*")

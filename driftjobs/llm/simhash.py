@@ -94,8 +94,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = written(named)
     heads = written(named.groupBy("component").agg(F.min("least").alias("component_id")))
     labels = written(named.join(heads, "component").select(F.col("fp").alias("label_fp"), "component", "component_id"))
-    for table in (links, named, heads, distinct):
-        discard(table)
+    discard(links, named, heads, distinct)
     found = prints.join(labels, F.col("fp") == F.col("label_fp"))
     return found.select("id", "row_key", "fp", "component", "component_id")
 
@@ -192,6 +191,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = connected_components(links).withColumnRenamed("node", "member")
     grouped = nodes.join(groups, F.col("node") == F.col("member"), "left").select(F.coalesce("component", "node").alias("component"), "k")
     least = written(grouped.groupBy("component").agg(F.min("k").alias("k")))
-    for table in (nodes, ends, pairs, heads, sets, links):
-        discard(table)
+    discard(nodes, ends, pairs, heads, sets, links)
     return _keep_heads(docs, rows, least, id_col)

@@ -309,8 +309,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     heads = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = labelled.join(heads, "component").join(counts, F.col("node") == F.col("counted"))
     known = written(known.select(F.col("node").alias("n1"), F.col("k2").alias("n2"), (F.col("n") - 1).alias("links"), "component_id"))
-    for table in (answers, graphs):
-        discard(table)
+    discard(answers, graphs)
     out = rows.join(known, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
     component = F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
