@@ -50,7 +50,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_vectors(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return link_vectors(_read(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
 OP4_SQL = """

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import discard, written
+from driftjobs.llm.common import attach, discard, written
 from driftjobs.llm.components import connected_components
 
 DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 32, 48
-#: Vectors in a shard, at most on average; shards at least; queries in a block.
-SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 65_536, 8, 4096
+#: Components of a shard's vectors, on average; components of the vectors that stream past one copy of a graph.
+SHARD_VALUES, QUERY_VALUES = 4 << 20, 2 << 20
+#: Smaller tables have up to so many shards, of so many vectors at least.
+LEAST_SHARDS, LEAST_ROWS = 8, 2048
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.999
 #: A shard whose audit no beam up to this one passes is answered by exact products, which cost less than wider beams.
 WIDEST_BEAM = 4096
@@ -177,11 +179,12 @@ class SmallWorld:
                     yield part[q], ids[q, c]
                 todo, width = np.concatenate(again), min(2 * width, len(self.unit))
 
-    def audited_beam(self, least: float, beam: int = FIRST_BEAM) -> int:
-        """The first doubled beam that passes the audit, or 0 if none does: brute force near vectors moved to the limit of a link.
+    def audited_beam(self, least: float, beam: int = FIRST_BEAM) -> tuple[int, float]:
+        """The first doubled beam that passes the audit and its recall, or 0 (exact products) if none does.
 
-        A query's recall counts once, however many links it has, and must average AUDIT_RECALL among the
-        queries of each power of two of links: a large group's links don't make up for those of small ones.
+        Truth is brute force near vectors moved to the limit of a link. A query's recall counts once,
+        however many links it has, and must average AUDIT_RECALL among the queries of each power of two
+        of links: a large group's links don't make up for those of small ones.
         """
         n, dim = self.unit.shape
         draw = np.random.default_rng(7)
@@ -196,27 +199,25 @@ class SmallWorld:
         while True:
             found = np.bincount(_pairs(self.within(moved, least, min(beam, n)))[0], minlength=AUDIT_ROWS)
             recall = np.minimum(found, truth)[linked] / truth[linked]
-            if all(recall[stratum[linked] == k].mean() >= AUDIT_RECALL for k in np.unique(stratum[linked])):
-                return min(beam, n)
+            worst = min((float(recall[stratum[linked] == k].mean()) for k in np.unique(stratum[linked])), default=1.0)
+            if worst >= AUDIT_RECALL:
+                return min(beam, n), worst
             if beam >= min(n, WIDEST_BEAM):
-                return 0
+                return 0, 1.0
             beam *= 2
 
     def dump(self) -> bytes:
-        n, dim = self.unit.shape
-        head = np.array([n, dim, len(self.layers)], np.int64).tobytes()
-        return head + self.unit.tobytes() + b"".join(x.tobytes() for x in self.layers)
+        """The links; the vectors are kept beside them."""
+        return np.int64(len(self.layers)).tobytes() + b"".join(x.tobytes() for x in self.layers)
 
     @classmethod
-    def load(cls, data: bytes) -> SmallWorld:
+    def load(cls, unit: np.ndarray, data: bytes) -> SmallWorld:
         self = cls.__new__(cls)
-        n, dim, layers = np.frombuffer(data, np.int64, 3).tolist()
-        self.unit = np.frombuffer(data, np.float32, n * dim, 24).reshape(n, dim)
-        at, self.layers = 24 + 4 * n * dim, []
-        for k in range(layers):
+        self.unit, self.layers, at = unit.astype(np.float32), [], 8
+        for k in range(int(np.frombuffer(data, np.int64, 1)[0])):
             wide = DEGREE * 2 if k == 0 else DEGREE
-            self.layers.append(np.frombuffer(data, np.int32, n * wide, at).reshape(n, wide))
-            at += 4 * n * wide
+            self.layers.append(np.frombuffer(data, np.int32, len(unit) * wide, at).reshape(len(unit), wide))
+            at += 4 * len(unit) * wide
         return self
 
 
@@ -229,87 +230,144 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
+GRAPHS = "dim int, shard int, beam int, recall double, nodes binary, sizes binary, vectors binary, graph binary"
+ANSWERS = "node bigint, n bigint, root bigint, recall double"
+
+
 def _build(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
-    raw = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-    graph = SmallWorld(_units(raw))
-    row = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "beam": graph.audited_beam(least), "nodes": pdf["node"].to_numpy(np.int64).tobytes()}
+    raw = np.stack(pdf["vector"].to_numpy())
+    graph = SmallWorld(_units(raw.astype(np.float64)))
+    beam, recall = graph.audited_beam(least)
+    row = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "beam": beam, "recall": recall, "nodes": pdf["node"].to_numpy(np.int64).tobytes()}
     return pd.DataFrame([row | {"sizes": pdf["size"].to_numpy(np.int64).tobytes(), "vectors": raw.tobytes(), "graph": graph.dump()}])
 
 
-@lru_cache(maxsize=1)
-def _loaded(data: bytes) -> SmallWorld:
-    return SmallWorld.load(data)
-
-
-def _ask(graphs: pd.DataFrame, block: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Of one block and one shard: each query's number of linked vectors, and links that join what it links (to the least of each part)."""
-    if graphs.empty or block.empty:
-        return pd.DataFrame({"node": [], "n": [], "root": []}).astype("int64")
-    g = graphs.iloc[0]
-    graph, nodes, sizes = _loaded(g["graph"]), np.frombuffer(g["nodes"], np.int64), np.frombuffer(g["sizes"], np.int64)
-    raw = np.frombuffer(g["vectors"], np.float64).reshape(len(nodes), -1)
-    own = np.stack(block["vector"].to_numpy()).astype(np.float64)
-    asked = block["node"].to_numpy(np.int64)
-    norms, own_norms = np.sqrt((raw * raw).sum(1)), np.sqrt((own * own).sum(1))
-    place = np.minimum(np.searchsorted(nodes, asked), len(nodes) - 1)
-    counts, parent = np.where(nodes[place] == asked, sizes[place], 0), {}  # a vector counts itself, whatever the graph finds
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for q, c in graph.within(_units(own).astype(np.float32), least, int(g["beam"])):
-        ok = (asked[q] != nodes[c]) & (np.einsum("ij,ij->i", own[q], raw[c]) / (own_norms[q] * norms[c]) >= least)
-        q, c = q[ok], c[ok]
-        np.add.at(counts, q, sizes[c])
-        for a, b in zip(asked[q].tolist(), nodes[c].tolist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    tied = [(x, find(x)) for x in list(parent)]
-    links = pd.DataFrame([(x, 0, r) for x, r in tied if x != r], columns=["node", "n", "root"])
-    return pd.concat([pd.DataFrame({"node": asked, "n": counts, "root": asked}), links.astype("int64")])
+def _joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``parent`` (each place's least place, flat) with the places a and b joined pair by pair."""
+    while True:
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
+
+class _Shard:
+    """A shard's graph, and which of its vectors queries have joined so far."""
+
+    def __init__(self, row: dict, dtype: type, least: float):
+        self.nodes, self.sizes = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sizes"], np.int64)
+        self.raw = np.frombuffer(row["vectors"], dtype).reshape(len(self.nodes), -1).astype(np.float64)
+        self.norms = np.sqrt((self.raw * self.raw).sum(1))
+        self.graph, self.beam, self.recall, self.least = SmallWorld.load(self.raw / self.norms[:, None], row["graph"]), row["beam"], row["recall"], least
+        self.parent = np.arange(len(self.nodes))
+
+    def ask(self, asked: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        """Of each query: how many vectors here are linked to it, itself included, and one that it is joined with."""
+        n = len(self.nodes)
+        norms = np.sqrt((own * own).sum(1))
+        place = np.minimum(np.searchsorted(self.nodes, asked), n - 1)
+        here = np.flatnonzero(self.nodes[place] == asked)
+        counts = np.zeros(len(asked), np.int64)
+        counts[here] = self.sizes[place[here]]  # a vector counts itself, whatever the graph finds
+        parent = _joined(np.r_[self.parent, np.arange(n, n + len(asked))], here + n, place[here])
+        for q, c in self.graph.within((own / norms[:, None]).astype(np.float32), self.least, self.beam):
+            ok = (asked[q] != self.nodes[c]) & (np.einsum("ij,ij->i", own[q], self.raw[c]) / (norms[q] * self.norms[c]) >= self.least)
+            q, c = q[ok], c[ok]
+            np.add.at(counts, q, self.sizes[c])
+            parent = _joined(parent, q + n, c)
+        self.parent = parent[:n]
+        names = np.r_[self.nodes, asked]
+        return _answers(asked, counts, names[parent[n:]], self.recall)
+
+    def joins(self) -> pa.RecordBatch:
+        """Links that hold together what queries have joined."""
+        moved = np.flatnonzero(self.parent != np.arange(len(self.nodes)))
+        return _answers(self.nodes[moved], np.full(len(moved), -1, np.int64), self.nodes[self.parent[moved]], None)
+
+
+def _answers(nodes: np.ndarray, counts: np.ndarray, roots: np.ndarray, recall: float | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(roots, pa.int64()), pa.array([recall] * len(nodes), pa.float64())], ["node", "n", "root", "recall"])
+
+
+def _ask(least: float, dtype: type):
+    """Of rows sorted by shard and range: each graph is loaded once, and the queries that follow it stream past it."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, shard = None, None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "range")], 1)
+            first = np.asarray(batch.column("graph").is_valid())
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1) | first[1:] | first[:-1], True]) if len(key) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if group != tuple(key[a]):
+                    if shard is not None:
+                        yield shard.joins()
+                    group, shard = tuple(key[a]), None
+                if first[a]:
+                    shard = _Shard(batch.slice(a, 1).to_pylist()[0], dtype, least)
+                elif shard is not None:
+                    own = batch.column("vector").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                    yield shard.ask(batch.column("node").slice(a, b - a).to_numpy(), own.astype(np.float64))
+        if shard is not None:
+            yield shard.joins()
+
+    return ask
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
-    """Rows ``(id, n_links, component_id, kept)``, one for each row: how many other rows have cosine >= ``least``, and the least id that links reach.
+    """Rows ``(id, n_links, component_id, kept, recall)``, one for each row: how many other rows have cosine >= ``least``, and the least id that links reach.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors
     of different lengths don't either. Equal vectors are one node with a count, so copies cost nothing. A row
-    whose id is null is counted, but never a least id. Repeated rows are rows. An empty table stays empty.
-
-    Each shard's graph is built in one task and written; each block of queries then meets each graph in a
-    task of its own. Beams widen until an audit against brute force passes (exact products answer if none does) and until a query's beam holds
-    something that is no link, so a large group is found whole. Cosine is verified in double precision.
+    whose id is null is counted, but never a least id. Repeated rows are rows. An empty table stays empty. Other
+    columns don't enter, whatever their names. ``recall`` is the least that an audit of the graphs asked has found.
+
+    Each shard (SHARD_VALUES components, whatever the length of vectors) has a graph, built in one task and
+    written. The vectors are cut into ranges of QUERY_VALUES components; a task loads one shard's graph once
+    and streams one range of vectors past it, so each vector moves once for each shard, and a graph once for each range.
+    Beams widen until an audit against brute force passes (exact products answer if none does) and until a
+    query's beam holds something that is no link, so a large group is found whole. Cosine is verified in double precision.
     """
-    value = F.col(vector_col).cast("array<double>")
+    small = dict(vectors.dtypes)[vector_col] == "array<float>"
+    value = F.col(vector_col) if small else F.col(vector_col).cast("array<double>")
+    dtype = np.float32 if small else np.float64
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.coalesce(fine & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("id"), value.alias("v")).withColumn("fine", fine)
-    rows = written(rows.withColumn("k1", F.when(F.col("fine"), F.xxhash64("v"))).withColumn("k2", F.when(F.col("fine"), F.xxhash64(F.reverse("v"), F.lit(1)))))
+    rows = written(rows.withColumns({"k1": F.when(F.col("fine"), F.xxhash64("v")), "k2": F.when(F.col("fine"), F.xxhash64(F.reverse("v"), F.lit(1)))}))
     nodes = rows.where("fine").groupBy("k1", "k2").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("size"), F.min_by("v", "id").alias("v1"), F.first("v").alias("v2"))
     nodes = nodes.withColumn("vector", F.coalesce("v1", "v2")).drop("v1", "v2")
-    nodes = written(nodes.select(F.col("k1").alias("node"), "k2", "least_id", "size", "vector", F.size("vector").alias("dim")))
-    shards = max(LEAST_SHARDS, -(-nodes.count() // SHARD_ROWS))
-    blocks = max(1, -(-nodes.count() // BLOCK_ROWS))
-    placed = nodes.select("node", "size", "vector", "dim").withColumns({"shard": F.pmod("node", F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")})
-    schema = "dim int, shard int, beam int, nodes binary, sizes binary, vectors binary, graph binary"
-    graphs = written(placed.groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, least), schema))
-    everywhere = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = placed.select("node", "vector", "dim", "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    by = ("dim", "shard", "block")
-    answers = everywhere.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(lambda g, b: _ask(g, b, least), "node long, n long, root long")
-    answers = written(answers)
+    nodes = written(nodes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("vector")}))
+    sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    values = F.col("n") * F.col("dim")
+    least_shards = F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / LEAST_ROWS))
+    shards = F.greatest(F.ceil(values / SHARD_VALUES), least_shards).cast("int")
+    sizes = written(sizes.select("dim", shards.alias("shards"), F.ceil(values / QUERY_VALUES).cast("int").alias("ranges")))
+    sized = attach(nodes.select("node", "k1", "size", "vector", "dim"), sizes, "dim", 3)
+    placed = sized.withColumn("shard", F.pmod("k1", "shards").cast("int"))
+    graphs = written(placed.select("dim", "shard", "node", "size", "vector").groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, least), GRAPHS))
+    copies = attach(graphs, sizes, "dim", 3).withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+    asked = sized.withColumn("range", F.pmod(F.xxhash64("k1"), F.col("ranges")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    asked = asked.select("dim", "shard", "ranges", "range", "node", "vector")
+    every = copies.drop("shards").unionByName(asked, allowMissingColumns=True)
+    slot = F.col("dim") + F.col("shard") * F.col("ranges") + F.col("range")
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = every.withColumn("slot", slot.cast("int")).repartitionById(partitions, "slot").sortWithinPartitions("dim", "shard", "range", F.col("graph").isNull())
+    answers = written(laid.mapInArrow(_ask(least, dtype), ANSWERS))
     groups = connected_components(answers.where("node <> root"), "node", "root")
-    counts = answers.where("node = root").groupBy(F.col("node").alias("counted")).agg(F.sum("n").alias("n"))
+    counts = answers.where("n >= 0").groupBy(F.col("node").alias("counted")).agg(F.sum("n").alias("n"), F.min("recall").alias("recall"))
     labelled = nodes.join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
     heads = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = labelled.join(heads, "component").join(counts, F.col("node") == F.col("counted"))
-    known = written(known.select(F.col("node").alias("n1"), F.col("k2").alias("n2"), (F.col("n") - 1).alias("links"), "component_id"))
-    discard(answers, graphs)
+    known = written(known.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), (F.col("n") - 1).alias("links"), "component_id", "recall"))
+    discard(answers, graphs, nodes, sizes)
     out = rows.join(known, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
     component = F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    found = out.select("id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), "recall")
+    return found.select("id", "n_links", "component_id", kept, "recall")
