@@ -17,13 +17,13 @@ from driftjobs.llm.common import sized_batches, tidy
 
 #: The model is fitted on at most so many labelled rows of each class (smallest hash of the id first), of texts up to so many bytes.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 16_384
-#: Hashed weights; words in a chain, at most (a longer sentence is several chains).
-BUCKETS, CHAIN = 1 << 18, 96
+#: Hashed weights; words of a sentence that one step of the forward-backward pass takes. What lies before and behind is carried over.
+BUCKETS, PIECE = 1 << 18, 96
 #: A word of a toxic row is tagged toxic if one of its features is this much likelier in toxic rows, and its spread over
 #: the classes this unlikely by chance (natural logarithms).
 TAG_LOG_ODDS, TAG_SURPRISE = 2.3, 6.5
 THRESHOLD, SPAN_CHANCE = 0.3, 0.5
-#: Chains in a block of the forward-backward pass; words that a task remembers.
+#: Pieces in a block of the forward-backward pass; words that a task remembers.
 BLOCK, REMEMBERED = 2048, 500_000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
@@ -38,15 +38,19 @@ def _slots(word: str) -> list[int]:
     return [zlib.crc32(f.encode("utf-8")) % BUCKETS for f in features(word)]
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Words and stops in order, each in lower case by itself, so that its place in the text is known."""
+    found = _TOKEN.findall(text or "")
+    return "\0".join(found).lower().split("\0") if found else []
+
+
 def chains_of(text: str | None) -> list[list[str]]:
-    """Lower-case words of each sentence, CHAIN at most in a row."""
+    """Lower-case words of each sentence."""
     chains: list[list[str]] = [[]]
-    for token in _TOKEN.findall((text or "").lower()):
+    for token in tokens_of(text):
         if token in _STOPS:
             chains.append([])
         else:
-            if len(chains[-1]) == CHAIN:
-                chains.append([])
             chains[-1].append(token)
     return [c for c in chains if c]
 
@@ -162,8 +166,7 @@ def fit_tags(toxic: list[str], clean: list[str], rounds: int = 4, batch: int = 2
             first = float((chance[:, 0] - gold[:, 0]).sum())
             start_square += first**2
             start -= 0.1 * first / np.sqrt(start_square)
-    model = TagModel(weights, pairs, start, np.zeros(5))
-    return model
+    return TagModel(weights, pairs, start, np.zeros(5))
 
 
 def fit_rows(model: TagModel, toxic: list[str], clean: list[str], share: float) -> TagModel:
@@ -189,9 +192,9 @@ def fit_rows(model: TagModel, toxic: list[str], clean: list[str], share: float)
 def document_stats(texts: list[str | None], model: TagModel, known: dict[str, float]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Of each text: the greatest marginal, the chance of any toxic word, the expected number of them (log), and that per word; and all marginals.
 
-    Chains of like length go through the forward-backward pass together; a text's result doesn't depend on its company.
+    A sentence is one chain, however long; a text's result doesn't depend on its company.
     """
-    tokens = [_TOKEN.findall((t or "").lower()) for t in texts]
+    tokens = [tokens_of(t) for t in texts]
     fresh = sorted(w for w in set().union(*tokens) if w not in known and w not in _STOPS)
     if fresh:
         slots = [_slots(w) for w in fresh]
@@ -208,15 +211,7 @@ def document_stats(texts: list[str | None], model: TagModel, known: dict[str, fl
     if len(emit):
         new = np.r_[True, (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1])]  # after a stop or in another text
         start = np.flatnonzero(new)
-        within = np.arange(len(emit)) - np.repeat(start, np.diff(np.r_[start, len(emit)]))
-        start = np.flatnonzero(within % CHAIN == 0)
-        lengths = np.diff(np.r_[start, len(emit)])
-        order = np.argsort(lengths, kind="stable")
-        for a in range(0, len(order), BLOCK):
-            part = order[a : a + BLOCK]
-            at = start[part][:, None] + np.arange(lengths[part].max())
-            live = at < (start + lengths)[part][:, None]
-            chance[at[live]] = _chances(np.where(live, emit[np.minimum(at, len(emit) - 1)], 0.0), lengths[part], model)[live]
+        chance = chain_chances(emit, start, np.diff(np.r_[start, len(emit)]), model)
         count = np.bincount(owner, minlength=len(texts))
         own = np.flatnonzero(count)
         first = np.r_[0, np.cumsum(count)[:-1]][own]
@@ -228,21 +223,79 @@ def document_stats(texts: list[str | None], model: TagModel, known: dict[str, fl
     return stats, np.split(chance, np.cumsum(count)[:-1]) if len(texts) else []
 
 
-def _chances(emit: np.ndarray, lengths: np.ndarray, model: TagModel) -> np.ndarray:
-    """As ``marginals``, without the tag pairs: chances as odds, so that a step is a few products over all chains."""
-    psi = np.exp(np.clip(emit, -30, 30)).T
+def chain_chances(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: TagModel) -> np.ndarray:
+    """Chances of the tag "toxic" at each place of chains that lie one after another, as ``marginals`` has them.
+
+    A chain longer than PIECE is taken in pieces: the product of a piece's transitions carries the forward
+    state to the piece after it and the backward state to the one before, so nothing is cut in the model.
+    """
+    pieces = -(-lengths // PIECE)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, size = starts[owner] + nth * PIECE, np.minimum(PIECE, lengths[owner] - nth * PIECE)
+    enter, leave = np.ones(len(owner)), np.ones(len(owner))  # odds of the state before a piece and behind its last place
+    several = np.flatnonzero(pieces[owner] > 1)
+    if len(several):
+        m = np.ones((4, len(owner)))
+        for part in _blocks(several, size):
+            m[:, part] = _product(*_laid(emit, start[part], size[part]), nth[part] == 0, model)
+        order = several[np.argsort(nth[several], kind="stable")]
+        bounds = np.searchsorted(nth[order], np.arange(nth[order[-1]] + 2))
+        for k in range(1, len(bounds) - 1):
+            own = order[bounds[k] : bounds[k + 1]]
+            (oo, ot, to, tt), odds = m[:, own - 1], enter[own - 1]
+            enter[own] = (ot + odds * tt) / (oo + odds * to)
+        for k in range(len(bounds) - 2, 0, -1):
+            own = order[bounds[k] : bounds[k + 1]]
+            (oo, ot, to, tt), odds = m[:, own], leave[own]
+            leave[own - 1] = (to + tt * odds) / (oo + ot * odds)
+    out = np.empty(len(emit))
+    for part in _blocks(np.arange(len(owner)), size):
+        psi, live, at = _laid(emit, start[part], size[part])
+        out[at[live]] = _chances(psi, size[part], nth[part] == 0, enter[part], leave[part], model)[live]
+    return out
+
+
+def _blocks(pieces: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The pieces, those of like size together."""
+    order = pieces[np.argsort(size[pieces], kind="stable")]
+    yield from (order[a : a + BLOCK] for a in range(0, len(order), BLOCK))
+
+
+def _laid(emit: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By place and piece: exponentials of the emissions, which places are live, and where they lie."""
+    at = start + np.arange(size.max())[:, None]
+    live = at < start + size
+    return np.exp(np.clip(np.where(live, emit[np.minimum(at, len(emit) - 1)], 0.0), -30, 30)), live, at
+
+
+def _product(psi: np.ndarray, live: np.ndarray, at: np.ndarray, first: np.ndarray, model: TagModel) -> tuple[np.ndarray, ...]:
+    """The product of each piece's transitions, up to a factor; the first piece of a chain forgets what is before it."""
+    (oo, ot), (to, tt) = np.exp(model.pairs)
+    begin = np.exp(model.start)
+    m = [np.where(first, 1.0, oo), np.where(first, begin, ot) * psi[0], np.where(first, 1.0, to), np.where(first, begin, tt) * psi[0]]
+    for t in range(1, len(psi)):
+        a, b, c, d = m
+        new = [a * oo + b * to, (a * ot + b * tt) * psi[t], c * oo + d * to, (c * ot + d * tt) * psi[t]]
+        scale = np.maximum.reduce(new)
+        m = [np.where(live[t], x / scale, y) for x, y in zip(new, m, strict=True)]
+    return tuple(m)
+
+
+def _chances(psi: np.ndarray, size: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray, model: TagModel) -> np.ndarray:
+    """Chances as odds, so that a step is a few products over all pieces."""
     (oo, ot), (to, tt) = np.exp(model.pairs)
-    width = len(psi)
     ahead = np.empty_like(psi)
-    ahead[0] = psi[0] * np.exp(model.start)
-    for t in range(1, width):
+    ahead[0] = psi[0] * np.where(first, np.exp(model.start), (ot + enter * tt) / (oo + enter * to))
+    for t in range(1, len(psi)):
         ahead[t] = psi[t] * (ot + ahead[t - 1] * tt) / (oo + ahead[t - 1] * to)
-    behind = np.ones_like(psi)
-    for t in range(width - 2, -1, -1):
+    behind = np.empty_like(psi)
+    behind[-1] = leave
+    for t in range(len(psi) - 2, -1, -1):
         odds = psi[t + 1] * behind[t + 1]
-        behind[t] = np.where(lengths > t + 1, (to + tt * odds) / (oo + ot * odds), 1.0)
+        behind[t] = np.where(size > t + 1, (to + tt * odds) / (oo + ot * odds), leave)
     odds = ahead * behind
-    return (odds / (1 + odds)).T
+    return odds / (1 + odds)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> TagModel:
@@ -269,24 +322,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _spans(text: str, chances: np.ndarray) -> list[dict]:
-    out, k = [], 0
-    lower = text.lower()
-    same = len(lower) == len(text)
-    for m in _TOKEN.finditer(lower):
-        if m.group() not in _STOPS:
-            if chances[k] >= SPAN_CHANCE and same:
-                out.append({"start": m.start(), "end": m.end(), "chance": float(chances[k])})
-            k += 1
-    return out
+    words = (m for m in _TOKEN.finditer(text) if m.group() not in _STOPS)
+    return [{"start": m.start(), "end": m.end(), "chance": p} for m, p in zip(words, chances.tolist(), strict=True) if p >= SPAN_CHANCE]
 
 
 def score_toxicity(docs: DataFrame, model: TagModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``toxic_spans``, which replace columns of those names.
 
     Only the text enters. Scores are between 0 and 1; ``predicted`` is 1 from THRESHOLD on. Spans are words
-    (code points, end exclusive) whose marginal is SPAN_CHANCE or more; a text that lower case makes longer
-    has none. Null and empty texts get the score of a text without toxic words. Repeated rows stay; an empty
-    table stays empty. The model has a fixed size.
+    (code points, end exclusive) whose marginal is SPAN_CHANCE or more. Null and empty texts get the score of
+    a text without toxic words. Texts and sentences are whole, whatever their length. Repeated rows stay; an
+    empty table stays empty. The model has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])

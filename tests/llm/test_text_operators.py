@@ -25,7 +25,7 @@ from driftjobs.llm.secrets import redact, scan, scan_secrets
 from driftjobs.llm.sentence_pieces import WordEncoder, encode_pieces
 from driftjobs.llm.simhash import drop_simhash_copies, simhash, simhash_groups
 from driftjobs.llm.token_counts import token_counts
-from driftjobs.llm.toxicity import BUCKETS, TagModel, chains_of, document_stats, marginals, score_toxicity, train
+from driftjobs.llm.toxicity import BUCKETS, TagModel, chain_chances, chains_of, document_stats, features, marginals, score_toxicity, train
 from driftjobs.llm.vectors import SmallWorld, link_vectors
 from tests_plain import groups_of, plain_simhash
 
@@ -118,8 +118,9 @@ def test_vectors(spark):
         if i is not None:
             least[group[k]] = min(least.get(group[k], i), i)
     expected = sorted(((i, int(count[k]), least.get(group[k]), i is not None and i == least.get(group[k])) for k, (i, _) in enumerate(rows)), key=repr)
-    got = sorted(((r.id, r.n_links, r.component_id, r.kept) for r in link_vectors(df).collect()), key=repr)
-    assert got == expected
+    found = link_vectors(df).collect()
+    assert sorted(((r.id, r.n_links, r.component_id, r.kept) for r in found), key=repr) == expected
+    assert min(r.recall for r in found if r.recall is not None) >= 0.999
     assert link_vectors(df.limit(0)).count() == 0
 
 
@@ -127,7 +128,7 @@ def test_graph_recall():
     unit = np.array([v for _, v in vectors_with_groups(5, 3000)], np.float32)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     unit = np.unique(unit, axis=0)
-    graph = SmallWorld.load(SmallWorld(unit).dump())
+    graph = SmallWorld.load(unit, SmallWorld(unit).dump())
     near = unit @ unit.T
     found = {(a, b) for q, c in graph.within(unit, 0.95, graph_beam(unit)) for a, b in zip(q.tolist(), c.tolist(), strict=True)}
     truth = set(zip(*[x.tolist() for x in np.nonzero(near >= 0.95)], strict=True))
@@ -138,7 +139,7 @@ def test_graph_recall():
 
 
 def graph_beam(unit):
-    return SmallWorld(unit).audited_beam(0.95)
+    return SmallWorld(unit).audited_beam(0.95)[0]
 
 
 def test_mixing(spark, sf):
@@ -208,15 +209,30 @@ def test_toxicity(spark, docs_of):
     for text, p in zip(texts, alone, strict=True):
         flat = [w for c in chains_of(text) for w in c]
         assert len(flat) == len(p) and (not flat or 0 < p.min() <= p.max() < 1)
+    for size in (1, 95, 96, 97, 192, 500):  # over the pieces of the pass, and in company
+        emit = draw.normal(size=size) * 3
+        whole = marginals(emit[None, :], np.array([size]), pairs, start)[0][0]
+        company = chain_chances(np.r_[emit, emit[:7], emit], np.array([0, size, size + min(7, size)]), np.array([size, min(7, size), size]), model)
+        assert company[:size] == pytest.approx(whole, abs=1e-12) and company[-size:] == pytest.approx(whole, abs=1e-12)
+    stats, alone = document_stats(["One two. İstanbul nil!", ""], model, {})  # every way to tag the two chains
+    chances = []
+    for words in (["one", "two"], ["i̇stanbul", "nil"]):
+        e = [sum(model.weights[zlib.crc32(f.encode()) % BUCKETS] for f in features(w)) for w in words]
+        w = {t: np.exp(t[0] * (start + e[0]) + t[1] * e[1] + pairs[t]) for t in itertools.product((0, 1), repeat=2)}
+        chances += [sum(x for t, x in w.items() if t[k]) / sum(w.values()) for k in (0, 1)]
+    assert alone[0] == pytest.approx(chances) and stats[0][0] == pytest.approx(max(chances)) and stats[0][1] == pytest.approx(1 - np.prod(1 - np.array(chances)))
+    assert stats[0][2] == pytest.approx(np.log1p(sum(chances))) and stats[0][3] == pytest.approx(min(1, 10 * sum(chances) / 4)) and not stats[1].any()
     names = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
     rows = [(i, " ".join(draw.choice(names, 30)) + (f" vile{'xyz'[i % 3]} end." if i % 4 == 0 else " end.")) for i in range(400)]
-    docs = docs_of(*rows, (500, ""), (501, None), (502, "alpha"), (502, "alpha"))
+    long = "İ alpha " * 20_000 + "vilex " + "beta " * 20_000  # one sentence
+    docs = docs_of(*rows, (500, ""), (501, None), (502, "alpha"), (502, "alpha"), (503, long)).withColumn("score", F.lit("taken"))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(None, 1), (1, None), (9999, 1)], "doc_id long, toxic int")
     scored = {r.doc_id: r for r in score_toxicity(docs, train(docs, labels)).collect()}
     assert all(scored[i].predicted == int(i % 4 == 0) for i in range(300, 400))
     hit = scored[300].toxic_spans[0]
     assert rows[300][1][hit.start : hit.end].startswith("vile") and scored[500].score == scored[501].score and scored[500].predicted == 0
-    assert score_toxicity(docs, train(docs, labels.limit(0))).count() == 404 and score_toxicity(docs.limit(0), train(docs, labels)).count() == 0
+    assert [long[x.start : x.end] for x in scored[503].toxic_spans] == ["vilex"]
+    assert score_toxicity(docs, train(docs, labels.limit(0))).count() == 405 and score_toxicity(docs.limit(0), train(docs, labels)).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark):
