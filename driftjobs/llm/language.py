@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from driftjobs.llm.common import attach, sized_batches, tidy, written
 
-#: Candidate languages: fixed, so the model's size is fixed too.
-LANGUAGES = ("de", "en", "es", "fr")
-BUCKETS = 1 << 16
+#: Candidates are the languages of the labels. More than so many are an error: the model has BUCKETS numbers for each.
+MAX_LANGUAGES, BUCKETS = 200, 1 << 16
 #: Labelled texts that fit the letter model, at most (those of the smallest hash); copies of a language are one text.
 TRAIN_ROWS = 8000
 #: A text counts as at most so many independent trigrams against the other evidence.
@@ -40,10 +39,19 @@ def _trigrams(data: bytes) -> np.ndarray:
     return ((x * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32)
 
 
-def letter_model(labelled: DataFrame, text: F.Column, language: F.Column, languages: Sequence[str] = LANGUAGES, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+def label_languages(labelled: DataFrame, language: F.Column, most: int = MAX_LANGUAGES) -> list[str]:
+    """The labels' languages in order; nulls and blanks are none."""
+    named = labelled.select(language.alias("language")).where("trim(language) <> ''").distinct().limit(most + 1)
+    found = sorted(r["language"] for r in named.collect())
+    if len(found) > most:
+        raise ValueError(f"the labels name more than {most} languages")
+    return found
+
+
+def letter_model(labelled: DataFrame, text: F.Column, language: F.Column, languages: Sequence[str], train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Log chances ``[bucket, language]`` of hashed byte trigrams, fitted on at most ``train_rows`` distinct labelled texts (and ties).
 
-    Rows of other or no language, and null texts, don't count. The result has a fixed size.
+    Rows of other or no language, and null texts, don't count. The result has BUCKETS rows.
     """
     rows = labelled.select(text.alias("text"), language.alias("language"), F.xxhash64(text).alias("h")).where(F.col("language").isin(*languages) & F.col("text").isNotNull())
     bound = rows.select("h", "language").distinct().orderBy("h", "language").limit(train_rows).agg(F.max("h")).first()[0]
@@ -109,28 +117,37 @@ def text_scores(docs: DataFrame, text: F.Column, model: np.ndarray) -> F.Column:
     return score(text)
 
 
-def host_priors(judged: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """Smoothed shares of languages by ``(host, suffix)`` from rows of host, suffix and the text's own best language.
+def host_counts(judged: DataFrame, n_languages: int) -> DataFrame:
+    """Judgements by ``(host, suffix)``: ``n``, and ``m`` of its suffix and ``g`` of all rows, each an array by language.
 
-    A host's counts are smoothed towards its suffix, a suffix's towards all rows, and all rows towards equal
-    shares. Rows without a judgement don't count. All levels are grouped counts with partial sums.
+    ``judged`` has host, suffix and ``best``, the place of the text's own best language; rows without one don't
+    count. All levels are grouped counts with partial sums.
     """
-    own = [F.sum(F.when(F.col("best") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(len(languages))]
+    each = range(n_languages)
+    array = lambda name: F.array(*[F.coalesce(F.col(f"{name}{k}"), F.lit(0)).cast("double") for k in each])
+    own = [F.sum(F.when(F.col("best") == k, 1).otherwise(0)).alias(f"n{k}") for k in each]
     hosts = written(judged.groupBy("host", "suffix").agg(*own))
-    up = lambda *by: hosts.groupBy(*by).agg(*[F.sum(f"n{k}").cast("double").alias(f"m{k}") for k in range(len(languages))])
+    everything = hosts.agg(*[F.sum(f"n{k}").alias(f"g{k}") for k in each]).select(array("g").alias("g"))  # one row
+    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"m{k}") for k in each])
+    suffixes = written(suffixes.select(F.col("suffix").alias("__suffix"), array("m").alias("m")).join(F.broadcast(everything)))
+    named = attach(hosts.withColumn("__suffix", F.col("suffix")), suffixes, "__suffix", 2 * n_languages)
+    return named.select("host", "suffix", array("n").alias("n"), "m", "g")
+
+
+def smoothed_priors(best: F.Column, counts: Sequence[F.Column], n_languages: int) -> F.Column:
+    """Shares of languages among the other rows of the host: towards its suffix's, those towards all rows', and those towards equal shares.
+
+    ``counts`` are those of all rows, the suffix and the host; the row's own judgement is taken out of each.
+    """
+    shares = F.array(*[F.lit(1.0 / n_languages)] * n_languages)
+    for level in counts:
+        shares = _towards(F.transform(level, lambda n, k: F.when(k == best, n - 1).otherwise(n)), shares)
+    return shares
 
-    def smooth(df: DataFrame, counts: str, parent: list[F.Column], out: str) -> DataFrame:
-        n = sum((F.col(f"{counts}{k}") for k in range(len(languages))), F.lit(0.0))
-        return df.withColumns({f"{out}{k}": (F.col(f"{counts}{k}") + PRIOR_ROWS * parent[k]) / (n + PRIOR_ROWS) for k in range(len(languages))})
 
-    equal = [F.lit(1.0 / len(languages))] * len(languages)
-    everything = smooth(hosts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).cast("double").alias(f"m{k}") for k in range(len(languages))]), "m", equal, "g")
-    suffixes = up("suffix").join(F.broadcast(everything.select([f"g{k}" for k in range(len(languages))])))
-    suffixes = smooth(suffixes, "m", [F.col(f"g{k}") for k in range(len(languages))], "s")
-    suffixes = written(suffixes.select(F.col("suffix").alias("__suffix"), *[f"s{k}" for k in range(len(languages))]))
-    named = attach(hosts.withColumn("__suffix", F.col("suffix")), suffixes, "__suffix")
-    shares = smooth(named, "n", [F.col(f"s{k}") for k in range(len(languages))], "p")
-    return shares.select("host", "suffix", F.array(*[F.ln(f"p{k}") for k in range(len(languages))]).alias("log_prior"))
+def _towards(counts: F.Column, parent: F.Column) -> F.Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n)
+    return F.zip_with(counts, parent, lambda n, p: (n + PRIOR_ROWS * p) / (total + PRIOR_ROWS))
 
 
 def identify_languages(
@@ -142,46 +159,53 @@ def identify_languages(
     labelled: DataFrame,
     labelled_text: F.Column,
     labelled_language: F.Column,
-    languages: Sequence[str] = LANGUAGES,
+    languages: Sequence[str] | None = None,
     train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
     """``docs`` with ``language``, ``posterior`` and ``accepted``, which replace columns of those names.
 
-    The posterior multiplies the likelihood of the text (as EVIDENCE trigrams at most), of the declared
-    language, and the prior of the host. What is declared counts by its first two letters; null or unknown
+    Candidates are ``languages`` or, without them, all that the labels name. The posterior multiplies the
+    likelihood of the text (as EVIDENCE trigrams at most), of the declared language, and the prior of the
+    host, which is made of its other rows. What is declared counts by its first part; null or unknown
     declarations say nothing. Null hosts and suffixes are groups of their own. A text without letters is
     judged by the rest and rejected; so are a best language under MIN_POSTERIOR and texts that fit no
-    language better than noise. Ties go to the first language. Repeated rows stay; an empty table stays
-    empty. Texts are never shuffled: the host table comes to them.
+    language better than noise. Ties go to the first language. Without labels nothing is accepted and the
+    language is null. Texts are whole, whatever their length. Repeated rows stay; an empty table stays
+    empty. Rows are written once with their scores, and the table of hosts comes to them; only where it is
+    beyond the bound of a broadcast do rows move.
     """
-    languages = list(languages)
     sized_batches(docs)
+    languages = label_languages(labelled, labelled_language) if languages is None else list(languages)
+    if not languages:
+        return docs.withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "accepted": F.lit(False)})
     model = letter_model(labelled, labelled_text, labelled_language, languages, train_rows)
-    wide = docs.withColumns({"__scores": text_scores(docs, text, model), "__host": host, "__suffix": suffix, "__said": F.lower(F.substring(declared, 1, 2))})
+    said = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]+)", 1))
+    wide = written(docs.withColumns({"__scores": text_scores(docs, text, model), "__host": host, "__suffix": suffix, "__said": said}))
     likely = F.slice("__scores", 2, len(languages))
-    best = F.array_position(likely, F.array_max(likely)) - 1
+    best = F.when(F.size("__scores") > 1, F.array_position(likely, F.array_max(likely)).cast("int") - 1)
     judged = wide.where(F.size("__scores") > 1).select(F.col("__host").alias("host"), F.col("__suffix").alias("suffix"), best.alias("best"))
-    priors = host_priors(judged, languages)
     place = lambda h, s: F.to_json(F.struct(h.alias("h"), s.alias("s")))
-    priors = written(priors.select(place(F.col("host"), F.col("suffix")).alias("__place"), "log_prior"))
-    placed = attach(wide.withColumn("__place", place(F.col("__host"), F.col("__suffix"))), priors, "__place")
-    known = F.col("__said").isin(*languages)
-    wrong = (1 - DECLARED_RIGHT) / max(1, len(languages) - 1)
-    logs = []
-    for k, name in enumerate(languages):
-        said = F.when(known & (F.col("__said") == name), float(np.log(DECLARED_RIGHT))).when(known, float(np.log(wrong))).otherwise(0.0)
-        fits = F.when(F.size("__scores") > 1, F.try_element_at("__scores", F.lit(k + 2)) * F.least(F.element_at("__scores", 1), F.lit(EVIDENCE))).otherwise(0.0)
-        logs.append(fits + said + F.coalesce(F.try_element_at("log_prior", F.lit(k + 1)), F.lit(float(-np.log(len(languages))))))
-    summed = placed.withColumn("__logs", F.array(*logs)).withColumn("__top", F.array_max("__logs"))
+    counts = host_counts(judged, len(languages))
+    counts = written(counts.select(place(F.col("host"), F.col("suffix")).alias("__place"), *[F.col(c).alias(f"__{c}") for c in "nmg"]))
+    placed = attach(wide.withColumn("__place", place(F.col("__host"), F.col("__suffix"))), counts, "__place", 3 * len(languages))
+    none = F.array(*[F.lit(0.0)] * len(languages))
+    priors = smoothed_priors(F.coalesce(best, F.lit(-1)), [F.coalesce(f"__{c}", none) for c in "gmn"], len(languages))
+    parts = F.array(*[F.lit(x.lower().split("-")[0]) for x in languages])
+    right, wrong = float(np.log(DECLARED_RIGHT)), float(np.log((1 - DECLARED_RIGHT) / max(1, len(languages) - 1)))
+    told = F.transform(parts, lambda x: F.when(~F.array_contains(parts, F.coalesce("__said", F.lit(""))), 0.0).when(x == F.col("__said"), right).otherwise(wrong))
+    fits = F.when(F.size("__scores") > 1, F.transform(likely, lambda x: x * F.least(F.element_at("__scores", 1), F.lit(EVIDENCE)))).otherwise(none)
+    placed = placed.withColumns({"__priors": priors, "__told": told, "__fits": fits})
+    logs = F.transform(F.arrays_zip("__priors", "__told", "__fits"), lambda x: F.ln(x["__priors"]) + x["__told"] + x["__fits"])
+    summed = placed.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
     mass = F.aggregate("__logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("__top")))
     named = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("__logs", F.col("__top")).cast("int"))
     out = summed.withColumns({"language": named, "posterior": 1 / mass})
     fits_best = (F.size("__scores") > 1) & (F.array_max(likely) > NOISE)
     out = out.withColumn("accepted", fits_best & (F.col("posterior") >= MIN_POSTERIOR))
-    return out.drop("__scores", "__host", "__suffix", "__said", "__place", "log_prior", "__logs", "__top")
+    return out.drop("__scores", "__host", "__suffix", "__said", "__place", "__n", "__m", "__g", "__priors", "__told", "__fits", "__logs", "__top")
 
 
-MARKUP = r"(?i)<html[^>]{0,400}?\blang\s*=\s*[\"']?([a-z]{2})"
+MARKUP = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 ADDRESS = r"(?i)\bhttps?://[^\s/:\"'<>]*\.([a-z]{2,24})\b"
 
 

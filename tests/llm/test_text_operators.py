@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +18,7 @@ from driftjobs.llm import queries
 from driftjobs.llm.audio import audio_features, from_wav, log_mel, padded, resample
 from driftjobs.llm.common import attach, written
 from driftjobs.llm.components import connected_components
-from driftjobs.llm.language import document_evidence, identify_languages, page_evidence
+from driftjobs.llm.language import document_evidence, identify_languages, label_languages, letter_model, page_evidence
 from driftjobs.llm.mixing import mix_sources, poisson_steps
 from driftjobs.llm.passages import strip_passages, words_of
 from driftjobs.llm.pieces import PieceModel, marked_words, model_bytes
@@ -92,6 +93,58 @@ def test_language(spark, sf, docs_of):
     assert identify_languages(odd, **document_evidence(), labelled=docs.limit(0), labelled_text=F.col("text"), labelled_language=F.col("lang")).count() == 5
 
 
+def test_language_by_hand(spark):
+    """The posterior of every row against plain loops: likelihood, declaration, suffix and host, each of which moves some row."""
+    draw = random.Random(8)
+    words = {"aa": ["bana", "nabu", "sola"], "bb": ["krik", "trek", "ikke"], "cc-X": ["ouze", "zuoe", "eozu"]}
+    known = [(" ".join(draw.choice(w) for _ in range(40)), k) for k, w in words.items() for _ in range(9)] + [("x", None), (None, "aa"), ("y", " ")]
+    labelled = spark.createDataFrame(known, "t string, l string")
+    rows = []
+    for i in range(60):
+        lang = draw.choice(list(words))
+        text = draw.choice([" ".join(draw.choice(words[lang]) for _ in range(draw.choice([1, 2, 9]))), "bana krik", "", None, "123"])
+        rows.append((i, text, draw.choice(["aa", "BB-y", "cc", "zz", "", None]), draw.choice([f"h{lang}", "h", None]), draw.choice([lang, "s", None]), "mine", "too"))
+    rows += [rows[0], (60, "sola nabu " * 40_000, None, None, None, "mine", "too")]
+    docs = spark.createDataFrame(rows, "id int, t string, d string, h string, s string, log_prior string, language string")
+    got = {r.id: r for r in identify_languages(docs, F.col("t"), F.col("d"), F.col("h"), F.col("s"), labelled, F.col("t"), F.col("l")).collect()}
+    names = sorted(words)
+    model = letter_model(labelled, F.col("t"), F.col("l"), names).astype(float)
+
+    def fit(text):
+        data = (" " + re.sub(r"[^a-z]+", " ", (text or "").lower()).strip() + " ").replace("  ", " ").encode()
+        grams = [int(np.uint32((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 16) for k in range(len(data) - 2)] if len(data) > 2 else []
+        return [sum(model[g, k] for g in grams) / len(grams) for k in range(3)] if grams else None, len(grams)
+
+    fits = [fit(r[1]) for r in rows]
+    best = [None if f is None else int(np.argmax(f)) for f, _ in fits]
+    moved = Counter()
+    for n, (i, _, d, h, s, *_) in enumerate(rows):
+        def posterior(use):
+            logs = np.zeros(3)
+            if "text" in use and fits[n][0]:
+                logs += np.array(fits[n][0]) * min(fits[n][1], 60)
+            said = (d or "").lower().split("-")[0]
+            if "declared" in use and said in ("aa", "bb", "cc"):
+                logs += np.log([0.85 if x.lower().split("-")[0] == said else 0.075 for x in names])
+            share = np.full(3, 1 / 3)
+            for level in ("all", "suffix", "host"):
+                others = [best[m] for m, r in enumerate(rows) if m != n and best[m] is not None and (level == "all" or r[4] == s and (level == "suffix" or r[3] == h))]
+                count = np.bincount(others, minlength=3) if level in use or level == "all" else np.zeros(3)
+                share = (count + 20 * share) / (count.sum() + 20)
+            logs += np.log(share)
+            p = np.exp(logs - logs.max())
+            return p / p.sum()
+
+        whole = posterior({"text", "declared", "suffix", "host"})
+        assert got[i].language == names[int(np.argmax(whole))] and got[i].posterior == pytest.approx(whole.max(), rel=1e-4), i
+        assert got[i].log_prior == "mine"
+        for part in ("declared", "suffix", "host"):
+            moved[part] += abs(posterior({"text", "declared", "suffix", "host"} - {part})[int(np.argmax(whole))] - whole.max()) > 1e-3
+    assert min(moved.values()) > 3 and got[60].accepted and got[60].language == "aa"
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        label_languages(labelled, F.col("l"), 2)
+
+
 def vectors_with_groups(seed=2, n=400, dim=16):
     draw = np.random.default_rng(seed)
     unit = lambda x: x / np.linalg.norm(x)
