@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import sized_batches, tidy
+from driftjobs.llm.common import parts, sized_batches, tidy
 
 RATE, UP, DOWN = 8000, 3, 4
 TAPS = 24  # of each phase
@@ -131,38 +131,33 @@ def describe(media: bytes) -> dict:
     return {"frames": len(bands), "seconds": len(samples) / RATE, "spans": spans, "tensor": tensors(bands)}
 
 
-def _over(kind: str, one, of: pa.DataType):
-    @F.arrow_udf(kind)
-    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for values in batches:
-            yield pa.array([one(v.as_py()) for v in values], of)
-        tidy()
-
-    return each
-
-
-def stored_sound(text: F.Column) -> F.Column:
-    """The UTF-8 bytes of the text, filled with zero bytes to a positive multiple of 64, as a RIFF file; null: as empty."""
-    return _over("binary", lambda t: to_wav(padded(t)), pa.binary())(text)
-
+def sound(text: F.Column) -> F.Column:
+    """The stored file of a text, the payload read back from it, and its features, in one pass."""
+    span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+    features = pa.struct([("frames", pa.int32()), ("seconds", pa.float64()), ("spans", span), ("tensor", pa.binary())])
+    kind = pa.struct([("media", pa.binary()), ("payload", pa.binary()), ("features", features)])
 
-def read_payload(media: F.Column) -> F.Column:
-    """The samples of the stored file, as bytes."""
-    return _over("binary", lambda m: None if m is None else from_wav(m), pa.binary())(media)
+    def stored(text: str | None) -> dict:
+        media = to_wav(padded(text))
+        return {"media": media, "payload": from_wav(media), "features": describe(media)}
 
+    @F.arrow_udf(f"struct<media:binary,payload:binary,features:{FEATURES}>")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in parts(texts):
+                yield pa.array([stored(t.as_py()) for t in part], kind)
+        tidy()
 
-def sound_features(media: F.Column) -> F.Column:
-    span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
-    kind = pa.struct([("frames", pa.int32()), ("seconds", pa.float64()), ("spans", span), ("tensor", pa.binary())])
-    return _over(FEATURES, lambda m: None if m is None else describe(m), kind)(media)
+    return each(text)
 
 
 def audio_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``media`` (the stored file), ``payload`` (read back from it) and ``features``, which replace columns of those names.
 
-    Every row stands alone, so nothing is shuffled; memory is bounded by blocks of frames, whatever the
-    length. A null or empty text is stored as 64 zero bytes. Equal texts have equal values. An empty
-    table stays empty.
+    The file holds the UTF-8 bytes of the text, filled with zero bytes to a positive multiple of 64, as 8-bit
+    samples. Every row stands alone, so nothing is shuffled; memory is bounded by blocks of frames, whatever
+    the length. A null or empty text is stored as 64 zero bytes. Equal texts have equal values. Repeated rows
+    stay; an empty table stays empty.
     """
-    stored = sized_batches(docs).withColumn("media", stored_sound(F.col(text_col)))
-    return stored.withColumns({"payload": read_payload(F.col("media")), "features": sound_features(F.col("media"))})
+    found = sized_batches(docs).withColumn("__sound", sound(F.col(text_col)))
+    return found.withColumns({c: F.col(f"__sound.{c}") for c in ("media", "payload", "features")}).drop("__sound")

@@ -6,14 +6,16 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftjobs.sources.io import discard, shared_folder, written
 
-__all__ = ["attach", "bucketed", "discard", "row_key", "sized_batches", "text_bytes", "tidy", "words_of", "written"]
+__all__ = ["attach", "bucketed", "discard", "parts", "row_key", "sized_batches", "spread", "text_bytes", "tidy", "words_of", "written"]
 
 #: A side of at most this many values may be broadcast; beyond it the join shuffles.
 BROADCAST_VALUES = 1_000_000
@@ -56,6 +58,19 @@ def sized_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """An Arrow array in slices of some ``most`` bytes of text, so that what is made of them stays small."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    place = (size.cumsum() - size) // most
+    cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+    yield from (texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys to as many tasks as the session has for shuffles: for few rows of which many are made."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def row_key(df: DataFrame) -> F.Column:
     """A hash of all columns: with the id it tells rows apart, except rows that are alike in every column."""
     plain = lambda c, kind: F.to_json(F.struct(df[f"`{c}`"])) if "map<" in kind or "variant" in kind else df[f"`{c}`"]

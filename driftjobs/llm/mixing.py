@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import attach, written
+from driftjobs.llm.common import attach, discard, written
 
 #: Steps of the distribution kept beyond its mean, in standard deviations and in all: what lies beyond has a chance below 1e-15.
 DEVIATIONS, MORE_STEPS = 10, 30
 UNIFORM_BITS = 52
+#: Copies of a row that one list makes.
+COPIES_AT_ONCE = 4096
 
 
 def uniform(key: F.Column, seed: int) -> F.Column:
@@ -20,21 +23,41 @@ def uniform(key: F.Column, seed: int) -> F.Column:
     return (F.conv(F.substring(digest, 1, UNIFORM_BITS // 4), 16, 10).cast("double") + 0.5) / float(1 << UNIFORM_BITS)
 
 
-def poisson_steps(mean: F.Column) -> F.Column:
-    """P(X <= k) for k = 0, 1, ... of a Poisson distribution, added up from the logarithms of its terms."""
-    top = F.ceil(mean + DEVIATIONS * F.sqrt(mean) + MORE_STEPS).cast("int")
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """Rows of ``source`` and ``rate`` with ``first`` and ``steps``: P(X <= k) for k = first, first + 1, ... of a Poisson distribution.
 
-    def step(acc: F.Column, k: F.Column) -> F.Column:
-        term = F.when(k == 0, -mean).otherwise(acc["term"] + F.ln(mean) - F.ln(F.greatest(k, F.lit(1))))
-        total = acc["total"] + F.exp(term)
-        return F.struct(term.alias("term"), total.alias("total"), F.concat(acc["steps"], F.array(total)).alias("steps"))
+    Steps lie within DEVIATIONS of the mean: what lies before ``first`` is below any number that is drawn.
+    Each step is a row, and sums run over the rows of a source, of which there are 20 sqrt(rate) + 31 at most.
+    """
+    rate, k = F.col("rate"), F.col("k")
+    around = DEVIATIONS * F.sqrt(rate)
+    first = F.greatest(F.lit(0), F.floor(rate - around)).cast("long")
+    last = F.ceil(rate + around + MORE_STEPS).cast("long")
+    rows = rates.where("rate > 0").select("source", "rate", first.alias("first"), F.explode(F.sequence(first, last)).alias("k"))
+    by_k = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("first").cast("double")
+    before = F.when(start > 0, start * F.ln(start) - start + F.ln(2 * math.pi * start) / 2 + 1 / (12 * start)).otherwise(0.0)  # logarithm of the factorial of ``first``
+    since = F.sum(F.when(k > F.col("first"), F.ln(k.cast("double"))).otherwise(0.0)).over(by_k)
+    terms = rows.withColumn("p", F.exp(k * F.ln(rate) - rate - before - since))
+    sums = terms.withColumn("below", F.sum("p").over(by_k))
+    lists = sums.groupBy("source", "first").agg(F.array_sort(F.collect_list(F.struct("k", "below"))).alias("x"))
+    return lists.select("source", "first", F.col("x.below").alias("steps"))
+
+
+def steps_below(steps: F.Column, u: F.Column) -> F.Column:
+    """How many of the rising steps are below u, by halving."""
+    size = F.size(steps)
+    top = F.floor(F.log2(size.cast("double"))).cast("int")
+
+    def halve(at: F.Column, i: F.Column) -> F.Column:
+        further = at + F.call_function("shiftleft", F.lit(1), top - i)
+        return F.when((further <= size) & (F.get(steps, further - 1) < u), further).otherwise(at)
 
-    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("steps"))
-    return F.aggregate(F.sequence(F.lit(0), top), start, step, lambda acc: acc["steps"])
+    return F.aggregate(F.sequence(F.lit(0), top), F.lit(0), halve)
 
 
 def source_rates(docs: DataFrame, source_col: str, size: F.Column, weights: Mapping[str, float] | None, total: float | None) -> DataFrame:
-    """One row per source: its size, its mean repetition rate, and the steps of that Poisson distribution.
+    """One row per source: its size and its mean repetition rate.
 
     The rate is ``weight / sum of weights * total / size``. Without weights all sources weigh the same, the
     null source too; with them, a source that isn't named has weight 0. Without a total, the mix is as large
@@ -49,8 +72,7 @@ def source_rates(docs: DataFrame, source_col: str, size: F.Column, weights: Mapp
     sums = weighed.agg(F.sum("weight").alias("weights"), F.sum("size").alias("total"))  # one row
     goal = F.col("total") if total is None else F.lit(float(total))
     rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("weights") * goal / F.col("size")).otherwise(0.0)
-    rated = weighed.join(F.broadcast(sums)).select("source", "size", rate.alias("rate"))
-    return rated.withColumn("steps", F.when(F.col("rate") > 0, poisson_steps(F.col("rate"))))
+    return weighed.join(F.broadcast(sums)).select("source", "size", rate.alias("rate"))
 
 
 def mix_sources(
@@ -67,15 +89,19 @@ def mix_sources(
     The number is the inverse of the distribution at a uniform number that seed and id decide: the same on
     every run and machine. Rows of one id repeat alike; rows without an id share one number. ``copy_no`` counts
     from 1, and ``shuffle_key`` is a hash by which rows lie in random partitions and, within each, in random
-    order; they replace columns of those names. Null sources are a source; null texts have size 0. An empty
-    table stays empty. A source that is repeated r times on average takes r + 10 sqrt(r) + 30 steps.
+    order; they replace columns of those names. Null sources are a source; null and empty texts have size 0;
+    texts are whole, whatever their length. An empty table stays empty. A source that is repeated r times on
+    average takes 20 sqrt(r) + 31 steps at most, and a copy is a row from the start.
     """
     rates = written(source_rates(docs, source_col, F.coalesce(F.octet_length(text_col), F.lit(0)), weights, total))
-    steps = rates.select(F.col("source").alias("__source"), F.col("steps").alias("__steps"))
-    placed = attach(docs.withColumn("__source", F.col(source_col)), steps, "__source", F.coalesce(F.size("__steps"), F.lit(1))).drop("__source")
+    steps = written(poisson_steps(rates).select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("steps").alias("__steps")))
+    discard(rates)
+    placed = attach(docs.withColumn("__source", F.col(source_col)), steps, "__source", F.size("__steps") + 1).drop("__source")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    number = F.size(F.filter(F.coalesce("__steps", F.array().cast("array<double>")), lambda p: p < F.col("__u")))
-    drawn = placed.withColumn("__u", uniform(key, seed)).withColumn("__n", F.when(F.col("__steps").isNull(), 0).otherwise(number)).drop("__steps", "__u")
-    copies = drawn.where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    number = F.when(F.col("__steps").isNull(), 0).otherwise(F.col("__first") + steps_below(F.col("__steps"), F.col("__u")))
+    drawn = placed.withColumn("__u", uniform(key, seed)).withColumn("__n", number.cast("long")).drop("__steps", "__first", "__u")
+    hundreds = drawn.where("__n > 0").withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"), F.lit(COPIES_AT_ONCE).cast("long"))))
+    until = F.least(F.col("__n"), F.col("__from") + COPIES_AT_ONCE - 1)
+    copies = hundreds.withColumn("copy_no", F.explode(F.sequence(F.col("__from"), until))).withColumn("copy_no", F.col("copy_no").cast("int")).drop("__n", "__from")
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, "copy_no")))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts too weak to report alone: short access identifiers, short hex, mixed base64 runs, and endpoints.
 WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{4,}")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\b[A-Za-z][A-Za-z0-9+]{1,15}://[^\x20\t-\r\"'<>]{4,}|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b")
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9+])[A-Za-z][A-Za-z0-9+]+://[^\x20\t-\r\"'<>]{4,}|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "weak_access", "weak_secret", "endpoint")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -118,7 +118,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = 200) -> D
     """``docs`` with ``secret_spans``, ``n_assign``, ``n_access`` and ``n_hex``, which replace columns of those names.
 
     Whole texts are scanned, each where it lies: a scope never crosses a text, so nothing is shuffled.
-    Null and empty texts have no spans; repeated rows stay; an empty table stays empty.
+    Null and empty texts have no spans; texts and parts of any length count; repeated rows stay; an empty
+    table stays empty.
     """
     found = sized_batches(docs).withColumn("secret_spans", secret_spans(F.col(text_col), scope))
     return found.withColumns({f"n_{k}": _count(k) for k in BASE_KINDS})

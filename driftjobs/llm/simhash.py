@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import discard, row_key, sized_batches, text_bytes, tidy, written
+from driftjobs.llm.common import discard, row_key, sized_batches, spread, text_bytes, tidy, written
 from driftjobs.llm.components import connected_components
 
 SEED = 42
@@ -72,7 +72,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     least of those at its variant, which keeps rows linear and loses no connection; the distance of
     every linked pair is verified.
     """
-    variants = prints.select("fp", F.explode(_ball(F.col("fp"))).alias("variant"))
+    variants = spread(prints.select("fp"), "fp").select("fp", F.explode(_ball(F.col("fp"))).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
@@ -114,13 +114,16 @@ def _keep_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, id_col: str)
     keep = written(heads.select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__row_key")))
     alike = rows.groupBy("id", "row_key").count().where("count > 1").limit(1).count()
     kept = _rows_at(docs, keep, id_col)
-    return kept.dropDuplicates() if alike else kept
+    if alike:
+        order = Window.partitionBy(id_col, "__key").orderBy("__key")  # Spark keeps one row of a key before it shuffles
+        kept = kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return kept.drop("__key")
 
 
 def _rows_at(docs: DataFrame, keep: DataFrame, id_col: str) -> DataFrame:
     keyed = docs.withColumn("__key", row_key(docs))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row_key"))
-    return keyed.join(keep, on, "left_semi").drop("__key")
+    return keyed.join(keep, on, "left_semi")
 
 
 def sketch(text: F.Column, shingle: int) -> F.Column:
@@ -175,7 +178,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("id").isNull(), "id", "row_key")
     nodes = written(rows.groupBy("node").agg(F.min(order).alias("k"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     at = F.concat(F.transform(_ball(F.col("fp")), lambda v: F.xxhash64(v)), "bands")
-    placed = nodes.select("node", F.explode(at).alias("place"))
+    placed = spread(nodes.select("node", "fp", "bands"), "node").select("node", F.explode(at).alias("place"))
     ends = placed.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     ends = written(ends.withColumnRenamed("place", "at"))
     met = placed.join(ends, F.col("place") == F.col("at")).select("node", F.explode(F.array("a", "z")).alias("end")).where("node <> end")

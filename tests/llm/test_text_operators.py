@@ -15,11 +15,11 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from driftjobs.llm import queries
-from driftjobs.llm.audio import audio_features, from_wav, log_mel, padded, resample
+from driftjobs.llm.audio import BANDS, DOWN, FFT, FRAME, HOP, OFF_DB, ON_DB, RATE, TAPS, UP, _phases, active_spans, audio_features, from_wav, log_mel, padded, resample, tensors
 from driftjobs.llm.common import attach, written
 from driftjobs.llm.components import connected_components
 from driftjobs.llm.language import document_evidence, identify_languages, label_languages, letter_model, page_evidence
-from driftjobs.llm.mixing import mix_sources, poisson_steps
+from driftjobs.llm.mixing import mix_sources, poisson_steps, steps_below
 from driftjobs.llm.passages import strip_passages, words_of
 from driftjobs.llm.pieces import PieceModel, marked_words, model_bytes
 from driftjobs.llm.secrets import redact, scan, scan_secrets
@@ -196,8 +196,17 @@ def graph_beam(unit):
 
 
 def test_mixing(spark, sf):
-    steps = spark.range(1).select(*[poisson_steps(F.lit(m)).alias(str(i)) for i, m in enumerate((0.01, 2.5, 900.0))]).first()
-    assert steps[1][:2] == pytest.approx([np.exp(-2.5), 3.5 * np.exp(-2.5)]) and all(s[-1] == pytest.approx(1.0, abs=1e-9) for s in steps)
+    rates = spark.createDataFrame([("a", 0.01), ("b", 2.5), (None, 900.0), ("d", 1e6), ("e", 0.0)], "source string, rate double")
+    steps = {r.source: r for r in poisson_steps(rates).collect()}
+    assert set(steps) == {"a", "b", None, "d"} and steps["b"].steps[:2] == pytest.approx([np.exp(-2.5), 3.5 * np.exp(-2.5)])
+    assert all(s.steps[-1] == pytest.approx(1.0, abs=1e-8) and s.steps == sorted(s.steps) and (s.first == 0 or s.steps[0] < 1e-16) for s in steps.values())
+    assert steps["d"].steps[10**6 - steps["d"].first] == pytest.approx(0.5, abs=1e-3) and len(steps["d"].steps) < 21_000
+    for list_ in ([0.1], [0.1, 0.2, 0.9], [i / 100 for i in range(100)]):
+        found = spark.createDataFrame([(u,) for u in (0.0, 0.05, 0.1, 0.15, 0.9, 0.95, 2.0)], "u double").select("u", steps_below(F.lit(list_), F.col("u")).alias("n"))
+        assert all(r.n == sum(x < r.u for x in list_) for r in found.collect())
+    many = spark.createDataFrame([(1, "x", "few"), (2, "y" * 10**6, "much")], "doc_id long, text string, source string")
+    n = {r.source: r["count"] for r in mix_sources(many, total=4e5).groupBy("source").count().collect()}
+    assert abs(n["few"] - 200_000) < 3000 and n.get("much", 0) <= 5
     rows = [(i, "x" * 10, "en", "big" if i < 6000 else "small" if i < 9000 else None, 1) for i in range(10_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     sizes = {r.source: (r.n, r.far) for r in mix_sources(df, seed=3).groupBy("source").agg(F.count("*").alias("n"), F.max("copy_no").alias("far")).collect()}
@@ -345,7 +354,8 @@ def test_simhash(spark, docs_of, sf):
     kept = drop_simhash_copies(df.union(df.where("doc_id = 3")).union(docs_of((None, "all alone in the world"), (None, "all alone in the world"))))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(group.values())) and kept.where("doc_id is null").count() == 1
     assert simhash_groups(df.limit(0)).count() == 0
-    mapped = df.where("doc_id in (14, 15)").withColumn("fp", F.create_map(F.lit("a"), F.col("doc_id")))
+    twins = df.where("doc_id in (14, 15)")
+    mapped = twins.union(twins).withColumn("fp", F.create_map(F.lit("a"), F.col("doc_id")))
     assert [r.doc_id for r in drop_simhash_copies(mapped).collect()] == [14]
 
 
@@ -383,6 +393,40 @@ def test_audio(docs_of):
     assert rows[9].features == rows[11].features and rows[9].media == rows[11].media
     tone = lambda rate, n: np.sin(2 * np.pi * 500 * np.arange(n) / rate).astype(np.float32)
     assert np.abs(resample(tone(8000, 8000))[100:5900] - tone(6000, 6000)[100:5900]).max() < 0.1
+    draw = np.random.default_rng(5)
+    samples = draw.normal(size=500).astype(np.float32)
+    low = np.zeros(UP * TAPS)  # the taps in order, from those of each phase
+    for p in range(UP):
+        low[p::UP] = _phases()[p][::-1]
+    for n, x in enumerate(resample(samples)):  # direct convolution with the rate raised by UP
+        t = n * DOWN + UP * TAPS // 2
+        assert x == pytest.approx(sum(samples[s] * low[t - UP * s] for s in range(max(0, (t - UP * TAPS) // UP), min(500, t // UP + 1)) if 0 <= t - UP * s < UP * TAPS), abs=1e-4)
+    some, frames = draw.normal(size=900), 1 + -(-(900 - FRAME) // HOP)
+    bands, power = log_mel(some.astype(np.float32))
+    assert len(bands) == len(power) == frames
+    rate, top = RATE * UP / DOWN, 2595 * np.log10(1 + RATE * UP / DOWN / 2 / 700)
+    edge = [700 * (10 ** (top * b / (BANDS + 1) / 2595) - 1) for b in range(BANDS + 2)]
+    for f in (0, 3, frames - 1):  # a direct Fourier transform and triangles
+        part = np.array([(some[f * HOP + i] if f * HOP + i < 900 else 0.0) * (0.5 - 0.5 * np.cos(2 * np.pi * i / (FRAME - 1))) for i in range(FRAME)])
+        assert power[f] == pytest.approx(10 * np.log10(np.mean(part**2) + 1e-10), abs=1e-3)
+        spectrum = [abs(sum(part[i] * np.exp(-2j * np.pi * k * i / FFT) for i in range(FRAME))) ** 2 for k in range(FFT // 2 + 1)]
+        for b in range(BANDS):
+            weigh = [max(0, min((k * rate / FFT - edge[b]) / (edge[b + 1] - edge[b]), (edge[b + 2] - k * rate / FFT) / (edge[b + 2] - edge[b + 1]))) for k in range(FFT // 2 + 1)]
+            assert bands[f, b] == pytest.approx(np.log(np.dot(weigh, spectrum) + 1e-6), abs=2e-3)
+    for _ in range(50):  # spans by walking both ways from each peak
+        level = draw.normal(size=40).astype(np.float32) * 5
+        near = level - np.median(level)
+        inside = set()
+        for k in np.flatnonzero(near >= ON_DB).tolist():
+            for step in (1, -1):
+                at = k
+                while 0 <= at < 40 and near[at] > OFF_DB:
+                    inside.add(at)
+                    at += step
+        assert [k for a, b in active_spans(level) for k in range(round(a * rate / HOP), round((b * rate - FRAME) / HOP) + 1)] == sorted(inside)
+    whole = tensors(bands)
+    values = pa.ipc.open_stream(whole).read_all()["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, BANDS)
+    assert np.array_equal(values[:frames], bands) and not values[frames:].any()
     bands, power = log_mel(np.r_[np.zeros(3000), tone(6000, 3000), np.zeros(3000)].astype(np.float32))
     assert np.argmax(power) in range(30, 63) and len(set(np.argmax(bands[35:55], axis=1).tolist())) == 1
     assert audio_features(docs_of("x").limit(0)).count() == 0
