@@ -48,9 +48,14 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
+    go_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def go_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
     folder, files = _folder(spark, path)
     files.deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _folder(spark: SparkSession, path: str):
