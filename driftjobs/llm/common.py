@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.sources.io import discard, shared_folder, written
+from driftjobs.sources.io import discard, go_at_end, shared_folder, written
 
 __all__ = ["attach", "bucketed", "discard", "parts", "row_key", "sized_batches", "spread", "text_bytes", "tidy", "words_of", "written"]
 
@@ -24,11 +24,17 @@ BATCH_BYTES = 4 << 20
 
 
 def bucketed(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` written in the shared folder by hash of its keys, so that joins on them move only their other side."""
+    """``df`` written in the shared folder by hash of its keys, so that joins on them move only their other side.
+
+    The catalog forgets the table's name at once; its files stay for the plans that read them, as those of ``written``.
+    """
     spark = df.sparkSession
     n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"driftjobs_{uuid.uuid4().hex}", shared_folder(spark)
     df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    go_at_end(spark, path)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8, salts: int = 64) -> DataFrame:

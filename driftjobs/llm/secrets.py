@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,7 +55,7 @@ def _random_looking(run: str) -> bool:
 def linked(strong: list[Span], weak: list[Span], scope: int) -> list[Span]:
     """The weak spans that a complementary part accompanies within ``scope`` code points.
 
-    An interval join of three sorted lists: an identifier (access) needs a secret (assign, hex, weak
+    An interval join of sorted starts and ends: an identifier (access) needs a secret (assign, hex, weak
     secret); a weak secret needs an identifier or an endpoint; an endpoint needs a secret. Nearest
     neighbours decide, so no pairs are listed. A part doesn't complement one that it overlaps.
     """
@@ -71,22 +71,17 @@ def linked(strong: list[Span], weak: list[Span], scope: int) -> list[Span]:
         return at > 0 and ends_before[at - 1] > start
 
     weak = [w for w in weak if not inside_strong(w[0], w[2])]
-    by_role: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
-    for start, kind, end in sorted(strong + weak):
-        by_role[role[kind]].append((start, end))
-    furthest = {}
-    for name, spans in by_role.items():
-        furthest[name] = ends = [e for _, e in spans]
-        for i in range(1, len(ends)):
-            ends[i] = max(ends[i], ends[i - 1])
+    starts: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
+    ends: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
+    for start, kind, end in strong + weak:
+        starts[role[kind]].append(start)
+        ends[role[kind]].append(end)
+    for places in (*starts.values(), *ends.values()):
+        places.sort()
 
     def near(start: int, end: int, name: str) -> bool:
-        spans = by_role[name]
-        after = bisect_left(spans, (end, -1))
-        if after < len(spans) and spans[after][0] - end <= scope:
-            return True
-        before = bisect_left(spans, (start, -1))
-        return before > 0 and furthest[name][before - 1] >= start - scope
+        after, before = bisect_left(starts[name], end), bisect_right(ends[name], start)
+        return after < len(starts[name]) and starts[name][after] - end <= scope or before > 0 and ends[name][before - 1] >= start - scope
 
     return [(s, k, e) for s, k, e in weak if any(near(s, e, name) for name in needs[k])]
 

@@ -9,14 +9,14 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftjobs.llm.secrets import KINDS, scan
-from tests_plain import groups_of, plain_simhash
+from driftjobs.llm.secrets import KINDS
+from tests_plain import groups_of, near_copies, plain_spans
 
 SF = "/root/testdata/sf0.001"
 
 
 def plain_redacted(text):
-    spans, out, at = scan(text, 200), [], 0
+    spans, out, at = plain_spans(text), [], 0
     while spans:
         start, kind, end = spans.pop(0)
         while spans and spans[0][0] < end:
@@ -37,9 +37,8 @@ def plain_copies(doc_id, rate):
 
 def test_run_equals_the_plain_version(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    prints = {i: plain_simhash(r.text) for i, r in docs.items()}
     ids = sorted(docs)
-    group = groups_of(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2])
+    group = groups_of(ids, near_copies({i: r.text for i, r in docs.items()}))
     texts = {i: plain_redacted(docs[i].text) for i in ids if group[i] == i}
     size = Counter()
     for i, t in texts.items():

@@ -1,6 +1,5 @@
 """Cases in which an operator once did less than its whole job."""
 
-import itertools
 import random
 
 import numpy as np
@@ -9,19 +8,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from driftjobs.llm import queries
 from driftjobs.llm.language import letter_model
-from driftjobs.llm.secrets import KINDS, redact, scan
-from driftjobs.llm.simhash import drop_near_copies, simhash
-from driftjobs.llm.vectors import SmallWorld
-from tests_plain import groups_of
-
-
-def shingles(text, size=5):
-    words = (text or "").lower().split()
-    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def near(a, b):
-    return len(a & b) >= 0.8 * len(a | b) if a and b else a == b
+from driftjobs.llm import passages
+from driftjobs.llm.audio import audio_features
+from driftjobs.llm.mixing import mix_sources
+from driftjobs.llm.secrets import KINDS, redact, scan, scan_secrets
+from driftjobs.llm.sentence_pieces import encode_pieces
+from driftjobs.llm.simhash import drop_near_copies, simhash, simhash_groups
+from driftjobs.llm.token_counts import token_counts
+from driftjobs.llm.vectors import SmallWorld, link_vectors
+from tests_plain import groups_of, near_copies, plain_base, plain_spans
 
 
 def test_near_copies_beyond_two_bits_go(spark, docs_of):
@@ -38,8 +33,8 @@ def test_near_copies_beyond_two_bits_go(spark, docs_of):
 
 def test_near_copies_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
-    group = groups_of(sorted(sets), [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if near(sets[a], sets[b])])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    group = groups_of(sorted(texts), near_copies(texts))
     assert sorted(r.doc_id for r in drop_near_copies(docs).select("doc_id").collect()) == sorted(set(group.values()))
 
 
@@ -67,11 +62,79 @@ def test_language_query_judges_pages(spark, sf):
 
 def test_copies_count_once_in_the_letter_model(spark):
     texts = [(f"text {'abcdefghij'[i]} number {'qwertzuiop'[i]}", "en") for i in range(10)]
-    model = lambda rows, n: letter_model(spark.createDataFrame(rows, "t string, l string"), F.col("t"), F.col("l"), train_rows=n)
+    model = lambda rows, n: letter_model(spark.createDataFrame(rows, "t string, l string"), F.col("t"), F.col("l"), ["en"], train_rows=n)
     for n in (4, 100):
         assert all((model(texts + [t] * 50, n) == model(texts, n)).all() for t in texts[:3])
 
 
+def test_spans_equal_the_plain_scanner(spark, docs_of):
+    """Over a whole table and made texts: base spans place by place, weak parts pair by pair."""
+    draw = random.Random(11)
+    bits = ["token", "Secret", '" : "', "=", "apikey", "API_KEY", " ", "  :", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "pass", "word", "passwd:", "x9/+_", "http://h.example", "10.0.0.1:80", "\n", "aB3xY9kLm2Qw7ZrT5uV8"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(30))) for _ in range(1500)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts += ["token=" + "a" * 300_000 + " x" * 100_000 + " AKIA" + "Z" * 50_000, texts[0], texts[0]]
+    docs = docs_of(*texts).withColumns({"n_hex": F.lit("mine"), "secret_spans": F.lit(1)})
+    rows = {r.doc_id: r for r in scan_secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        found = [(s.start, KINDS.index(s.kind), s.end) for s in rows[i].secret_spans]
+        assert [s for s in found if s[1] < 3] == plain_base(t or ""), t
+        assert found == plain_spans(t), t
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(s[1] == k for s in found) for k in range(3))
+
+
+def test_automata_decide(spark, docs_of, monkeypatch):
+    """Windows of every text as proposals remove nothing that doesn't recur, and without an automaton's hits nothing goes."""
+    draw = random.Random(4)
+    words = lambda n: [draw.choice(["red", "green", "blue", "old", "new"]) + str(draw.randrange(90)) for _ in range(n)]
+    passage = words(80)
+    own = lambda i, n: [f"{w}of{i}" for w in words(n)]
+    docs = docs_of(*[" ".join(own(i, 30) + passage + own(i, 30)) for i in range(6)], " ".join(words(200)))
+    removed = lambda: [r.n_removed for r in passages.strip_passages(docs).orderBy("id").collect()]
+    whole = removed()
+    assert whole[0] == whole[6] == 0 and set(whole[1:6]) == {80}
+    proposed = lambda d: d.select("id", "key", F.explode(passages._anchors(F.col("text"))).alias("x")).select("id", "key", "x.a", "x.b", "x.h")
+    monkeypatch.setattr(passages, "candidate_windows", lambda d: (passages.written(proposed(d)), passages.written(proposed(d))))
+    got = removed()
+    assert got[0] == got[6] == 0 and all(0 < a <= b for a, b in zip(got[1:6], whole[1:6], strict=True))
+    monkeypatch.undo()
+    real = passages.phrase_hits
+    monkeypatch.setattr(passages, "phrase_hits", lambda *tables: passages.written(real(*tables).where("id <> 3")))
+    assert removed() == [0 if i == 3 else n for i, n in enumerate(whole)]
+
+
+def test_long_texts_repeats_and_clashing_names(spark, docs_of):
+    """Each operator over texts of millions of letters, rows alike in every column and columns named like its own."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    draw = random.Random(6)
+    long = " ".join("".join(draw.choices("abcdefghij", k=draw.randrange(1, 9))) for _ in range(300_000))
+    names = ("n_bytes", "n_tokens", "piece_ids", "decoded", "fp", "component", "media", "payload", "features", "copy_no", "steps", "first", "row_key", "key", "spans", "starts", "k1", "node", "words")
+    docs = docs_of((0, long), (1, long + " end"), (2, "short"), (2, "short"), (3, None)).withColumns({n: F.lit("mine") for n in names})
+    expected = {0: len(library.encode(long)), 1: len(library.encode(long + " end")), 2: len(library.encode("short")), 3: 0}
+    rows = token_counts(docs, model).select("doc_id", "n_tokens", "steps").collect()
+    assert len(rows) == 5 and all(r.n_tokens == expected[r.doc_id] and r.steps == "mine" for r in rows)
+    rows = encode_pieces(docs, model).select("doc_id", "n_pieces", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same")).collect()
+    assert len(rows) == 5 and all(r.n_pieces == expected[r.doc_id] and r.same for r in rows)
+    rows = {(r.id, r.n_words, r.n_removed) for r in passages.strip_passages(docs).collect()}
+    assert rows == {(0, 300_000, 0), (1, 300_001, 300_000), (2, 1, 0), (3, 0, 0)}
+    rows = {r.id: r.component_id for r in simhash_groups(docs).collect()}
+    assert rows == {0: 0, 1: 0, 2: 2, 3: 3}
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 2, 3]
+    rows = audio_features(docs).select("doc_id", F.octet_length("payload").alias("n"), "features.frames", "steps").collect()
+    assert len(rows) == 5 and all(r.n % 64 == 0 and r.steps == "mine" for r in rows) and max(r.frames for r in rows) > 10_000
+    mixed = mix_sources(docs, total=3.0 * len(long))
+    assert set(mixed.columns) == {*docs.columns, "copy_no", "shuffle_key"} and mixed.count() > 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [1.0, 0.1], 5), (3, [1.0, 0.0, 0.0], 5), (4, [9.0, 0.0, 0.1], 5), (5, [1.0] * 5000, 5), (6, [2.0] * 5000, 5), (6, [2.0] * 5000, 5)], "vec_id int, embedding array<double>, node int")
+    vectors = vectors.withColumns({n: F.lit("mine") for n in ("dim", "shard", "k1", "recall", "vector", "id")})
+    found = {(r.id, r.n_links, r.component_id) for r in link_vectors(vectors).collect()}
+    assert found == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 2, 5), (6, 2, 5)}
+
+
 def test_large_groups_do_not_hide_misses():
     draw = np.random.default_rng(4)
     unit = draw.standard_normal((1500, 32))
@@ -80,9 +143,9 @@ def test_large_groups_do_not_hide_misses():
     graph = SmallWorld(unit)
     for layer in graph.layers:  # nothing leads to these
         layer[np.isin(layer, np.arange(1400, 1500))] = -1
-    beam = graph.audited_beam(0.95)
+    beam, recall = graph.audited_beam(0.95)
     found = {(a, b) for q, c in graph.within(unit, 0.95, beam) for a, b in zip(q.tolist(), c.tolist(), strict=True)}
-    assert beam == 0 and found == set(zip(*[x.tolist() for x in np.nonzero(unit @ unit.T >= np.float32(0.95 - 1e-4))], strict=True))
+    assert beam == 0 and recall == 1.0 and found == set(zip(*[x.tolist() for x in np.nonzero(unit @ unit.T >= np.float32(0.95 - 1e-4))], strict=True))
 
 
 def test_long_keys_and_upper_case_schemes(docs_of):
