@@ -11,6 +11,8 @@ MAX_MASK_DEPTH = 10
 NEWEST_PER_WINDOW = 1000
 OLDEST_PER_BASELINE = 500
 REPLAY_CHUNK = 100
+MODEL_VERSION = "1.0.0"
+ALERT_KEY_SECONDS = 3600
 TRIGGER_COUNT, TRIGGER_SECONDS = 100, 900
 PERSIST_UP, PERSIST_DOWN, PERSIST_SECONDS = 4.0, 2.0, 86_400
 
@@ -77,7 +79,7 @@ SEVERITIES = ((8.0, "critical"), (6.0, "high"), (4.0, "medium"), (2.0, "low"))
 # Patterns of strings that are masked, in the order in which they are tried, and their masks.
 MASKS = (
     (r"^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}$", "__JWT__"),
-    (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "__UUID__"),
+    (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", "__UUID__"),
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "__TIMESTAMP__"),
     (r"^\d{6,}$", "__NUMERIC_ID__"),
     (r"^[\w.+-]+@[\w-]+\.[\w.]+$", "__EMAIL__"),

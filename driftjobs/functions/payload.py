@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 
 import pandas as pd
@@ -15,22 +16,54 @@ from driftjobs.constants import MASKS, MAX_FIELD_DEPTH, MAX_MASK_DEPTH
 
 LEAVES = "array<struct<path:string,kind:string,num:double,str:string,len:int>>"
 CANONICAL = "struct<normalized:string,payload_hash:string,schema_hash:string,is_object:boolean>"
+PAYLOAD = f"struct<parsed:boolean,is_object:boolean,schema_hash:string,leaves:{LEAVES}>"
+#: JSON that nests deeper counts as bad JSON, in every function here.
+MAX_NESTING = 500
 _KINDS = {str: "str", int: "int", float: "float", bool: "bool", list: "list", type(None): "null"}
 _PATTERNS = [(re.compile(p), mask) for p, mask in MASKS]
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"')
 
 
 def _parse(text: str | None):
-    """The payload, or None for null and bad JSON."""
+    """The payload, or None for null, bad JSON and JSON that nests too deep."""
     try:
-        return None if text is None else json.loads(text)
-    except ValueError:
+        if text is None or text.count("{") + text.count("[") > MAX_NESTING and _nesting(text) > MAX_NESTING:
+            return None
+        return json.loads(text)
+    except (ValueError, RecursionError):
         return None
 
 
+def _nesting(text: str) -> int:
+    deepest = depth = 0
+    for c in re.findall(r"[\[\]{}]", _QUOTED.sub("", text)):
+        depth += 1 if c in "[{" else -1
+        deepest = max(deepest, depth)
+    return deepest
+
+
+def _text(value: str) -> str:
+    """The string with U+FFFD for each half of a surrogate pair that stands alone, which JSON can hold and UTF-8 can't."""
+    try:
+        value.encode()
+    except UnicodeEncodeError:
+        return "".join("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c for c in value)
+    return value
+
+
+def _number(value: float) -> float | None:
+    """The value as a double if it is finite."""
+    try:
+        number = float(value)
+    except OverflowError:
+        return None
+    return number if math.isfinite(number) else None
+
+
 def _leaf(path: str, value) -> tuple:
     kind = _KINDS[type(value)]
-    num = float(value) if kind in ("int", "float", "bool") and abs(value) < 1e308 else None
-    return path, kind, num, value if kind == "str" else None, len(value) if kind in ("str", "list") else None
+    num = _number(value) if kind in ("int", "float", "bool") else None
+    return path, kind, num, _text(value) if kind == "str" else None, len(value) if kind in ("str", "list") else None
 
 
 def _leaves(payload) -> list[tuple] | None:
@@ -56,7 +89,7 @@ def _leaves(payload) -> list[tuple] | None:
                 inner = [(path, x, depth + 1 if isinstance(x, dict) else -1) for x in value]
             else:
                 for key, x in value.items():
-                    own = f"{path}.{key}" if path else key
+                    own = f"{path}.{_text(key)}" if path else _text(key)
                     inner.append((own, x, depth + 1 if isinstance(x, (dict, list)) else -2))
             todo.extend(reversed(inner))
             if isinstance(value, dict):
@@ -68,11 +101,11 @@ def _leaves(payload) -> list[tuple] | None:
     return rows
 
 
-def _flatten(payloads: pa.Array) -> pa.Array:
+def _list_of_leaves(payloads: list) -> pa.Array:
     rows: list[tuple] = []
     starts: list[int | None] = []
-    for text in payloads.to_pylist():
-        leaves = _leaves(_parse(text))
+    for payload in payloads:
+        leaves = _leaves(payload)
         starts.append(None if leaves is None else len(rows))
         rows.extend(leaves or ())
     types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
@@ -83,7 +116,20 @@ def _flatten(payloads: pa.Array) -> pa.Array:
 
 def flatten_payload(payload: Column | str) -> Column:
     """An array of (path, kind, num, str, len); null for null and bad JSON, empty for what is no object."""
-    return F.arrow_udf(_flatten, LEAVES)(payload)
+    return F.arrow_udf(lambda texts: _list_of_leaves([_parse(t) for t in texts.to_pylist()]), LEAVES)(payload)
+
+
+def _read(texts: pa.Array) -> pa.Array:
+    payloads = [_parse(t) for t in texts.to_pylist()]
+    objects = [isinstance(x, dict) for x in payloads]
+    hashes = [_schema_hash(x) if own else None for x, own in zip(payloads, objects, strict=True)]
+    columns = [pa.array([x is not None for x in payloads]), pa.array(objects), pa.array(hashes, pa.string()), _list_of_leaves(payloads)]
+    return pa.StructArray.from_arrays(columns, ["parsed", "is_object", "schema_hash", "leaves"])
+
+
+def read_payload(payload: Column | str) -> Column:
+    """What features need of a payload, parsed once: whether it is one, whether it is an object, the hash of an object's types, and its leaves."""
+    return F.arrow_udf(_read, PAYLOAD)(payload)
 
 
 def _mask(value: str) -> str:
@@ -118,11 +164,16 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()[:16]
 
 
+def _schema_hash(payload) -> str:
+    """Of the payload's types; no payload counts as the word null, as in the hash of its content."""
+    return _digest("null" if payload is None else _canonical(_skeleton(payload)))
+
+
 def _canonicalize(payloads: pd.Series) -> pd.DataFrame:
     rows = []
     for payload in map(_parse, payloads):
         masked = _canonical(_masked(payload))
-        rows.append((masked, _digest(masked), _digest(_canonical(_skeleton(payload))), isinstance(payload, dict)))
+        rows.append((masked, _digest(masked), _schema_hash(payload), isinstance(payload, dict)))
     return pd.DataFrame(rows, columns=["normalized", "payload_hash", "schema_hash", "is_object"])
 
 
@@ -131,11 +182,20 @@ def canonicalize(payload: Column | str) -> Column:
     return F.pandas_udf(_canonicalize, CANONICAL)(payload)
 
 
+def _java(pattern: str) -> str:
+    """The pattern in Java's words: digits, word characters, spaces and ends of text are those of Unicode, as Python has them."""
+    spaces = "\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+    for mine, theirs in (("\\d", "\\p{Nd}"), ("\\w", "\\p{L}\\p{N}_"), ("\\s", spaces), ("\\Z", "\\z"), ("$", "(?=\\n?\\z)")):
+        pattern = pattern.replace(mine, theirs)
+    return pattern
+
+
 def mask_string(text: Column) -> Column:
     """The mask of the first pattern that a flat string matches, else the string; in the JVM."""
     out = None
     for pattern, mask in MASKS:
-        out = F.when(text.rlike(pattern), mask) if out is None else out.when(text.rlike(pattern), mask)
+        met = text.rlike(_java(pattern))
+        out = F.when(met, mask) if out is None else out.when(met, mask)
     return out.otherwise(text)
 
 

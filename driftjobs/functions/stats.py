@@ -47,30 +47,36 @@ def safe_pct_change(observed: Column, base: Column) -> Column:
 
 
 def aligned(p: Column, q: Column) -> Column:
-    """Two maps of category to weight as an array of pairs (p, q) over all categories, absent ones 0; no shuffle."""
-    at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))
-    return F.transform(F.array_union(F.map_keys(p), F.map_keys(q)), lambda k: F.struct(at(p, k).alias("p"), at(q, k).alias("q")))
+    """Two maps of category to weight as an array of pairs (p, q) over all categories, absent ones 0; no shuffle. A null map is empty."""
+    given = lambda m: F.coalesce(m, F.create_map().cast("map<string,double>"))
+    pair = lambda k, a, b: F.struct(F.coalesce(a, F.lit(0.0)).alias("p"), F.coalesce(b, F.lit(0.0)).alias("q"))
+    return F.map_values(F.map_zip_with(given(p), given(q), pair))
 
 
-def _total(pairs: Column, side: str) -> Column:
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x[side])
+def _bound(x: Column, f) -> Column:
+    """f of x, with x made once, however often f names it: a lambda over an array of one element binds it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def smoothed(pairs: Column, epsilon: float = LAPLACE_EPSILON) -> Column:
     """Laplace-smoothed shares of aligned pairs; a side without weight is uniform."""
-    size = F.greatest(F.size(pairs), F.lit(1)).cast("double")
-    sums = {s: _total(pairs, s) for s in "pq"}
+    add = lambda acc, x: F.struct((acc["p"] + x["p"]).alias("p"), (acc["q"] + x["q"]).alias("q"))
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
-    def share(x: Column, side: str) -> Column:
-        return F.when(sums[side] + epsilon * size > 0, (x[side] + epsilon) / (sums[side] + epsilon * size)).otherwise(1 / size).alias(side)
+    def summed(own: Column) -> Column:
+        return F.struct(own.alias("pairs"), F.aggregate(own, zero, add).alias("sums"), F.greatest(F.size(own), F.lit(1)).cast("double").alias("size"))
 
-    return F.transform(pairs, lambda x: F.struct(share(x, "p"), share(x, "q")))
+    def shares(own: Column) -> Column:
+        whole = lambda side: own["sums"][side] + epsilon * own["size"]
+        part = lambda x, side: F.when(whole(side) > 0, (x[side] + epsilon) / whole(side)).otherwise(1 / own["size"]).alias(side)
+        return F.transform(own["pairs"], lambda x: F.struct(part(x, "p"), part(x, "q")))
+
+    return _bound(_bound(pairs, summed), shares)
 
 
 def _sum_over(p: Column, q: Column, term) -> Column:
-    pairs = smoothed(aligned(p, q))
-    both = F.coalesce(F.size(p), F.lit(0)) + F.coalesce(F.size(q), F.lit(0)) > 0
-    return F.when(both, F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + term(x["p"], x["q"]))).otherwise(0.0)
+    """A sum over smoothed shares; no categories: 0."""
+    return F.aggregate(smoothed(aligned(p, q)), F.lit(0.0), lambda acc, x: acc + term(x["p"], x["q"]))
 
 
 def jensen_shannon_divergence(p: Column, q: Column) -> Column:
@@ -91,7 +97,18 @@ def population_stability_index(base: Column, current: Column) -> Column:
     return F.greatest(F.lit(0.0), _sum_over(base, current, lambda e, a: (a - e) * F.ln(a / e)))
 
 
-def shannon_entropy(counts: Column) -> Column:
-    """In bits, of an array of counts; no counts: 0."""
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n)
-    return F.when(total > 0, F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - F.when(n > 0, n / total * F.log2(n / total)).otherwise(0.0))).otherwise(0.0)
+def shannon_entropy(values: Column) -> Column:
+    """In bits, of the values of an array, nulls among them; none: 0. Equal values are counted in one pass over the sorted array."""
+    weigh = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+
+    def entropy(own: Column) -> Column:
+        start = F.struct(F.get(own, F.lit(0)).alias("value"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+
+        def step(acc: Column, x: Column) -> Column:
+            same = acc["value"].eqNullSafe(x)
+            return F.struct(x.alias("value"), F.when(same, acc["n"] + 1).otherwise(1.0).alias("n"), F.when(same, acc["s"]).otherwise(acc["s"] + weigh(acc["n"])).alias("s"))
+
+        total = F.size(own).cast("double")
+        return F.aggregate(own, start, step, lambda acc: F.log2(total) - (acc["s"] + weigh(acc["n"])) / total)
+
+    return F.when(F.size(values) > 0, _bound(F.array_sort(values), entropy)).otherwise(0.0)

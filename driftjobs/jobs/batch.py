@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.constants import KEY, NEWEST_PER_WINDOW
+from driftjobs.constants import KEY
 from driftjobs.functions.confidence import confidence, should_alert
 from driftjobs.operators.baseline import compute_baseline
 from driftjobs.operators.drift import score_drift
-from driftjobs.operators.features import field_features, response_features
+from driftjobs.operators.features import field_features, read_payloads, response_features
 from driftjobs.operators.windows import anomaly_persistence, baseline_vectors, newest, replay_chunks, tumbling_windows
-from driftjobs.sources.io import written
+from driftjobs.sources.io import discard, written
 
 BY = (*KEY, "window_start")
 
 
 def extract_features(obs: DataFrame, by: Sequence[str] = BY) -> tuple[DataFrame, DataFrame]:
     """Response-level and field vectors of rows that have the key columns of their window, written for the steps that read them."""
-    return written(response_features(obs, by)), written(field_features(obs, by))
+    payloads = read_payloads(obs, by)
+    vectors = written(response_features(obs, payloads, by)), written(field_features(payloads, by))
+    discard(payloads)
+    return vectors
 
 
 def recompute_baselines(responses: DataFrame, fields: DataFrame, as_of: Column, days: Column | int = 7, keep: str = "oldest", min_lookback_days: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +55,7 @@ def score_batch(responses: DataFrame, fields: DataFrame, base: DataFrame, base_f
     order = by[-1]
     lasting = anomaly_persistence(had, KEY, order).select(*by, "persistence")
     rows = scored.join(lasting, list(by), "left").withColumn("persistence", F.coalesce("persistence", F.lit(0)))
-    return decide(rows.withColumn("deployment_recency_hours", recency if recency is not None else F.lit(None).cast("double")), base, as_of)
+    return written(decide(rows.withColumn("deployment_recency_hours", recency if recency is not None else F.lit(None).cast("double")), base, as_of))
 
 
 def replay(obs: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Column, size: int = 100) -> DataFrame:
@@ -61,7 +64,7 @@ def replay(obs: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Colum
     Every endpoint has one baseline of its own (``endpoint_id`` alone is the key).
     """
     key, by = ("endpoint_id",), ("endpoint_id", "chunk")
-    chunks = replay_chunks(obs, size)
+    chunks = written(replay_chunks(obs, size))
     responses, fields = extract_features(chunks, by)
     scored = score_drift(responses, fields, base, base_fields, by, key)
     bounds = chunks.groupBy(*by).agg(F.min("time").alias("window_start"), F.max("time").alias("window_end"))
@@ -83,11 +86,11 @@ def replay_summary(scored: DataFrame) -> DataFrame:
 def run_pipeline(obs: DataFrame, split: Column, as_of: Column, duration: str = "15 minutes", look_back_days: int = 30, max_per_window: int | None = None) -> DataFrame:
     """From observations to decisions: windows before ``split`` make the baselines, the others are scored.
 
-    ``max_per_window`` is the monitor's old guard of NEWEST_PER_WINDOW rows; without it whole windows count.
+    Whole windows count unless ``max_per_window`` is given (the monitor's old guard was NEWEST_PER_WINDOW rows).
     """
     rows = tumbling_windows(obs, duration)
     if max_per_window is not None:
-        rows = newest(rows, BY, min(max_per_window, NEWEST_PER_WINDOW))
+        rows = newest(rows, BY, max_per_window)
     responses, fields = extract_features(rows)
     before = F.col("window_start") < split
     base, base_fields = recompute_baselines(responses.where(before), fields.where(before), split, look_back_days)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftjobs.constants import KEY
+from driftjobs.constants import DRIFT_LABELS, KEY
 from driftjobs.functions import confidence as conf
 from driftjobs.functions import stats
 from driftjobs.functions.payload import canonicalize, mask_string, safe_json
@@ -47,6 +47,10 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.tumbling_windows(observations(spark, sf_dir), "1 day")
 
 
+def _fields(obs: DataFrame, by: Sequence[str], **options) -> DataFrame:
+    return features.field_features(features.read_payloads(obs, by), by, **options)
+
+
 def _day(c: str = "window_start"):
     return F.date_format(c, "yyyy-MM-dd").alias("day")
 
@@ -72,17 +76,20 @@ ENT = f"""ent AS (SELECT {K}, day, round(log2(sum(n)) - sum(n * log2(n)) / sum(n
 LV = f"lv AS ({LEAVES})"
 VOC = f"""cnt AS (SELECT {K}, day, path, str, count(*) AS n FROM lv WHERE kind = 'str' GROUP BY ALL),
 voc AS (SELECT {K}, day, path, least(count(*), 1000) AS vocabulary_size, abs(round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6)) AS vocabulary_entropy, sum(n) AS total FROM cnt GROUP BY ALL),
-enu AS (SELECT {K}, day, path, str AS value, round(n / total, 6) AS share FROM cnt JOIN voc USING ({K}, day, path) WHERE vocabulary_size <= 50)"""
+enu0 AS (SELECT {K}, day, path, str AS value, round(n / total, 6) AS share FROM cnt JOIN voc USING ({K}, day, path) WHERE vocabulary_size <= 50)"""
 FLD = f"""pay AS (SELECT {K}, day, count(*) AS payloads FROM o WHERE payload_sample IS NOT NULL GROUP BY ALL),
-raw AS (SELECT {K}, day, path, count(*) FILTER (kind = 'visit') AS visits, count(*) FILTER (kind <> 'visit') AS vals, count(*) FILTER (kind = 'null') AS nulls,
-  max(kind) FILTER (kind NOT IN ('visit', 'null')) AS kind, avg(num) AS m, coalesce(stddev_samp(num), 0) AS s, quantile_cont(num, [0.25, 0.5, 0.75, 0.95, 0.99]) AS q, min(num) AS lo, max(num) AS hi,
-  avg(length(str)) AS ml, coalesce(stddev_samp(length(str)), 0) AS sl FROM lv GROUP BY ALL),
-fld AS (SELECT {K}, day, path, round(visits / payloads, 6) AS presence_rate, round(nulls / vals, 6) AS null_rate, CAST(CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS type_consistency,
-  CASE kind WHEN 'int' THEN 'number' WHEN 'bool' THEN 'boolean' WHEN 'str' THEN 'string' ELSE 'null' END AS dominant_type, round(m, 6) AS mean,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {K}, day, path ORDER BY n DESC, newest DESC, rid) AS r FROM
+  (SELECT {K}, day, path, kind, count(*) AS n, max(time) AS newest, arg_min(request_id, {{'t': -epoch_us(time), 'r': request_id}}) AS rid FROM lv WHERE kind NOT IN ('visit', 'null') GROUP BY ALL)),
+raw AS (SELECT {K}, day, path, count(*) FILTER (kind = 'visit') AS visits, count(*) FILTER (kind <> 'visit') AS vals, count(*) FILTER (kind = 'null') AS nulls, avg(num) FILTER (kind = 'bool') AS share,
+  avg(num) AS m, coalesce(stddev_samp(num), 0) AS s, quantile_cont(num, [0.25, 0.5, 0.75, 0.95, 0.99]) AS q, min(num) AS lo, max(num) AS hi,
+  avg(len) AS ml, coalesce(stddev_samp(len), 0) AS sl FROM lv GROUP BY ALL),
+fld AS (SELECT {K}, day, path, round(visits / payloads, 6) AS presence_rate, round(nulls / vals, 6) AS null_rate, coalesce(round(ranked.n / (vals - nulls), 6), 0) AS type_consistency,
+  CASE kind WHEN 'int' THEN 'number' WHEN 'bool' THEN 'boolean' WHEN 'str' THEN 'string' WHEN 'list' THEN 'array' ELSE 'null' END AS dominant_type, CASE kind WHEN 'int' THEN round(m, 6) WHEN 'bool' THEN round(share, 6) END AS mean,
   CASE WHEN kind = 'int' THEN round(s, 6) END AS std, CASE WHEN kind = 'int' THEN round(q[1], 6) END AS p25, CASE WHEN kind = 'int' THEN round(q[2], 6) END AS p50, CASE WHEN kind = 'int' THEN round(q[3], 6) END AS p75,
   CASE WHEN kind = 'int' THEN round(q[4], 6) END AS p95, CASE WHEN kind = 'int' THEN round(q[5], 6) END AS p99, CASE WHEN kind = 'int' THEN lo END AS min_val, CASE WHEN kind = 'int' THEN hi END AS max_val,
-  round(ml, 6) AS mean_length, CASE WHEN kind = 'str' THEN round(sl, 6) END AS std_length, vocabulary_size, vocabulary_entropy
-  FROM raw JOIN pay USING ({K}, day) LEFT JOIN voc USING ({K}, day, path) WHERE vals > 0)"""
+  CASE WHEN kind IN ('str', 'list') THEN round(ml, 6) END AS mean_length, CASE WHEN kind IN ('str', 'list') THEN round(sl, 6) END AS std_length, CASE WHEN kind = 'str' THEN vocabulary_size END AS vocabulary_size, CASE WHEN kind = 'str' THEN vocabulary_entropy END AS vocabulary_entropy
+  FROM raw JOIN pay USING ({K}, day) LEFT JOIN (SELECT * FROM ranked WHERE r = 1) ranked USING ({K}, day, path) LEFT JOIN voc USING ({K}, day, path) WHERE vals > 0),
+enu AS (SELECT {K}, day, path, value, share FROM enu0 JOIN fld USING ({K}, day, path) WHERE dominant_type = 'string')"""
 FIELD_COLUMNS = ("presence_rate", "null_rate", "type_consistency", "mean", "std", "p25", "p50", "p75", "p95", "p99", "min_val", "max_val", "mean_length", "std_length", "vocabulary_entropy")
 RESPONSE_COLUMNS = ("p50", "p95", "p99", "mean", "std", "size_mean", "size_std", "size_p95")
 
@@ -151,7 +158,8 @@ def a0_response_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.response_stats(_days(spark, sf_dir), BY).select(*KEY, _day(), "sample_count", *_r(*RESPONSE_COLUMNS))
 
 
-@query()
+@query(f"""WITH {O}, r AS (SELECT {K}, day, latency_ms AS v, row_number() OVER (PARTITION BY {K}, day ORDER BY latency_ms) AS i, count(*) OVER (PARTITION BY {K}, day) AS n FROM o WHERE latency_ms IS NOT NULL)
+SELECT {K}, day, {", ".join(f"CAST(max(v) FILTER (i = greatest(1, ceil({q} * n))) AS DOUBLE) AS {name}" for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")))} FROM r GROUP BY ALL""")
 def a1b_latency_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.latency_stats_approx(_days(spark, sf_dir), BY).select(*KEY, _day(), "p50", "p95", "p99")
 
@@ -170,36 +178,47 @@ def a4_payload_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.payload_entropy(_days(spark, sf_dir), BY).select(*KEY, _day(), "payload_entropy")
 
 
-SKELETON = """'{"amount":"' || CASE WHEN json_extract_string(p, '$.amount') IS NULL THEN 'null' ELSE 'number' END || CASE WHEN p LIKE '%"debug"%' THEN '","debug":"boolean' ELSE '' END || '","items":[{"qty":"number"}],"kind":"string","user":{"id":"string","vip":"boolean"}}'"""
+def _keyed(parts: dict[str, str]) -> str:
+    """SQL for the canonical JSON of a payload: its keys in order, those that it has."""
+    own = ", ".join(f"CASE WHEN json_type(payload_sample, '$.{k}') IS NOT NULL THEN '\"{k}\":' || {v} END" for k, v in sorted(parts.items()))
+    return f"'{{' || concat_ws(',', {own}) || '}}'"
+
+
+def _typed(path: str) -> str:
+    return f"CASE json_type(payload_sample, '$.{path}') WHEN 'NULL' THEN '\"null\"' WHEN 'VARCHAR' THEN '\"string\"' WHEN 'BOOLEAN' THEN '\"boolean\"' ELSE '\"number\"' END"
+
+
+SKELETON = _keyed({k: _typed(k) for k in ("amount", "debug", "kind")} | {"items": """'[{"qty":"number"}]'""", "grid": """'[["number"]]'""", "user": """'{"id":"string","vip":"boolean"}'"""})
+CONTENT = _keyed({"amount": "coalesce(json_extract_string(payload_sample, '$.amount'), 'null')", "debug": "'true'", "kind": "CAST(json_extract(payload_sample, '$.kind') AS VARCHAR)"} | {k: f"CAST(json_extract(payload_sample, '$.{k}') AS VARCHAR)" for k in ("items", "grid", "user")})
 
 
-@query(f"WITH {O}, s AS (SELECT {K}, day, sha256({SKELETON.replace('p,', 'payload_sample,').replace('p LIKE', 'payload_sample LIKE')})[1:16] AS h, row_number() OVER (PARTITION BY {K}, day ORDER BY time DESC, request_id) AS r FROM o WHERE payload_sample IS NOT NULL) SELECT {K}, day, h AS schema_hash, concat('v:', h[1:8]) AS schema_version FROM s WHERE r = 1")
+@query(f"WITH {O}, s AS (SELECT {K}, day, sha256({SKELETON})[1:16] AS h, row_number() OVER (PARTITION BY {K}, day ORDER BY time DESC, request_id) AS r FROM o WHERE payload_sample IS NOT NULL) SELECT {K}, day, h AS schema_hash, concat('v:', h[1:8]) AS schema_version FROM s WHERE r = 1")
 def a5_schema_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.window_schema_hash(_days(spark, sf_dir), BY).select(*KEY, _day(), "schema_hash", "schema_version")
+    return features.window_schema_hash(features.read_payloads(_days(spark, sf_dir), BY), BY).select(*KEY, _day(), "schema_hash", "schema_version")
 
 
 @query(f"WITH {O}, {LV}, {VOC}, {FLD} SELECT {K}, day, path, dominant_type, vocabulary_size, {", ".join(FIELD_COLUMNS)} FROM fld")
 def a6_field_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.field_features(_days(spark, sf_dir), BY)
+    rows = _fields(_days(spark, sf_dir), BY)
     return rows.select(*KEY, _day(), "path", "dominant_type", F.col("vocabulary_size").cast("long"), *FIELD_COLUMNS)
 
 
-@query(f"WITH {O}, {LV}, {VOC} SELECT {K}, day, path, value, share FROM enu")
+@query(f"WITH {O}, {LV}, {VOC}, {FLD} SELECT {K}, day, path, value, share FROM enu")
 def a10_enum_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.field_features(_days(spark, sf_dir), BY)
+    rows = _fields(_days(spark, sf_dir), BY)
     return rows.select(*KEY, _day(), "path", F.explode("enum_distribution").alias("value", "share"))
 
 
 @query(f"WITH {O}, {LV}, {VOC}, {FLD}, r AS (SELECT *, row_number() OVER (PARTITION BY {K}, day ORDER BY presence_rate DESC, CASE path WHEN 'user.id' THEN 1 WHEN 'user.vip' THEN 2 WHEN 'kind' THEN 3 WHEN 'amount' THEN 4 WHEN 'items[].qty' THEN 5 ELSE 6 END) AS r FROM fld) SELECT {K}, day, path, presence_rate FROM r WHERE r <= 3 AND path <> 'debug' AND presence_rate = 1")
 def a13_cap_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.field_features(_days(spark, sf_dir), BY, most=3)
+    rows = _fields(_days(spark, sf_dir), BY, most=3)
     return rows.select(*KEY, _day(), "path", "presence_rate")
 
 
 @query(f"WITH {O}, {RESP}, {ENT}, {LV}, n AS (SELECT {K}, day, count(DISTINCT path) AS fields FROM lv WHERE kind <> 'visit' GROUP BY ALL) SELECT {K}, day, sample_count, round(p95, 4) AS p95, coalesce(payload_entropy, 0) AS payload_entropy, CAST(coalesce(fields, -1) AS INTEGER) AS fields FROM resp LEFT JOIN ent USING ({K}, day) LEFT JOIN n USING ({K}, day)")
 def a14_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _days(spark, sf_dir)
-    rows = features.assemble_feature_vector(features.response_features(obs, BY), features.field_features(obs, BY), BY)
+    rows = features.assemble_feature_vector(*extract_features(obs), BY)
     level = F.col("response_level")
     return rows.select(*KEY, _day(), "sample_count", F.round(level["p95"], 4).alias("p95"), level["payload_entropy"].alias("payload_entropy"), F.coalesce(F.size("fields"), F.lit(-1)).alias("fields"))
 
@@ -209,7 +228,8 @@ def a14_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str, days: int = 30) -> tuple[DataFrame, DataFrame]:
     obs = _days(spark, sf_dir).where(F.col("time") < F.lit(SPLIT).cast("timestamp"))
-    return windows.baseline_vectors(features.response_features(obs, BY), F.lit(SPLIT).cast("timestamp"), days), features.field_features(obs, BY)
+    responses, fields = extract_features(obs)
+    return windows.baseline_vectors(responses, F.lit(SPLIT).cast("timestamp"), days), fields
 
 
 VEC = f"vec AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY day DESC) - 1 AS age, sample_count * pow(0.9, row_number() OVER (PARTITION BY {K} ORDER BY day DESC) - 1) AS c FROM resp LEFT JOIN ent USING ({K}, day) WHERE day < '2024-01-21')"
@@ -271,11 +291,11 @@ def b7_baseline_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins.
 
 
-SNAPSHOTS = f"snap AS (SELECT {K}, CAST(day AS TIMESTAMP) AS time, p95, sample_count FROM resp WHERE CAST(day[9:10] AS INTEGER) % 5 = 1)"
+SNAPSHOTS = f"snap AS (SELECT {K}, CAST(day AS TIMESTAMP) AS time, p95, sample_count FROM resp)"
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.response_stats(_days(spark, sf_dir), BY).where(F.dayofmonth("window_start") % 5 == 1)
+    rows = features.response_stats(_days(spark, sf_dir), BY)
     return rows.select(*KEY, F.col("window_start").alias("time"), "p95", "sample_count")
 
 
@@ -405,6 +425,21 @@ def f9_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN NULL ELSE value END AS finite, CASE WHEN event_id % 7 IN (0, 1, 2) THEN 0.0 ELSE value END AS defaulted FROM events")
+def p9_finite_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values, some of them NaN or infinite."""
+    odd = [F.when(F.col("event_id") % 7 == k, F.lit(float(x))) for k, x in enumerate(("nan", "inf", "-inf"))]
+    rows = tables.table(spark, sf_dir, "events").withColumn("x", F.coalesce(*odd, F.col("value")))
+    return rows.select("event_id", stats.finite_only(F.col("x")).alias("finite"), stats.finite_or_zero(F.col("x")).alias("defaulted"))
+
+
+@query("SELECT doc_id, coalesce(round(e, 4), 0) + 0.0 AS entropy FROM documents LEFT JOIN (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]')) AS w FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)")
+def f17_shannon_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the small letters of every text."""
+    letters = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]"), F.lit(0))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", (F.round(stats.shannon_entropy(letters), 4) + 0.0).alias("entropy"))
+
+
 # Drift.
 
 
@@ -436,6 +471,7 @@ _PZ = PROP_Z.format(o="c_presence", b="b_presence", n="sample_count")
 _MZ = RATE_Z.format(o="c_mean", b="b_mean", s="b_std")
 _CZ = PROP_Z.format(o="q", b="p", n="sample_count")
 COMPONENTS = f"""{PAIRS}, {DIST}, {SMOOTH},
+sch AS (SELECT {K}, day, '' AS h, NULL AS supplied FROM resp),
 rb AS (SELECT {K}, day, {", ".join(f"r.{n} AS c_{n}, b.{n} AS b_{n}" for n in RESPONSE_COLUMNS)}, coalesce(e.payload_entropy, 0) AS c_e, b.payload_entropy AS b_e FROM resp r JOIN base b USING ({K}) LEFT JOIN ent e USING ({K}, day)),
 cp AS ({" UNION ALL ".join([
     _shift(1, "latency.p95", "p95", "std", "mean", "latency_shift"),
@@ -443,6 +479,7 @@ cp AS ({" UNION ALL ".join([
     _detector(3, "concat('status_code.', code, '_rate')", "status_code_shift", "p", "q", _CZ, None, f"(SELECT {K}, day, x.code AS code, x.p AS p, x.q AS q, sample_count FROM rows JOIN dv USING ({K}, day) JOIN resp USING ({K}, day) WHERE psi >= 0.25)", f"CAST(code AS INTEGER) >= 400 AND abs(q - p) > 0.01 AND abs({_CZ}) >= 2"),
     _shift(4, "response_size.mean", "size_mean", "size_std", "size_mean", "response_size_shift"),
     _detector(5, "'payload.entropy'", "payload_entropy_drop", "b_e", "c_e", "(b_e - c_e) / b_e * 5", None, "rb", "b_e > 0.1 AND (b_e - c_e) / b_e > 0.3"),
+    _detector(6, "'payload.schema_hash'", "structural_change", "0", "1", "4", "100", "sch", "h <> supplied"),
     _detector(7, "concat('field.', path)", "field_disappeared", "b_presence", "0", "5", "-100", "cmp", "there AND NOT here AND b_presence > 0.5"),
     _detector(8, "concat('field.', path, '.null_rate')", "null_rate_spike", "b_null", "c_null", _NZ, None, "cmp", f"here AND there AND c_null - b_null > 0.05 AND abs({_NZ}) >= 2"),
     _detector(9, "concat('field.', path, '.type_consistency')", "type_consistency_drop", "b_tc", "c_tc", "(b_tc - c_tc) / greatest(1 - b_tc, 0.01)", None, "cmp", "here AND there AND b_tc > 0.95 AND c_tc < b_tc - 0.05"),
@@ -458,10 +495,19 @@ TOTALS = f"""tot2 AS (SELECT {K}, day, least(10, sum(abs(deviation_z) * weight)
 scored AS (SELECT {K}, day, sample_count, round(coalesce(s, 0), 4) AS score, CASE WHEN s < 2 OR s IS NULL THEN NULL WHEN s < 4 THEN 'low' WHEN s < 6 THEN 'medium' WHEN s < 8 THEN 'high' ELSE 'critical' END AS severity, CASE WHEN s >= 2 THEN kind END AS alert_type, coalesce(n, 0) AS components FROM resp LEFT JOIN tot2 USING ({K}, day))"""
 
 
-@query(f"{_FULL} SELECT {K}, day, feature_name, drift_type, {_rs('baseline_value', 'observed_value', digits=3)}, deviation_z, deviation_pct, weight FROM cp")
+#: The same with a schema hash in the baseline, as a supplied one has: that of the key's first payload.
+_SUPPLIED = f"""own AS (SELECT {K}, day, sha256({SKELETON})[1:16] AS h, row_number() OVER (PARTITION BY {K}, day ORDER BY time DESC, request_id) AS r FROM o WHERE payload_sample IS NOT NULL),
+sch AS (SELECT own.*, supplied FROM own JOIN (SELECT {K}, arg_min(h, day) AS supplied FROM own WHERE r = 1 GROUP BY ALL) USING ({K}) WHERE r = 1),
+"""
+
+
+@query(f"{_FULL.replace("sch AS (SELECT endpoint_id, segmentation_key, day, '' AS h, NULL AS supplied FROM resp)," + chr(10), _SUPPLIED)} SELECT {K}, day, feature_name, drift_type, {_rs('baseline_value', 'observed_value', digits=3)}, deviation_z, deviation_pct, weight FROM cp")
 def x_drift_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What all detectors find in all days against the baseline of the first twenty (X-LAT to X-NEW, J3, J4)."""
-    rows = drift.drift_components(*_compared(spark, sf_dir), BY)
+    """What all detectors find in all days against the baseline of the first twenty, given the schema hash of the first day (X-LAT to X-NEW, J3, J4)."""
+    responses, fields, base, base_fields = _compared(spark, sf_dir)
+    given = responses.groupBy(*KEY).agg(F.min_by("schema_hash", F.when(F.col("schema_hash").isNotNull(), F.col("window_start"))).alias("schema_hash"))
+    base = base.drop("schema_hash").join(given, list(KEY), "left")
+    rows = drift.drift_components(responses, fields, base, base_fields, BY)
     return rows.select(*KEY, _day(), "feature_name", "drift_type", *_r("baseline_value", "observed_value", digits=3), "deviation_z", "deviation_pct", "weight")
 
 
@@ -507,17 +553,40 @@ def w6_anomaly_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.anomaly_persistence(scored).select(*KEY, _day(), "score", "persistence")
 
 
-@query(f"{_DECIDED} SELECT {K}, score AS drift_score, coalesce(severity, 'low') AS severity, coalesce(alert_type, 'behavioral_drift') AS alert_type, concat(day, ' 00:00:00') AS event_time FROM q5 WHERE alert_triggered")
+_NUMBERS = {"null_rate_spike": ("from %.1f%% to %.1f%% (z=%.1f)", "baseline_value * 100, observed_value * 100, deviation_z"), "field_disappeared": ("(was present %.0f%% of the time)", "baseline_value * 100"),
+  "latency_shift": ("from %.1f to %.1f (%+.1f%%)", "baseline_value, observed_value, deviation_pct"), "response_size_shift": ("from %.1f to %.1f (%+.1f%%)", "baseline_value, observed_value, deviation_pct"),
+  "enum_collapse": ("(JSD-based, z=%.1f)", "deviation_z"), "structural_change": ("with %.0f%% presence", "observed_value * 100")}
+_PLAIN = ("(baseline=%.4f, observed=%.4f, z=%.1f)", "baseline_value, observed_value, deviation_z")
+_WORDS = " ".join(f"WHEN '{k}' THEN concat('{label}', {'' if k == 'schema_type_change' else "printf(' {}', {})".format(*_NUMBERS.get(k, _PLAIN))})" for k, label in DRIFT_LABELS.items()).replace(", )", ")")
+SUMMARIES = f"""tops AS (SELECT *, row_number() OVER (PARTITION BY {K}, day ORDER BY abs(deviation_z) * weight DESC, place, feature_name) AS r FROM cp),
+said AS (SELECT {K}, day, string_agg(concat(replace(replace(feature_name, 'field.', ''), '.', ' → '), ': ', CASE drift_type {_WORDS} END), '; ' ORDER BY r) AS parts FROM tops WHERE r <= 3 GROUP BY ALL),
+summ AS (SELECT q5.*, CASE WHEN parts IS NULL THEN 'No significant behavioral drift detected.' ELSE concat('[', upper(coalesce(severity, 'none')), '] Drift score: ', printf('%.2f', score), '. ', parts, '.') END AS summary FROM q5 LEFT JOIN said USING ({K}, day))"""
+_SUMMED = f"{_DECIDED}, {SUMMARIES}"
+
+
+@query(f"""{_SUMMED}, lists AS (SELECT {K}, day, count(*) AS n_parts, string_agg(concat(feature_name, '=', CAST(round(deviation_z, 2) AS VARCHAR)), ',' ORDER BY place, feature_name) AS parts FROM cp GROUP BY ALL)
+SELECT {K}, '' AS org_id, '' AS project_id, score AS drift_score, round(confidence_score, 4) AS confidence_score, confidence_level AS confidence_state, coalesce(severity, 'low') AS severity, coalesce(alert_type, 'behavioral_drift') AS alert_type, '1.0.0' AS model_version,
+  concat(day, ' 00:00:00') AS timestamp, concat(baseline_day, ' 00:00:00') AS baseline_snapshot_time, summary, n_parts, parts FROM summ JOIN lists USING ({K}, day) JOIN (SELECT {K}, baseline_day FROM base) USING ({K}) WHERE alert_triggered""")
+def s6_drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14 fields of a drift event; numbers are read back from their text, components from their JSON."""
+    events = alerts.to_drift_events(_scored(spark, sf_dir))
+    found = F.from_json("components", "array<struct<feature_name:string,drift_type:string,baseline_value:double,observed_value:double,deviation_z:double,deviation_pct:double,weight:double>>")
+    named = F.array_join(F.transform("found", lambda x: F.concat_ws("=", x["feature_name"], F.round(x["deviation_z"], 2))), ",")
+    rows = events.withColumn("found", found).withColumns({c: F.col(c).cast("double") for c in ("drift_score", "confidence_score")})
+    return rows.withColumns({"n_parts": F.size("found").cast("long"), "parts": named}).drop("found", "components")
+
+
+@query(f"{_DECIDED} SELECT endpoint_id, score AS drift_score, coalesce(severity, 'low') AS severity, coalesce(alert_type, 'behavioral_drift') AS alert_type, confidence_level AS confidence, concat(day, ' 00:00:00') AS timestamp FROM q5 WHERE alert_triggered")
 def p4_drift_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.drift_feed(alerts.to_drift_events(_scored(spark, sf_dir)))
 
 
-@query(f"{_DECIDED} SELECT {K}, score AS drift_score, severity, alert_type, concat(day, ' 00:00:00') AS event_time FROM q5 WHERE alert_triggered AND severity IN ('high', 'critical')")
+@query(f"{_SUMMED} SELECT endpoint_id, score AS drift_score, severity, alert_type, summary, concat(day, ' 00:00:00') AS timestamp FROM summ WHERE alert_triggered AND severity IN ('high', 'critical')")
 def p5_alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.alert_feed(alerts.to_drift_events(_scored(spark, sf_dir))).drop("summary")
+    return alerts.alert_feed(alerts.to_drift_events(_scored(spark, sf_dir)))
 
 
-@query()
+@query(f"{_SUMMED} SELECT {K}, day, score, summary FROM summ")
 def g1_alert_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three weightiest components of each window in words (T1, G1, G2)."""
     return _scored(spark, sf_dir).select(*KEY, _day(), "score", "summary")
@@ -538,14 +607,13 @@ def d4_alert_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All observations in chunks against a baseline of each endpoint's first chunks."""
+    """All observations in chunks against a baseline of each endpoint's first twenty days."""
     obs = observations(spark, sf_dir)
     key, by = ["endpoint_id"], ["endpoint_id", "window_start"]
-    days = windows.tumbling_windows(obs, "1 day")
     split = F.lit(SPLIT).cast("timestamp")
-    vectors = windows.baseline_vectors(features.response_features(days.where(F.col("time") < split), by), split, 30, by=key)
-    base, base_fields = baseline.compute_baseline(vectors, features.field_features(days.where(F.col("time") < split), by), key)
-    return replay(obs, base, base_fields, F.lit(AS_OF).cast("timestamp"))
+    responses, fields = extract_features(windows.tumbling_windows(obs, "1 day").where(F.col("time") < split), by)
+    base, base_fields = baseline.compute_baseline(windows.baseline_vectors(responses, split, 30, by=key), fields, key)
+    return replay(obs, io.written(base), io.written(base_fields), F.lit(AS_OF).cast("timestamp"))
 
 
 @query(f"WITH {O}, c AS (SELECT endpoint_id, time, floor((row_number() OVER (PARTITION BY endpoint_id ORDER BY time, request_id) - 1) / 100) AS chunk FROM o) SELECT endpoint_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS sample_count, strftime(min(time), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(time), '%Y-%m-%d %H:%M:%S') AS window_end FROM c GROUP BY ALL")
@@ -553,7 +621,19 @@ def c3_replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir).select("endpoint_id", "chunk", "sample_count", _stamp("window_start"), _stamp("window_end"))
 
 
-@query()
+#: Observations as the windows of a replay: days before the split, which make the baselines, and chunks, named to sort behind them.
+_CHUNKS = f"""o AS (SELECT * EXCLUDE (segmentation_key, n), 'all' AS segmentation_key FROM (
+  SELECT *, 0 AS n, strftime(time, '%Y-%m-%d') AS day FROM ({OBSERVATIONS}) WHERE time < TIMESTAMP '{SPLIT}'
+  UNION ALL SELECT *, 'c' || lpad(CAST(CAST(floor((n - 1) / 100) AS BIGINT) AS VARCHAR), 9, '0') AS day FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY time, request_id) AS n FROM ({OBSERVATIONS}))))"""
+_REPLAYED = f"{_FULL.replace(O, _CHUNKS)}, {TOTALS}, chunks AS (SELECT endpoint_id, CAST(day[2:] AS BIGINT) AS chunk, sample_count, score, severity, alert_type, components FROM scored WHERE day LIKE 'c%')"
+
+
+@query(f"{_REPLAYED} SELECT * FROM chunks")
+def c3_replay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir).select("endpoint_id", "chunk", "sample_count", "score", "severity", "alert_type", "components")
+
+
+@query(f"{_REPLAYED} SELECT count(*) AS windows, count(severity) AS alerts, round(avg(score), 4) AS avg_score, max(score) AS max_score, CAST(sum(sample_count) AS BIGINT) AS observations FROM chunks")
 def c3_replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay_summary(_replayed(spark, sf_dir))
 
@@ -561,18 +641,18 @@ def c3_replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Payload text.
 
 
-@query("""SELECT doc_id, unnest(t) AS token, CASE WHEN regexp_matches(unnest(t), '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN '__UUID__' WHEN regexp_matches(unnest(t), '^\\d{6,}$') THEN '__NUMERIC_ID__'
-  WHEN regexp_matches(unnest(t), '^[\\w.+-]+@[\\w-]+\\.[\\w.]+$') THEN '__EMAIL__' WHEN regexp_matches(unnest(t), '^\\+?\\d[\\d\\s\\-()]{7,}\\d$') THEN '__PHONE__' WHEN regexp_matches(unnest(t), '^\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}$') THEN '__IP__' ELSE unnest(t) END AS masked
-FROM (SELECT doc_id, regexp_extract_all(text, '[!-~]*[0-9][!-~]*') AS t FROM documents)""")
+@query("""SELECT doc_id, t AS token, CASE WHEN regexp_matches(t, '^eyJ[A-Za-z0-9_-]{10,}(\\.[A-Za-z0-9_-]{10,}){2}$') THEN '__JWT__'
+  WHEN regexp_full_match(lower(t), '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN '__UUID__' WHEN regexp_matches(t, '^\\p{Nd}{4}(-\\p{Nd}{2}){2}T\\p{Nd}{2}(:\\p{Nd}{2}){2}') THEN '__TIMESTAMP__' WHEN regexp_full_match(t, '\\p{Nd}{6,}') THEN '__NUMERIC_ID__'
+  WHEN regexp_full_match(t, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+\\.[\\p{L}\\p{N}_.]+') THEN '__EMAIL__' WHEN regexp_full_match(t, '[+]?\\p{Nd}[\\p{Nd}\\p{Z}()-]{7,}\\p{Nd}') THEN '__PHONE__' WHEN regexp_full_match(t, '\\p{Nd}{1,3}([.]\\p{Nd}{1,3}){3}') OR regexp_full_match(lower(t), '([0-9a-f]{1,4}:){2,7}[0-9a-f]{1,4}') THEN '__IP__' ELSE t END AS masked
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS t FROM documents)""")
 def n2_masked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every text."""
     docs = tables.table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[!-~]*[0-9][!-~]*"), F.lit(0))).alias("token"))
+    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("token"))
     return rows.withColumn("masked", mask_string(F.col("token")))
 
 
-@query(f"""WITH {O} SELECT request_id, CASE WHEN payload_sample IS NULL THEN '74234e98afe7498f' ELSE sha256('{{"amount":' || coalesce(json_extract_string(payload_sample, '$.amount'), 'null') || CASE WHEN payload_sample LIKE '%"debug"%' THEN ',"debug":true' ELSE '' END || ',"items":[{{"qty":' || json_extract_string(payload_sample, '$.items[0].qty') || '}},{{"qty":' || json_extract_string(payload_sample, '$.items[1].qty')
-  || '}}],"kind":"' || json_extract_string(payload_sample, '$.kind') || '","user":{{"id":"' || json_extract_string(payload_sample, '$.user.id') || '","vip":' || json_extract_string(payload_sample, '$.user.vip') || '}}}}')[1:16] END AS payload_hash,
-  CASE WHEN payload_sample IS NULL THEN sha256('"null"')[1:16] ELSE sha256({SKELETON.replace('p,', 'payload_sample,').replace('p LIKE', 'payload_sample LIKE')})[1:16] END AS schema_hash FROM o""")
+@query(f"WITH {O} SELECT request_id, CASE WHEN payload_sample IS NULL THEN sha256('null')[1:16] ELSE sha256({CONTENT})[1:16] END AS payload_hash, CASE WHEN payload_sample IS NULL THEN sha256('null')[1:16] ELSE sha256({SKELETON})[1:16] END AS schema_hash FROM o")
 def n4_payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).select("request_id", canonicalize("payload_sample").alias("c"))
     return rows.select("request_id", "c.payload_hash", "c.schema_hash")
@@ -592,7 +672,10 @@ def d2_suppressed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.suppress_alerts(tables.alerts(spark, sf_dir), tables.suppression_windows(spark, sf_dir)).select("id", "endpoint_id")
 
 
-@query(f"WITH a AS ({tables.ALERTS}), g AS (SELECT *, created_at - lag(created_at) OVER (PARTITION BY endpoint_id, alert_type ORDER BY created_at, id) AS gap FROM a) SELECT id, endpoint_id, alert_type FROM g WHERE gap IS NULL OR gap >= INTERVAL 30 DAY")
+@query(f"""WITH RECURSIVE a AS ({tables.ALERTS}), r AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id, alert_type ORDER BY created_at, id) AS i FROM a),
+k AS (SELECT id, endpoint_id, alert_type, created_at, i FROM r WHERE i = 1 UNION ALL
+  SELECT n.id, n.endpoint_id, n.alert_type, n.created_at, n.i FROM k JOIN LATERAL (SELECT * FROM r WHERE r.endpoint_id = k.endpoint_id AND r.alert_type = k.alert_type AND r.created_at >= k.created_at + INTERVAL 30 DAY ORDER BY r.i LIMIT 1) n ON TRUE)
+SELECT id, endpoint_id, alert_type FROM k""")
 def d3_distinct_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.dedup_alerts(tables.alerts(spark, sf_dir), 30 * 86_400).select("id", "endpoint_id", "alert_type")
 
@@ -618,6 +701,15 @@ def x3_stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, _stamp("window_start"), "sample_count", *_r("mean", "std", "size_mean", digits=3), "errors")
 
 
+@query(ORACLE_SQL["s2_envelopes"])
+def s2_envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes as lines of text, read as a stream."""
+    path = io.shared_folder(spark)
+    tables.view(spark, sf_dir, RAW, "events").select("value").write.text(path)
+    rows = streams.read_observation_stream(spark, "text", {"path": path}).where(F.col("endpoint_id") != "")
+    return drained(rows.select("event_id", *KEY, "latency_ms"))
+
+
 @query(f"WITH {O} SELECT {K}, request_id FROM o")
 def x7_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows delivered twice, each request once."""

@@ -5,53 +5,70 @@ The tables of the second half are declared by the data model alone; their operat
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.constants import ERROR_STATUS
-
-FEED = ("endpoint_id", "segmentation_key", "drift_score", "severity", "alert_type", "event_time")
-
-
-def to_drift_events(scored: DataFrame) -> DataFrame:
-    """Alerting windows as string fields, with defaults for what is missing."""
-    text = lambda c, otherwise: F.coalesce(F.col(c).cast("string"), F.lit(otherwise))
-    return scored.where("alert_triggered").select(
-        "endpoint_id",
-        "segmentation_key",
-        F.col("score").cast("string").alias("drift_score"),
-        text("severity", "low").alias("severity"),
-        text("alert_type", "behavioral_drift").alias("alert_type"),
-        text("window_start", "").alias("event_time"),
-        text("baseline_time", "").alias("baseline_snapshot_time"),
-        text("confidence_score", "0").alias("confidence_score"),
-        text("confidence_level", "low").alias("confidence_level"),
-        "summary",
-    )
+from driftjobs.constants import ALERT_KEY_SECONDS, ERROR_STATUS
+from driftjobs.operators.features import quantiles
+
+EVENT = ("endpoint_id", "segmentation_key", "org_id", "project_id", "drift_score", "confidence_score", "confidence_state", "severity", "alert_type", "model_version", "timestamp", "baseline_snapshot_time", "summary", "components")
+PARTS = ("feature_name", "drift_type", "baseline_value", "observed_value", "deviation_z", "deviation_pct", "weight")
+
+
+def to_drift_events(scored: DataFrame, time: Column | None = None) -> DataFrame:
+    """Alerting windows as the 14 text fields of EVENT, with defaults for what is missing; ``components`` is a JSON list.
+
+    ``time`` is when a window was scored (else its start). Organisation and project are empty where ``scored`` has no such columns.
+    """
+    missing = {c: F.lit(None).cast("string") for c in ("org_id", "project_id") if c not in scored.columns}
+    rows = scored.where("alert_triggered").withColumns({**missing, "__time": F.col("window_start") if time is None else time})
+    text = lambda c, otherwise="": F.coalesce(F.col(c).cast("string"), F.lit(otherwise))
+    parts = F.transform("found", lambda x: F.struct(*[x[c].alias(c) for c in PARTS]))
+    values = {
+        "endpoint_id": F.col("endpoint_id"),
+        "segmentation_key": F.col("segmentation_key"),
+        "org_id": text("org_id"),
+        "project_id": text("project_id"),
+        "drift_score": text("score"),
+        "confidence_score": text("confidence_score", "0"),
+        "confidence_state": text("confidence_level", "low"),
+        "severity": text("severity", "low"),
+        "alert_type": text("alert_type", "behavioral_drift"),
+        "model_version": text("model_version"),
+        "timestamp": text("__time"),
+        "baseline_snapshot_time": text("baseline_time"),
+        "summary": F.col("summary"),
+        "components": F.coalesce(F.to_json(parts), F.lit("[]")),
+    }
+    return rows.select(*[values[c].alias(c) for c in EVENT])
 
 
 def drift_feed(events: DataFrame) -> DataFrame:
     """Six fields of each event, the score as a number, 0 if it has none."""
-    score = F.coalesce(F.expr("try_cast(drift_score as double)"), F.lit(0.0))
-    return events.withColumn("drift_score", score).select(*FEED)
+    score = F.coalesce(F.expr("try_cast(drift_score as double)"), F.lit(0.0)).alias("drift_score")
+    return events.select("endpoint_id", score, "severity", "alert_type", F.col("confidence_state").alias("confidence"), "timestamp")
 
 
 def alert_feed(events: DataFrame) -> DataFrame:
-    """As ``drift_feed``, with the summary, of high and critical events."""
-    return events.where(F.col("severity").isin("high", "critical")).withColumn("drift_score", F.coalesce(F.expr("try_cast(drift_score as double)"), F.lit(0.0))).select(*FEED, "summary")
+    """As ``drift_feed``, with the summary in place of the confidence, of high and critical events."""
+    feed = drift_feed(events.where(F.col("severity").isin("high", "critical")).withColumn("confidence_state", F.col("summary")))
+    return feed.withColumnRenamed("confidence", "summary")
 
 
 def ingestion_metrics(obs: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Rows, errors, average and p95 latency of each endpoint by time bucket."""
-    own = F.window("time", bucket)["start"].alias("bucket")
-    return obs.groupBy("endpoint_id", own).agg(
+    by = ("endpoint_id", "bucket")
+    rows = obs.withColumn("bucket", F.window("time", bucket)["start"])
+    sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("observations_count"),
         F.count_if(F.col("status_code") >= ERROR_STATUS).alias("errors_count"),
         F.avg("latency_ms").alias("avg_latency_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_latency_ms"),
     )
+    p95 = quantiles(rows, by, "latency_ms", (0.95,)).select(*by, F.col("q")[0].alias("p95_latency_ms"))
+    return sums.join(p95, list(by), "left")
 
 
 def suppress_alerts(alerts: DataFrame, suppression: DataFrame, grain: str = "day") -> DataFrame:
@@ -65,11 +82,29 @@ def suppress_alerts(alerts: DataFrame, suppression: DataFrame, grain: str = "day
     return alerts.join(days, on, "left_anti")
 
 
-def dedup_alerts(alerts: DataFrame, seconds: int = 3600, by: Sequence[str] = ("endpoint_id", "alert_type")) -> DataFrame:
-    """Alerts that come ``seconds`` or more after the alert before them of the same kind."""
-    before = F.lag("created_at").over(Window.partitionBy(*by).orderBy("created_at", "id"))
-    gap = F.unix_micros("created_at") - F.unix_micros(before)
-    return alerts.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") >= seconds * 1_000_000)).drop("__gap")
+def dedup_alerts(alerts: DataFrame, seconds: int = ALERT_KEY_SECONDS, by: Sequence[str] = ("endpoint_id", "alert_type")) -> DataFrame:
+    """Alerts that find no key of their kind: one that is kept sets it, and it lives ``seconds`` from then on, whatever comes meanwhile.
+
+    Alerts of a kind pass in order of time (then id) through one small state, as a stream of rows: a kind's alerts
+    are sorted by Spark, which spills, and none of them is held.
+    """
+    life = seconds * 1_000_000
+    schema = alerts.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, until = None, None
+        for batch in batches:
+            kinds = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            kept = []
+            for own, at in zip(kinds, batch.column("__at").to_pylist(), strict=True):
+                fresh = own != kind or until is None or at >= until
+                if fresh:
+                    kind, until = own, at + life
+                kept.append(fresh)
+            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns(["__at"])
+
+    rows = alerts.withColumn("__at", F.unix_micros("created_at")).repartition(*by).sortWithinPartitions(*by, "__at", "id")
+    return rows.mapInArrow(keep, schema)
 
 
 def alert_evidence(components: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:

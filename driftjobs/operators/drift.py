@@ -82,7 +82,8 @@ def field_components(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     spread = F.when(b("std") > 0, b("std")).otherwise(1.0)
     mean_z = rate_z_score(c("mean"), b("mean"), spread)
     words = c("vocabulary_size") / F.when(b("vocabulary_size") > 0, b("vocabulary_size"))
-    jsd = jensen_shannon_divergence(b("enum_distribution"), c("enum_distribution"))
+    pairs = pairs.withColumn("__jsd", jensen_shannon_divergence(b("enum_distribution"), c("enum_distribution")))
+    jsd = F.col("__jsd")
     listed = (F.size(b("enum_distribution")) > 0) & (F.size(c("enum_distribution")) > 0)
     entropy = lambda side: F.coalesce(side("vocabulary_entropy"), zero)
     typed = (b("dominant_type") != "null") & (c("dominant_type") != "null") & (b("dominant_type") != c("dominant_type"))
@@ -111,20 +112,21 @@ def drift_components(responses: DataFrame, fields: DataFrame, base: DataFrame, b
 
 
 def drift_total(components: DataFrame, by: Sequence[str], top: int = 3) -> DataFrame:
-    """Score, severity, alert type and weightiest components of windows that have any. The severity is that of the score before rounding."""
+    """Score, severity, alert type, all components (``found``, in the detectors' order) and the weightiest (``top``) of windows that have any.
+
+    The severity is that of the score before rounding.
+    """
     impact = F.abs("deviation_z") * F.col("weight")
-    fields = F.struct((-impact).alias("rank"), *COMPONENT)
-    sums = components.groupBy(*by).agg(
-        F.sum(impact).alias("s"), F.sum("weight").alias("w"), F.count(F.lit(1)).alias("components"), F.slice(F.array_sort(F.collect_list(fields)), 1, top).alias("top")
-    )  # a window has a few components for each of its 500 fields at most
+    sums = components.groupBy(*by).agg(F.sum(impact).alias("s"), F.sum("weight").alias("w"), F.array_sort(F.collect_list(F.struct(*COMPONENT))).alias("found"))  # a window has a few components for each of its 500 fields at most
+    ranked = F.array_sort(F.transform("found", lambda x: F.struct((-F.abs(x["deviation_z"]) * x["weight"]).alias("rank"), x.alias("component"))))
     score = F.least(F.lit(10.0), F.col("s") / F.col("w"))
-    rows = sums.withColumn("severity", severity(score)).withColumn("score", F.round(score, 4))
-    return rows.select(*by, "score", "severity", F.when(F.col("severity").isNotNull(), F.col("top")[0]["drift_type"]).alias("alert_type"), "components", "top")
+    rows = sums.withColumns({"severity": severity(score), "top": F.transform(F.slice(ranked, 1, top), lambda x: x["component"])}).withColumn("score", F.round(score, 4))
+    return rows.select(*by, "score", "severity", F.when(F.col("severity").isNotNull(), F.col("top")[0]["drift_type"]).alias("alert_type"), F.size("found").cast("long").alias("components"), "found", "top")
 
 
-def score_drift(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, by: Sequence[str], key: Sequence[str] = C.KEY) -> DataFrame:
-    """A row for every window: quiet ones, and those without a baseline, score 0."""
+def score_drift(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, by: Sequence[str], key: Sequence[str] = C.KEY, model_version: str = C.MODEL_VERSION) -> DataFrame:
+    """A row for every window: quiet ones, and those without a baseline, score 0. ``components`` counts those in ``found``."""
     totals = drift_total(drift_components(responses, fields, base, base_fields, by, key), by)
     rows = responses.select(*by, "sample_count").join(totals, list(by), "left")
-    rows = rows.withColumns({"score": F.coalesce("score", F.lit(0.0)), "components": F.coalesce("components", F.lit(0).cast("long"))})
+    rows = rows.withColumns({"score": F.coalesce("score", F.lit(0.0)), "components": F.coalesce("components", F.lit(0).cast("long")), "model_version": F.lit(model_version)})
     return rows.withColumn("summary", alert_summary(F.col("score"), F.col("severity"), F.col("top"))).drop("top")

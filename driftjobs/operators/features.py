@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftjobs.constants import MAX_ENUM, MAX_FIELDS, MAX_VOCABULARY
-from driftjobs.functions.payload import canonicalize, flatten_payload
+from driftjobs.functions.payload import read_payload
+from driftjobs.sources.io import written
 
 LATENCY_QUANTILES = (0.5, 0.95, 0.99)
 FIELD_QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -21,20 +22,42 @@ def _array(values: Sequence[float]):
     return F.array(*[F.lit(v) for v in values])
 
 
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Exact quantiles of each group, with linear interpolation: ``by`` and an array ``q``; groups without values have no row.
+
+    Equal values are counted before they move, and ranks are running counts over a group's distinct values
+    in order, which spill to disk: no group lies in memory, however many values it has.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*by)
+    ranked = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy("__v")), "__all": F.sum("__n").over(group)})
+    last = F.col("__all") - 1
+    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__v")))
+
+    def quantile(share: float) -> Column:
+        rank = last * share
+        low, high = F.floor(rank), F.ceil(rank)
+        part = F.max(rank - low)
+        return at(low) * (1 - part) + at(high) * part
+
+    return ranked.groupBy(*by).agg(F.array(*[quantile(s) for s in shares]).alias("q"))
+
+
 def response_stats(obs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sample count, latency and size statistics; one shuffle, partly summed before it."""
+    """Sample count, latency and size statistics, partly summed before they move; quantiles by counted values."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = obs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("sample_count"),
-        F.percentile("latency_ms", _array(LATENCY_QUANTILES)).alias("__q"),
         zero(F.avg("latency_ms")).alias("mean"),
         zero(F.stddev_samp("latency_ms")).alias("std"),
         zero(F.avg("response_size_bytes")).alias("size_mean"),
         zero(F.stddev_samp("response_size_bytes")).alias("size_std"),
-        zero(F.percentile("response_size_bytes", F.lit(0.95))).alias("size_p95"),
     )
-    quantiles = {n: zero(F.col("__q")[i]) for i, n in enumerate(("p50", "p95", "p99"))}
-    return rows.withColumns(quantiles).drop("__q")
+    same = lambda q: [F.col(c).eqNullSafe(q[f"__{c}"]) for c in by]
+    for value, shares, names in (("latency_ms", LATENCY_QUANTILES, ("p50", "p95", "p99")), ("response_size_bytes", (0.95,), ("size_p95",))):
+        q = quantiles(obs, by, value, shares).withColumnsRenamed({c: f"__{c}" for c in by})
+        rows = rows.join(q, same(q), "left").withColumns({n: zero(F.col("q")[i]) for i, n in enumerate(names)}).drop("q", *[f"__{c}" for c in by])
+    return rows
 
 
 def latency_stats_approx(obs: DataFrame, by: Sequence[str], accuracy: int = 10_000) -> DataFrame:
@@ -57,29 +80,31 @@ def payload_entropy(obs: DataFrame, by: Sequence[str]) -> DataFrame:
     return sums.select(*by, F.round(F.log2("n") - F.col("nlogn") / F.col("n"), 4).alias("payload_entropy"))
 
 
-def window_schema_hash(obs: DataFrame, by: Sequence[str]) -> DataFrame:
+def read_payloads(obs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each payload parsed, flattened and hashed once, and written for the aggregates that read it."""
+    return written(obs.where("payload_sample is not null").select(*by, "time", "request_id", read_payload("payload_sample").alias("p")).select(*by, "time", "request_id", "p.*"))
+
+
+def window_schema_hash(payloads: DataFrame, by: Sequence[str]) -> DataFrame:
     """Hash of the types of the newest payload that is an object, and its short version."""
-    hashed = obs.where("payload_sample is not null").select(*by, "time", "request_id", canonicalize("payload_sample").alias("c")).where("c.is_object")
     order = F.struct(-F.unix_micros("time"), "request_id")
-    newest = hashed.groupBy(*by).agg(F.min_by("c.schema_hash", order).alias("schema_hash"))
+    newest = payloads.where("is_object").groupBy(*by).agg(F.min_by("schema_hash", order).alias("schema_hash"))
     return newest.withColumn("schema_version", F.concat(F.lit("v:"), F.substring("schema_hash", 1, 8)))
 
 
-def payload_leaves(obs: DataFrame, by: Sequence[str]) -> DataFrame:
+def payload_leaves(payloads: DataFrame, by: Sequence[str]) -> DataFrame:
     """A row for each path that a payload has ("visit") and for each value under it, in the payload's order."""
-    rows = obs.where("payload_sample is not null").select(*by, "time", "request_id", flatten_payload("payload_sample").alias("leaves"))
-    return rows.select(*by, "time", "request_id", F.posexplode("leaves").alias("pos", "leaf")).select(*by, "time", "request_id", "pos", "leaf.*")
+    return payloads.select(*by, "time", "request_id", F.posexplode("leaves").alias("pos", "leaf")).select(*by, "time", "request_id", "pos", "leaf.*")
 
 
-def field_features(obs: DataFrame, by: Sequence[str], most: int = MAX_FIELDS) -> DataFrame:
+def field_features(payloads: DataFrame, by: Sequence[str], most: int = MAX_FIELDS) -> DataFrame:
     """One row for each window and path that has values: presence, nulls, types, and statistics of the dominant type.
 
     The newest row is the first; among equally common types the first seen is dominant. Paths beyond the
     ``most`` most present are left out, later seen ones first.
     """
-    payloads = obs.where("payload_sample is not null").select(*by, F.try_parse_json("payload_sample").alias("v"))
-    totals = payloads.where(F.col("v").isNotNull() & ~F.is_variant_null("v")).groupBy(*by).agg(F.count(F.lit(1)).alias("payloads"))
-    leaves = payload_leaves(obs, by)
+    totals = payloads.where("parsed").groupBy(*by).agg(F.count(F.lit(1)).alias("payloads"))
+    leaves = payload_leaves(payloads, by)
     kinds = ("str", "int", "float", "bool", "list")
     is_ = lambda *k: F.col("kind").isin(*k)
     seen = F.struct(-F.unix_micros("time"), F.col("request_id"), F.col("pos"))
@@ -94,13 +119,13 @@ def field_features(obs: DataFrame, by: Sequence[str], most: int = MAX_FIELDS) ->
         F.count(number).alias("n_num"),
         F.avg(number).alias("num_mean"),
         F.stddev_samp(number).alias("num_std"),
-        F.percentile(number, _array(FIELD_QUANTILES)).alias("num_q"),
         F.min(number).alias("num_min"),
         F.max(number).alias("num_max"),
         F.avg(F.when(is_("bool"), F.col("num"))).alias("true_share"),
         *[x.alias(f"{k}_{n}") for k in ("str", "list") for n, x in (("avg", F.avg(F.when(is_(k), F.col("len")))), ("dev", F.stddev_samp(F.when(is_(k), F.col("len")))))],
     )
-    rows = rows.where("n_values > 0").join(totals, list(by))
+    values = leaves.select(*by, "path", number.alias("number"))
+    rows = rows.where("n_values > 0").join(totals, list(by)).join(quantiles(values, [*by, "path"], "number", FIELD_QUANTILES), [*by, "path"], "left")
     common = F.array_max(F.array(*[F.col(f"n_{k}") for k in kinds]))
     candidates = [F.when((F.col(f"n_{k}") == common) & (common > 0), F.struct(F.col(f"first_{k}").alias("at"), F.lit(k).alias("kind"))) for k in kinds]
     rows = rows.withColumn("kind", F.array_min(F.array_compact(F.array(*candidates)))["kind"])
@@ -119,7 +144,7 @@ def field_features(obs: DataFrame, by: Sequence[str], most: int = MAX_FIELDS) ->
         F.coalesce(F.create_map(*[F.lit(x) for p in names.items() for x in p])[F.col("kind")], F.lit("null")).alias("dominant_type"),
         F.when(F.col("kind") == "bool", F.round("true_share", 6)).otherwise(when_number(F.col("num_mean"))).alias("mean"),
         when_number(deviation("num_std")).alias("std"),
-        *[when_number(F.col("num_q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99"))],
+        *[when_number(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99"))],
         when_number(F.col("num_min")).alias("min_val"),
         when_number(F.col("num_max")).alias("max_val"),
         F.when(text, F.round("str_avg", 6)).when(items, F.round("list_avg", 6)).alias("mean_length"),
@@ -148,10 +173,10 @@ def string_vocabulary(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
     return sums.drop("words", "total").join(shares, [*by, "path"], "left")
 
 
-def response_features(obs: DataFrame, by: Sequence[str]) -> DataFrame:
+def response_features(obs: DataFrame, payloads: DataFrame, by: Sequence[str]) -> DataFrame:
     """The response-level vector of each window, status shares as a map."""
     codes = status_distribution(obs, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "rate")))).alias("status_codes"))
-    rows = response_stats(obs, by).join(codes, list(by), "left").join(payload_entropy(obs, by), list(by), "left").join(window_schema_hash(obs, by), list(by), "left")
+    rows = response_stats(obs, by).join(codes, list(by), "left").join(payload_entropy(obs, by), list(by), "left").join(window_schema_hash(payloads, by), list(by), "left")
     empty = F.create_map().cast("map<string,double>")
     return rows.withColumns({"payload_entropy": F.coalesce("payload_entropy", F.lit(0.0)), "status_codes": F.coalesce("status_codes", empty)})
 

@@ -31,17 +31,31 @@ def join_active_baseline(windows: DataFrame, snapshots: DataFrame, by: Sequence[
     return windows.join(active_baselines(snapshots, by), list(by), "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """``left`` with the ``values`` of the latest row of ``right`` not after its time, null if there is none.
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], grain: str = "day") -> DataFrame:
+    """``left`` with the ``values`` of the latest row of ``right`` not after its time, null if there is none; null keys and times find none.
 
-    Both sides in one ordered pass: one shuffle, and no row of one side meets all rows of the other.
+    Within a grain of time both sides pass in one order, so a busy key spreads over its grains. What is
+    valid at a grain's start is carried over from the grains before it, of which a key has one row each. Rows that
+    can find nothing are set aside and don't move.
     """
     rest = [c for c in left.columns if c not in by]
-    a = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*rest).alias("__left"))
-    b = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__right"))
-    seen = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__found", F.last("__right", ignorenulls=True).over(seen))
-    return both.where("__side = 1").select(*by, "__left.*", *[F.col("__found")[v].alias(v) for v in values])
+    fine = lambda time: F.col(time).isNotNull() & ~F.greatest(*[F.col(c).isNull() for c in (*by, *by)])
+    at = lambda time: F.date_trunc(grain, time).alias("__grain")
+    key = [*by, "__grain"]
+    known = right.where(fine(right_time)).select(*by, at(right_time), F.col(right_time).alias("__t"), F.struct(*values).alias("__right"))
+    ends = known.groupBy(*key).agg(F.max_by("__right", "__t").alias("__last"))
+    grains = ends.select(*key, "__last").unionByName(left.where(fine(left_time)).select(*by, at(left_time)).distinct(), allowMissingColumns=True)
+    grains = grains.groupBy(*key).agg(F.first("__last", ignorenulls=True).alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__grain").rowsBetween(Window.unboundedPreceding, -1)
+    opening = grains.select(*key, F.last("__last", ignorenulls=True).over(before).alias("__right"), F.lit(0).alias("__side")).where("__right is not null")
+    a = left.where(fine(left_time)).select(*by, at(left_time), F.col(left_time).alias("__t"), F.lit(2).alias("__side"), F.struct(*rest).alias("__left"))
+    both = a.unionByName(known.withColumn("__side", F.lit(1)), allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
+    seen = Window.partitionBy(*key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(seen)).where("__side = 2")
+    found = found.select(*by, "__left.*", *[F.col("__found")[v].alias(v) for v in values])
+    kinds = dict(right.dtypes)
+    aside = left.where(~F.coalesce(fine(left_time), F.lit(False))).select(*by, *rest, *[F.lit(None).cast(kinds[v]).alias(v) for v in values])
+    return found.unionByName(aside)
 
 
 def join_baseline_asof(windows: DataFrame, snapshots: DataFrame, values: Sequence[str], by: Sequence[str] = KEY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,10 +115,25 @@ def apply_retention(df: DataFrame, days: int, as_of: Column, time: str = "time")
     return df.where(F.col(time) >= as_of - F.make_dt_interval(F.lit(days)))
 
 
-def write_scored_windows(vectors: DataFrame, scores: DataFrame, paths: Mapping[str, str], batch_id: int) -> None:
-    """Both tables or, after a retry, both again: each batch has a folder of its own, which a retry overwrites."""
-    for name, df in (("feature_vectors", vectors), ("drift_scores", scores)):
-        df.write.mode("overwrite").parquet(f"{paths[name]}/batch_id={batch_id}")
+TABLES = ("feature_vectors", "drift_scores")
+
+
+def write_scored_windows(vectors: DataFrame, scores: DataFrame, path: str, batch_id: int) -> None:
+    """Both tables or neither: each batch has a folder of its own in each, and readers see it when its commit is written, last.
+
+    A retry overwrites what a failed try has left.
+    """
+    for name, df in zip(TABLES, (vectors, scores), strict=True):
+        df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+    spark = vectors.sparkSession
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("committed")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={batch_id}")
+
+
+def read_scored_windows(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The rows of a table whose batch is committed."""
+    commits = spark.read.parquet(f"{path}/commits").select("committed")
+    rows = spark.read.parquet(f"{path}/{table}")
+    return rows.join(commits, F.col("batch_id") == F.col("committed"), "left_semi").drop("batch_id")
 
 
 def write_baseline(snapshots: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,18 +56,22 @@ def triggers(obs: DataFrame, count: int = TRIGGER_COUNT, seconds: int = TRIGGER_
     """When each key is due: at its first row, then after ``count`` rows or ``seconds``, by the rows' own times.
 
     The count starts anew at each trigger. Rows of a micro-batch are taken in order of time; late ones count where they come.
+    Of a key's rows in a micro-batch the times alone are held (8 bytes each); the source's own limits bound a micro-batch.
     """
     gap = seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last = state.get if state.exists else (0, None)
-        times = sorted(t for batch in batches for t in batch["at"].tolist())
-        fired = []
-        for t in times:
-            n += 1
-            if last is None or n >= count or t - last >= gap:
-                fired.append((*key, t, n))
-                n, last = 0, t
+        times = np.sort(np.concatenate([batch["at"].to_numpy(np.int64) for batch in batches]))
+        fired, at = [], 0
+        while at < len(times):  # from one trigger to the next
+            due = at if last is None else min(at + max(count - n, 1) - 1, int(np.searchsorted(times, last + gap)))
+            due = max(due, at)
+            if due >= len(times):
+                n += len(times) - at
+                break
+            fired.append((*key, int(times[due]), n + due - at + 1))
+            n, last, at = 0, int(times[due]), due + 1
         state.update((n, last))
         yield pd.DataFrame(fired, columns=[*KEY, "fired_at", "rows"])
 
@@ -76,13 +81,17 @@ def triggers(obs: DataFrame, count: int = TRIGGER_COUNT, seconds: int = TRIGGER_
     return found.withColumn("fired_at", F.timestamp_micros("fired_at"))
 
 
-def persistence(scores: DataFrame) -> DataFrame:
+def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
     """As ``anomaly_persistence``, over a stream of ``window_start`` and ``score`` by key: what each window meets.
 
-    State is a count and when it last grew; 24 hours after that it counts as 0.
+    State is a count and when it last grew. A count of 0 needs no state, and 24 hours after it last grew a
+    count goes with its state, so idle keys hold none. Windows later than ``delay`` are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, grew = state.get if state.exists else (0, None)
         rows = pd.concat(list(batches)).sort_values("at")
         met = []
@@ -94,12 +103,17 @@ def persistence(scores: DataFrame) -> DataFrame:
                 count, grew = count + 1, at
             elif score < PERSIST_DOWN:
                 count = 0
-        state.update((count, grew))
+        ends = 0 if grew is None else (grew + DAY_US) // 1000
+        if count and ends > state.getCurrentWatermarkMs():
+            state.update((count, grew))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(met, columns=[*KEY, "at", "score", "persistence"])
 
-    rows = scores.select(*KEY, F.unix_micros("window_start").alias("at"), F.col("score").cast("double").alias("score"))
+    rows = scores.withWatermark("window_start", delay).select(*KEY, "window_start", F.unix_micros("window_start").alias("at"), F.col("score").cast("double").alias("score"))
     out = f"{KEY[0]} string, {KEY[1]} string, at long, score double, persistence long"
-    found = rows.groupBy(*KEY).applyInPandasWithState(step, out, "count long, grew long", "append", GroupStateTimeout.NoTimeout)
+    found = rows.groupBy(*KEY).applyInPandasWithState(step, out, "count long, grew long", "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(*KEY, F.timestamp_micros("at").alias("window_start"), "score", "persistence")
 
 
@@ -121,10 +135,15 @@ def replayed(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """What a stream gives until its source is used up, as a table in the shared folder."""
-    spark = stream.sparkSession
-    path = shared_folder(spark)
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """What a stream gives until its source is used up, as a table in the shared folder; ``folder`` goes on where a run before it ended."""
+    path = folder or shared_folder(stream.sparkSession)
+    drain(stream, path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def drain(stream: DataFrame, folder: str) -> int:
+    """Run a stream until its source is used up; how many rows were too late."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])

@@ -2,16 +2,18 @@
 
 import json
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from driftjobs.constants import MASKS
 from driftjobs.functions import confidence as conf
 from driftjobs.functions import stats
-from driftjobs.functions.payload import _canonicalize, _leaves, canonicalize, flatten_payload, mask_string, safe_json
-from driftjobs.functions.summary import alert_summary
+from driftjobs.functions.payload import _canonicalize, _leaves, _mask, canonicalize, flatten_payload, mask_string, read_payload, safe_json
+from driftjobs.functions.summary import alert_summary, describe_component
 
 
 def values(spark, *columns):
@@ -109,6 +111,37 @@ def test_masks(spark):
     assert [json.loads(x)["v"] for x in _canonicalize([json.dumps({"v": k}) for k in cases])["normalized"]] == list(cases.values())
 
 
+ODD_PARTS = ["12", "٣٤٥", "²", "é", "_", "a", "@", ".", "-", "+", "(", ")", " ", "\u00a0", "\u2003", "\n", "\r", "\u2028", "T", ":", "2024-01-01T00:00:00", "e\u0301", "eyJ", "550e8400-e29b-41d4-a716-446655440000", "10.0.0.1", "fe80:0:1", "x@y.zz"]
+
+
+def test_masks_are_the_same_in_the_jvm_and_in_python(spark):
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(ODD_PARTS) for _ in range(draw.randrange(1, 9))) for _ in range(4000)]
+    texts += [t + end for t in ("123456", "١٢٣٤٥٦", "a@b.c", "é@ü.ß", "10.0.0.1", "550e8400-e29b-41d4-a716-446655440000", "+1 555\u00a0123 45") for end in ("", "\n", "\r\n", "\u2028", "\n\n")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("m", mask_string(F.col("t")))
+    assert [r.m for r in df.orderBy("i").collect()] == [_mask(t) for t in texts]
+    assert {_mask(t) for t in texts} >= {mask for _, mask in MASKS if mask != "__JWT__"}
+
+
+def test_payloads_that_break_parsers(spark):
+    """Lone surrogates become U+FFFD; JSON that nests too deep is bad JSON; numbers count if they are finite doubles."""
+    deep = "[" * 200_000 + "]" * 200_000
+    texts = ['{"b":"\\ud800","k\\udfff":1}', deep, '{"a":' * 600 + "1" + "}" * 600, '{"a":' * 400 + "1" + "}" * 400, '{"n":1.5e308,"m":1e999,"o":1' + "0" * 400 + "}", '{"s":"' + "[" * 600 + '"}', '{"p":"\\ud83d\\ude00"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", flatten_payload("t").alias("f"), canonicalize("t").alias("c"), read_payload("t").alias("r")).orderBy("i").collect()
+    assert [(x.path, x.str) for x in rows[0].f if x.kind != "visit"] == [("b", "\ufffd"), ("k\ufffd", None)] and rows[0].c.normalized == '{"b":"\\ud800","k\\udfff":1}'
+    assert [r.f is None for r in rows] == [False, True, True, False, False, False, False] == [not r.r.parsed for r in rows]
+    assert {x.path: x.num for x in rows[4].f if x.kind != "visit"} == {"n": 1.5e308, "m": None, "o": None}
+    assert rows[5].f[1].len == 600 and rows[6].f[1].str == "😀"
+    assert [r.c.schema_hash for r in rows if r.r.is_object] == [r.r.schema_hash for r in rows if r.r.is_object] and rows[1].c.schema_hash == "74234e98afe7498f"
+
+
+def test_entropy_of_values(spark):
+    lists = [["a", "b", "a", None], [], ["x"] * 5, [str(i) for i in range(16)], [None, None]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, v array<string>").select("i", stats.shannon_entropy(F.col("v")).alias("e")).orderBy("i").collect()
+    assert [r.e for r in rows] == pytest.approx([1.5, 0, 0, 4, 0])
+
+
 def test_flattening():
     rows = _leaves({"a": {"b": 1}, "c": [{"d": None}, {"d": "x"}, 2.5, [1, 2]], "e": []})
     assert [(p, k) for p, k, *_ in rows] == [
@@ -130,6 +163,31 @@ def test_payload_columns(spark):
     assert rows[1].s == "{}" and rows[2].s == "{}" and rows[0].s == texts[0]
 
 
+def test_every_sentence_and_its_ties(spark):
+    """All seven formats, with numbers that lie on ties and just beside them, against Python's own formatting."""
+    draw = random.Random(9)
+    numbers = [0.25, 0.35, 0.15, 2.5, 0.125, 1.005, 0.00005, -0.04, 0.05, 99.95, 1e6 + 0.25, -2.25, 12345.67855]
+    kinds = {"null_rate_spike": "null rate increased", "field_disappeared": "field disappeared", "latency_shift": "latency shifted", "response_size_shift": "response size shifted", "enum_collapse": "enum distribution collapsed", "structural_change": "new field appeared", "schema_type_change": "field type changed", "status_code_shift": "error rate increased", "type_consistency_drop": "type consistency dropped"}
+    rows = [(i, "field.a.b.mean", draw.choice(list(kinds)), *(draw.choice(numbers) * draw.choice([1, 1, draw.random()]) for _ in range(4))) for i in range(600)]
+
+    def plain(_, name, kind, b, o, z, p):
+        head = f"a → b → mean: {kinds[kind]}"
+        return {
+            "null_rate_spike": f"{head} from {b:.1%} to {o:.1%} (z={z:.1f})",
+            "field_disappeared": f"{head} (was present {b:.0%} of the time)",
+            "latency_shift": f"{head} from {b:.1f} to {o:.1f} ({p:+.1f}%)",
+            "response_size_shift": f"{head} from {b:.1f} to {o:.1f} ({p:+.1f}%)",
+            "enum_collapse": f"{head} (JSD-based, z={z:.1f})",
+            "structural_change": f"{head} with {o:.0%} presence",
+            "schema_type_change": head,
+        }.get(kind, f"{head} (baseline={b:.4f}, observed={o:.4f}, z={z:.1f})")
+
+    names = ("i", "feature_name", "drift_type", "baseline_value", "observed_value", "deviation_z", "deviation_pct")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == 'i' else 'string' if n.endswith(('name', 'type')) else 'double'}" for n in names))
+    got = df.select("i", describe_component(F.struct(*names[1:])).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [plain(*r) for r in rows]
+
+
 def test_summary(spark):
     part = lambda name, kind, b, o, z, p: F.struct(L(name).alias("feature_name"), L(kind).alias("drift_type"), L(b).alias("baseline_value"), L(o).alias("observed_value"), L(z).alias("deviation_z"), L(p).alias("deviation_pct"))
     top = F.array(part("field.user.email.null_rate", "null_rate_spike", 0.02, 0.6, 9.04, 2900.0), part("latency.p95", "latency_shift", 200.0, 500.0, 5.0, 150.0), part("field.x", "field_disappeared", 0.9, 0.0, 5.0, -100.0))

@@ -5,11 +5,12 @@ import functools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftjobs.constants import KEY
-from driftjobs.jobs.batch import BY, decide, extract_features, recompute_baselines, replay, replay_summary, score_batch
+from driftjobs.jobs.batch import BY, decide, extract_features, recompute_baselines, replay, replay_summary, run_pipeline, score_batch
 from driftjobs.operators import alerts, baseline, drift, features, joins, windows
 from driftjobs.sources import io
 from driftjobs.streaming import streams
@@ -28,12 +29,20 @@ def observations(spark, n, start=T0, latency=120, payload=None, status=lambda i:
 
 def fields_of(spark, payloads):
     obs = observations(spark, len(payloads), payload=lambda i, r: payloads[i])
-    return {r.path: r for r in features.field_features(obs, BY).collect()}
+    return {r.path: r for r in field_vectors(obs).collect()}
+
+
+def field_vectors(obs, by=BY, **options):
+    return features.field_features(features.read_payloads(obs, by), by, **options)
+
+
+def response_vectors(obs, by=BY):
+    return features.response_features(obs, features.read_payloads(obs, by), by)
 
 
 def test_response_level(spark):
     obs = observations(spark, 100, status=lambda i: 200 if i < 80 else 404 if i < 90 else 500, hash_=lambda i: f"h{i % 16}")
-    row = features.response_features(obs, BY).first()
+    row = response_vectors(obs, BY).first()
     assert row.status_codes == {"200": 0.8, "404": 0.1, "500": 0.1} and row.sample_count == 100
     assert features.payload_entropy(observations(spark, 96, hash_=lambda i: f"h{i % 16}"), BY).first().payload_entropy == 4.0
     assert row.schema_version == f"v:{row.schema_hash[:8]}"
@@ -45,9 +54,9 @@ def test_response_level(spark):
 
 def test_empty_columns(spark):
     obs = observations(spark, 3).withColumns({c: F.lit(None).cast(t) for c, t in (("latency_ms", "int"), ("response_size_bytes", "int"), ("payload_hash", "string"), ("payload_sample", "string"), ("status_code", "int"))})
-    row = features.response_features(obs, BY).first()
+    row = response_vectors(obs, BY).first()
     assert (row.p95, row.mean, row.std, row.size_p95, row.payload_entropy, row.status_codes, row.schema_hash) == (0, 0, 0, 0, 0, {}, None)
-    assert features.field_features(obs, BY).count() == 0
+    assert field_vectors(obs).count() == 0
 
 
 def test_field_types(spark):
@@ -67,8 +76,8 @@ def test_enum_threshold_and_ties(spark):
 
 def test_field_cap(spark):
     obs = observations(spark, 2, payload=lambda i, r: {f"k{j:03d}": 1 for j in range(600 if i else 550)})
-    assert features.field_features(obs, BY).count() == 500
-    assert features.field_features(obs, BY, most=10).select("path").orderBy("path").first().path == "k000"
+    assert field_vectors(obs).count() == 500
+    assert field_vectors(obs, most=10).select("path").orderBy("path").first().path == "k000"
 
 
 def test_chunks_and_numbering(spark):
@@ -97,10 +106,16 @@ def test_persistence_stream_equals_batch(spark):
 
 
 def test_asof_join(spark):
-    left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5)], "k string, t int")
-    right = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("a", 6, "z")], "k string, u int, v string")
-    rows = {(r.k, r.t): r.v for r in joins.asof_join(left, right, ["k"], "t", "u", ["v"]).collect()}
-    assert rows == {("a", 1): "x", ("a", 5): "y", ("b", 5): None}
+    draw = random.Random(3)
+    hour = lambda h: None if h is None else T0 + dt.timedelta(hours=h)
+    left = [(i, draw.choice(["a", "b", "c", None]), draw.choice([None, *range(0, 200, 7)])) for i in range(300)]
+    right = [(draw.choice(["a", "b", None]), h, f"v{h}") for h in [None, *draw.sample(range(0, 220), 40)]]
+    rows = joins.asof_join(
+        spark.createDataFrame([(i, k, hour(h)) for i, k, h in left], "i int, k string, t timestamp"),
+        spark.createDataFrame([(k, hour(h), v) for k, h, v in right], "k string, u timestamp, v string"), ["k"], "t", "u", ["v"],
+    )
+    best = lambda k, h: max(((u, v) for own, u, v in right if own == k and k is not None and u is not None and h is not None and u <= h), default=(None, None))[1]
+    assert {r.i: r.v for r in rows.collect()} == {i: best(k, h) for i, k, h in left} and rows.count() == 300
 
 
 def built(spark, before, after):
@@ -155,7 +170,7 @@ def test_weighted_score(spark, parts, expected):
 def test_baseline_weights(spark):
     days = [observations(spark, n, start=T0 + dt.timedelta(days=d), latency=lat) for d, (n, lat) in enumerate([(100, 100), (100, 200)])]
     obs = days[0].union(days[1])
-    vectors = windows.baseline_vectors(features.response_features(obs, BY), F.lit(T0 + dt.timedelta(days=2)).cast("timestamp"))
+    vectors = windows.baseline_vectors(response_vectors(obs, BY), F.lit(T0 + dt.timedelta(days=2)).cast("timestamp"))
     means = {r.age: r.mean for r in vectors.collect()}
     row = baseline.baseline_response(baseline.weighted_vectors(vectors)).first()
     assert row.mean == pytest.approx((means[0] + 0.9 * means[1]) / 1.9) and (row.sample_count, row.maturity_state) == (200, "learning")
@@ -164,8 +179,8 @@ def test_baseline_weights(spark):
 def test_replay_and_decision(spark):
     past = observations(spark, 300).drop("window_start").withColumn("window_start", F.lit(T0).cast("timestamp"))
     by = ["endpoint_id", "window_start"]
-    vectors = windows.baseline_vectors(features.response_features(past, by), F.lit(LATER).cast("timestamp"), by=["endpoint_id"])
-    base, base_fields = baseline.compute_baseline(vectors, features.field_features(past, by), ["endpoint_id"])
+    vectors = windows.baseline_vectors(response_vectors(past, by), F.lit(LATER).cast("timestamp"), by=["endpoint_id"])
+    base, base_fields = baseline.compute_baseline(vectors, field_vectors(past, by), ["endpoint_id"])
     rows = replay(observations(spark, 250, start=LATER).drop("window_start"), base, base_fields, F.lit(LATER).cast("timestamp"))
     assert sorted(r.sample_count for r in rows.collect()) == [50, 100, 100]
     summary = replay_summary(rows).first()
@@ -189,8 +204,9 @@ def test_sources(spark, tmp_path):
     assert [r.segmentation_key for r in io.parse_envelopes(rows).collect()] == ["default"]
     assert sorted(r.reason for r in bad.collect()) == ["no endpoint", "not JSON", "not JSON"]
     for batch in (0, 0):
-        io.write_scored_windows(rows, rows, {"feature_vectors": f"{tmp_path}/f", "drift_scores": f"{tmp_path}/d"}, batch)
-    assert spark.read.parquet(f"{tmp_path}/f").count() == 1
+        io.write_scored_windows(rows, rows, f"{tmp_path}/w", batch)
+    rows.write.parquet(f"{tmp_path}/w/feature_vectors/batch_id=1")  # a batch that failed before its scores
+    assert [io.read_scored_windows(spark, f"{tmp_path}/w", t).count() for t in io.TABLES] == [1, 1]
     snaps = spark.createDataFrame([("e", "s", T0, 1), ("e", "s", LATER, 2)], "endpoint_id string, segmentation_key string, time timestamp, n int")
     io.write_baseline(snaps, f"{tmp_path}/b")
     assert [(r.n, r.is_active) for r in io.read_baselines(spark, f"{tmp_path}/b").orderBy("n").collect()] == [(1, False), (2, True)]
@@ -203,17 +219,102 @@ def test_alert_tables(spark):
     at = lambda *hours: [T0 + dt.timedelta(hours=h) for h in hours]
     rows = spark.createDataFrame([(str(i), "e", "o", "latency_shift", "high", t) for i, t in enumerate(at(0, 0.5, 2, 30))], "id string, endpoint_id string, org_id string, alert_type string, severity string, created_at timestamp")
     assert [r.id for r in alerts.dedup_alerts(rows).orderBy("id").collect()] == ["0", "2", "3"]
+    chain = spark.createDataFrame([(f"{kind}{i}", kind, t) for kind in "ab" for i, t in enumerate(at(*[k * 2 / 3 for k in range(5)]))], "id string, kind string, created_at timestamp")
+    assert [r.id for r in alerts.dedup_alerts(chain, 3600, ["kind"]).orderBy("id").collect()] == ["a0", "a2", "a4", "b0", "b2", "b4"]  # every 40 minutes
     quiet = spark.createDataFrame([("e", *at(0.5, 2))], "endpoint_id string, starts_at timestamp, ends_at timestamp")
     assert [r.id for r in alerts.suppress_alerts(rows, quiet).orderBy("id").collect()] == ["0", "3"]
     channels = spark.createDataFrame([("o", "a", "pagerduty", True), ("o", "b", "slack", True), ("o", "c", "slack", False)], "org_id string, name string, type string, is_active boolean")
     assert sorted({(r.channel, r.channel_severity) for r in alerts.route_alerts(rows, channels).collect()}) == [("a", "error"), ("b", "high")]
 
 
-def test_baseline_requests(spark):
-    obs = observations(spark, 200)
-    responses, fields = features.response_features(obs, BY), features.field_features(obs, BY)
+def test_baseline_requests(spark, tmp_path):
+    """A stream of requests: what a batch names is recomputed, blank endpoints and keys without vectors give nothing."""
+    responses, fields = extract_features(observations(spark, 200))
     got = []
     run = streams.recompute_requested(responses, fields, F.lit(LATER).cast("timestamp"), lambda base, _, batch: got.append((batch, base.count())))
     requests = spark.createDataFrame([("ep", "default"), ("ep", "default"), ("", "default"), ("other", "default")], "endpoint_id string, segmentation_key string")
-    run(requests, 4)
-    assert got == [(4, 1)] and set(KEY) <= set(responses.columns)
+    requests.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in")
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert got == [(0, 1)] and set(KEY) <= set(responses.columns)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    """Envelopes as a stream of text: a row after its window's close is dropped, one before it counts."""
+    line = lambda i, minute: json.dumps({"event_id": str(i), "timestamp": (T0 + dt.timedelta(minutes=minute)).isoformat() + "Z", "payload": {"endpoint_id": "e", "request_id": str(i), "latency_ms": 5, "status_code": 200}})
+    stream = lambda: streams.stream_features(streams.read_observation_stream(spark, "text", {"path": f"{tmp_path}/in"}))
+    late = []
+    for batch in ([1, 2, 14, 29], [16, 45], [3, 46], [90]):
+        spark.createDataFrame([(line(100 * len(late) + m, m),) for m in batch], "value string").coalesce(1).write.mode("append").text(f"{tmp_path}/in")
+        late.append(streams.drain(stream(), f"{tmp_path}/run"))
+    assert late == [0, 0, 1, 0]
+    rows = spark.read.parquet(f"{tmp_path}/run/out").orderBy("window_start").collect()
+    assert [(r.window_start.minute, r.sample_count) for r in rows] == [(0, 3), (15, 2), (45, 2)]
+
+
+def test_persistence_state_goes_after_a_day(spark, tmp_path):
+    draw = random.Random(5)
+    scores = [(h, draw.choice([1.0, 3.0, 5.0])) for h in range(0, 400, 3)]
+    df, batch = persistence_of(spark, scores)
+    for k in range(0, len(scores), 45):  # four runs, in order of time
+        part = df.where(F.col("window_start").between(F.lit(T0 + dt.timedelta(hours=scores[k][0])), F.lit(T0 + dt.timedelta(hours=scores[min(k + 44, len(scores) - 1)][0]))))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = streams.drained(streams.persistence(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/run")
+    assert [r.persistence for r in out.orderBy("window_start").collect()] == batch
+    far = spark.createDataFrame([("other", "d", T0 + dt.timedelta(days=90), 1.0)], df.schema)
+    for day in (0, 1):
+        far.withColumn("window_start", F.col("window_start") + F.make_dt_interval(F.lit(day))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.drain(streams.persistence(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/run")
+    assert spark.read.format("statestore").load(f"{tmp_path}/run/state").count() == 0
+
+
+def test_six_detectors_by_hand(spark):
+    """Size, schema hash, type consistency and presence on small vectors, just over and just under what makes them fire."""
+    cases = {"size": ({"size_mean": 1300.0}, {"size_mean": 1000.0, "size_std": 100.0}, (3.0, 30.0)), "calm": ({"size_mean": 1190.0}, {"size_mean": 1000.0, "size_std": 100.0}, None), "hash": ({"schema_hash": "b"}, {"schema_hash": "a"}, (4.0, 100.0)), "same": ({"schema_hash": "a"}, {"schema_hash": "a"}, None), "none": ({"schema_hash": "a"}, {"schema_hash": None}, None)}
+    level = {"p95": 0.0, "mean": 0.0, "std": 0.0, "size_mean": 0.0, "size_std": 0.0, "payload_entropy": 0.0, "schema_hash": None}
+    kind = "struct<" + ",".join(f"{k}:{'string' if k == 'schema_hash' else 'double'}" for k in level) + ">"
+    rows = spark.createDataFrame([(k, tuple((level | c).values()), tuple((level | b).values())) for k, (c, b, _) in cases.items()], f"k string, c {kind}, b {kind}")
+    got = {r.k: (r.deviation_z, r.deviation_pct) for r in drift.response_components(rows, ["k"]).collect()}
+    assert got == {k: x for k, (*_, x) in cases.items() if x}
+    field = {"presence_rate": 1.0, "null_rate": 0.0, "type_consistency": 1.0, "dominant_type": "string", "mean": None, "std": None, "vocabulary_size": None, "vocabulary_entropy": None, "enum_distribution": None}
+    cases = {
+        "mixed": ({"type_consistency": 0.9}, {}, ("type_consistency_drop", 10.0)), "steady": ({"type_consistency": 0.95}, {}, None), "loose": ({"type_consistency": 0.5}, {"type_consistency": 0.95}, None),
+        "rare": ({"presence_rate": 0.5}, {"presence_rate": 0.8}, ("presence_rate_drop", -7.5)), "seldom": ({"presence_rate": 0.1}, {"presence_rate": 0.5}, None), "typed": ({"dominant_type": "number"}, {}, ("schema_type_change", 5.0)), "null": ({"dominant_type": "null"}, {}, None),
+    }
+    kind = "struct<presence_rate:double,null_rate:double,type_consistency:double,dominant_type:string,mean:double,std:double,vocabulary_size:int,vocabulary_entropy:double,enum_distribution:map<string,double>>"
+    rows = spark.createDataFrame([(k, k, 100, tuple((field | c).values()), tuple((field | b).values())) for k, (c, b, _) in cases.items()], f"k string, path string, sample_count int, c {kind}, b {kind}")
+    got = {r.k: (r.drift_type, r.deviation_z) for r in drift.field_components(rows, ["k"]).collect()}
+    assert got == {k: x for k, (*_, x) in cases.items() if x}
+
+
+def test_events_hold_the_contract(spark):
+    found = "array<struct<place:int,feature_name:string,drift_type:string,baseline_value:double,observed_value:double,deviation_z:double,deviation_pct:double,weight:double>>"
+    schema = f"endpoint_id string, segmentation_key string, window_start timestamp, score double, severity string, alert_type string, confidence_score double, confidence_level string, alert_triggered boolean, baseline_time timestamp, model_version string, summary string, found {found}"
+    part = (1, "latency.p95", "latency_shift", 1.0, 2.0, 5.0, 100.0, 0.8)
+    rows = spark.createDataFrame([("e", "s", T0, 5.1234, "medium", "latency_shift", 0.85, "high", True, T0, "1.0.0", "text", [part]), ("e", "s", T0, 2.0, None, None, None, None, True, None, "1.0.0", "text", None), ("e", "s", T0, 9.0, None, None, None, None, False, None, "1.0.0", "text", None)], schema)
+    events = alerts.to_drift_events(rows.withColumn("org_id", F.lit("org")))
+    first, second = events.orderBy(F.desc("drift_score")).collect()
+    assert set(events.columns) == {"endpoint_id", "segmentation_key", "org_id", "project_id", "drift_score", "confidence_score", "confidence_state", "severity", "alert_type", "model_version", "timestamp", "baseline_snapshot_time", "summary", "components"} and {t for _, t in events.dtypes} == {"string"}
+    assert (first.drift_score, first.confidence_score, first.confidence_state, first.org_id, first.project_id) == ("5.1234", "0.85", "high", "org", "")
+    assert json.loads(first.components) == [dict(zip(alerts.PARTS, part[1:], strict=True))]
+    assert (second.severity, second.alert_type, second.baseline_snapshot_time, second.components, second.confidence_state) == ("low", "behavioral_drift", "", "[]", "low")
+    assert [r.asDict() for r in alerts.drift_feed(events).where("severity = 'medium'").collect()] == [{"endpoint_id": "e", "drift_score": 5.1234, "severity": "medium", "alert_type": "latency_shift", "confidence": "high", "timestamp": "2024-01-01 00:00:00"}]
+    assert alerts.alert_feed(events).columns == ["endpoint_id", "drift_score", "severity", "alert_type", "summary", "timestamp"] and alerts.alert_feed(events).count() == 0
+
+
+def test_quantiles_and_lists(spark):
+    draw = random.Random(2)
+    values = {k: [draw.choice([None, 1.5, 2, draw.randrange(50)]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 57), ("d", 400))} | {"none": [None]}
+    df = spark.createDataFrame([(k, float(v) if v is not None else None) for k, own in values.items() for v in own], "k string, v double")
+    got = {r.k: r.q for r in features.quantiles(df, ["k"], "v", (0.0, 0.25, 0.5, 0.99, 1.0)).collect()}
+    own = {k: [v for v in x if v is not None] for k, x in values.items()}
+    assert got == {k: pytest.approx(np.quantile(v, (0.0, 0.25, 0.5, 0.99, 1.0)).tolist()) for k, v in own.items() if v}
+    f = fields_of(spark, [{"grid": [[1] * (i % 4), [2, 3]]} for i in range(20)])["grid[]"]
+    lengths = [n for i in range(20) for n in (i % 4, 2)]
+    assert (f.dominant_type, f.mean, f.vocabulary_size) == ("array", None, None) and f.mean_length == pytest.approx(np.mean(lengths)) and f.std_length == pytest.approx(np.std(lengths, ddof=1), abs=1e-6)
+
+
+def test_a_cap_that_is_given_is_kept(spark, monkeypatch):
+    obs = observations(spark, 1500, step=0).drop("window_start")
+    split, now = F.lit(T0).cast("timestamp"), F.lit(LATER).cast("timestamp")
+    assert [run_pipeline(obs, split, now, max_per_window=n).first().sample_count for n in (None, 1200, 100)] == [1500, 1200, 100]

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from driftjobs.constants import DRIFT_WEIGHTS
 from driftjobs.jobs.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -17,6 +18,7 @@ CHOSEN = (
     "a2_status_distribution", "a5_schema_hash", "a6_field_features", "b4_baseline_fields", "s5_endpoint_maturity", "j1b_baseline_asof", "j2_latest_deployment",
     "f7_confidence", "f9_decisions", "f11_divergences", "f14_test_statistics", "flagship_scored_windows", "c3_replay_windows", "n2_masked_tokens", "n4_payload_hashes",
     "d1_ingestion_metrics", "d2_suppressed_alerts", "d3_distinct_alerts", "x1_triggers", "x3_stream_features", "x4_stream_persistence", "x7_stream_distinct",
+    "x_drift_components", "s6_drift_events", "p5_alert_feed", "g1_alert_summaries", "c3_replay_scores", "c3_replay_summary", "a1b_latency_approx", "f17_shannon_entropy", "p9_finite_only", "s2_envelope_stream",
 )
 
 
@@ -47,6 +49,12 @@ def test_query_equals_sql(spark, tables, name):
     assert ours and ours == theirs
 
 
+def test_every_detector_fires(tables):
+    """In the data that the queries are compared on."""
+    fired = tables.execute(f"SELECT DISTINCT drift_type, split_part(feature_name, '.', 1) = 'payload' FROM ({ORACLE_SQL['x_drift_components']})").fetchall()
+    assert {kind for kind, _ in fired} == set(DRIFT_WEIGHTS) and ("structural_change", True) in fired and ("structural_change", False) in fired
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns[:3] == ["endpoint_id", "segmentation_key", "day"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
