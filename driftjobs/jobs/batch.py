@@ -21,7 +21,7 @@ BY = (*KEY, "window_start")
 def extract_features(obs: DataFrame, by: Sequence[str] = BY) -> tuple[DataFrame, DataFrame]:
     """Response-level and field vectors of rows that have the key columns of their window, written for the steps that read them."""
     payloads = read_payloads(obs, by)
-    vectors = written(response_features(obs, payloads, by)), written(field_features(payloads, by))
+    vectors = written(response_features(obs, by, payloads)), written(field_features(payloads, by))
     discard(payloads)
     return vectors
 

@@ -194,7 +194,7 @@ CONTENT = _keyed({"amount": "coalesce(json_extract_string(payload_sample, '$.amo
 
 @query(f"WITH {O}, s AS (SELECT {K}, day, sha256({SKELETON})[1:16] AS h, row_number() OVER (PARTITION BY {K}, day ORDER BY time DESC, request_id) AS r FROM o WHERE payload_sample IS NOT NULL) SELECT {K}, day, h AS schema_hash, concat('v:', h[1:8]) AS schema_version FROM s WHERE r = 1")
 def a5_schema_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.window_schema_hash(features.read_payloads(_days(spark, sf_dir), BY), BY).select(*KEY, _day(), "schema_hash", "schema_version")
+    return features.window_schema_hash(features.hashed_payloads(_days(spark, sf_dir), BY), BY).select(*KEY, _day(), "schema_hash", "schema_version")
 
 
 @query(f"WITH {O}, {LV}, {VOC}, {FLD} SELECT {K}, day, path, dominant_type, vocabulary_size, {", ".join(FIELD_COLUMNS)} FROM fld")
@@ -226,10 +226,22 @@ def a14_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Baselines.
 
 
-def _vectors(spark: SparkSession, sf_dir: str, days: int = 30) -> tuple[DataFrame, DataFrame]:
-    obs = _days(spark, sf_dir).where(F.col("time") < F.lit(SPLIT).cast("timestamp"))
-    responses, fields = extract_features(obs)
-    return windows.baseline_vectors(responses, F.lit(SPLIT).cast("timestamp"), days), fields
+def _before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(spark, sf_dir).where(F.col("time") < F.lit(SPLIT).cast("timestamp"))
+
+
+def _chosen(responses: DataFrame) -> DataFrame:
+    return baseline.weighted_vectors(windows.baseline_vectors(responses, F.lit(SPLIT).cast("timestamp"), 30))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted response-level vectors of the baselines as of the split."""
+    return _chosen(features.response_features(_before(spark, sf_dir), BY))
+
+
+def _field_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses, fields = extract_features(_before(spark, sf_dir))
+    return baseline.baseline_fields(fields, _chosen(responses))
 
 
 VEC = f"vec AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY day DESC) - 1 AS age, sample_count * pow(0.9, row_number() OVER (PARTITION BY {K} ORDER BY day DESC) - 1) AS c FROM resp LEFT JOIN ent USING ({K}, day) WHERE day < '2024-01-21')"
@@ -255,7 +267,7 @@ def w3_baseline_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b1_ewma_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = baseline.weighted_vectors(_vectors(spark, sf_dir)[0])
+    rows = _vectors(spark, sf_dir)
     return rows.select(*KEY, _day(), F.round(F.col("c") / F.sum("c").over(Window.partitionBy(*KEY)), 4).alias("weight"))
 
 
@@ -265,26 +277,24 @@ LOOK_BACK = "CASE WHEN sample_count <= 99 THEN 0 WHEN sample_count <= 999 THEN 3
 
 @query(f"WITH {O}, {RESP}, {ENT}, {STAT}, {VEC}, {BASE} SELECT {K}, {_rs(*RESPONSE_COLUMNS)}, payload_entropy, CAST(sample_count AS BIGINT) AS sample_count, {MATURITY} AS maturity_state, {LOOK_BACK} AS window_days FROM base")
 def b2_baseline_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baseline.baseline_response(baseline.weighted_vectors(_vectors(spark, sf_dir)[0]))
+    rows = baseline.baseline_response(_vectors(spark, sf_dir))
     return rows.select(*KEY, *_r(*RESPONSE_COLUMNS), "payload_entropy", "sample_count", "maturity_state", "window_days")
 
 
 @query(f"WITH {O}, {RESP}, {ENT}, {STAT}, {VEC}, {BASE} SELECT {K}, code, rate FROM bstat")
 def b3_baseline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.baseline_status(baseline.weighted_vectors(_vectors(spark, sf_dir)[0])).select(*KEY, "code", "rate")
+    return baseline.baseline_status(_vectors(spark, sf_dir)).select(*KEY, "code", "rate")
 
 
 @query(f"WITH {O}, {RESP}, {ENT}, {STAT}, {VEC}, {BASE}, {LV}, {VOC}, {FLD}, {BFLD} SELECT {K}, path, dominant_type, vocabulary_size, {", ".join(FIELD_COLUMNS)} FROM bfld")
 def b4_baseline_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, fields = _vectors(spark, sf_dir)
-    rows = baseline.baseline_fields(fields, baseline.weighted_vectors(vectors))
+    rows = _field_baselines(spark, sf_dir)
     return rows.select(*KEY, "path", "dominant_type", F.col("vocabulary_size").cast("long"), *FIELD_COLUMNS)
 
 
 @query(f"WITH {O}, {RESP}, {ENT}, {STAT}, {VEC}, {BASE}, {LV}, {VOC}, {FLD}, {BFLD} SELECT {K}, path, value, share FROM benu")
 def b7_baseline_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, fields = _vectors(spark, sf_dir)
-    rows = baseline.baseline_fields(fields, baseline.weighted_vectors(vectors))
+    rows = _field_baselines(spark, sf_dir)
     return rows.select(*KEY, "path", F.explode("enum_distribution").alias("value", "share"))
 
 
@@ -360,7 +370,7 @@ def f11_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _days(spark, sf_dir)
     nested = lambda df, by, name: df.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "rate")))).alias(name))
     seen = nested(features.status_distribution(obs, BY), BY, "q")
-    base = nested(baseline.baseline_status(baseline.weighted_vectors(_vectors(spark, sf_dir)[0])), KEY, "p")
+    base = nested(baseline.baseline_status(_vectors(spark, sf_dir)), KEY, "p")
     p, q = F.col("p"), F.col("q")
     rows = seen.join(base, list(KEY))
     values = {"jsd": stats.jensen_shannon_divergence(p, q), "kl": stats.kl_divergence(p, q), "psi": stats.population_stability_index(p, q)}
@@ -375,7 +385,7 @@ PCT = "CASE WHEN abs({b}) < 1e-10 THEN CASE WHEN abs({o}) < 1e-10 THEN 0 ELSE 10
 @query(f"{_BASIS} SELECT {K}, day, code, round({PROP_Z.format(o='stat.rate', b='coalesce(bstat.rate, 0)', n='sample_count')}, 4) + 0.0 AS z, round({PCT.format(o='stat.rate', b='coalesce(bstat.rate, 0)')}, 4) + 0.0 AS pct, round({RATE_Z.format(o='resp.mean', b='base.mean', s='base.std')}, 4) + 0.0 AS mean_z, round(greatest(-10, least(10, {RATE_Z.format(o='resp.p95', b='base.p95', s='base.std')})), 4) + 0.0 AS p95_z FROM stat JOIN resp USING ({K}, day) JOIN (SELECT {K}, mean, std, p95 FROM base) base USING ({K}) LEFT JOIN bstat USING ({K}, code)")
 def f14_test_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _days(spark, sf_dir)
-    vectors = baseline.weighted_vectors(_vectors(spark, sf_dir)[0])
+    vectors = _vectors(spark, sf_dir)
     base = baseline.baseline_response(vectors).select(*KEY, F.col("mean").alias("b_mean"), F.col("std").alias("b_std"), F.col("p95").alias("b_p95"))
     codes = baseline.baseline_status(vectors).withColumnRenamed("rate", "b_rate")
     rows = features.status_distribution(obs, BY).join(features.response_stats(obs, BY), list(BY)).join(base, list(KEY)).join(codes, [*KEY, "code"], "left")

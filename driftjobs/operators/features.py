@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftjobs.constants import MAX_ENUM, MAX_FIELDS, MAX_VOCABULARY
-from driftjobs.functions.payload import read_payload
+from driftjobs.functions.payload import canonicalize, read_payload
 from driftjobs.sources.io import written
 
 LATENCY_QUANTILES = (0.5, 0.95, 0.99)
@@ -85,6 +85,12 @@ def read_payloads(obs: DataFrame, by: Sequence[str]) -> DataFrame:
     return written(obs.where("payload_sample is not null").select(*by, "time", "request_id", read_payload("payload_sample").alias("p")).select(*by, "time", "request_id", "p.*"))
 
 
+def hashed_payloads(obs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of each payload only what ``window_schema_hash`` needs; nothing is written."""
+    hashed = obs.where("payload_sample is not null").select(*by, "time", "request_id", canonicalize("payload_sample").alias("c"))
+    return hashed.select(*by, "time", "request_id", "c.is_object", "c.schema_hash")
+
+
 def window_schema_hash(payloads: DataFrame, by: Sequence[str]) -> DataFrame:
     """Hash of the types of the newest payload that is an object, and its short version."""
     order = F.struct(-F.unix_micros("time"), "request_id")
@@ -173,8 +179,9 @@ def string_vocabulary(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
     return sums.drop("words", "total").join(shares, [*by, "path"], "left")
 
 
-def response_features(obs: DataFrame, payloads: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The response-level vector of each window, status shares as a map."""
+def response_features(obs: DataFrame, by: Sequence[str], payloads: DataFrame | None = None) -> DataFrame:
+    """The response-level vector of each window, status shares as a map. ``payloads`` are those of ``read_payloads``, if they are at hand."""
+    payloads = hashed_payloads(obs, by) if payloads is None else payloads
     codes = status_distribution(obs, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "rate")))).alias("status_codes"))
     rows = response_stats(obs, by).join(codes, list(by), "left").join(payload_entropy(obs, by), list(by), "left").join(window_schema_hash(payloads, by), list(by), "left")
     empty = F.create_map().cast("map<string,double>")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftjobs.constants import KEY
+from driftjobs.constants import KEY, RETENTION_DAYS
 from driftjobs.operators.joins import with_active
 from driftjobs.operators.windows import latest, newest, tumbling_windows
 
@@ -111,7 +111,9 @@ def partition_by_day(df: DataFrame, time: str = "time", by: Sequence[str] = KEY)
     return dated.repartition("date", *by).sortWithinPartitions(*by, F.col(time).desc())
 
 
-def apply_retention(df: DataFrame, days: int, as_of: Column, time: str = "time") -> DataFrame:
+def apply_retention(df: DataFrame, keep: int | str, as_of: Column, time: str = "time") -> DataFrame:
+    """Rows of the last ``keep`` days; a name stands for the days that its table is kept (RETENTION_DAYS)."""
+    days = RETENTION_DAYS[keep] if isinstance(keep, str) else keep
     return df.where(F.col(time) >= as_of - F.make_dt_interval(F.lit(days)))
 
 

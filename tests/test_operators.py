@@ -37,7 +37,9 @@ def field_vectors(obs, by=BY, **options):
 
 
 def response_vectors(obs, by=BY):
-    return features.response_features(obs, features.read_payloads(obs, by), by)
+    own = features.response_features(obs, by)
+    assert sorted(map(repr, own.collect())) == sorted(map(repr, features.response_features(obs, by, features.read_payloads(obs, by)).collect()))
+    return own
 
 
 def test_response_level(spark):
@@ -211,10 +213,38 @@ def test_sources(spark, tmp_path):
     io.write_baseline(snaps, f"{tmp_path}/b")
     assert [(r.n, r.is_active) for r in io.read_baselines(spark, f"{tmp_path}/b").orderBy("n").collect()] == [(1, False), (2, True)]
     obs = observations(spark, 5)
+    both = obs.union(observations(spark, 3, start=LATER))
+    io.partition_by_day(both).write.partitionBy("date").parquet(f"{tmp_path}/days")
+    laid = spark.read.parquet(f"{tmp_path}/days").where(F.col("date") == F.lit(LATER.date()))
+    assert laid.count() == 3 and len(laid.inputFiles()) == 2 and "PartitionFilters: [isnotnull(date" in laid._jdf.queryExecution().executedPlan().toString()
+    as_of = F.lit(T0 + dt.timedelta(days=90, minutes=2)).cast("timestamp")
+    assert io.apply_retention(both, "observations", as_of).count() == 6 and io.apply_retention(both, 1000, as_of).count() == 8
+    with pytest.raises(KeyError):
+        io.apply_retention(both, "no such table", as_of)
     inside = io.read_observations(obs, F.lit(T0).cast("timestamp"), F.lit(T0 + dt.timedelta(minutes=2)).cast("timestamp"))
     assert inside.count() == 3 and io.read_observations(obs, F.lit(T0).cast("timestamp"), F.lit(LATER).cast("timestamp"), 2).count() == 2
 
 
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        applicationId = "app"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        Context.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            io.shared_folder(Session)
+    for master in ("local", "local[8]", "local[*]"):
+        Context.master = master
+        assert io.shared_folder(Session) != io.shared_folder(Session)
+
+
 def test_alert_tables(spark):
     at = lambda *hours: [T0 + dt.timedelta(hours=h) for h in hours]
     rows = spark.createDataFrame([(str(i), "e", "o", "latency_shift", "high", t) for i, t in enumerate(at(0, 0.5, 2, 30))], "id string, endpoint_id string, org_id string, alert_type string, severity string, created_at timestamp")
