@@ -194,15 +194,20 @@ def identify_languages(
     right, wrong = float(np.log(DECLARED_RIGHT)), float(np.log((1 - DECLARED_RIGHT) / max(1, len(languages) - 1)))
     told = F.transform(parts, lambda x: F.when(~F.array_contains(parts, F.coalesce("__said", F.lit(""))), 0.0).when(x == F.col("__said"), right).otherwise(wrong))
     fits = F.when(F.size("__scores") > 1, F.transform(likely, lambda x: x * F.least(F.element_at("__scores", 1), F.lit(EVIDENCE)))).otherwise(none)
-    placed = placed.withColumns({"__priors": priors, "__told": told, "__fits": fits})
-    logs = F.transform(F.arrays_zip("__priors", "__told", "__fits"), lambda x: F.ln(x["__priors"]) + x["__told"] + x["__fits"])
-    summed = placed.withColumn("__logs", logs).withColumn("__top", F.array_max("__logs"))
-    mass = F.aggregate("__logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("__top")))
-    named = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("__logs", F.col("__top")).cast("int"))
-    out = summed.withColumns({"language": named, "posterior": 1 / mass})
+    logs = F.transform(F.arrays_zip(priors.alias("p"), told.alias("d"), fits.alias("f")), lambda x: F.ln(x["p"]) + x["d"] + x["f"])
     fits_best = (F.size("__scores") > 1) & (F.array_max(likely) > NOISE)
-    out = out.withColumn("accepted", fits_best & (F.col("posterior") >= MIN_POSTERIOR))
-    return out.drop("__scores", "__host", "__suffix", "__said", "__place", "__n", "__m", "__g", "__priors", "__told", "__fits", "__logs", "__top")
+    names = F.array(*[F.lit(x) for x in languages])
+
+    def judge(x: F.Column) -> F.Column:
+        posterior = 1 / F.aggregate(x["logs"], F.lit(0.0), lambda acc, y: acc + F.exp(y - x["top"]))
+        named = F.element_at(names, F.array_position(x["logs"], x["top"]).cast("int"))
+        return F.struct(named.alias("language"), posterior.alias("posterior"), (x["fits"] & (posterior >= MIN_POSTERIOR)).alias("accepted"))
+
+    # Lambdas over arrays of one element: each value is made once, also where a filter on the result is pushed down.
+    with_top = F.transform(F.array(logs), lambda x: F.struct(x.alias("logs"), F.array_max(x).alias("top"), fits_best.alias("fits")))
+    out = placed.withColumn("__judged", F.element_at(F.transform(with_top, judge), 1))
+    out = out.withColumns({c: F.col(f"__judged.{c}") for c in ("language", "posterior", "accepted")})
+    return out.drop("__scores", "__host", "__suffix", "__said", "__place", "__n", "__m", "__g", "__judged")
 
 
 MARKUP = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"

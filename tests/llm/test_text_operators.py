@@ -23,7 +23,7 @@ from driftjobs.llm.mixing import mix_sources, poisson_steps, steps_below
 from driftjobs.llm.passages import strip_passages, words_of
 from driftjobs.llm.pieces import PieceModel, marked_words, model_bytes
 from driftjobs.llm.secrets import redact, scan, scan_secrets
-from driftjobs.llm.sentence_pieces import WordEncoder, encode_pieces
+from driftjobs.llm.sentence_pieces import WordEncoder, decoded, encode_pieces
 from driftjobs.llm.simhash import drop_simhash_copies, simhash, simhash_groups
 from driftjobs.llm.token_counts import token_counts
 from driftjobs.llm.toxicity import BUCKETS, TagModel, chain_chances, chains_of, document_stats, features, marginals, score_toxicity, train
@@ -50,6 +50,8 @@ def test_tokens_and_pieces_equal_the_library(spark, docs_of):
         assert counted[i].n_tokens == len(ids) and counted[i].over_limit == (len(ids) > 5) and counted[i].n_bytes == len((t or "").encode())
         assert list(encoded[i].piece_ids) == ids and encoded[i].n_pieces == len(ids)
         assert encoded[i].decoded == (t or "").replace("▁", " ")
+    back = encode_pieces(df, MODEL).select("doc_id", decoded(df, F.col("piece_ids"), MODEL).alias("t")).collect()
+    assert {r.doc_id: r.t for r in back} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
     assert token_counts(df.limit(0), MODEL).count() == 0 and encode_pieces(df.limit(0), MODEL).count() == 0
 
 
