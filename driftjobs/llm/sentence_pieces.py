@@ -17,7 +17,7 @@ from driftjobs.llm.pieces import MARK, PieceModel, marked_words, model_bytes
 NOTHING = -1
 #: Pairs of pieces that a worker remembers; beyond them it starts anew, and results stay the same.
 PAIRS_REMEMBERED = 200_000
-#: Text bytes whose words go through one trie.
+#: Text bytes whose words go through one trie; less needs less memory and more time, results are the same.
 TRIE_BYTES = 16 << 20
 
 
@@ -163,10 +163,10 @@ def _piece_bytes(model: PieceModel) -> list[bytes]:
     return table
 
 
-def encoded(docs: DataFrame, text_col: str, model_path: str, merges: bool = True) -> F.Column:
+def encoded(docs: DataFrame, text_col: str, model_path: str, merges: bool = True, trie_bytes: int = TRIE_BYTES) -> F.Column:
     """A column of piece ids and the text that they decode to. Null and empty texts have no pieces.
 
-    Words of some 16 MB of text share a trie; a task holds these texts and their distinct words, no more.
+    Words of some ``trie_bytes`` of text share a trie; a task holds these texts and their distinct words, no more.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
@@ -178,7 +178,7 @@ def encoded(docs: DataFrame, text_col: str, model_path: str, merges: bool = True
         for texts in batches:
             held.append(texts)
             size += texts.nbytes
-            if size > TRIE_BYTES:
+            if size > trie_bytes:
                 yield from _encode_together(held, encoder, table)
                 held, size = [], 0
         yield from _encode_together(held, encoder, table)
@@ -202,12 +202,12 @@ def decoded(docs: DataFrame, ids: F.Column, model_path: str) -> F.Column:
     return decode(ids)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", merges: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", merges: bool = True, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """``docs`` with ``piece_ids`` (ids of the whole text), ``n_pieces`` and ``decoded``, which replace columns of those names.
 
     A null or empty text has no pieces and decodes to the empty text. Decoding gives the text back, but that a
     mark (U+2581) in a text is a space, as in the library. Repeated rows stay; an empty table stays empty.
     """
-    out = sized_batches(docs).withColumn("__encoded", encoded(docs, text_col, model_path, merges))
+    out = sized_batches(docs).withColumn("__encoded", encoded(docs, text_col, model_path, merges, trie_bytes))
     found = {"piece_ids": F.col("__encoded.piece_ids"), "n_pieces": F.size("__encoded.piece_ids"), "decoded": F.col("__encoded.decoded")}
     return out.withColumns(found).drop("__encoded")
