@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from driftjobs.sources.io import discard, go_at_end, shared_folder, written
 
-__all__ = ["attach", "bucketed", "discard", "parts", "row_key", "sized_batches", "spread", "text_bytes", "tidy", "words_of", "written"]
+__all__ = ["attach", "bucketed", "discard", "fine_text", "parts", "row_key", "sized_batches", "spread", "task_count", "text_bytes", "tidy", "words_of", "written"]
 
 #: A side of at most this many values may be broadcast; beyond it the join shuffles.
 BROADCAST_VALUES = 1_000_000
+#: Bytes of a written table that one task should read at most.
+TASK_BYTES = 128 << 20
 #: Bytes in an Arrow batch for Python.
 BATCH_BYTES = 4 << 20
 
@@ -37,21 +39,23 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     return table
 
 
-def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8, salts: int = 64) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8) -> DataFrame:
     """Left join of ``table`` (one row per ``key``, already written) to ``df``; a null key matches a null key.
 
     The table is broadcast only when a sum of its rows' ``width`` (values in a row) proves it small. Otherwise
-    the join shuffles: rows of ``df`` are spread over ``salts`` sub-keys by their content, for each of which
-    the table has a copy, so a hot key is no hot task.
+    both sides are shuffled by key, and Spark splits a hot key's rows of ``df`` over tasks, for ``table`` has one row for it.
     """
     other = table.withColumnRenamed(key, "__key")
     values = table.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
     if values <= BROADCAST_VALUES:
-        return df.join(F.broadcast(other), df[key].eqNullSafe(F.col("__key")), "left").drop("__key")
-    salted = df.withColumn("__salt", F.pmod(row_key(df), F.lit(salts)).cast("int"))
-    copies = other.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = salted[key].eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy"))
-    return salted.join(copies, on, "left").drop("__key", "__salt", "__copy")
+        other = F.broadcast(other)
+    return df.join(other, df[key].eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
+def task_count(table: DataFrame) -> int:
+    """How many tasks should share a written table: as many as the session has for shuffles, more if they would get over TASK_BYTES of its files."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def sized_batches(docs: DataFrame) -> DataFrame:
@@ -64,6 +68,14 @@ def sized_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def fine_text(text: F.Column | str) -> F.Column:
+    """The text with U+FFFD for bytes that aren't UTF-8, which Python couldn't read; texts that are UTF-8 keep their bytes.
+
+    Parquet doesn't check strings. Two texts that differ in such bytes alone may be alike to what reads them so.
+    """
+    return F.make_valid_utf8(text)
+
+
 def parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """An Arrow array in slices of some ``most`` bytes of text, so that what is made of them stays small."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftjobs.llm.audio import audio_features
+from driftjobs.llm.byte_pairs import encode_bytes
+from driftjobs.llm.filter_audit import filter_audit
 from driftjobs.llm.language import document_evidence, identify_languages, page_evidence
+from driftjobs.llm.merkle import hex_of, merkle_proofs, proof_text
 from driftjobs.llm.mixing import mix_sources
 from driftjobs.llm.passages import strip_passages
 from driftjobs.llm.secrets import BASE_KINDS, scan_secrets, spans_text
@@ -20,6 +23,7 @@ from driftjobs.llm.toxicity import score_toxicity, train
 from driftjobs.llm.vectors import link_vectors
 
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -162,7 +166,97 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row by its hash is judged as if ``n_chars`` had grown by one since the manifest was made."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    grown = F.when(tampered, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    proofs = merkle_proofs(_read(spark, sf_dir, "documents"), changed={"n_chars": grown})
+    return proofs.select("doc_id", *[hex_of(c).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"), hex_of("folded_root").alias("folded_root"), "verified")
+
+
+#: CRC-32 bit by bit, for DuckDB has none.
+CRC32 = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte:
+  list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+_TOLD = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(strlen(CAST({v} AS VARCHAR)), ':', CAST({v} AS VARCHAR)) END"
+_LEAF = lambda n: "sha256(concat(" + ", ".join(map(_TOLD, ("doc_id", "source", "lang", n, "text"))) + "))"
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {_LEAF("n_chars")} AS leaf, {_LEAF(f"CASE WHEN {CRC32} % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS now FROM documents
+), p AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS part FROM d
+), tree(part, level, place, digest, size) AS (
+  SELECT part, 0, place, leaf, count(*) OVER (PARTITION BY part) FROM p
+  UNION ALL SELECT part, any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(size) + 1) // 2 FROM tree WHERE size > 1 GROUP BY part, place // 2
+), subs AS (
+  SELECT part, digest FROM tree WHERE size = 1
+), top(level, place, digest, size) AS (
+  SELECT 0, part, digest, count(*) OVER () FROM subs
+  UNION ALL SELECT any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(size) + 1) // 2 FROM top WHERE size > 1 GROUP BY place // 2
+), nodes AS (
+  SELECT part, level, place, digest, size FROM tree UNION ALL SELECT -1, level, place, digest, size FROM top
+), fold(r, part, own, level, place, size, digest, siblings) AS (
+  SELECT r, part, part, 0, place, count(*) OVER (PARTITION BY part), now, '' FROM p
+  UNION ALL
+  SELECT f.r, CASE WHEN size > 1 THEN f.part ELSE -1 END, f.own, CASE WHEN f.size > 1 THEN f.level + 1 ELSE 0 END, CASE WHEN f.size > 1 THEN f.place // 2 ELSE f.own END,
+    CASE WHEN f.size > 1 THEN (f.size + 1) // 2 ELSE (SELECT count(*) FROM subs) END,
+    CASE WHEN f.size = 1 THEN f.digest WHEN n.digest IS NULL THEN sha256(f.digest) WHEN f.place % 2 = 0 THEN sha256(concat(f.digest, n.digest)) ELSE sha256(concat(n.digest, f.digest)) END,
+    CASE WHEN f.size = 1 THEN f.siblings ELSE concat(f.siblings, coalesce(n.digest, '')) END
+  FROM fold f LEFT JOIN (SELECT part AS n_part, level AS n_level, place AS n_place, digest FROM nodes) n ON n_part = f.part AND n_level = f.level AND n_place = xor(f.place, 1)
+  WHERE f.size > 1 OR f.part >= 0
+), ends AS (
+  SELECT r, digest AS folded_root, siblings FROM fold WHERE part = -1 AND size = 1
+)
+SELECT p.doc_id, leaf, subs.digest AS subroot, (SELECT digest FROM top WHERE size = 1) AS root, sha256(siblings) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM top WHERE size = 1) AS verified
+FROM p JOIN subs USING (part) JOIN ends USING (r)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), letters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(c, b)
+), steps AS (
+  SELECT concat(p.c, q.c, r.c, s.c, t.c) AS filter_order, step, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t, generate_series(1, 5) AS g(step) WHERE p.b + q.b + r.b + s.b + t.b = 31 AND p.b | q.b | r.b | s.b | t.b = 31
+), o AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM steps
+), c AS (
+  SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(sum(CASE WHEN m & own = 0 AND m & before::BIGINT = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN m & own > 0 AND m & before::BIGINT = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN m & own > 0 AND m & before::BIGINT > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN m = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN m & own > 0 AND m & before::BIGINT = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN m & own > 0 AND m & before::BIGINT = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN m & own > 0 THEN n * 120 // bit_count(m) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, o GROUP BY part, filter_order, step
+"""
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_bytes(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_language_id, op4_vector_links, op5_source_mix, op6_passages, op7_toxicity, op8_secret_scan, op9_simhash, op10_audio)
+    f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_language_id, op4_vector_links, op5_source_mix, op6_passages, op7_toxicity, op8_secret_scan, op9_simhash, op10_audio, op11_merkle_manifest, op12_filter_audit, op13_byte_pairs)
 }
-ORACLE_SQL: dict[str, str] = {"op4_vector_links": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_passages": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_vector_links": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_passages": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op12_filter_audit": OP12_SQL}
