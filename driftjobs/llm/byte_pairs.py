@@ -299,7 +299,9 @@ def _lists(rows: list[bytes]) -> pa.ListArray:
 
 def _joined(ids: pa.ListArray, table: pa.Array) -> pa.Array:
     """The bytes of lists of ids; null for a null list, and for one that holds an id without a token."""
-    tokens = table.take(ids.flatten())
+    own = ids.flatten()
+    known = pc.and_(pc.greater_equal(own, 0), pc.less(own, len(table)))
+    tokens = table.take(pc.if_else(known, own, pa.scalar(None, own.type)))
     offsets = pa.array(np.r_[0, pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).cumsum()], pa.int32())
     joined = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), pa.scalar(b"", pa.binary()))
     return pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.binary()))
