@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import parts, sized_batches, tidy
+from driftjobs.llm.common import fine_text, parts, sized_batches, tidy
 
 RATE, UP, DOWN = 8000, 3, 4
 TAPS = 24  # of each phase
@@ -157,7 +157,7 @@ def audio_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The file holds the UTF-8 bytes of the text, filled with zero bytes to a positive multiple of 64, as 8-bit
     samples. Every row stands alone, so nothing is shuffled; memory is bounded by blocks of frames, whatever
     the length. A null or empty text is stored as 64 zero bytes. Equal texts have equal values. Repeated rows
-    stay; an empty table stays empty.
+    stay; an empty table stays empty. Bytes that aren't UTF-8 are stored as those of U+FFFD.
     """
-    found = sized_batches(docs).withColumn("__sound", sound(F.col(text_col)))
+    found = sized_batches(docs).withColumn("__sound", sound(fine_text(text_col)))
     return found.withColumns({c: F.col(f"__sound.{c}") for c in ("media", "payload", "features")}).drop("__sound")

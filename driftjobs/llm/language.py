@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import attach, sized_batches, tidy, written
+from driftjobs.llm.common import attach, fine_text, sized_batches, tidy, written
 
 #: Candidates are the languages of the labels. More than so many are an error: the model has BUCKETS numbers for each.
 MAX_LANGUAGES, BUCKETS = 200, 1 << 16
@@ -53,6 +53,7 @@ def letter_model(labelled: DataFrame, text: F.Column, language: F.Column, langua
 
     Rows of other or no language, and null texts, don't count. The result has BUCKETS rows.
     """
+    text = fine_text(text)
     rows = labelled.select(text.alias("text"), language.alias("language"), F.xxhash64(text).alias("h")).where(F.col("language").isin(*languages) & F.col("text").isNotNull())
     bound = rows.select("h", "language").distinct().orderBy("h", "language").limit(train_rows).agg(F.max("h")).first()[0]
     counts = np.full((BUCKETS, len(languages)), 0.5)
@@ -114,7 +115,7 @@ def text_scores(docs: DataFrame, text: F.Column, model: np.ndarray) -> F.Column:
             yield pa.array(rows, pa.list_(pa.float64()))
         tidy()
 
-    return score(text)
+    return score(fine_text(text))
 
 
 def host_counts(judged: DataFrame, n_languages: int) -> DataFrame:
@@ -171,7 +172,7 @@ def identify_languages(
     judged by the rest and rejected; so are a best language under MIN_POSTERIOR and texts that fit no
     language better than noise. Ties go to the first language. Without labels nothing is accepted and the
     language is null. Texts are whole, whatever their length. Repeated rows stay; an empty table stays
-    empty. Rows are written once with their scores, and the table of hosts comes to them; only where it is
+    empty; bytes that aren't UTF-8 count as U+FFFD. Rows are written once with their scores, and the table of hosts comes to them; only where it is
     beyond the bound of a broadcast do rows move.
     """
     sized_batches(docs)
@@ -226,9 +227,50 @@ def document_evidence() -> dict[str, F.Column]:
     }
 
 
+_OPENS = re.compile(r"<!--|<(script|style)\b|<[^<>]*>", re.IGNORECASE)
+_ENDS = {None: re.compile("-->"), "script": re.compile(r"</script\s*>", re.IGNORECASE), "style": re.compile(r"</style\s*>", re.IGNORECASE)}
+
+
+def bare_text(html: str) -> str:
+    """The page with a space for each tag, comment, script and style sheet; what opens and never closes is text.
+
+    One way through the page: an end that isn't found once isn't looked for again, so no markup takes longer than its length.
+    """
+    out, at, endless = [], 0, set()
+    while found := _OPENS.search(html, at):
+        kind, stop = found[1] and found[1].lower(), found.end()
+        if not html.endswith(">", found.start(), stop):
+            end = None if kind in endless else _ENDS[kind].search(html, stop)
+            if end is None:
+                endless.add(kind)
+                tag = re.compile("<[^<>]*>").match(html, found.start())
+                stop = tag.end() if tag else stop
+                if tag is None:
+                    out.append(html[at:stop])
+                    at = stop
+                    continue
+            else:
+                stop = end.end()
+        out += [html[at : found.start()], " "]
+        at = stop
+    return "".join([*out, html[at:]])
+
+
+def page_text(html: F.Column) -> F.Column:
+    """The text of raw pages (``bare_text``); null for null."""
+
+    @F.arrow_udf("string")
+    def bare(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([bare_text(p) if p is not None else None for p in pages.to_pylist()], pa.string())
+        tidy()
+
+    return bare(fine_text(html))
+
+
 def page_evidence() -> dict[str, F.Column]:
     """Evidence of raw pages: text without tags, markup language, host and suffix of the url."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    bare = page_text(F.col("html"))
     markup = F.regexp_extract("html", MARKUP, 1)
     host = F.lower(F.regexp_extract("url", r"^\w+://(?:[^/@]*@)?([^/:?#]+)", 1))
     suffix = F.regexp_extract(host, r"\.([a-z]{2,24})$", 1)

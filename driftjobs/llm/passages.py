@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from driftjobs.llm.common import attach, bucketed, discard, sized_batches, tidy, words_of, written
+from driftjobs.llm.common import attach, bucketed, discard, fine_text, sized_batches, tidy, words_of, written
 
 WINDOW, ANCHOR = 50, 16
 #: Words of phrases in an automaton (some 80 bytes each), and words of text that stream through one copy of it, on average.
 SHARD_WORDS, RANGE_WORDS = 100_000, 400_000
+#: An anchor of more phrases is hot: its phrases are dealt by their own words, and windows beside it pass the shard of theirs.
+HOT_PHRASES = 400
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -119,7 +121,8 @@ def _windows(text: F.Column, spans: F.Column) -> F.Column:
 
 def _beside(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have spans (a, b, h), with a list of them. The texts lie by row key already, so only spans move."""
-    lists = spans.groupBy(F.col("id").alias("sid"), F.col("key").alias("skey")).agg(F.collect_set(F.struct("a", "b", "h")).alias("spans"))
+    values = [c for c in spans.columns if c not in ("id", "key")]
+    lists = spans.groupBy(F.col("id").alias("sid"), F.col("key").alias("skey")).agg(F.collect_set(F.struct(*values)).alias("spans"))
     return docs.join(lists, (F.col("id") == F.col("sid")) & (F.col("key") == F.col("skey")))
 
 
@@ -179,14 +182,27 @@ def stretches(spans: list[dict], shards: int) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut(text: F.Column, spans: F.Column, shards: int = 0) -> F.Column:
-    """Words of the text, joined by one space, by ``at`` and anchor or shard: covering windows, or with ``shards`` the stretches of each."""
+def window_shard(words: bytes, shards: int, hot_shards: int) -> int:
+    """The shard of a window of a hot anchor: by Spark's hash of its words, behind the shards of other anchors."""
+    own = xxhash.xxh64_intdigest(words, 42)
+    return shards + (own - (own >> 63 << 64)) % hot_shards
+
+
+def _cut(text: F.Column, spans: F.Column, shards: int = 0, hot_shards: int = 0) -> F.Column:
+    """Words of the text, joined by one space, by ``at`` and anchor or shard: covering windows, or with ``shards`` what passes each.
+
+    That is the stretches about a shard's anchors; beside hot anchors each window by itself.
+    """
     kind = pa.list_(pa.struct([("of", pa.int64()), ("at", pa.int32()), ("words", pa.string())]))
 
     def pieces(text: str, spans: list[dict]) -> list[dict]:
         words = words_of(text)
-        cuts = stretches(spans, shards) if shards else [(h, s, s + WINDOW) for s, h in cover(spans)]
-        return [{"of": k, "at": a, "words": b" ".join(words[a:end])} for k, a, end in cuts]
+        cuts = stretches([x for x in spans if not x["hot"]], shards) if shards else [(h, s, s + WINDOW) for s, h in cover(spans)]
+        out = [{"of": k, "at": a, "words": b" ".join(words[a:end])} for k, a, end in cuts]
+        for s in sorted({s for x in spans if shards and x["hot"] for s in range(x["a"], x["b"] + 1)}):
+            window = b" ".join(words[s : s + WINDOW])
+            out.append({"of": window_shard(window, shards, hot_shards), "at": s, "words": window})
+        return out
 
     @F.arrow_udf("array<struct<of:bigint,at:int,words:string>>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -256,28 +272,33 @@ def phrase_hits(docs: DataFrame, found: DataFrame, shared: DataFrame) -> DataFra
     Phrases are the distinct windows that cover the candidates. A phrase and all its occurrences have the
     same least 16-word run, whose hash decides the shard: a row passes each shard that has a phrase with one of
     the row's runs, with the stretch of words about that run, and a row none of whose runs a phrase has passes none.
-    A shard has SHARD_WORDS words of phrases on average; a shard that many stretches pass is cut into ranges of
-    RANGE_WORDS words of text, each of which has a copy of the automaton.
+    A shard has SHARD_WORDS words of phrases on average, and no anchor more than HOT_PHRASES phrases in it: those of a hot
+    anchor go to shards of their own by the hash of all their words, and of a row beside it each window (35 at an anchor
+    at most) passes the shard of its own words. A shard that many stretches pass is cut into ranges of RANGE_WORDS
+    words of text, each of which has a copy of the automaton.
     """
     spark = docs.sparkSession
     cut = _beside(docs, found).select(F.explode(_cut(F.col("text"), F.col("spans"))).alias("x"))
     distinct = cut.select(F.col("x.of").alias("h"), F.col("x.words").alias("words")).distinct()
     phrases = written(distinct.withColumn("pid", F.monotonically_increasing_id()))
-    shards = max(1, -(-phrases.count() * WINDOW // SHARD_WORDS))
-    anchors = phrases.select(F.col("h").alias("ph")).distinct()
-    passing = written(shared.join(anchors, F.col("h") == F.col("ph"), "left_semi"))
-    texts = _beside(docs, passing).select("id", "key", F.explode(_cut(F.col("text"), F.col("spans"), shards)).alias("x"))
+    anchors = written(phrases.groupBy(F.col("h").alias("ph")).agg(F.count(F.lit(1)).alias("n")).withColumn("hot", F.col("n") > HOT_PHRASES))
+    n_hot, n_cold = anchors.agg(F.sum(F.when(F.col("hot"), F.col("n"))), F.sum(F.when(~F.col("hot"), F.col("n")))).first()
+    shards, hot_shards = (max(1, -(-(n or 0) * WINDOW // SHARD_WORDS)) for n in (n_cold, n_hot))
+    passing = written(shared.join(anchors.drop("n"), F.col("h") == F.col("ph")).drop("ph"))
+    texts = _beside(docs, passing).select("id", "key", F.explode(_cut(F.col("text"), F.col("spans"), shards, hot_shards)).alias("x"))
     texts = written(texts.select("id", "key", F.col("x.of").alias("shard"), F.col("x.at").alias("at"), F.col("x.words").alias("words")))
     loads = texts.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / (RANGE_WORDS * 6.0)).cast("int").alias("ranges"))
     loads = written(loads)
     dealt = attach(texts, loads, "shard", 2).withColumn("range", F.pmod(F.xxhash64("id", "key", "at"), F.col("ranges")).cast("int"))
-    copies = attach(phrases.withColumn("shard", F.pmod("h", F.lit(shards))), loads, "shard", 2).where("ranges is not null")
+    hot_anchors = anchors.where("hot").select(F.col("ph").alias("h"), "hot")  # one in HOT_PHRASES phrases at most
+    own = F.when(F.col("hot"), shards + F.pmod(F.xxhash64("words"), F.lit(hot_shards))).otherwise(F.pmod("h", F.lit(shards)))
+    copies = attach(attach(phrases, hot_anchors, "h", 2).withColumn("shard", own).drop("hot"), loads, "shard", 2).where("ranges is not null")
     copies = copies.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
     rows = dealt.drop("ranges").unionByName(copies.select("shard", "range", "pid", "words"), allowMissingColumns=True)
     laid = rows.repartition("shard", "range").sortWithinPartitions("shard", "range", F.col("pid").asc_nulls_last())
     id_type = docs.schema["id"].dataType
     hits = written(laid.mapInArrow(_locate(to_arrow_type(id_type)), f"id {id_type.simpleString()}, {HITS}"))
-    discard(phrases, passing, texts, loads)
+    discard(phrases, anchors, passing, texts, loads)
     return hits
 
 
@@ -312,13 +333,13 @@ def strip_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Gone is each word in a window of 50 words that also starts in a row of a smaller id, judged on the texts as
     given. Words are runs of other characters than space and 0x09-0x0D; ``kept`` joins them by one space. The
     least id with a passage keeps it; rows of one id don't strip each other. Rows without an id neither lose
-    nor cause anything. Null and empty texts and those under 50 words lose nothing. Texts are whole, whatever
+    nor cause anything. Bytes that aren't UTF-8 count as U+FFFD. Null and empty texts and those under 50 words lose nothing. Texts are whole, whatever
     their length. Repeated rows stay. An empty table stays empty. Other columns don't enter.
 
     Hashes only propose phrases. Automata find, word by word, which rows hold a phrase and where; the least id
     of a phrase's hits keeps it, and every other hit removes its words.
     """
-    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), fine_text(text_col).alias("text"))
     plain = bucketed(sized_batches(plain), "id", "key")
     found, shared = candidate_windows(plain)
     hits = phrase_hits(plain, found, shared)

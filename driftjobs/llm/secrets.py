@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import sized_batches, tidy
+from driftjobs.llm.common import fine_text, sized_batches, tidy
 
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -114,9 +114,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = 200) -> D
 
     Whole texts are scanned, each where it lies: a scope never crosses a text, so nothing is shuffled.
     Null and empty texts have no spans; texts and parts of any length count; repeated rows stay; an empty
-    table stays empty.
+    table stays empty. Bytes that aren't UTF-8 count as U+FFFD, also in the offsets.
     """
-    found = sized_batches(docs).withColumn("secret_spans", secret_spans(F.col(text_col), scope))
+    found = sized_batches(docs).withColumn("secret_spans", secret_spans(fine_text(text_col), scope))
     return found.withColumns({f"n_{k}": _count(k) for k in BASE_KINDS})
 
 
@@ -133,7 +133,7 @@ def spans_text(spans: F.Column, kinds: tuple[str, ...] = KINDS) -> F.Column:
 def redact(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``[kind]``; overlapping spans are one, named after the first.
 
-    Texts without spans, nulls and all other columns stay as they are.
+    Texts without spans, nulls and all other columns stay as they are, but that bytes which aren't UTF-8 become U+FFFD.
     """
 
     @F.arrow_udf("string")
@@ -142,7 +142,7 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFra
             yield pa.array([_redacted(t.as_py(), scope) for t in texts], pa.string())
         tidy()
 
-    return sized_batches(docs).withColumn(text_col, clean(F.col(text_col)))
+    return sized_batches(docs).withColumn(text_col, clean(fine_text(text_col)))
 
 
 def _redacted(text: str | None, scope: int) -> str | None:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import sized_batches, tidy
+from driftjobs.llm.common import fine_text, sized_batches, tidy
 from driftjobs.llm.pieces import MARK, PieceModel, marked_words, model_bytes
 
 NOTHING = -1
@@ -185,7 +185,7 @@ def encoded(docs: DataFrame, text_col: str, model_path: str, merges: bool = True
         del held
         tidy()
 
-    return encode(F.col(text_col))
+    return encode(fine_text(text_col))
 
 
 def decoded(docs: DataFrame, ids: F.Column, model_path: str) -> F.Column:
@@ -206,7 +206,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", merg
     """``docs`` with ``piece_ids`` (ids of the whole text), ``n_pieces`` and ``decoded``, which replace columns of those names.
 
     A null or empty text has no pieces and decodes to the empty text. Decoding gives the text back, but that a
-    mark (U+2581) in a text is a space, as in the library. Repeated rows stay; an empty table stays empty.
+    mark (U+2581) in a text is a space, as in the library, and U+FFFD stands for bytes that aren't UTF-8. Repeated rows stay; an empty table stays empty.
     """
     out = sized_batches(docs).withColumn("__encoded", encoded(docs, text_col, model_path, merges, trie_bytes))
     found = {"piece_ids": F.col("__encoded.piece_ids"), "n_pieces": F.size("__encoded.piece_ids"), "decoded": F.col("__encoded.decoded")}

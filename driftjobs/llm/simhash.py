@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import discard, row_key, sized_batches, spread, text_bytes, tidy, written
+from driftjobs.llm.common import discard, fine_text, row_key, sized_batches, spread, text_bytes, tidy, written
 from driftjobs.llm.components import connected_components
 
 SEED = 42
@@ -84,9 +84,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component_id`` is the smallest id of the rows that 2-bit links reach. Null or empty texts and texts
     of spaces have fingerprint 0 and are linked like any other. Repeated rows have one fingerprint. A null
     id is never the smallest; a group of null ids has a null component. No rows: no rows. Other columns
-    only enter ``row_key``.
+    only enter ``row_key``. Bytes that aren't UTF-8 count as U+FFFD.
     """
-    prints = written(sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), fingerprint(F.col(text_col), shingle).alias("fp")))
+    prints = written(sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), fingerprint(fine_text(text_col), shingle).alias("fp")))
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
     links = written(fingerprint_links(distinct))
     groups = connected_components(links)
@@ -167,13 +167,13 @@ def shingle_set(text: F.Column, shingle: int) -> F.Column:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group that links of Jaccard >= ``similarity`` over ``shingle``-word runs reach.
 
-    Texts of equal words are one node. Nodes meet where their SimHash balls of radius 1 do, and, as
+    Texts of equal words are one node; bytes that aren't UTF-8 count as U+FFFD, and rows stay as they are. Nodes meet where their SimHash balls of radius 1 do, and, as
     the ball of a near copy of many changed words lies further off, where a band of their least hashes is
     equal. At a place each is linked to the least and to the greatest there, so rows stay linear,
     and a link counts only if the similarity of the two sets of shingles is high enough. The
     row of the smallest id (nulls last), then of the smallest row key, stays as it is.
     """
-    found = sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), sketch(F.col(text_col), shingle).alias("s"))
+    found = sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), sketch(fine_text(text_col), shingle).alias("s"))
     rows = written(found.select("id", "row_key", "s.node", "s.fp", "s.bands"))
     order = F.struct(F.col("id").isNull(), "id", "row_key")
     nodes = written(rows.groupBy("node").agg(F.min(order).alias("k"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
@@ -185,7 +185,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = written(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     heads = written(nodes.join(asked, F.col("node") == F.col("asked"), "left_semi").select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__row_key")))
-    texts = _rows_at(docs.select("*"), heads, id_col).select(F.col(text_col).alias("t"))
+    texts = _rows_at(docs.select("*"), heads, id_col).select(fine_text(text_col).alias("t"))
     sets = texts.select(sketch(F.col("t"), shingle)["node"].alias("n"), shingle_set(F.col("t"), shingle).alias("s"))
     sets = written(sets.dropDuplicates(["n"]))
     both = pairs.join(sets.toDF("n1", "s1"), F.col("a") == F.col("n1")).join(sets.toDF("n2", "s2"), F.col("b") == F.col("n2"))

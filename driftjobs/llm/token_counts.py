@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import sized_batches, tidy
+from driftjobs.llm.common import fine_text, sized_batches, tidy
 from driftjobs.llm.pieces import MARK, PieceModel, marked_words, model_bytes
 
 NEVER = np.int64(1) << 40
@@ -188,13 +188,14 @@ def token_count(docs: DataFrame, text_col: str, model_path: str) -> F.Column:
         known.clear()
         tidy()
 
-    return count(F.col(text_col))
+    return count(fine_text(text_col))
 
 
 def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``, which replace columns of those names.
 
-    One row for each row, repeated rows included; an empty table stays empty.
+    One row for each row, repeated rows included; an empty table stays empty. Bytes that aren't UTF-8 are counted
+    as tokens of U+FFFD (``fine_text``); ``n_bytes`` is of the bytes as they are.
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     counted = sized_batches(docs).withColumns({"n_bytes": size, "n_tokens": token_count(docs, text_col, model_path)})

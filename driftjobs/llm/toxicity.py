@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftjobs.llm.common import sized_batches, tidy
+from driftjobs.llm.common import fine_text, sized_batches, tidy
 
 #: The model is fitted on at most so many labelled rows of each class (smallest hash of the id first), of texts up to so many bytes.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 16_384
@@ -306,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
     counts = {r["__toxic"]: r["n"] for r in rows.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_BYTES)).select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
+    short = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_BYTES)).select(F.col(id_col).alias("__own"), fine_text(text_col).alias("__text"))
     texts: dict[int, list[str]] = {}
     for label in (1, 0):
         chosen = rows.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
@@ -332,7 +332,7 @@ def score_toxicity(docs: DataFrame, model: TagModel, text_col: str = "text") ->
     Only the text enters. Scores are between 0 and 1; ``predicted`` is 1 from THRESHOLD on. Spans are words
     (code points, end exclusive) whose marginal is SPAN_CHANCE or more. Null and empty texts get the score of
     a text without toxic words. Texts and sentences are whole, whatever their length. Repeated rows stay; an
-    empty table stays empty. The model has a fixed size.
+    empty table stays empty. Bytes that aren't UTF-8 count as U+FFFD. The model has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])
@@ -354,6 +354,6 @@ def score_toxicity(docs: DataFrame, model: TagModel, text_col: str = "text") ->
         known.clear()
         tidy()
 
-    judged = sized_batches(docs).withColumn("__judged", score(F.col(text_col)))
+    judged = sized_batches(docs).withColumn("__judged", score(fine_text(text_col)))
     out = judged.withColumns({"score": F.col("__judged.score"), "toxic_spans": F.col("__judged.spans")}).drop("__judged")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

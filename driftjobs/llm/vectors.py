@@ -22,6 +22,8 @@ AUDIT_ROWS, AUDIT_RECALL = 256, 0.999
 #: A shard whose audit no beam up to this one passes is answered by exact products, which cost less than wider beams.
 WIDEST_BEAM = 4096
 _STEP = 512
+#: Bytes that tell which vectors the queries of one search have seen.
+SEEN = 64 << 20
 
 
 class SmallWorld:
@@ -109,8 +111,12 @@ class SmallWorld:
         return out.astype(np.int32)
 
     def _beam(self, queries: np.ndarray, k: int, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first search of a layer: the ``beam`` nearest found of each query, nearest first."""
+        """Best-first search of a layer: the ``beam`` nearest found of each query, nearest first. What queries have seen takes SEEN bytes at most."""
         layer, n = self.layers[k], len(self.unit)
+        most = max(1, SEEN // max(n, 1))
+        if len(queries) > most:
+            parts = [self._beam(queries[a : a + most], k, entry[a : a + most], beam) for a in range(0, len(queries), most)]
+            return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
         ids = np.full((len(queries), beam), -1, np.int32)
         sims = np.full((len(queries), beam), -np.inf, np.float32)
         opened = np.ones((len(queries), beam), bool)
@@ -231,7 +237,7 @@ def _units(raw: np.ndarray) -> np.ndarray:
 
 
 GRAPHS = "dim int, shard int, beam int, recall double, nodes binary, sizes binary, vectors binary, graph binary"
-ANSWERS = "node bigint, n bigint, root bigint, recall double"
+ANSWERS = "node bigint, n bigint, root bigint"
 
 
 def _build(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -267,13 +273,12 @@ class _Shard:
         self.parent = np.arange(len(self.nodes))
 
     def ask(self, asked: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        """Of each query: how many vectors here are linked to it, itself included, and one that it is joined with."""
+        """Of each query that has links here: to how many vectors, without its own, and one that it is joined with."""
         n = len(self.nodes)
         norms = np.sqrt((own * own).sum(1))
         place = np.minimum(np.searchsorted(self.nodes, asked), n - 1)
         here = np.flatnonzero(self.nodes[place] == asked)
         counts = np.zeros(len(asked), np.int64)
-        counts[here] = self.sizes[place[here]]  # a vector counts itself, whatever the graph finds
         parent = _joined(np.r_[self.parent, np.arange(n, n + len(asked))], here + n, place[here])
         for q, c in self.graph.within((own / norms[:, None]).astype(np.float32), self.least, self.beam):
             ok = (asked[q] != self.nodes[c]) & (np.einsum("ij,ij->i", own[q], self.raw[c]) / (norms[q] * self.norms[c]) >= self.least)
@@ -281,17 +286,17 @@ class _Shard:
             np.add.at(counts, q, self.sizes[c])
             parent = _joined(parent, q + n, c)
         self.parent = parent[:n]
-        names = np.r_[self.nodes, asked]
-        return _answers(asked, counts, names[parent[n:]], self.recall)
+        linked = np.flatnonzero(counts)
+        return _answers(asked[linked], counts[linked], np.r_[self.nodes, asked][parent[n:][linked]])
 
     def joins(self) -> pa.RecordBatch:
         """Links that hold together what queries have joined."""
         moved = np.flatnonzero(self.parent != np.arange(len(self.nodes)))
-        return _answers(self.nodes[moved], np.full(len(moved), -1, np.int64), self.nodes[self.parent[moved]], None)
+        return _answers(self.nodes[moved], np.full(len(moved), -1, np.int64), self.nodes[self.parent[moved]])
 
 
-def _answers(nodes: np.ndarray, counts: np.ndarray, roots: np.ndarray, recall: float | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(roots, pa.int64()), pa.array([recall] * len(nodes), pa.float64())], ["node", "n", "root", "recall"])
+def _answers(nodes: np.ndarray, counts: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, counts, roots)], ["node", "n", "root"])
 
 
 def _ask(least: float, dtype: type):
@@ -347,24 +352,26 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     values = F.col("n") * F.col("dim")
     least_shards = F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / LEAST_ROWS))
     shards = F.greatest(F.ceil(values / SHARD_VALUES), least_shards).cast("int")
-    sizes = written(sizes.select("dim", shards.alias("shards"), F.ceil(values / QUERY_VALUES).cast("int").alias("ranges")))
+    sizes = written(sizes.select("dim", shards.alias("shards"), F.ceil(values / QUERY_VALUES).cast("long").alias("ranges")))
     sized = attach(nodes.select("node", "k1", "size", "vector", "dim"), sizes, "dim", 3)
     placed = sized.withColumn("shard", F.pmod("k1", "shards").cast("int"))
     graphs = written(placed.select("dim", "shard", "node", "size", "vector").groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, least), GRAPHS))
-    copies = attach(graphs, sizes, "dim", 3).withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
-    asked = sized.withColumn("range", F.pmod(F.xxhash64("k1"), F.col("ranges")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    copies = attach(graphs, sizes, "dim", 3).withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges") - 1)))
+    asked = sized.withColumn("range", F.pmod(F.xxhash64("k1"), F.col("ranges"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     asked = asked.select("dim", "shard", "ranges", "range", "node", "vector")
     every = copies.drop("shards").unionByName(asked, allowMissingColumns=True)
-    slot = F.col("dim") + F.col("shard") * F.col("ranges") + F.col("range")
+    slot = F.col("dim") + F.col("shard").cast("long") * F.col("ranges") + F.col("range")
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = every.withColumn("slot", slot.cast("int")).repartitionById(partitions, "slot").sortWithinPartitions("dim", "shard", "range", F.col("graph").isNull())
+    laid = every.withColumn("slot", F.pmod(slot, F.lit(partitions)).cast("int")).repartitionById(partitions, "slot").sortWithinPartitions("dim", "shard", "range", F.col("graph").isNull())
     answers = written(laid.mapInArrow(_ask(least, dtype), ANSWERS))
     groups = connected_components(answers.where("node <> root"), "node", "root")
-    counts = answers.where("n >= 0").groupBy(F.col("node").alias("counted")).agg(F.sum("n").alias("n"), F.min("recall").alias("recall"))
+    counts = answers.where("n >= 0").groupBy(F.col("node").alias("counted")).agg(F.sum("n").alias("n"))
+    recalls = written(graphs.groupBy("dim").agg(F.min("recall").alias("recall")))
     labelled = nodes.join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
     heads = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = labelled.join(heads, "component").join(counts, F.col("node") == F.col("counted"))
-    known = written(known.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), (F.col("n") - 1).alias("links"), "component_id", "recall"))
+    known = attach(labelled.join(heads, "component").join(counts, F.col("node") == F.col("counted"), "left"), recalls, "dim", 2)
+    links = F.col("size") - 1 + F.coalesce("n", F.lit(0))  # equal vectors, and those that the graphs found
+    known = written(known.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), links.alias("links"), "component_id", "recall"))
     discard(answers, graphs, nodes, sizes)
     out = rows.join(known, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
     component = F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("id"))
