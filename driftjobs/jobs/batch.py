@@ -11,7 +11,7 @@ from driftjobs.constants import KEY
 from driftjobs.functions.confidence import confidence, should_alert
 from driftjobs.operators.baseline import compute_baseline
 from driftjobs.operators.drift import score_drift
-from driftjobs.operators.features import field_features, read_payloads, response_features
+from driftjobs.operators.features import count_values, field_features, response_features
 from driftjobs.operators.windows import anomaly_persistence, baseline_vectors, newest, replay_chunks, tumbling_windows
 from driftjobs.sources.io import discard, written
 
@@ -20,9 +20,9 @@ BY = (*KEY, "window_start")
 
 def extract_features(obs: DataFrame, by: Sequence[str] = BY) -> tuple[DataFrame, DataFrame]:
     """Response-level and field vectors of rows that have the key columns of their window, written for the steps that read them."""
-    payloads = read_payloads(obs, by)
-    vectors = written(response_features(obs, by, payloads)), written(field_features(payloads, by))
-    discard(payloads)
+    counts = count_values(obs, by)
+    vectors = written(response_features(obs, by, counts)), written(field_features(counts, by))
+    discard(counts)
     return vectors
 
 

@@ -48,7 +48,7 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fields(obs: DataFrame, by: Sequence[str], **options) -> DataFrame:
-    return features.field_features(features.read_payloads(obs, by), by, **options)
+    return features.field_features(features.count_values(obs, by), by, **options)
 
 
 def _day(c: str = "window_start"):

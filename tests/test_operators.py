@@ -33,12 +33,12 @@ def fields_of(spark, payloads):
 
 
 def field_vectors(obs, by=BY, **options):
-    return features.field_features(features.read_payloads(obs, by), by, **options)
+    return features.field_features(features.count_values(obs, by), by, **options)
 
 
 def response_vectors(obs, by=BY):
     own = features.response_features(obs, by)
-    assert sorted(map(repr, own.collect())) == sorted(map(repr, features.response_features(obs, by, features.read_payloads(obs, by)).collect()))
+    assert sorted(map(repr, own.collect())) == sorted(map(repr, features.response_features(obs, by, features.count_values(obs, by)).collect()))
     return own
 
 
