@@ -116,7 +116,7 @@ def _list_of_leaves(payloads: list) -> pa.Array:
 
 def flatten_payload(payload: Column | str) -> Column:
     """An array of (path, kind, num, str, len); null for null and bad JSON, empty for what is no object."""
-    return F.arrow_udf(lambda texts: _list_of_leaves([_parse(t) for t in texts.to_pylist()]), LEAVES)(payload)
+    return F.arrow_udf(lambda texts: _list_of_leaves([_parse(t) for t in texts.to_pylist()]), LEAVES)(fine_json(payload))
 
 
 def _read(texts: pa.Array) -> pa.Array:
@@ -129,7 +129,7 @@ def _read(texts: pa.Array) -> pa.Array:
 
 def read_payload(payload: Column | str) -> Column:
     """What features need of a payload, parsed once: whether it is one, whether it is an object, the hash of an object's types, and its leaves."""
-    return F.arrow_udf(_read, PAYLOAD)(payload)
+    return F.arrow_udf(_read, PAYLOAD)(fine_json(payload))
 
 
 def _mask(value: str) -> str:
@@ -179,7 +179,7 @@ def _canonicalize(payloads: pd.Series) -> pd.DataFrame:
 
 def canonicalize(payload: Column | str) -> Column:
     """Masked canonical JSON and its hash, and the hash of the payload's types; null and bad payloads count as null."""
-    return F.pandas_udf(_canonicalize, CANONICAL)(payload)
+    return F.pandas_udf(_canonicalize, CANONICAL)(fine_json(payload))
 
 
 def _java(pattern: str) -> str:
@@ -199,6 +199,30 @@ def mask_string(text: Column) -> Column:
     return out.otherwise(text)
 
 
+def _nests_too_deep(text: Column) -> Column:
+    opened = F.length(text) - F.length(F.translate(text, "[{", ""))
+    brackets = F.regexp_extract_all(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), F.lit(r"[\[\]{}]"), F.lit(0))
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return (opened > MAX_NESTING) & (F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"] > MAX_NESTING)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON, in the JVM: one value and nothing behind it, no name twice in an object, no NaN or infinity, no
+    deeper than MAX_NESTING. Null for null.
+
+    This is the one rule: every function here asks it first, also those that parse in Python. The parser stops behind the
+    first value, so it is asked twice, in a list and in an object: nothing but one value fits into both.
+    """
+    fits = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    return F.when(text.isNotNull(), fits("[", "]") & fits('{"k":', "}") & ~_nests_too_deep(text))
+
+
+def fine_json(payload: Column | str) -> Column:
+    """The payload if it is JSON, for Python to read: with U+FFFD for bytes that aren't UTF-8."""
+    text = F.make_valid_utf8(payload)
+    return F.when(is_json(text), text)
+
+
 def safe_json(text: Column, otherwise: str | None = None) -> Column:
-    """The text if it is JSON, else null or what is given."""
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(otherwise)
+    """The text if it is JSON (``is_json``), else null or what is given."""
+    return F.when(is_json(text), text).otherwise(otherwise)

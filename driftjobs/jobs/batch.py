@@ -12,6 +12,7 @@ from driftjobs.functions.confidence import confidence, should_alert
 from driftjobs.operators.baseline import compute_baseline
 from driftjobs.operators.drift import score_drift
 from driftjobs.operators.features import count_values, field_features, response_features
+from driftjobs.operators.keys import join_same
 from driftjobs.operators.windows import anomaly_persistence, baseline_vectors, newest, replay_chunks, tumbling_windows
 from driftjobs.sources.io import discard, written
 
@@ -40,7 +41,7 @@ def decide(scored: DataFrame, base: DataFrame, as_of: Column, key: Sequence[str]
     baseline never alert; their confidence is null.
     """
     known = base.select(*key, F.col("sample_count").alias("base_count"), "baseline_time", "maturity_state", "window_days")
-    rows = scored.join(known, list(key), "left")
+    rows = join_same(scored, known, key, "left")
     age = (F.unix_micros(as_of) - F.unix_micros("baseline_time")) / 3.6e9
     found = confidence(F.col("maturity_state"), F.col("base_count"), age, F.col("window_days"), F.col("deployment_recency_hours"), F.col("persistence"))
     rows = rows.withColumn("__c", F.when(F.col("base_count") > 0, found))
@@ -51,10 +52,10 @@ def decide(scored: DataFrame, base: DataFrame, as_of: Column, key: Sequence[str]
 def score_batch(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Column, recency: Column | None = None, by: Sequence[str] = BY) -> DataFrame:
     """Windows with score, severity, confidence, decision and summary; the persistence that a window meets is that of those before it."""
     scored = written(score_drift(responses, fields, base, base_fields, by))
-    had = scored.join(base.where("sample_count > 0").select(*KEY), list(KEY), "left_semi")
+    had = join_same(scored, base.where("sample_count > 0").select(*KEY), KEY, "left_semi")
     order = by[-1]
     lasting = anomaly_persistence(had, KEY, order).select(*by, "persistence")
-    rows = scored.join(lasting, list(by), "left").withColumn("persistence", F.coalesce("persistence", F.lit(0)))
+    rows = join_same(scored, lasting, by, "left").withColumn("persistence", F.coalesce("persistence", F.lit(0)))
     return written(decide(rows.withColumn("deployment_recency_hours", recency if recency is not None else F.lit(None).cast("double")), base, as_of))
 
 
@@ -68,7 +69,7 @@ def replay(obs: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Colum
     responses, fields = extract_features(chunks, by)
     scored = score_drift(responses, fields, base, base_fields, by, key)
     bounds = chunks.groupBy(*by).agg(F.min("time").alias("window_start"), F.max("time").alias("window_end"))
-    rows = scored.join(bounds, list(by)).withColumns({"persistence": F.lit(0), "deployment_recency_hours": F.lit(None).cast("double")})
+    rows = join_same(scored, bounds, by).withColumns({"persistence": F.lit(0), "deployment_recency_hours": F.lit(None).cast("double")})
     return decide(rows, base, as_of, key)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftjobs.constants import DRIFT_LABELS, KEY
 from driftjobs.functions import confidence as conf
 from driftjobs.functions import stats
-from driftjobs.functions.payload import canonicalize, mask_string, safe_json
+from driftjobs.functions.payload import canonicalize, is_json, mask_string, read_payload, safe_json
 from driftjobs.jobs.batch import BY, extract_features, recompute_baselines, replay, replay_summary, run_pipeline
 from driftjobs.operators import alerts, baseline, drift, features, joins, windows
 from driftjobs.sources import io, tables
@@ -140,6 +140,16 @@ def p1_safe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", safe_json(t).alias("parsed"), safe_json(t, "{}").alias("defaulted"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 IN (0, 6) THEN TRUE WHEN doc_id % 9 < 8 THEN FALSE ELSE NULL END AS json, doc_id % 9 IN (0, 6) AS payload, CASE WHEN doc_id % 9 IN (0, 6) THEN 'no endpoint' ELSE 'not JSON' END AS reason FROM documents""")
+def p1_one_json_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd texts around each document's size: what is JSON (P1) is a payload (N1, P6) and not quarantined as bad JSON (S7), else neither."""
+    shapes = ("%s", "%s x", '{"a":NaN,"b":%s}', '{"a":%s,"a":2}', "[" * 600 + "%s" + "]" * 600, "[%s", '{"a":"]]","b":' + "[" * 400 + "%s" + "]" * 400 + "}", '{"a":%s}}')
+    n = F.concat(F.lit('{"n":'), "n_chars", F.lit("}"))
+    text = F.coalesce(*[F.when(F.col("doc_id") % 9 == k, F.concat(F.lit(a), n, F.lit(b))) for k, (a, b) in enumerate(x.split("%s") for x in shapes)])
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", text.alias("value"))
+    return rows.select("doc_id", is_json(F.col("value")).alias("json"), F.coalesce(read_payload("value")["parsed"], F.lit(False)).alias("payload"), io.malformed(F.col("value")).alias("reason"))
+
+
 @query(f"WITH {O} SELECT {K}, strftime(time_bucket(INTERVAL 15 MINUTE, time), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, max(latency_ms) AS slowest FROM o GROUP BY ALL")
 def w1_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.tumbling_windows(observations(spark, sf_dir)).groupBy(*KEY, "window_start").agg(F.count(F.lit(1)).alias("n"), F.max("latency_ms").alias("slowest")).withColumn("window_start", _stamp("window_start"))
@@ -150,6 +160,22 @@ def w2_replay_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.replay_chunks(observations(spark, sf_dir)).select("endpoint_id", "request_id", "chunk")
 
 
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of which some have no endpoint, no segment or no time."""
+    n = F.col("request_id").cast("long")
+    missing = {"endpoint_id": n % 9 == 0, "segmentation_key": n % 4 == 0, "time": n % 10 == 3}
+    return observations(spark, sf_dir).withColumns({c: F.when(~lost, F.col(c)) for c, lost in missing.items()})
+
+
+ODD = f"""odd AS (SELECT * REPLACE (CASE WHEN n % 9 <> 0 THEN endpoint_id END AS endpoint_id, CASE WHEN n % 4 <> 0 THEN segmentation_key END AS segmentation_key, CASE WHEN n % 10 <> 3 THEN time END AS time)
+  FROM (SELECT *, CAST(request_id AS BIGINT) AS n FROM ({OBSERVATIONS})))"""
+
+
+@query(f"WITH {ODD} SELECT endpoint_id, request_id, CAST(floor((row_number() OVER (PARTITION BY endpoint_id ORDER BY time NULLS FIRST, request_id) - 1) / 100) AS BIGINT) AS chunk FROM odd")
+def w2_chunks_of_odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.replay_chunks(_odd(spark, sf_dir)).select("endpoint_id", "request_id", "chunk")
+
+
 # Features.
 
 
@@ -223,6 +249,22 @@ def a14_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, _day(), "sample_count", F.round(level["p95"], 4).alias("p95"), level["payload_entropy"].alias("payload_entropy"), F.coalesce(F.size("fields"), F.lit(-1)).alias("fields"))
 
 
+@query(f"""WITH {ODD}, o AS (SELECT *, strftime(time, '%Y-%m-%d') AS day FROM odd WHERE time IS NOT NULL), {LV}, {ENT}, {STAT},
+n AS (SELECT {K}, day, count(DISTINCT path) AS fields, sum(CASE WHEN kind = 'int' THEN num END) AS total FROM lv WHERE kind <> 'visit' GROUP BY ALL),
+s AS (SELECT {K}, day, count(*) AS codes FROM stat GROUP BY ALL),
+r AS (SELECT {K}, day, count(*) AS sample_count, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM o GROUP BY ALL)
+SELECT r.endpoint_id, r.segmentation_key, r.day, sample_count, p95, payload_entropy, CAST(codes AS INTEGER) AS codes, CAST(fields AS INTEGER) AS fields
+FROM r JOIN ent e ON e.endpoint_id IS NOT DISTINCT FROM r.endpoint_id AND e.segmentation_key IS NOT DISTINCT FROM r.segmentation_key AND e.day = r.day
+JOIN s ON s.endpoint_id IS NOT DISTINCT FROM r.endpoint_id AND s.segmentation_key IS NOT DISTINCT FROM r.segmentation_key AND s.day = r.day
+JOIN n ON n.endpoint_id IS NOT DISTINCT FROM r.endpoint_id AND n.segmentation_key IS NOT DISTINCT FROM r.segmentation_key AND n.day = r.day""")
+def a14_vectors_of_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without endpoint or segment are windows of their own, with all their features; those without a time are in none."""
+    obs = windows.tumbling_windows(_odd(spark, sf_dir), "1 day").where("time is not null")
+    rows = features.assemble_feature_vector(*extract_features(obs), BY)
+    level = F.col("response_level")
+    return rows.select(*KEY, _day(), "sample_count", F.round(level["p95"], 4).alias("p95"), level["payload_entropy"].alias("payload_entropy"), F.size(level["status_codes"]).alias("codes"), F.size("fields").alias("fields"))
+
+
 # Baselines.
 
 
@@ -682,6 +724,19 @@ def d2_suppressed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.suppress_alerts(tables.alerts(spark, sf_dir), tables.suppression_windows(spark, sf_dir)).select("id", "endpoint_id")
 
 
+_ODD_WINDOWS = """SELECT concat('ep_', CAST(o_custkey AS STRING)) AS endpoint_id,
+  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN o_orderdate + INTERVAL 9 DAY ELSE o_orderdate END AS starts_at,
+  CASE o_orderkey % 5 WHEN 1 THEN o_orderdate WHEN 2 THEN NULL WHEN 3 THEN o_orderdate + INTERVAL 10 YEAR ELSE o_orderdate + INTERVAL 5 HOUR END AS ends_at FROM orders WHERE o_orderkey % 11 = 0"""
+
+
+@query(f"""WITH a AS ({tables.ALERTS}), s AS ({_ODD_WINDOWS}) SELECT id, endpoint_id FROM a ANTI JOIN s ON a.endpoint_id = s.endpoint_id AND coalesce(starts_at, ends_at) IS NOT NULL
+  AND coalesce(a.created_at >= s.starts_at, TRUE) AND coalesce(a.created_at <= s.ends_at, TRUE)""")
+def d2_odd_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of hours and of ten years, without a start, without an end, and with the end before the start."""
+    odd = tables.view(spark, sf_dir, _ODD_WINDOWS, "orders").withColumns({c: F.col(c).cast("timestamp") for c in ("starts_at", "ends_at")})
+    return alerts.suppress_alerts(tables.alerts(spark, sf_dir), odd).select("id", "endpoint_id")
+
+
 @query(f"""WITH RECURSIVE a AS ({tables.ALERTS}), r AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id, alert_type ORDER BY created_at, id) AS i FROM a),
 k AS (SELECT id, endpoint_id, alert_type, created_at, i FROM r WHERE i = 1 UNION ALL
   SELECT n.id, n.endpoint_id, n.alert_type, n.created_at, n.i FROM k JOIN LATERAL (SELECT * FROM r WHERE r.endpoint_id = k.endpoint_id AND r.alert_type = k.alert_type AND r.created_at >= k.created_at + INTERVAL 30 DAY ORDER BY r.i LIMIT 1) n ON TRUE)

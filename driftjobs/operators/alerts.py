@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from driftjobs.constants import ALERT_KEY_SECONDS, ERROR_STATUS
 from driftjobs.operators.features import quantiles
+from driftjobs.operators.keys import join_same
 
+#: Powers of two hours that bins have, and hours beyond which all times are one (some 30,000 years).
+LEVELS, EVER = 30, 1 << 28
 EVENT = ("endpoint_id", "segmentation_key", "org_id", "project_id", "drift_score", "confidence_score", "confidence_state", "severity", "alert_type", "model_version", "timestamp", "baseline_snapshot_time", "summary", "components")
 PARTS = ("feature_name", "drift_type", "baseline_value", "observed_value", "deviation_z", "deviation_pct", "weight")
 
@@ -68,18 +71,42 @@ def ingestion_metrics(obs: DataFrame, bucket: str = "1 hour") -> DataFrame:
         F.avg("latency_ms").alias("avg_latency_ms"),
     )
     p95 = quantiles(rows, by, "latency_ms", (0.95,)).select(*by, F.col("q")[0].alias("p95_latency_ms"))
-    return sums.join(p95, list(by), "left")
+    return join_same(sums, p95, by, "left")
 
 
-def suppress_alerts(alerts: DataFrame, suppression: DataFrame, grain: str = "day") -> DataFrame:
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The bins (level, no) that together are the steps ``first`` to ``last``, both included: at most two of each level.
+
+    A bin of level k holds ``2 ** k`` steps from a multiple of that on. Of what is left at a level, an odd first bin and an even last
+    one stand there; all others pair up for the next level.
+    """
+    bins = []
+    for k in range(LEVELS):
+        begin, end = F.ceil(first / F.lit(1 << k)).cast("long"), F.floor((last + 1) / F.lit(1 << k)).cast("long")
+        for edge, no in ((begin, begin), (end, end - 1)):
+            bins.append(F.when((begin < end) & (F.pmod(edge, F.lit(2)) == 1), F.struct(F.lit(k).alias("level"), no.alias("no"))))
+    return F.array_compact(F.array(*bins))
+
+
+def suppress_alerts(alerts: DataFrame, suppression: DataFrame) -> DataFrame:
     """Alerts outside of their endpoint's suppression windows, both ends of which count as inside.
 
-    An interval anti-join over days: each suppression is spread over the days it touches, so the join
-    has equal keys and no endpoint's rows meet all of its windows.
+    An interval anti-join with equal keys: a window is cut into bins of hours times a power of two (``dyadic_cover``: some thirty for
+    ten years), an alert's time lies in one bin of each power that occurs, and times decide in the bins. A window that ends before it
+    starts covers nothing. One without an end goes on for ever, one without a start has always been; without both,
+    or without an endpoint, it covers nothing. Alerts without a time or an endpoint stay.
     """
-    days = suppression.select(F.col("endpoint_id").alias("__e"), "starts_at", "ends_at", F.explode(F.sequence(F.date_trunc(grain, "starts_at"), F.date_trunc(grain, "ends_at"), F.expr(f"interval 1 {grain}"))).alias("__d"))
-    on = (F.col("endpoint_id") == F.col("__e")) & (F.date_trunc(grain, "created_at") == F.col("__d")) & F.col("created_at").between(F.col("starts_at"), F.col("ends_at"))
-    return alerts.join(days, on, "left_anti")
+    hours = lambda c: F.floor(F.unix_micros(c) / F.lit(3_600_000_000))
+    hour = lambda c, otherwise: F.coalesce(F.when(F.col(c).isNotNull(), F.greatest(F.lit(-EVER), F.least(F.lit(EVER), hours(c)))), F.lit(otherwise)).cast("long")
+    starts, ends = F.col("starts_at"), F.col("ends_at")
+    told = suppression.where(F.col("endpoint_id").isNotNull() & F.coalesce(starts, ends).isNotNull() & F.coalesce(starts <= ends, F.lit(True)))
+    bins = told.select(F.col("endpoint_id").alias("__e"), starts.alias("__from"), ends.alias("__to"), F.explode(dyadic_cover(hour("starts_at", -EVER), hour("ends_at", EVER))).alias("__bin"))
+    levels = sorted(r[0] for r in bins.select("__bin.level").distinct().collect())  # LEVELS at most
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(hour("created_at", 0) / F.lit(1 << k)).cast("long").alias("no")) for k in levels or [0]])
+    times = alerts.select("endpoint_id", "created_at").where("endpoint_id is not null and created_at is not null").distinct().withColumn("__own", F.explode(own))
+    inside = (F.col("endpoint_id") == F.col("__e")) & (F.col("__own") == F.col("__bin")) & F.coalesce(F.col("created_at") >= F.col("__from"), F.lit(True)) & F.coalesce(F.col("created_at") <= F.col("__to"), F.lit(True))
+    covered = times.join(bins, inside, "left_semi").select("endpoint_id", "created_at").distinct()
+    return alerts.join(covered, ["endpoint_id", "created_at"], "left_anti").select(*alerts.columns)
 
 
 def dedup_alerts(alerts: DataFrame, seconds: int = ALERT_KEY_SECONDS, by: Sequence[str] = ("endpoint_id", "alert_type")) -> DataFrame:
@@ -109,7 +136,7 @@ def dedup_alerts(alerts: DataFrame, seconds: int = ALERT_KEY_SECONDS, by: Sequen
 
 def alert_evidence(components: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Each component with the time range of its window."""
-    return components.join(windows.select(*by, "window_end"), list(by)).withColumn("time_window", F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")))
+    return join_same(components, windows.select(*by, "window_end"), by).withColumn("time_window", F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")))
 
 
 def route_alerts(alerts: DataFrame, channels: DataFrame) -> DataFrame:

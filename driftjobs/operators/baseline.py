@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftjobs.constants import EWMA_ALPHA, KEY, MAX_ENUM
 from driftjobs.functions.confidence import maturity_state, window_days
+from driftjobs.operators.keys import join_same
 
 RESPONSE = ("p50", "p95", "p99", "mean", "std", "size_mean", "size_std", "size_p95")
 
@@ -49,7 +50,7 @@ def baseline_status(vectors: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     totals = own.groupBy(*by).agg(F.sum("sample_count").alias("total"))
     rates = own.select(*by, "sample_count", F.explode("status_codes").alias("code", "rate"))
     sums = rates.groupBy(*by, "code").agg(F.sum(F.col("rate") * F.col("sample_count")).alias("s"))
-    return sums.join(totals, list(by)).select(*by, "code", F.round(F.col("s") / F.col("total"), 6).alias("rate"))
+    return join_same(sums, totals, by).select(*by, "code", F.round(F.col("s") / F.col("total"), 6).alias("rate"))
 
 
 def baseline_fields(fields: DataFrame, vectors: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
@@ -60,7 +61,7 @@ def baseline_fields(fields: DataFrame, vectors: DataFrame, by: Sequence[str] = K
     type is the latest, ranges and vocabularies are the widest.
     """
     window = [*by, "window_start"]
-    rows = fields.join(vectors.select(*window, "sample_count", "c"), window)
+    rows = join_same(fields, vectors.select(*window, "sample_count", "c"), window)
     c = F.col("c")
     numeric, lengths = F.col("mean").isNotNull(), F.col("mean_length").isNotNull()
     over = lambda name, has: F.round(_mean(F.when(has, F.coalesce(F.col(name), F.lit(0.0))), c), 6).alias(name)
@@ -75,7 +76,7 @@ def baseline_fields(fields: DataFrame, vectors: DataFrame, by: Sequence[str] = K
         F.max(F.when(lengths, F.col("vocabulary_size"))).alias("vocabulary_size"),
         F.round(_mean(F.when(lengths, F.col("vocabulary_entropy")), c), 6).alias("vocabulary_entropy"),
     )
-    return merged.where(F.col("__weight") > 0).drop("__weight").join(baseline_enums(rows, by), [*by, "path"], "left")
+    return join_same(merged.where(F.col("__weight") > 0).drop("__weight"), baseline_enums(rows, by), [*by, "path"], "left")
 
 
 def baseline_enums(rows: DataFrame, by: Sequence[str] = KEY, most: int = MAX_ENUM) -> DataFrame:
@@ -83,7 +84,7 @@ def baseline_enums(rows: DataFrame, by: Sequence[str] = KEY, most: int = MAX_ENU
     listed = rows.where(F.col("mean_length").isNotNull() & (F.size("enum_distribution") > 0))
     totals = listed.groupBy(*by, "path").agg(F.sum("sample_count").alias("total"))
     sums = listed.select(*by, "path", "sample_count", F.explode("enum_distribution").alias("value", "share")).groupBy(*by, "path", "value").agg(F.sum(F.col("share") * F.col("sample_count")).alias("s"))
-    shares = sums.join(totals.where("total > 0"), [*by, "path"]).withColumn("share", F.round(F.col("s") / F.col("total"), 6))
+    shares = join_same(sums, totals.where("total > 0"), [*by, "path"]).withColumn("share", F.round(F.col("s") / F.col("total"), 6))
     first = shares.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "path").orderBy("value"))).where(F.col("__rank") <= most)
     return first.groupBy(*by, "path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "share")))).alias("enum_distribution"))
 
@@ -92,5 +93,5 @@ def compute_baseline(vectors: DataFrame, fields: DataFrame, by: Sequence[str] =
     """Response-level and field baselines of chosen vectors (see ``baseline_vectors``). A computed baseline has no schema hash."""
     weighed = weighted_vectors(vectors)
     codes = baseline_status(weighed, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "rate")))).alias("status_codes"))
-    responses = baseline_response(weighed, by).join(codes, list(by), "left").withColumn("schema_hash", F.lit(None).cast("string"))
+    responses = join_same(baseline_response(weighed, by), codes, by, "left").withColumn("schema_hash", F.lit(None).cast("string"))
     return responses, baseline_fields(fields, weighed, by)

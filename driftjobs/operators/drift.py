@@ -11,6 +11,7 @@ from driftjobs import constants as C
 from driftjobs.functions.confidence import severity
 from driftjobs.functions.stats import clamp_z, jensen_shannon_divergence, population_stability_index, proportion_z_test, rate_z_score, safe_pct_change
 from driftjobs.functions.summary import alert_summary
+from driftjobs.operators.keys import join_same
 
 COMPONENT = ("place", "feature_name", "drift_type", "baseline_value", "observed_value", "deviation_z", "deviation_pct", "weight")
 
@@ -64,9 +65,9 @@ def compare_fields(windows: DataFrame, fields: DataFrame, base_fields: DataFrame
     Baseline fields are spread over the windows of their key first, so that a field which a window lacks is seen.
     """
     struct = lambda df, own, name: df.select(*own, "path", F.struct(*[x for x in df.columns if x not in (*own, "path")]).alias(name))
-    expected = windows.select(*by).join(struct(base_fields, key, "b"), list(key))
-    found = struct(fields, by, "c").join(windows.select(*by), list(by), "left_semi")
-    return expected.join(found, [*by, "path"], "full_outer").join(windows.select(*by, "sample_count"), list(by))
+    expected = join_same(windows.select(*by), struct(base_fields, key, "b"), key)
+    found = join_same(struct(fields, by, "c"), windows.select(*by), by, "left_semi")
+    return join_same(join_same(expected, found, [*by, "path"], "full_outer"), windows.select(*by, "sample_count"), by)
 
 
 def field_components(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -105,7 +106,7 @@ def drift_components(responses: DataFrame, fields: DataFrame, base: DataFrame, b
     rest = [x for x in responses.columns if x not in by]
     base = base.where("sample_count > 0")
     others = base.select(*key, F.struct(*[x for x in base.columns if x not in key]).alias("b"))
-    rows = responses.select(*by, F.struct(*rest).alias("c")).join(others, list(key))
+    rows = join_same(responses.select(*by, F.struct(*rest).alias("c")), others, key)
     windows = rows.select(*by, "c.sample_count")
     pairs = compare_fields(windows, fields, base_fields, by, key)
     return response_components(rows, by).unionByName(status_components(rows, by)).unionByName(field_components(pairs, by))
@@ -127,6 +128,6 @@ def drift_total(components: DataFrame, by: Sequence[str], top: int = 3) -> DataF
 def score_drift(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, by: Sequence[str], key: Sequence[str] = C.KEY, model_version: str = C.MODEL_VERSION) -> DataFrame:
     """A row for every window: quiet ones, and those without a baseline, score 0. ``components`` counts those in ``found``."""
     totals = drift_total(drift_components(responses, fields, base, base_fields, by, key), by)
-    rows = responses.select(*by, "sample_count").join(totals, list(by), "left")
+    rows = join_same(responses.select(*by, "sample_count"), totals, by, "left")
     rows = rows.withColumns({"score": F.coalesce("score", F.lit(0.0)), "components": F.coalesce("components", F.lit(0).cast("long")), "model_version": F.lit(model_version)})
     return rows.withColumn("summary", alert_summary(F.col("score"), F.col("severity"), F.col("top"))).drop("top")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftjobs.constants import KEY
-from driftjobs.operators.windows import latest
+from driftjobs.operators.keys import join_same
+from driftjobs.operators.windows import latest, tie
 
 
 def live_only(df: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def active_baselines(snapshots: DataFrame, by: Sequence[str] = KEY, time: str =
 
 def join_active_baseline(windows: DataFrame, snapshots: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """Left join of each key's latest snapshot. Spark broadcasts it if its measured size is small."""
-    return windows.join(active_baselines(snapshots, by), list(by), "left")
+    return join_same(windows, active_baselines(snapshots, by), by, "left")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], grain: str = "day") -> DataFrame:
@@ -36,21 +37,21 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
     Within a grain of time both sides pass in one order, so a busy key spreads over its grains. What is
     valid at a grain's start is carried over from the grains before it, of which a key has one row each. Rows that
-    can find nothing are set aside and don't move.
+    can find nothing are set aside and don't move. Of rows of ``right`` of one time that of the greatest values counts.
     """
     rest = [c for c in left.columns if c not in by]
     fine = lambda time: F.col(time).isNotNull() & ~F.greatest(*[F.col(c).isNull() for c in (*by, *by)])
     at = lambda time: F.date_trunc(grain, time).alias("__grain")
     key = [*by, "__grain"]
-    known = right.where(fine(right_time)).select(*by, at(right_time), F.col(right_time).alias("__t"), F.struct(*values).alias("__right"))
-    ends = known.groupBy(*key).agg(F.max_by("__right", "__t").alias("__last"))
+    known = right.where(fine(right_time)).select(*by, at(right_time), F.col(right_time).alias("__t"), tie(right, values).alias("__tie"), F.struct(*values).alias("__right"))
+    ends = known.groupBy(*key).agg(F.max_by("__right", F.struct("__t", "__tie")).alias("__last"))
     grains = ends.select(*key, "__last").unionByName(left.where(fine(left_time)).select(*by, at(left_time)).distinct(), allowMissingColumns=True)
     grains = grains.groupBy(*key).agg(F.first("__last", ignorenulls=True).alias("__last"))
     before = Window.partitionBy(*by).orderBy("__grain").rowsBetween(Window.unboundedPreceding, -1)
     opening = grains.select(*key, F.last("__last", ignorenulls=True).over(before).alias("__right"), F.lit(0).alias("__side")).where("__right is not null")
     a = left.where(fine(left_time)).select(*by, at(left_time), F.col(left_time).alias("__t"), F.lit(2).alias("__side"), F.struct(*rest).alias("__left"))
     both = a.unionByName(known.withColumn("__side", F.lit(1)), allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
-    seen = Window.partitionBy(*key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = Window.partitionBy(*key).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(seen)).where("__side = 2")
     found = found.select(*by, "__left.*", *[F.col("__found")[v].alias(v) for v in values])
     kinds = dict(right.dtypes)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftjobs.constants import KEY, NEWEST_PER_WINDOW, OLDEST_PER_BASELINE, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, REPLAY_CHUNK
+from driftjobs.operators.keys import join_same
 
 
 def tumbling_windows(obs: DataFrame, duration: str = "15 minutes") -> DataFrame:
@@ -23,13 +24,19 @@ def newest(df: DataFrame, by: Sequence[str], most: int = NEWEST_PER_WINDOW, time
 
 
 def latest(df: DataFrame, by: Sequence[str], time: str = "time") -> DataFrame:
-    """The latest row of each group, by partial aggregates instead of a sort."""
+    """The latest row of each group, by partial aggregates instead of a sort; of rows of one time that of the greatest values (``tie``)."""
     rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.col(time)).alias("__row")).select(*by, "__row.*")
+    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(time, tie(df, rest))).alias("__row")).where(F.col(f"__row.{time}").isNotNull()).select(*by, "__row.*")
+
+
+def tie(df: DataFrame, columns: Sequence[str]) -> Column:
+    """What decides between rows of one time: their columns' values in order, where these have an order."""
+    kinds = dict(df.dtypes)
+    return F.struct(*[F.to_json(F.struct(F.col(c).alias(c))) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(c) for c in columns])
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], time: str = "time", grain: str = "day") -> DataFrame:
-    """``df`` with ``row_no`` from 0 by ``order`` within ``by``; ``order`` begins with the time.
+    """``df`` with ``row_no`` from 0 by ``order`` within ``by``; ``order`` begins with the time. Null keys are keys, null times come first.
 
     A hot group is no hot task: rows are ranked within a grain of time, and a running sum over the few
     counts of grains gives each grain's offset.
@@ -39,7 +46,7 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], time: st
     before = Window.partitionBy(*by).orderBy("__grain").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "__grain", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*by, "__grain").orderBy(*order)
-    ranked = grained.withColumn("__at", F.row_number().over(inside) - 1).join(offsets, [*by, "__grain"])
+    ranked = join_same(grained.withColumn("__at", F.row_number().over(inside) - 1), offsets, [*by, "__grain"])
     return ranked.withColumn("row_no", F.col("__before") + F.col("__at")).drop("__grain", "__at", "__before")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftjobs.constants import KEY, RETENTION_DAYS
+from driftjobs.functions.payload import is_json
 from driftjobs.operators.joins import with_active
 from driftjobs.operators.windows import latest, newest, tumbling_windows
 
@@ -92,12 +93,16 @@ def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumns({"segmentation_key": F.coalesce("segmentation_key", F.lit("default")), "time": F.coalesce("time", "event_time")})
 
 
+def malformed(envelope: Column) -> Column:
+    """Why an envelope can't be an observation: "not JSON" (``is_json``; nulls too) or "no endpoint"; else null."""
+    text = F.make_valid_utf8(envelope)
+    endpoint = F.from_json(text, ENVELOPE)["payload"]["endpoint_id"]
+    return F.when(~F.coalesce(is_json(text), F.lit(False)), "not JSON").when(endpoint.isNull() | (endpoint == ""), "no endpoint")
+
+
 def split_malformed(raw: DataFrame, quarantined_at: Column, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Rows that parse, and the others with their text, a reason and a time. Neither waits for the other."""
-    text = F.col(value).cast("string")
-    endpoint = F.from_json(text, ENVELOPE)["payload"]["endpoint_id"]
-    reason = F.when(F.try_parse_json(text).isNull(), "not JSON").when(endpoint.isNull() | (endpoint == ""), "no endpoint")
-    judged = raw.withColumn("reason", reason)
+    judged = raw.withColumn("reason", malformed(F.col(value).cast("string")))
     bad = judged.where(F.col("reason").isNotNull()).select(F.col(value).alias("original"), "reason", quarantined_at.alias("quarantined_at"))
     return judged.where(F.col("reason").isNull()).drop("reason"), bad
 
