@@ -49,13 +49,21 @@ def decide(scored: DataFrame, base: DataFrame, as_of: Column, key: Sequence[str]
     return rows.withColumn("alert_triggered", F.coalesce(should_alert(F.col("score"), F.col("confidence_level")), F.lit(False)))
 
 
-def score_batch(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Column, recency: Column | None = None, by: Sequence[str] = BY) -> DataFrame:
-    """Windows with score, severity, confidence, decision and summary; the persistence that a window meets is that of those before it."""
+def with_baseline(scored: DataFrame, base: DataFrame) -> DataFrame:
+    """Windows whose key has a baseline: others neither have persistence nor change it."""
+    return join_same(scored, base.where("sample_count > 0").select(*KEY), KEY, "left_semi")
+
+
+def score_batch(responses: DataFrame, fields: DataFrame, base: DataFrame, base_fields: DataFrame, as_of: Column, recency: Column | None = None, by: Sequence[str] = BY, state: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """Windows with score, severity, confidence, decision and summary; the persistence that a window meets is that of those before it.
+
+    ``state`` is the persistence of keys before the first of these windows (``persistence_state``). ``extra`` has other columns of
+    windows, which stay, and which ``as_of`` and ``recency`` may name.
+    """
     scored = written(score_drift(responses, fields, base, base_fields, by))
-    had = join_same(scored, base.where("sample_count > 0").select(*KEY), KEY, "left_semi")
-    order = by[-1]
-    lasting = anomaly_persistence(had, KEY, order).select(*by, "persistence")
+    lasting = anomaly_persistence(with_baseline(scored, base), KEY, by[-1], state=state).select(*by, "persistence")
     rows = join_same(scored, lasting, by, "left").withColumn("persistence", F.coalesce("persistence", F.lit(0)))
+    rows = rows if extra is None else join_same(rows, extra, by, "left")
     return written(decide(rows.withColumn("deployment_recency_hours", recency if recency is not None else F.lit(None).cast("double")), base, as_of))
 
 

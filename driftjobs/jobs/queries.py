@@ -15,7 +15,7 @@ from driftjobs.jobs.batch import BY, extract_features, recompute_baselines, repl
 from driftjobs.operators import alerts, baseline, drift, features, joins, windows
 from driftjobs.sources import io, tables
 from driftjobs.sources.tables import LEAVES, OBSERVATIONS, observations
-from driftjobs.streaming import streams
+from driftjobs.streaming import scoring, streams
 from driftjobs.streaming.streams import drained, replayed
 
 SPLIT, AS_OF = "2024-01-21 00:00:00", "2024-01-31 00:00:00"
@@ -771,6 +771,7 @@ def s2_envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes as lines of text, read as a stream."""
     path = io.shared_folder(spark)
     tables.view(spark, sf_dir, RAW, "events").select("value").write.text(path)
+    io.go_at_end(spark, path)
     rows = streams.read_observation_stream(spark, "text", {"path": path}).where(F.col("endpoint_id") != "")
     return drained(rows.select("event_id", *KEY, "latency_ms"))
 
@@ -808,3 +809,69 @@ def x4_stream_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly scores as a stream, each with the persistence that it meets."""
     hours = windows.tumbling_windows(observations(spark, sf_dir), "1 hour").groupBy(*BY).agg(F.least(F.lit(10.0), F.floor(F.avg("latency_ms") / 2) / 100).alias("score"))
     return drained(streams.persistence(replayed(hours))).select(*KEY, _stamp("window_start"), "score", "persistence")
+
+
+# Scoring in a stream.
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The observations from the split on, in three parts by time."""
+    obs = observations(spark, sf_dir)
+    at = [F.lit(f"2024-01-{d} 00:00:00").cast("timestamp") for d in (21, 24, 28)]
+    return [obs.where((F.col("time") >= a) & ((F.col("time") < z) if z is not None else F.lit(True))) for a, z in zip(at, [*at[1:], None], strict=True)]
+
+
+def _scored_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Run the scoring stream over what arrives; where its tables are. Each part is a run of its own that goes on from the checkpoint."""
+    before = extract_features(_before(spark, sf_dir))
+    known = recompute_baselines(*before, F.lit(SPLIT).cast("timestamp"), 30)
+    path = io.shared_folder(spark)
+    io.go_at_end(spark, path)
+    each = scoring.score_closed(f"{path}/tables", lambda _: known, F.lit(AS_OF).cast("timestamp"))
+    streams.in_turn(_arriving(spark, sf_dir), lambda obs: streams.drain_batches(scoring.closed_values(obs, "1 day"), each, f"{path}/state"))
+    return f"{path}/tables"
+
+
+#: The windows that the watermark has closed.
+CLOSED = "CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(time) - INTERVAL 10 MINUTE FROM o)"
+
+
+@query(f"{_DECIDED} SELECT {K}, day, sample_count, score, severity, alert_type, persistence, confidence_score, confidence_level, alert_triggered FROM q5 WHERE {CLOSED}")
+def flagship_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's rows, from a stream that is stopped and started twice (run_pipeline as the worker runs it; A0-A13 as state, X2, X3)."""
+    rows = io.read_scored_windows(spark, _scored_stream(spark, sf_dir), "drift_scores")
+    return rows.select(*KEY, _day(), "sample_count", "score", "severity", "alert_type", "persistence", "confidence_score", "confidence_level", "alert_triggered")
+
+
+@query(f"{_DECIDED}, f AS (SELECT {K}, day, count(*) AS fields FROM fld GROUP BY ALL) SELECT {K}, day, q5.sample_count, round(p95, 4) AS p95, CAST(fields AS INTEGER) AS fields, score, alert_triggered FROM q5 JOIN resp USING ({K}, day) JOIN f USING ({K}, day) WHERE {CLOSED}")
+def s3_scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and scores that the stream has written together, as they are read back: each window once in both."""
+    path = _scored_stream(spark, sf_dir)
+    vectors, scores = (io.read_scored_windows(spark, path, t) for t in ("feature_vectors", "drift_scores"))
+    both = vectors.select(*BY, F.col("response_level.p95").alias("p95"), F.size("fields").alias("fields")).join(scores.select(*BY, "sample_count", "score", "alert_triggered"), list(BY), "full_outer")
+    return both.select(*KEY, _day(), "sample_count", F.round("p95", 4).alias("p95"), "fields", "score", "alert_triggered")
+
+
+@query(f"""WITH {O}, l AS (SELECT {K}, time_bucket(INTERVAL 15 MINUTE, time) AS w, CAST(request_id AS BIGINT) % 20 = 0 AS late FROM o),
+m AS (SELECT max(time) FILTER (CAST(request_id AS BIGINT) % 20 <> 0) - INTERVAL 10 MINUTE AS first, max(time) - INTERVAL 10 MINUTE AS last FROM o)
+SELECT {K}, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS sample_count FROM l, m WHERE w + INTERVAL 15 MINUTE <= last AND NOT (late AND w + INTERVAL 15 MINUTE <= first) GROUP BY ALL""")
+def x5_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth row comes after all others: those whose window has closed by then change nothing."""
+    obs, late = observations(spark, sf_dir), F.col("request_id").cast("long") % 20 == 0
+    folder = io.shared_folder(spark)
+    found = []
+    streams.in_turn([obs.where(~late), obs.where(late)], lambda rows: found.append(drained(streams.stream_features(rows), folder)))
+    return found[-1].select(*KEY, _stamp("window_start"), "sample_count")
+
+
+@query(f"WITH {O}, {RESP}, {ENT}, {STAT}, {VEC}, {BASE}, asked AS (SELECT DISTINCT {K} FROM o WHERE CAST(request_id AS BIGINT) % 3 = 0 AND endpoint_id <> 'ep_5') SELECT {K}, {_rs(*RESPONSE_COLUMNS)}, CAST(sample_count AS BIGINT) AS sample_count, {MATURITY} AS maturity_state FROM base JOIN asked USING ({K})")
+def x6_requested_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every third observation's key, but blank for one endpoint: each key's baseline once a micro-batch."""
+    n = F.col("request_id").cast("long")
+    requests = observations(spark, sf_dir).where(n % 3 == 0).select(F.when(F.col("endpoint_id") != "ep_5", F.col("endpoint_id")).otherwise("").alias("endpoint_id"), "segmentation_key")
+    path = io.shared_folder(spark)
+    io.go_at_end(spark, path)
+    write = lambda base, fields, batch_id: base.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    each = streams.recompute_requested(*extract_features(_before(spark, sf_dir)), F.lit(SPLIT).cast("timestamp"), write, 30)
+    streams.drain_batches(replayed(requests), each, f"{path}-state")
+    return spark.read.parquet(path).select(*KEY, *_r(*RESPONSE_COLUMNS), "sample_count", "maturity_state")

@@ -68,12 +68,37 @@ def baseline_vectors(vectors: DataFrame, as_of: Column, days: Column | int = 7,
     return rows.withColumn("age", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("window_start").desc())) - 1)
 
 
-def anomaly_persistence(scores: DataFrame, by: Sequence[str] = KEY, time: str = "window_start", score: str = "score") -> DataFrame:
+def anomaly_persistence(scores: DataFrame, by: Sequence[str] = KEY, time: str = "window_start", score: str = "score", state: DataFrame | None = None) -> DataFrame:
     """``scores`` with ``persistence``: how many anomalous windows in a row came before this one.
 
     A score of 4 or more adds one, one under 2 starts anew, others hold; the count is forgotten 24 hours
-    after it last grew. One row a window, so ordering a key's rows in one task is small work.
+    after it last grew. One row a window, so ordering a key's rows in one task is small work. ``state`` says what
+    keys had before (``persistence_state``).
     """
+    return _persisting(scores, by, time, score, state).where("not __before").drop("__before", "__weight", "__grew", "__lost", "__run")
+
+
+def persistence_state(scores: DataFrame, by: Sequence[str] = KEY, time: str = "window_start", score: str = "score", state: DataFrame | None = None) -> DataFrame:
+    """``by``, ``count`` and ``grew`` (when it last grew) behind the scores, of keys whose count isn't 0 and may still be asked for.
+
+    Later scores come after these; a count that no such one can meet, for it last grew 24 hours before the first of these, goes.
+    """
+    rows = _persisting(scores, by, time, score, state)
+    had = F.when(F.col("__before"), 0).otherwise(F.col("persistence"))
+    up, down = F.col(score) >= PERSIST_UP, F.col(score) < PERSIST_DOWN
+    after = rows.select(*by, F.col(time).alias("__at"), F.when(up, had + F.col("__weight")).when(down, 0).otherwise(had).alias("count"), F.when(up, F.col(time)).otherwise(F.col("__grew")).alias("grew"), "__before")
+    last = after.groupBy(*by).agg(F.max_by(F.struct("count", "grew"), "__at").alias("x")).select(*by, "x.*").where("count > 0")
+    first = scores.agg(F.min(time)).first()[0]
+    return last if first is None else last.where(F.unix_micros("grew") > F.unix_micros(F.lit(first)) - PERSIST_SECONDS * 1_000_000)
+
+
+def _persisting(scores: DataFrame, by: Sequence[str], time: str, score: str, state: DataFrame | None) -> DataFrame:
+    """``scores`` and a row for what each key had before (``__before``), as if so many windows had come when its count last grew."""
+    scores = scores.withColumns({"__before": F.lit(False), "__weight": F.lit(1).cast("long")})
+    if state is not None:
+        kind = scores.schema[time].dataType
+        past = state.select(*by, F.col("grew").cast(kind).alias(time), F.lit(PERSIST_UP).cast(scores.schema[score].dataType).alias(score), F.lit(True).alias("__before"), F.col("count").cast("long").alias("__weight"))
+        scores = scores.unionByName(past, allowMissingColumns=True)
     past = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     up, down = F.col(score) >= PERSIST_UP, F.col(score) < PERSIST_DOWN
@@ -84,8 +109,8 @@ def anomaly_persistence(scores: DataFrame, by: Sequence[str] = KEY, time: str =
     restarts = F.sum(F.when(up & F.col("__lost"), 1).otherwise(0)).over(so_far)
     rows = rows.withColumn("__run", resets + restarts)
     run = Window.partitionBy(*by, "__run").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    count = F.coalesce(F.sum(F.when(up, 1).otherwise(0)).over(run), F.lit(0))
-    return rows.withColumn("persistence", F.when(F.col("__lost"), 0).otherwise(count).cast("long")).drop("__grew", "__lost", "__run")
+    count = F.coalesce(F.sum(F.when(up, F.col("__weight")).otherwise(0)).over(run), F.lit(0))
+    return rows.withColumn("persistence", F.when(F.col("__lost"), 0).otherwise(count).cast("long"))
 
 
 def drift_timeline(scores: DataFrame, bucket: str = "1 day", by: Sequence[str] = ("endpoint_id",)) -> DataFrame:

@@ -122,15 +122,13 @@ def apply_retention(df: DataFrame, keep: int | str, as_of: Column, time: str = "
     return df.where(F.col(time) >= as_of - F.make_dt_interval(F.lit(days)))
 
 
-TABLES = ("feature_vectors", "drift_scores")
-
-
-def write_scored_windows(vectors: DataFrame, scores: DataFrame, path: str, batch_id: int) -> None:
-    """Both tables or neither: each batch has a folder of its own in each, and readers see it when its commit is written, last.
+def write_scored_windows(vectors: DataFrame, scores: DataFrame, path: str, batch_id: int, **others: DataFrame) -> None:
+    """All tables (``feature_vectors``, ``drift_scores`` and ``others`` by name) or none: each batch has a folder of its own in each, and
+    readers see it when its commit is written, last.
 
     A retry overwrites what a failed try has left.
     """
-    for name, df in zip(TABLES, (vectors, scores), strict=True):
+    for name, df in {"feature_vectors": vectors, "drift_scores": scores, **others}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
     spark = vectors.sparkSession
     spark.range(1).select(F.lit(batch_id).cast("long").alias("committed")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={batch_id}")
@@ -143,6 +141,15 @@ def read_scored_windows(spark: SparkSession, path: str, table: str) -> DataFrame
     return rows.join(commits, F.col("batch_id") == F.col("committed"), "left_semi").drop("batch_id")
 
 
+def read_batch_before(spark: SparkSession, path: str, table: str, batch_id: int) -> DataFrame | None:
+    """What the last committed batch before this one has left in a table; None if there was none."""
+    folder, files = _folder(spark, f"{path}/commits")
+    if not files.exists(folder):
+        return None
+    last = spark.read.parquet(f"{path}/commits").where(F.col("committed") < batch_id).agg(F.max("committed")).first()[0]
+    return None if last is None else spark.read.parquet(f"{path}/{table}/batch_id={last}")
+
+
 def write_baseline(snapshots: DataFrame, path: str) -> None:
     """Append: older snapshots stay as they are, for which one is active follows from time (``read_baselines``)."""
     snapshots.write.mode("append").parquet(path)

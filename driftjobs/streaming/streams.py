@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftjobs.constants import KEY, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, TRIGGER_COUNT, TRIGGER_SECONDS
 from driftjobs.jobs.batch import recompute_baselines
-from driftjobs.sources.io import parse_envelopes, shared_folder
+from driftjobs.sources.io import go_at_end, parse_envelopes, shared_folder
 
 DAY_US = PERSIST_SECONDS * 1_000_000
 
@@ -117,27 +118,46 @@ def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
     return found.select(*KEY, F.timestamp_micros("at").alias("window_start"), "score", "persistence")
 
 
-def recompute_requested(responses: DataFrame, fields: DataFrame, as_of: Column, write: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+def recompute_requested(responses: DataFrame, fields: DataFrame, as_of: Column, write: Callable[[DataFrame, DataFrame, int], None], days: Column | int = 7) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over a stream of requests: recompute the baselines of the keys that a batch names; blank endpoints are skipped."""
 
     def batch(requests: DataFrame, batch_id: int) -> None:
         keys = requests.where(F.col("endpoint_id") != "").select(*KEY).distinct()
         wanted = lambda df: df.join(keys, list(KEY), "left_semi")
-        write(*recompute_baselines(wanted(responses), wanted(fields), as_of), batch_id)
+        write(*recompute_baselines(wanted(responses), wanted(fields), as_of, days), batch_id)
 
     return batch
 
 
 def replayed(df: DataFrame) -> DataFrame:
-    """A table as a stream of its files."""
+    """A table as a stream of its files. They go when the application ends."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    go_at_end(df.sparkSession, path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def in_turn(slices: Iterable[DataFrame], run: Callable[[DataFrame], None]) -> None:
+    """Tables that arrive one after the other as files of one stream: ``run`` is given the stream when each has come, to use it up and go on where it ended."""
+    path = None
+    for df in slices:
+        path = path or shared_folder(df.sparkSession)
+        df.write.mode("append").parquet(path)
+        go_at_end(df.sparkSession, path)
+        run(df.sparkSession.readStream.schema(df.schema).parquet(path))
+
+
+def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """Give a stream's micro-batches to ``each`` until its source is used up; how many rows were too late. ``checkpoint`` is where it goes on."""
+    query = stream.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _late(query)
+
+
 def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """What a stream gives until its source is used up, as a table in the shared folder; ``folder`` goes on where a run before it ended."""
     path = folder or shared_folder(stream.sparkSession)
+    go_at_end(stream.sparkSession, path)
     drain(stream, path)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -146,4 +166,8 @@ def drain(stream: DataFrame, folder: str) -> int:
     """Run a stream until its source is used up; how many rows were too late."""
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    return _late(query)
+
+
+def _late(query: StreamingQuery) -> int:
     return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
