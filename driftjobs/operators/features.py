@@ -121,7 +121,13 @@ def summed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def count_values(obs: DataFrame, by: Sequence[str], payloads: bool = True) -> DataFrame:
     """Counted values of whole windows, written for what reads them: each payload is parsed once."""
-    return written(counted(values_of(obs, by, payloads), by))
+    return written(counted(values_of(on_all_cores(obs) if payloads else obs, by, payloads), by))
+
+
+def on_all_cores(obs: DataFrame) -> DataFrame:
+    """``obs``, dealt out if it comes in fewer parts than there are cores (a few files): parsing is more work than moving it then."""
+    cores = obs.sparkSession.sparkContext.defaultParallelism
+    return obs if obs.isStreaming or obs.rdd.getNumPartitions() >= cores else obs.repartition(cores)
 
 
 def summaries(counts: DataFrame, by: Sequence[str]) -> DataFrame:
