@@ -796,6 +796,21 @@ def x1_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(streams.triggers(_stream(spark, sf_dir))).select(*KEY, _stamp("fired_at"), "rows")
 
 
+@query(f"""WITH RECURSIVE {O}, r AS (SELECT {K}, time AS t, row_number() OVER (PARTITION BY {K} ORDER BY time) AS i FROM o),
+f AS (SELECT {K}, i, t AS last, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS timed_at, CAST(NULL AS BIGINT) AS timed_rows, t AS row_at, CAST(1 AS BIGINT) AS row_rows FROM r WHERE i = 1
+  UNION ALL SELECT endpoint_id, segmentation_key, i, CASE WHEN fires THEN t ELSE last END, CASE WHEN fires THEN 0 ELSE n + 1 END, timed_at, timed_rows, CASE WHEN fires THEN t END, CASE WHEN fires THEN n + 1 END FROM (
+    SELECT *, t - last >= INTERVAL 900 SECOND OR n + 1 >= 100 AS fires FROM (
+      SELECT r.endpoint_id, r.segmentation_key, r.i, r.t, CASE WHEN up THEN f.last + INTERVAL 900 SECOND ELSE f.last END AS last, CASE WHEN up THEN 0 ELSE f.n END AS n, CASE WHEN up THEN f.last + INTERVAL 900 SECOND END AS timed_at, CASE WHEN up THEN f.n END AS timed_rows
+      FROM (SELECT f.*, r.t AS next_t, r.i AS next_i, f.n > 0 AND r.t >= f.last + INTERVAL 900 SECOND AS up FROM f JOIN r ON r.endpoint_id = f.endpoint_id AND r.segmentation_key = f.segmentation_key AND r.i = f.i + 1) f
+      JOIN r ON r.endpoint_id = f.endpoint_id AND r.segmentation_key = f.segmentation_key AND r.i = f.next_i))),
+ends AS (SELECT {K}, last + INTERVAL 900 SECOND AS fired, n FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY i DESC) AS b FROM f) WHERE b = 1 AND n > 0 AND last + INTERVAL 900 SECOND <= (SELECT max(time) - INTERVAL 10 MINUTE FROM o))
+SELECT {K}, strftime(fired, '%Y-%m-%d %H:%M:%S') AS fired_at, CAST(n AS BIGINT) AS rows FROM (
+  SELECT {K}, timed_at AS fired, timed_rows AS n FROM f WHERE timed_at IS NOT NULL UNION ALL SELECT {K}, row_at, row_rows FROM f WHERE row_at IS NOT NULL UNION ALL SELECT {K}, fired, n FROM ends)""")
+def x1_timed_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time fires by itself: rows that wait don't wait for another one."""
+    return drained(streams.triggers(_stream(spark, sf_dir), timed=True)).select(*KEY, _stamp("fired_at"), "rows")
+
+
 _HOURLY = f"""h AS (SELECT {K}, date_trunc('hour', time) AS window_start, least(10, floor(avg(latency_ms) / 2) / 100) AS score FROM o GROUP BY ALL)"""
 _HOURLY_PERSISTENCE = f"""WITH {O}, {_HOURLY},
 p1 AS (SELECT *, last_value(CASE WHEN score >= 4 THEN window_start END IGNORE NULLS) OVER (PARTITION BY {K} ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grew FROM h),

@@ -1,7 +1,7 @@
 """The monitor's main loop as a stream: observations, counted values of open windows, scores of those that close.
 
 State is what is counted: a row for each value that an open window has, added to as rows come, and ended by the watermark. It is dealt by
-window and value, lies in RocksDB where the session says so (``with_rocks``), and no window or path is held in memory.
+window and value and lies in RocksDB (``with_rocks``): no window or path is held in memory.
 """
 
 from __future__ import annotations
@@ -18,23 +18,18 @@ from driftjobs.operators.features import VALUE, assemble_feature_vector, counted
 from driftjobs.operators.keys import join_same
 from driftjobs.operators.windows import persistence_state
 from driftjobs.sources.io import discard, read_batch_before, write_scored_windows, written
+from driftjobs.streaming.streams import with_rocks
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Baselines = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 
 
-def with_rocks(spark: SparkSession) -> SparkSession:
-    """From now on streams of this session keep their state in RocksDB: on the executors' disks, with checkpoints of what has changed."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return spark
-
-
 def closed_values(obs: DataFrame, duration: str = "15 minutes", delay: str = "10 minutes") -> DataFrame:
     """Counted values of the windows of a stream of observations, each window once, when the watermark has passed its end.
 
     As ``counted`` gives them for a batch: what closed windows have is equal to that. Rows without a time are in no window; rows that
     come after their window's close are dropped, and Spark counts them.
     """
+    with_rocks(obs.sparkSession)
     rows = obs.withWatermark("time", delay).withColumn("w", F.window("time", duration))
     own = [*KEY, "w"]
     return counted(values_of(rows, own), own).select(*KEY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *VALUE, "n", "seen")

@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftjobs.constants import KEY, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, TRIGGER_COUNT, TRIGGER_SECONDS
 from driftjobs.jobs.batch import recompute_baselines
@@ -18,6 +18,15 @@ from driftjobs.sources.io import go_at_end, parse_envelopes, shared_folder
 DAY_US = PERSIST_SECONDS * 1_000_000
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_rocks(spark: SparkSession) -> SparkSession:
+    """From now on streams of this session keep their state in RocksDB: on the executors' disks, with checkpoints of what has changed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return spark
+
+
 def read_observation_stream(spark: SparkSession, source: str, options: Mapping[str, str]) -> DataFrame:
     """Observations from a stream of envelopes (a column ``value``), such as Kafka or text files."""
     return parse_envelopes(spark.readStream.format(source).options(**options).load())
@@ -53,50 +62,102 @@ def stream_features(obs: DataFrame, duration: str = "15 minutes", delay: str = "
     return sums.select(*KEY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sample_count", zero("mean"), zero("std"), *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], zero("size_mean"), "errors")
 
 
-def triggers(obs: DataFrame, count: int = TRIGGER_COUNT, seconds: int = TRIGGER_SECONDS) -> DataFrame:
-    """When each key is due: at its first row, then after ``count`` rows or ``seconds``, by the rows' own times.
+class _Kept(StatefulProcessor):
+    """One value for each key, and a timer at which it may go."""
 
-    The count starts anew at each trigger. Rows of a micro-batch are taken in order of time; late ones count where they come.
-    Of a key's rows in a micro-batch the times alone are held (8 bytes each); the source's own limits bound a micro-batch.
-    """
-    gap = seconds * 1_000_000
+    def __init__(self, schema: str):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.schema)
+
+    def read(self, otherwise: tuple) -> tuple:
+        return tuple(self.value.get()) if self.value.exists() else otherwise
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, None)
-        times = np.sort(np.concatenate([batch["at"].to_numpy(np.int64) for batch in batches]))
-        fired, at = [], 0
+    def keep(self, value: tuple | None, until: int | None = None) -> None:
+        """``until`` in microseconds of event time; timers of older values find that they are no longer meant."""
+        if value is None:
+            self.value.clear()
+        else:
+            self.value.update(value)
+            self.handle.registerTimer(-(-until // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def sorted_times(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+    return np.sort(np.concatenate([batch["at"].to_numpy(np.int64) for batch in batches]))
+
+
+class _Triggers(_Kept):
+    """Rows since the last trigger, and its time. ``timed``: a trigger that only waits for time fires without a row."""
+
+    def __init__(self, count: int, gap: int, timed: bool):
+        super().__init__("n long, last long")
+        self.count, self.gap, self.timed = count, gap, timed
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, last = self.read((0, None))
+        times, fired, at = sorted_times(rows), [], 0
         while at < len(times):  # from one trigger to the next
-            due = at if last is None else min(at + max(count - n, 1) - 1, int(np.searchsorted(times, last + gap)))
-            due = max(due, at)
+            waits = last is not None and int(times[at]) < last + self.gap
+            late = int(np.searchsorted(times, last + self.gap)) if waits else at  # the first row that time is up for
+            full = at + max(self.count - n, 1) - 1
+            if self.timed and last is not None and (n or late > at) and late <= full and (not waits or late < len(times)):
+                fired.append((*key, last + self.gap, n + late - at))
+                n, last, at = 0, last + self.gap, late
+                continue
+            due = min(full, late) if last is not None else at
             if due >= len(times):
                 n += len(times) - at
                 break
             fired.append((*key, int(times[due]), n + due - at + 1))
             n, last, at = 0, int(times[due]), due + 1
-        state.update((n, last))
+        self.keep((n, last), last + self.gap)
+        yield pd.DataFrame(fired, columns=[*KEY, "fired_at", "rows"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, last = self.read((0, None))
+        fired = []
+        if last is not None and expiredTimerInfo.getExpiryTimeInMs() * 1000 >= last + self.gap:
+            if n and self.timed:
+                last += self.gap
+                fired.append((*key, last, n))
+                self.keep((0, last), last + self.gap)
+            elif not n:  # the next row fires at once, with or without a state
+                self.keep(None)
         yield pd.DataFrame(fired, columns=[*KEY, "fired_at", "rows"])
 
-    rows = obs.select(*KEY, F.unix_micros("time").alias("at"))
+
+def triggers(obs: DataFrame, count: int = TRIGGER_COUNT, seconds: int = TRIGGER_SECONDS, timed: bool = False, delay: str = "10 minutes") -> DataFrame:
+    """When each key is due: at its first row, then after ``count`` rows or ``seconds``, by the rows' own times.
+
+    The count starts anew at each trigger. The monitor looked at the clock when a row came; with ``timed`` time fires by itself,
+    for the rows that wait, when the watermark (``delay`` behind the latest row) has passed it. A key for which no rows
+    wait has no state once its time is up: its next row is a first one either way. Rows of a micro-batch are taken in order
+    of time; later than the watermark they are dropped. Of a key's rows in a micro-batch the times alone are held (8
+    bytes each); the source's own limits bound a micro-batch.
+    """
+    with_rocks(obs.sparkSession)
+    rows = obs.withWatermark("time", delay).select(*KEY, "time", F.unix_micros("time").alias("at"))
     out = f"{KEY[0]} string, {KEY[1]} string, fired_at long, rows long"
-    found = rows.groupBy(*KEY).applyInPandasWithState(step, out, "n long, last long", "append", GroupStateTimeout.NoTimeout)
+    found = rows.groupBy(*KEY).transformWithStateInPandas(_Triggers(count, seconds * 1_000_000, timed), outputStructType=out, outputMode="Append", timeMode="EventTime")
     return found.withColumn("fired_at", F.timestamp_micros("fired_at"))
 
 
-def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """As ``anomaly_persistence``, over a stream of ``window_start`` and ``score`` by key: what each window meets.
+class _Persistence(_Kept):
+    """How many anomalous windows in a row, and when the last of them was."""
 
-    State is a count and when it last grew. A count of 0 needs no state, and 24 hours after it last grew a
-    count goes with its state, so idle keys hold none. Windows later than ``delay`` are dropped.
-    """
+    def __init__(self) -> None:
+        super().__init__("count long, grew long")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, grew = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values("at")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        count, grew = self.read((0, None))
+        every = pd.concat(list(rows)).sort_values("at")
         met = []
-        for at, score in zip(rows["at"].tolist(), rows["score"].tolist(), strict=True):
+        for at, score in zip(every["at"].tolist(), every["score"].tolist(), strict=True):
             if grew is None or at - grew >= DAY_US:
                 count = 0
             met.append((*key, at, score, count))
@@ -104,17 +165,26 @@ def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
                 count, grew = count + 1, at
             elif score < PERSIST_DOWN:
                 count = 0
-        ends = 0 if grew is None else (grew + DAY_US) // 1000
-        if count and ends > state.getCurrentWatermarkMs():
-            state.update((count, grew))
-            state.setTimeoutTimestamp(ends)
-        elif state.exists:
-            state.remove()
+        self.keep((count, grew) if count else None, grew + DAY_US if count else None)
         yield pd.DataFrame(met, columns=[*KEY, "at", "score", "persistence"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, grew = self.read((0, None))
+        if grew is not None and expiredTimerInfo.getExpiryTimeInMs() * 1000 >= grew + DAY_US:
+            self.keep(None)
+        yield pd.DataFrame([], columns=[*KEY, "at", "score", "persistence"])
+
+
+def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """As ``anomaly_persistence``, over a stream of ``window_start`` and ``score`` by key: what each window meets.
+
+    State is a count and when it last grew. A count of 0 needs no state, and 24 hours after it last grew a
+    timer ends a count with its state, so idle keys hold none. Windows later than ``delay`` are dropped.
+    """
+    with_rocks(scores.sparkSession)
     rows = scores.withWatermark("window_start", delay).select(*KEY, "window_start", F.unix_micros("window_start").alias("at"), F.col("score").cast("double").alias("score"))
     out = f"{KEY[0]} string, {KEY[1]} string, at long, score double, persistence long"
-    found = rows.groupBy(*KEY).applyInPandasWithState(step, out, "count long, grew long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy(*KEY).transformWithStateInPandas(_Persistence(), outputStructType=out, outputMode="Append", timeMode="EventTime")
     return found.select(*KEY, F.timestamp_micros("at").alias("window_start"), "score", "persistence")
 
 
