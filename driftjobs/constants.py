@@ -14,6 +14,7 @@ REPLAY_CHUNK = 100
 MODEL_VERSION = "1.0.0"
 ALERT_KEY_SECONDS = 3600
 TRIGGER_COUNT, TRIGGER_SECONDS = 100, 900
+DELIVERIES = 5
 PERSIST_UP, PERSIST_DOWN, PERSIST_SECONDS = 4.0, 2.0, 86_400
 
 # What makes a detector fire.

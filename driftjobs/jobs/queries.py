@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from driftjobs.functions import confidence as conf
 from driftjobs.functions import stats
 from driftjobs.functions.payload import canonicalize, is_json, mask_string, read_payload, safe_json
 from driftjobs.jobs.batch import BY, extract_features, recompute_baselines, replay, replay_summary, run_pipeline
-from driftjobs.operators import alerts, baseline, drift, features, joins, windows
+from driftjobs.operators import alerts, baseline, drift, features, joins, sketches, windows
 from driftjobs.sources import io, tables
 from driftjobs.sources.tables import LEAVES, OBSERVATIONS, observations
 from driftjobs.streaming import scoring, streams
@@ -134,6 +135,30 @@ def s9_day_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.groupBy(*KEY, F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("time"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
 
 
+def _written_by_day(spark: SparkSession, sf_dir: str) -> str:
+    """The observations written by day, and two of the days written once more."""
+    obs, path = observations(spark, sf_dir), io.shared_folder(spark)
+    io.go_at_end(spark, path)
+    io.write_by_day(obs, path)
+    io.write_by_day(obs.where(F.to_date("time").isin("2024-01-05", "2024-01-06")), path)
+    return path
+
+
+@query(f"WITH {O} SELECT {K}, day, count(*) AS n, sum(latency_ms)::BIGINT AS total FROM o WHERE time BETWEEN TIMESTAMP '2024-01-04 12:00:00' AND TIMESTAMP '2024-01-09 06:00:00' GROUP BY ALL")
+def s9_days_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of a day to a quarter of another, read from the folders of these days alone."""
+    rows = io.read_days(spark, _written_by_day(spark, sf_dir), F.lit("2024-01-04 12:00:00").cast("timestamp"), F.lit("2024-01-09 06:00:00").cast("timestamp"))
+    return rows.groupBy(*KEY, _day("time")).agg(F.count(F.lit(1)).alias("n"), F.sum("latency_ms").cast("long").alias("total"))
+
+
+@query(f"WITH {O} SELECT endpoint_id, day, count(*) AS n FROM o WHERE time >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY GROUP BY ALL")
+def s8_dropped_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left when the folders of old days are gone."""
+    path = _written_by_day(spark, sf_dir)
+    io.drop_old_days(spark, path, 10, dt.datetime.fromisoformat(AS_OF))
+    return spark.read.parquet(path).groupBy("endpoint_id", _day("time")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id, CASE WHEN json_valid(t) THEN t END AS parsed, CASE WHEN json_valid(t) THEN t ELSE '{}' END AS defaulted FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('{\"n\":', n_chars, '}') WHEN doc_id % 3 = 1 THEN concat('{\"n\":', n_chars) END AS t FROM documents)")
 def p1_safe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"n":'), "n_chars", F.lit("}"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"n":'), "n_chars"))
@@ -190,6 +215,23 @@ def a1b_latency_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.latency_stats_approx(_days(spark, sf_dir), BY).select(*KEY, _day(), "p50", "p95", "p99")
 
 
+@query(f"""WITH {O}, s AS (SELECT unnest([0.5, 0.95, 0.99]) AS share)
+SELECT endpoint_id, day, CAST(share AS DOUBLE) AS share, n, errors, mean, TRUE AS within FROM (SELECT endpoint_id, day, count(*) AS n, count(*) FILTER (status_code >= 400) AS errors, round(avg(latency_ms), 4) AS mean FROM o GROUP BY ALL), s""")
+def a1b_rolled_up_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters written as sketches, merged to hours and those to days; whether the exact rank of each quantile is within twice ``rank_error`` of what was asked."""
+    shares = (0.5, 0.95, 0.99)
+    obs = observations(spark, sf_dir)
+    days = sketches.rolled_up(sketches.rolled_up(io.written(sketches.sketched(obs)), "1 hour"), "1 day")
+    q = F.posexplode(sketches.sketch_quantiles("sketch", shares)).alias("k", "estimate")
+    asked = days.select("endpoint_id", "window_start", "n", "errors", F.round(F.col("sum_latency") / F.col("n_latency"), 4).alias("mean"), q)
+    asked = asked.withColumn("share", F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("k") + 1))
+    rows = windows.tumbling_windows(obs, "1 day").select("endpoint_id", "window_start", "latency_ms").where("latency_ms is not null")
+    ranks = rows.join(asked, ["endpoint_id", "window_start"]).groupBy("endpoint_id", "window_start", "share", "n", "errors", "mean").agg(
+        F.avg((F.col("latency_ms") < F.col("estimate")).cast("double")).alias("below"), F.avg((F.col("latency_ms") <= F.col("estimate")).cast("double")).alias("upto"))
+    slack = 2 * sketches.rank_error()
+    return ranks.select("endpoint_id", _day(), "share", "n", "errors", "mean", ((F.col("below") - slack <= F.col("share")) & (F.col("share") <= F.col("upto") + slack)).alias("within"))
+
+
 @query(f"WITH {O}, {STAT} SELECT {K}, day, code, n, rate, row_number() OVER (PARTITION BY {K}, day ORDER BY rate DESC, code) AS place FROM stat")
 def a2_status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.status_distribution(_days(spark, sf_dir), BY)
@@ -826,6 +868,18 @@ def x4_stream_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(streams.persistence(replayed(hours))).select(*KEY, _stamp("window_start"), "score", "persistence")
 
 
+@query(f"""WITH r AS (SELECT CAST(event_id AS VARCHAR) AS original_id, value, CASE WHEN event_id % 50 = 0 THEN 'not JSON' WHEN event_id % 70 = 1 THEN 'no endpoint' END AS reason, event_id % 9 + 1 AS times FROM ({RAW}))
+SELECT original_id, reason, CASE WHEN reason IS NULL THEN 0 ELSE 5 END::BIGINT AS delivery_count, reason IS NOT NULL AS dead FROM r WHERE reason IS NULL OR times >= 5""")
+def s7_redelivered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad envelopes are delivered one to nine times, good ones once: what has failed five times is a dead letter."""
+    raw = tables.view(spark, sf_dir, RAW.replace("SELECT event_id,", "SELECT event_id, ts,"), "events")
+    bad = (F.col("event_id") % 50 == 0) | (F.col("event_id") % 70 == 1)
+    times = F.sequence(F.lit(0), F.when(bad, (F.col("event_id") % 9).cast("int")).otherwise(0))
+    deliveries = raw.withColumn("k", F.explode(times)).select(F.col("event_id").alias("id"), "value", (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.col("k"))).alias("time"))
+    found = drained(streams.judged_deliveries(replayed(deliveries), delay="40 days"))
+    return found.select("original_id", "reason", "delivery_count", F.col("dead_lettered_at").isNotNull().alias("dead"))
+
+
 # Scoring in a stream.
 
 

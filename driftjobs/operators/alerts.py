@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftjobs.constants import ALERT_KEY_SECONDS, ERROR_STATUS
@@ -109,29 +109,54 @@ def suppress_alerts(alerts: DataFrame, suppression: DataFrame) -> DataFrame:
     return alerts.join(covered, ["endpoint_id", "created_at"], "left_anti").select(*alerts.columns)
 
 
-def dedup_alerts(alerts: DataFrame, seconds: int = ALERT_KEY_SECONDS, by: Sequence[str] = ("endpoint_id", "alert_type")) -> DataFrame:
+def _sessions(alerts: DataFrame, life: int, by: Sequence[str], grain: int) -> DataFrame:
+    """``alerts`` with ``__at`` and ``__session``: when, in its kind, the latest gap of ``life`` or more before it ended.
+
+    Within a stretch of time (``grain``) of a kind gaps show between neighbours; what comes over from the stretches before it,
+    of which a kind has one row each, is their last time and their last beginning. So a busy kind spreads over its stretches.
+    """
+    key = [*by, "__grain"]
+    rows = alerts.withColumn("__at", F.unix_micros("created_at")).withColumn("__grain", F.floor(F.col("__at") / F.lit(grain)))
+    inside = Window.partitionBy(*key).orderBy("__at")
+    rows = rows.withColumn("__gap", F.col("__at") - F.lag("__at").over(inside))
+    ends = rows.groupBy(*key).agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.max(F.when(F.col("__gap") >= life, F.col("__at"))).alias("__begun"))
+    order = Window.partitionBy(*by).orderBy("__grain")
+    fresh = F.lag("__last").over(order).isNull() | (F.col("__first") - F.lag("__last").over(order) >= life)
+    ends = ends.withColumn("__fresh", F.when(fresh, F.col("__first")))
+    # The beginning that holds at a stretch's first alert: its own if a gap lies before it, else the last one of the stretches before.
+    ends = ends.withColumn("__known", F.max(F.coalesce("__begun", "__fresh")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.select(*key, F.coalesce("__fresh", "__known").alias("__opening"))
+    rows = join_same(rows, ends, key)
+    begun = F.max(F.when(F.col("__gap") >= life, F.col("__at"))).over(inside)
+    return rows.withColumn("__session", F.coalesce(begun, "__opening")).drop("__gap", "__opening", "__grain")
+
+
+def dedup_alerts(alerts: DataFrame, seconds: int = ALERT_KEY_SECONDS, by: Sequence[str] = ("endpoint_id", "alert_type"), tie: str = "id") -> DataFrame:
     """Alerts that find no key of their kind: one that is kept sets it, and it lives ``seconds`` from then on, whatever comes meanwhile.
 
-    Alerts of a kind pass in order of time (then id) through one small state, as a stream of rows: a kind's alerts
-    are sorted by Spark, which spills, and none of them is held.
+    A gap of that length always finds no key. So a kind falls into sessions between such gaps, which stand for themselves
+    and spread over tasks; in a session alerts pass in order of time (then ``tie``) through one small state, as a stream of
+    sorted rows that spills, and none is held. Only a session without any gap is one task, however long it lasts. Null kinds are
+    kinds; alerts without a time are one moment before all others.
     """
     life = seconds * 1_000_000
+    rows = _sessions(alerts, life, by, 24 * life)
     schema = alerts.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, until = None, None
+        session, until = None, None
         for batch in batches:
-            kinds = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            own_sessions = list(zip(*[batch.column(c).to_pylist() for c in (*by, "__session")], strict=True))
             kept = []
-            for own, at in zip(kinds, batch.column("__at").to_pylist(), strict=True):
-                fresh = own != kind or until is None or at >= until
+            for own, at in zip(own_sessions, batch.column("__at").to_pylist(), strict=True):
+                fresh = own != session or at is not None and (until is None or at >= until)
                 if fresh:
-                    kind, until = own, at + life
+                    session, until = own, None if at is None else at + life
                 kept.append(fresh)
-            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns(["__at"])
+            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns(["__at", "__session"])
 
-    rows = alerts.withColumn("__at", F.unix_micros("created_at")).repartition(*by).sortWithinPartitions(*by, "__at", "id")
-    return rows.mapInArrow(keep, schema)
+    laid = rows.select(*alerts.columns, "__at", "__session").repartition(*by, "__session").sortWithinPartitions(*by, "__session", "__at", tie)
+    return laid.mapInArrow(keep, schema)
 
 
 def alert_evidence(components: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:

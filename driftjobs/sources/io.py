@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import tempfile
 import uuid
@@ -116,6 +117,33 @@ def partition_by_day(df: DataFrame, time: str = "time", by: Sequence[str] = KEY)
     return dated.repartition("date", *by).sortWithinPartitions(*by, F.col(time).desc())
 
 
+def write_by_day(df: DataFrame, path: str, time: str = "time", by: Sequence[str] = KEY) -> None:
+    """Write ``df`` by day, clustered by key: days that it has replace what was there of them, other days stay. Rows without a time are an own day."""
+    laid = partition_by_day(df, time, by)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, start: Column, end: Column, schema: T.StructType | None = None, time: str = "time") -> DataFrame:
+    """Rows of a table written by day, from start to end, both included. Only files of these days are read."""
+    rows = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    return rows.where(F.col("date").between(F.to_date(start), F.to_date(end)) & F.col(time).between(start, end))
+
+
+def drop_old_days(spark: SparkSession, path: str, keep: int | str, as_of: dt.datetime) -> list[str]:
+    """Retention of a table written by day: delete the folders of days that ended ``keep`` days before ``as_of`` (UTC) or earlier; which these were.
+
+    No row is read. The day in which the limit falls stays; ``apply_retention`` takes the rest of it away where that matters.
+    """
+    limit = (as_of - dt.timedelta(days=RETENTION_DAYS[keep] if isinstance(keep, str) else keep)).date().isoformat()
+    folder, files = _folder(spark, path)
+    days = [status.getPath() for status in files.listStatus(folder)]
+    old = sorted(day.getName() for day in days if re.fullmatch(r"date=\d{4}-\d\d-\d\d", day.getName()) and day.getName()[5:] < limit)
+    for day in days:
+        if day.getName() in old:
+            files.delete(day, True)
+    return [name[5:] for name in old]
+
+
 def apply_retention(df: DataFrame, keep: int | str, as_of: Column, time: str = "time") -> DataFrame:
     """Rows of the last ``keep`` days; a name stands for the days that its table is kept (RETENTION_DAYS)."""
     days = RETENTION_DAYS[keep] if isinstance(keep, str) else keep

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from driftjobs.constants import KEY, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, TRIGGER_COUNT, TRIGGER_SECONDS
+from driftjobs.constants import DELIVERIES, KEY, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, TRIGGER_COUNT, TRIGGER_SECONDS
 from driftjobs.jobs.batch import recompute_baselines
-from driftjobs.sources.io import go_at_end, parse_envelopes, shared_folder
+from driftjobs.sources.io import go_at_end, malformed, parse_envelopes, shared_folder
 
 DAY_US = PERSIST_SECONDS * 1_000_000
 
@@ -188,6 +188,44 @@ def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
     return found.select(*KEY, F.timestamp_micros("at").alias("window_start"), "score", "persistence")
 
 
+class _Deliveries(_Kept):
+    """How often an entry has failed."""
+
+    def __init__(self, most: int, forget: int):
+        super().__init__("failed long")
+        self.most, self.forget = most, forget
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        (failed,), out = self.read((0,)), []
+        every = pd.concat(list(rows)).sort_values("at", kind="stable")
+        for at, value, reason in zip(every["at"].tolist(), every["value"], every["reason"], strict=True):
+            failed = failed + 1 if reason is not None else 0
+            if reason is None or failed >= self.most:
+                out.append((*key, value, reason, failed, at))
+                failed = 0
+        self.keep((failed,) if failed else None, int(every["at"].max()) + self.forget)
+        yield pd.DataFrame(out, columns=["original_id", "value", "reason", "delivery_count", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.keep(None)
+        yield pd.DataFrame([], columns=["original_id", "value", "reason", "delivery_count", "at"])
+
+
+def judged_deliveries(deliveries: DataFrame, most: int = DELIVERIES, forget_seconds: int = 86_400, delay: str = "10 minutes") -> DataFrame:
+    """What becomes of entries (``id``, ``value``, ``time`` of delivery) that a source delivers until they are done: good ones, and dead letters.
+
+    An entry that can't be read (``malformed``) waits for its next delivery; the ``most``-th failure makes it a dead letter, with
+    ``original_id``, ``reason``, ``delivery_count`` and ``dead_lettered_at``. A good delivery passes at once (no ``reason``) and ends the count.
+    State is a number for each entry that is failing; it goes when it is dead or good, or hasn't come again for ``forget_seconds``.
+    """
+    with_rocks(deliveries.sparkSession)
+    rows = deliveries.withWatermark("time", delay).select(F.col("id").cast("string").alias("id"), "time", F.unix_micros("time").alias("at"), F.col("value").cast("string").alias("value"))
+    rows = rows.withColumns({"reason": malformed(F.col("value")), "value": F.make_valid_utf8("value")})
+    out = "original_id string, value string, reason string, delivery_count long, at long"
+    found = rows.groupBy("id").transformWithStateInPandas(_Deliveries(most, forget_seconds * 1_000_000), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    return found.select("original_id", "value", "reason", "delivery_count", F.when(F.col("reason").isNotNull(), F.timestamp_micros("at")).alias("dead_lettered_at"))
+
+
 def recompute_requested(responses: DataFrame, fields: DataFrame, as_of: Column, write: Callable[[DataFrame, DataFrame, int], None], days: Column | int = 7) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over a stream of requests: recompute the baselines of the keys that a batch names; blank endpoints are skipped."""
 
