@@ -150,13 +150,16 @@ def apply_retention(df: DataFrame, keep: int | str, as_of: Column, time: str = "
     return df.where(F.col(time) >= as_of - F.make_dt_interval(F.lit(days)))
 
 
+TABLES = ("feature_vectors", "drift_scores")
+
+
 def write_scored_windows(vectors: DataFrame, scores: DataFrame, path: str, batch_id: int, **others: DataFrame) -> None:
     """All tables (``feature_vectors``, ``drift_scores`` and ``others`` by name) or none: each batch has a folder of its own in each, and
     readers see it when its commit is written, last.
 
     A retry overwrites what a failed try has left.
     """
-    for name, df in {"feature_vectors": vectors, "drift_scores": scores, **others}.items():
+    for name, df in {**dict(zip(TABLES, (vectors, scores), strict=True)), **others}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
     spark = vectors.sparkSession
     spark.range(1).select(F.lit(batch_id).cast("long").alias("committed")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={batch_id}")
