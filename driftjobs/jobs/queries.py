@@ -382,6 +382,18 @@ def b7_baseline_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, "path", F.explode("enum_distribution").alias("value", "share"))
 
 
+_EVERY_DAY = f"""days AS (SELECT DISTINCT day AS as_of FROM resp), v AS (SELECT as_of, resp.*, payload_entropy FROM days JOIN resp ON CAST(resp.day AS DATE) BETWEEN CAST(as_of AS DATE) - 7 AND CAST(as_of AS DATE) LEFT JOIN ent USING ({K}, day)),
+vec AS (SELECT *, sample_count * pow(0.9, row_number() OVER (PARTITION BY {K}, as_of ORDER BY day DESC) - 1) AS c FROM v)"""
+
+
+@query(f"WITH {O}, {RESP}, {ENT}, {_EVERY_DAY}, b AS (SELECT {K}, as_of, {_MERGED}, round(sum(coalesce(payload_entropy, 0) * c) / sum(c), 4) AS payload_entropy, CAST(sum(sample_count) AS BIGINT) AS sample_count FROM vec GROUP BY ALL) SELECT {K}, as_of, {_rs(*RESPONSE_COLUMNS)}, payload_entropy, sample_count, {MATURITY} AS maturity_state FROM b")
+def b8_baselines_of_every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline as of every day, from sums kept by day (B1, B2, B8 without reading vectors again)."""
+    sums = io.written(baseline.daily_sums(features.response_features(_days(spark, sf_dir), BY)))
+    rows = baseline.baselines_of_days(sums, sums.select("day"), 7)
+    return rows.select(*KEY, F.col("as_of").cast("string").alias("as_of"), *_r(*RESPONSE_COLUMNS), "payload_entropy", "sample_count", "maturity_state")
+
+
 # Joins.
 
 
@@ -527,10 +539,10 @@ def p9_finite_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", stats.finite_only(F.col("x")).alias("finite"), stats.finite_or_zero(F.col("x")).alias("defaulted"))
 
 
-@query("SELECT doc_id, coalesce(round(e, 4), 0) + 0.0 AS entropy FROM documents LEFT JOIN (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]')) AS w FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)")
+@query("SELECT doc_id, coalesce(round(e, 4), 0) + 0.0 AS entropy FROM documents LEFT JOIN (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS w FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)")
 def f17_shannon_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the small letters of every text."""
-    letters = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]"), F.lit(0))
+    """Of all characters of every text."""
+    letters = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?s)."), F.lit(0))
     return tables.table(spark, sf_dir, "documents").select("doc_id", (F.round(stats.shannon_entropy(letters), 4) + 0.0).alias("entropy"))
 
 
@@ -890,15 +902,25 @@ def _arriving(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [obs.where((F.col("time") >= a) & ((F.col("time") < z) if z is not None else F.lit(True))) for a, z in zip(at, [*at[1:], None], strict=True)]
 
 
+_SCORED: dict[tuple[str, str], str] = {}
+
+
 def _scored_stream(spark: SparkSession, sf_dir: str) -> str:
-    """Run the scoring stream over what arrives; where its tables are. Each part is a run of its own that goes on from the checkpoint."""
+    """Run the scoring stream over what arrives; where its tables are. Each part is a run of its own that goes on from the checkpoint.
+
+    Two queries read what one run has written, as long as the application lasts.
+    """
+    run = (spark.sparkContext.applicationId, sf_dir)
+    if run in _SCORED:
+        return _SCORED[run]
     before = extract_features(_before(spark, sf_dir))
     known = recompute_baselines(*before, F.lit(SPLIT).cast("timestamp"), 30)
     path = io.shared_folder(spark)
     io.go_at_end(spark, path)
     each = scoring.score_closed(f"{path}/tables", lambda _: known, F.lit(AS_OF).cast("timestamp"))
     streams.in_turn(_arriving(spark, sf_dir), lambda obs: streams.drain_batches(scoring.closed_values(obs, "1 day"), each, f"{path}/state"))
-    return f"{path}/tables"
+    _SCORED[run] = f"{path}/tables"
+    return _SCORED[run]
 
 
 #: The windows that the watermark has closed.

@@ -44,6 +44,42 @@ def baseline_response(vectors: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     return merged.withColumn("window_days", window_days(F.col("maturity_state")))
 
 
+def daily_sums(vectors: DataFrame, by: Sequence[str] = KEY, alpha: float = EWMA_ALPHA) -> DataFrame:
+    """What a day's vectors add to a baseline, one row for each key and day: weighted sums, and how many vectors there are.
+
+    Weights fade with each later vector of the key. Within the day they are what they are; all later days together make them
+    fade by one factor, which follows from how many vectors those have. So days are kept, and never read again.
+    """
+    day = [*by, "day"]
+    rows = vectors.withColumn("day", F.to_date("window_start"))
+    rows = rows.withColumn("age", F.row_number().over(Window.partitionBy(*day).orderBy(F.col("window_start").desc())) - 1)
+    c = F.when(F.col("sample_count") > 0, F.col("sample_count") * ewma_weight(F.col("age"), alpha))
+    return rows.groupBy(*day).agg(
+        F.count(F.lit(1)).alias("vectors"),
+        F.sum("sample_count").alias("sample_count"),
+        F.sum(c).alias("weight"),
+        *[F.sum(F.col(n) * c).alias(n) for n in (*RESPONSE, "payload_entropy")],
+        F.max("window_start").alias("baseline_time"),
+    )
+
+
+def baselines_of_days(sums: DataFrame, as_of: DataFrame, days: int, by: Sequence[str] = KEY, alpha: float = EWMA_ALPHA) -> DataFrame:
+    """As ``baseline_response`` over the vectors of the last ``days`` days and the day ``as_of`` itself, for every day in ``as_of`` (one
+    date column), from ``daily_sums``: adding a day costs its own row, and a day that leaves is just not summed.
+
+    One row for each key that has vectors, and day. There are ``days`` + 1 rows a key and day in its sum, however many vectors there were.
+    """
+    shifts = F.explode(F.sequence(F.lit(0), F.lit(days)))
+    rows = sums.withColumn("__shift", shifts).withColumn("as_of", F.date_add("day", F.col("__shift")))
+    rows = rows.join(as_of.select(F.col(as_of.columns[0]).alias("as_of")).distinct(), "as_of", "left_semi")
+    later = Window.partitionBy(*by, "as_of").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__f", ewma_weight(F.coalesce(F.sum("vectors").over(later), F.lit(0)), alpha))
+    mean = lambda n: F.coalesce(F.sum(F.col(n) * F.col("__f")) / F.nullif(F.sum(F.col("weight") * F.col("__f")), F.lit(0.0)), F.lit(0.0))
+    merged = rows.groupBy(*by, "as_of").agg(*[mean(n).alias(n) for n in RESPONSE], F.round(mean("payload_entropy"), 4).alias("payload_entropy"), F.sum("sample_count").alias("sample_count"), F.max("baseline_time").alias("baseline_time"))
+    merged = merged.withColumn("maturity_state", maturity_state(F.col("sample_count")))
+    return merged.withColumn("window_days", window_days(F.col("maturity_state")))
+
+
 def baseline_status(vectors: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """Shares of status codes, weighed by samples alone; a code that a window lacks is 0 there."""
     own = vectors.where("sample_count > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftjobs.functions.payload import MAX_NESTING, _parse, canonicalize, flatten_payload, is_json, read_payload, safe_json
 from driftjobs.jobs.batch import BY, extract_features
-from driftjobs.operators import alerts, features, sketches, windows
+from driftjobs.operators import alerts, baseline, features, sketches, windows
 from driftjobs.operators.joins import asof_join
 from driftjobs.operators.keys import join_same
 from driftjobs.sources import io
@@ -175,3 +175,29 @@ def test_deviations_of_great_numbers(spark, far):
     obs = observations(spark, 4, payload=lambda i, r: {"n": values[i]})
     row = features.field_features(features.count_values(obs, BY), BY).where("path = 'n'").first()
     assert row["std"] == pytest.approx(3.095696, abs=1e-6) if far == 0 else abs(row["std"] - 3.095696) < 0.2
+
+
+def test_sums_by_day_make_every_baseline(spark):
+    """Quarters of twelve days with gaps, null segments and windows without rows of a latency: as a full recompute on every day."""
+    draw = random.Random(3)
+    rows = []
+    for d in range(12):
+        for q in sorted(draw.sample(range(96), draw.randrange(0, 9))):
+            for k in range(draw.randrange(1, 4)):
+                at = T0 + dt.timedelta(days=d, minutes=15 * q + k)
+                rows.append((at, draw.choice("ab"), draw.choice(["s", None]), str(len(rows)), 200, draw.choice([None, 7, 900, 31]), draw.choice([None, 5]), draw.choice("hij"), None))
+    obs = windows.tumbling_windows(spark.createDataFrame(rows, OBS))
+    vectors = io.written(features.response_features(obs, BY))
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (2, 3, 7, 11, 12)], "d date")
+    got = {(r.endpoint_id, r.segmentation_key, r.as_of): r for r in baseline.baselines_of_days(io.written(baseline.daily_sums(vectors)), days, 4).collect()}
+    seen = 0
+    for d in (2, 3, 7, 11, 12):
+        end = F.lit(dt.datetime(2024, 1, d, 23, 59)).cast("timestamp")
+        start = F.lit(dt.datetime(2024, 1, d) - dt.timedelta(days=4)).cast("timestamp")
+        chosen = windows.baseline_vectors(vectors.where(F.col("window_start") >= start), end, 5, most=10**6)
+        for r in baseline.baseline_response(baseline.weighted_vectors(chosen)).collect():
+            own = got[r.endpoint_id, r.segmentation_key, dt.date(2024, 1, d)]
+            assert own.sample_count == r.sample_count and own.baseline_time == r.baseline_time and own.maturity_state == r.maturity_state
+            assert [getattr(own, n) for n in (*baseline.RESPONSE, "payload_entropy")] == pytest.approx([getattr(r, n) for n in (*baseline.RESPONSE, "payload_entropy")], abs=1e-4)
+            seen += 1
+    assert seen == len(got) > 10
