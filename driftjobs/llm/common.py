@@ -21,6 +21,8 @@ __all__ = ["attach", "bucketed", "discard", "fine_text", "parts", "row_key", "si
 BROADCAST_VALUES = 1_000_000
 #: Bytes of a written table that one task should read at most.
 TASK_BYTES = 128 << 20
+#: Spark takes no more buckets (``spark.sql.sources.bucketing.maxBuckets``).
+MOST_BUCKETS = 100_000
 #: Bytes in an Arrow batch for Python.
 BATCH_BYTES = 4 << 20
 
@@ -31,7 +33,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     The catalog forgets the table's name at once; its files stay for the plans that read them, as those of ``written``.
     """
     spark = df.sparkSession
-    n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"driftjobs_{uuid.uuid4().hex}", shared_folder(spark)
+    n, name, path = min(task_count(df), MOST_BUCKETS), f"driftjobs_{uuid.uuid4().hex}", shared_folder(spark)
     df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(name)
     go_at_end(spark, path)
     table = spark.table(name)
@@ -53,9 +55,13 @@ def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8)
 
 
 def task_count(table: DataFrame) -> int:
-    """How many tasks should share a written table: as many as the session has for shuffles, more if they would get over TASK_BYTES of its files."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    """How many tasks should share a table: as many as the session has for shuffles, more if they would get over TASK_BYTES of its files.
+
+    Spark knows the size of what is read from files; of a join it only knows a bound that is far too high, which isn't asked.
+    """
+    plan = table._jdf.queryExecution().optimizedPlan()
+    least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if "Join" in plan.toString() else max(least, -(-int(str(plan.stats().sizeInBytes())) // TASK_BYTES))
 
 
 def sized_batches(docs: DataFrame) -> DataFrame:
@@ -85,8 +91,8 @@ def parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt out by keys to as many tasks as the session has for shuffles: for few rows of which many are made."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """``df`` dealt out by keys to as many tasks as the session has for shuffles, or its size asks for: for few rows of which many are made."""
+    return df.repartition(task_count(df), *keys)
 
 
 def row_key(df: DataFrame) -> F.Column:

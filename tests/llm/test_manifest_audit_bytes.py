@@ -9,6 +9,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -240,3 +241,19 @@ def test_bytes_that_are_no_text_are_audited(spark):
 def test_tampering_as_the_contract_says(spark, sf):
     got = {r.doc_id: r for r in queries.op11_merkle_manifest(spark, sf).collect()}
     assert all(r.verified == (zlib.crc32(str(d).encode()) % 7 != 0) for d, r in got.items()) and len({r.root for r in got.values()}) == 1
+
+
+def test_whole_tables_of_tokens_pieces_and_sound(spark, sf):
+    """op1 and op2 over a whole table against the library, op10 against the bytes that it must store."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = dict(zip(texts, pieces.encode(list(texts.values()), num_threads=1), strict=True))
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op1_token_counts(spark, sf).collect()}
+    assert counted == {d: (len(t.encode()), len(ids[d]), len(ids[d]) > 4096) for d, t in texts.items()}
+    encoded = {r.doc_id: (list(r.piece_ids), r.decoded_sha256, r.round_trip) for r in queries.op2_sentence_pieces(spark, sf).collect()}
+    assert encoded == {d: (ids[d], H(t.replace("▁", " ").encode()), True) for d, t in texts.items()}
+    for r in queries.op10_audio(spark, sf).collect():
+        data = texts[r.doc_id].encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), H(payload), zlib.crc32(payload[-64:]))
+        assert r.media_bytes > r.payload_bytes and r.feature

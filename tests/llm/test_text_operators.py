@@ -444,7 +444,7 @@ def test_attach_beyond_the_broadcast_bound(spark, monkeypatch):
 
 def test_queries_cover_their_tables(spark, sf):
     names = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}
-    assert names == set(range(1, 11))
+    assert names == set(range(1, 14))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     row = queries.op10_audio(spark, sf).orderBy("doc_id").first()
     text = docs.orderBy("doc_id").first().text
