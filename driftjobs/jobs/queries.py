@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftjobs.constants import DRIFT_LABELS, KEY
+from driftjobs.constants import KEY
 from driftjobs.functions import confidence as conf
 from driftjobs.functions import stats
 from driftjobs.functions.payload import canonicalize, is_json, mask_string, read_payload, safe_json
@@ -560,11 +560,27 @@ etot AS (SELECT {K}, day, path, count(*) AS n, sum(p) AS sp, sum(q) AS sq FROM e
 ejsd AS (SELECT {K}, day, path, greatest(0, least(1, sum(0.5 * a * log2(a / ((a + z) / 2)) + 0.5 * z * log2(z / ((a + z) / 2))))) AS jsd FROM (SELECT {K}, day, path, (p + 0.001) / (sp + 0.001 * n) AS a, (q + 0.001) / (sq + 0.001 * n) AS z FROM epair JOIN etot USING ({K}, day, path)) GROUP BY ALL)"""
 
 
-def _detector(place: int, name: str, kind: str, base: str, seen: str, z: str, pct: str | None, source: str, fires: str) -> str:
-    from driftjobs.constants import DRIFT_WEIGHTS
+# Weight and label of each kind of drift, stated once more for the SQL, which so doesn't take the library's word.
+SQL_KINDS = {
+    "null_rate_spike": (1.5, "null rate increased"),
+    "field_disappeared": (2.0, "field disappeared"),
+    "enum_collapse": (1.2, "enum distribution collapsed"),
+    "numeric_distribution_shift": (1.0, "numeric distribution shifted"),
+    "payload_entropy_drop": (1.1, "payload entropy dropped"),
+    "latency_shift": (0.8, "latency shifted"),
+    "response_size_shift": (0.7, "response size shifted"),
+    "type_consistency_drop": (1.3, "type consistency dropped"),
+    "vocabulary_collapse": (1.2, "vocabulary collapsed"),
+    "status_code_shift": (1.0, "error rate increased"),
+    "structural_change": (1.4, "new field appeared"),
+    "schema_type_change": (1.8, "field type changed"),
+    "presence_rate_drop": (1.3, "field presence rate dropped"),
+}
+
 
+def _detector(place: int, name: str, kind: str, base: str, seen: str, z: str, pct: str | None, source: str, fires: str) -> str:
     pct = pct or PCT.format(o=seen, b=base)
-    return f"SELECT {K}, day, {place} AS place, {name} AS feature_name, '{kind}' AS drift_type, CAST({base} AS DOUBLE) AS baseline_value, CAST({seen} AS DOUBLE) AS observed_value, round(greatest(-10, least(10, {z})), 4) + 0.0 AS deviation_z, round(CAST({pct} AS DOUBLE), 4) + 0.0 AS deviation_pct, CAST({DRIFT_WEIGHTS[kind]} AS DOUBLE) AS weight FROM {source} WHERE {fires}"
+    return f"SELECT {K}, day, {place} AS place, {name} AS feature_name, '{kind}' AS drift_type, CAST({base} AS DOUBLE) AS baseline_value, CAST({seen} AS DOUBLE) AS observed_value, round(greatest(-10, least(10, {z})), 4) + 0.0 AS deviation_z, round(CAST({pct} AS DOUBLE), 4) + 0.0 AS deviation_pct, CAST({SQL_KINDS[kind][0]} AS DOUBLE) AS weight FROM {source} WHERE {fires}"
 
 
 def _shift(place: int, name: str, column: str, std: str, mean: str, kind: str) -> str:
@@ -663,7 +679,7 @@ _NUMBERS = {"null_rate_spike": ("from %.1f%% to %.1f%% (z=%.1f)", "baseline_valu
   "latency_shift": ("from %.1f to %.1f (%+.1f%%)", "baseline_value, observed_value, deviation_pct"), "response_size_shift": ("from %.1f to %.1f (%+.1f%%)", "baseline_value, observed_value, deviation_pct"),
   "enum_collapse": ("(JSD-based, z=%.1f)", "deviation_z"), "structural_change": ("with %.0f%% presence", "observed_value * 100")}
 _PLAIN = ("(baseline=%.4f, observed=%.4f, z=%.1f)", "baseline_value, observed_value, deviation_z")
-_WORDS = " ".join(f"WHEN '{k}' THEN concat('{label}', {'' if k == 'schema_type_change' else "printf(' {}', {})".format(*_NUMBERS.get(k, _PLAIN))})" for k, label in DRIFT_LABELS.items()).replace(", )", ")")
+_WORDS = " ".join(f"WHEN '{k}' THEN concat('{label}', {'' if k == 'schema_type_change' else "printf(' {}', {})".format(*_NUMBERS.get(k, _PLAIN))})" for k, (_, label) in SQL_KINDS.items()).replace(", )", ")")
 SUMMARIES = f"""tops AS (SELECT *, row_number() OVER (PARTITION BY {K}, day ORDER BY abs(deviation_z) * weight DESC, place, feature_name) AS r FROM cp),
 said AS (SELECT {K}, day, string_agg(concat(replace(replace(feature_name, 'field.', ''), '.', ' → '), ': ', CASE drift_type {_WORDS} END), '; ' ORDER BY r) AS parts FROM tops WHERE r <= 3 GROUP BY ALL),
 summ AS (SELECT q5.*, CASE WHEN parts IS NULL THEN 'No significant behavioral drift detected.' ELSE concat('[', upper(coalesce(severity, 'none')), '] Drift score: ', printf('%.2f', score), '. ', parts, '.') END AS summary FROM q5 LEFT JOIN said USING ({K}, day))"""
