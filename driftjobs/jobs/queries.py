@@ -836,6 +836,16 @@ def x3_stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, _stamp("window_start"), "sample_count", *_r("mean", "std", "size_mean", digits=3), "errors")
 
 
+@query(f"""WITH {O}, b AS (SELECT endpoint_id, time_bucket(INTERVAL 15 MINUTE, time) AS w, status_code, latency_ms FROM o),
+c AS (SELECT endpoint_id, date_trunc('hour', w) AS h, status_code, latency_ms FROM b WHERE w + INTERVAL 15 MINUTE <= (SELECT max(time) - INTERVAL 10 MINUTE FROM o))
+SELECT endpoint_id, strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (status_code >= 400) AS errors, round(avg(latency_ms), 3) AS mean, CAST(min(latency_ms) AS DOUBLE) AS least, CAST(max(latency_ms) AS DOUBLE) AS most FROM c GROUP BY ALL""")
+def x3_stream_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters sketched in a stream and rolled up to hours; the ends of a sketch are exact."""
+    hours = sketches.rolled_up(drained(streams.stream_sketches(_stream(spark, sf_dir))), "1 hour")
+    ends = sketches.sketch_quantiles("sketch", (0.0, 1.0))
+    return hours.select("endpoint_id", _stamp("window_start"), "n", "errors", F.round(F.col("sum_latency") / F.col("n_latency"), 3).alias("mean"), ends[0].alias("least"), ends[1].alias("most"))
+
+
 @query(ORACLE_SQL["s2_envelopes"])
 def s2_envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes as lines of text, read as a stream."""

@@ -26,14 +26,14 @@ def sketched(obs: DataFrame, by: Sequence[str] = ("endpoint_id",), window: str =
 
     Sums and sketches are made in part before anything moves, so a hot key moves as one row a task.
     """
-    own = F.window("time", window)
-    return obs.where("time is not null").groupBy(*by, own["start"].alias("window_start"), own["end"].alias("window_end")).agg(
+    found = obs.where("time is not null").groupBy(*by, F.window("time", window).alias("__w")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status_code") >= ERROR_STATUS).alias("errors"),
         F.count("latency_ms").alias("n_latency"),
         F.sum(F.col("latency_ms").cast("double")).alias("sum_latency"),
         F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), size).alias("sketch"),
     )
+    return found.select(*by, F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), "n", "errors", "n_latency", "sum_latency", "sketch")
 
 
 def rolled_up(metrics: DataFrame, window: str, by: Sequence[str] = ("endpoint_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from driftjobs.constants import DELIVERIES, KEY, PERSIST_DOWN, PERSIST_SECONDS, PERSIST_UP, TRIGGER_COUNT, TRIGGER_SECONDS
 from driftjobs.jobs.batch import recompute_baselines
+from driftjobs.operators.sketches import sketched
 from driftjobs.sources.io import go_at_end, malformed, parse_envelopes, shared_folder
 
 DAY_US = PERSIST_SECONDS * 1_000_000
@@ -62,6 +63,15 @@ def stream_features(obs: DataFrame, duration: str = "15 minutes", delay: str = "
     return sums.select(*KEY, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sample_count", zero("mean"), zero("std"), *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], zero("size_mean"), "errors")
 
 
+def stream_sketches(obs: DataFrame, by: Sequence[str] = ("endpoint_id",), window: str = "15 minutes", delay: str = "10 minutes") -> DataFrame:
+    """``sketched`` over a stream: each closed window's metrics and latency sketch once. ``rolled_up`` makes hours and days of what was written.
+
+    State is one row and one sketch of fixed size a key and open window.
+    """
+    with_rocks(obs.sparkSession)
+    return sketched(obs.withWatermark("time", delay), by, window)
+
+
 class _Kept(StatefulProcessor):
     """One value for each key, and a timer at which it may go."""
 

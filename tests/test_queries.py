@@ -19,8 +19,7 @@ CHOSEN = (
     "f7_confidence", "f9_decisions", "f11_divergences", "f14_test_statistics", "flagship_scored_windows", "c3_replay_windows", "n2_masked_tokens", "n4_payload_hashes",
     "d1_ingestion_metrics", "d2_suppressed_alerts", "d3_distinct_alerts", "x1_triggers", "x3_stream_features", "x4_stream_persistence", "x7_stream_distinct",
     "x_drift_components", "s6_drift_events", "p5_alert_feed", "g1_alert_summaries", "c3_replay_scores", "c3_replay_summary", "a1b_latency_approx", "f17_shannon_entropy", "p9_finite_only", "s2_envelope_stream",
-    "p1_one_json_rule", "w2_chunks_of_odd_rows", "a14_vectors_of_null_keys", "a1b_rolled_up_sketches", "b8_baselines_of_every_day", "d2_odd_suppressions", "s9_days_read_back", "s8_dropped_days",
-    "s7_redelivered_entries", "x1_timed_triggers", "x5_late_rows", "x6_requested_baselines", "flagship_stream", "s3_scored_windows",
+    "p1_one_json_rule", "w2_chunks_of_odd_rows", "a14_vectors_of_null_keys", "d2_odd_suppressions", "s9_days_read_back", "x1_timed_triggers", "x3_stream_sketches",
 )
 
 
