@@ -24,6 +24,7 @@ SHARES = (0.25, 0.5, 0.75, 0.95, 0.99)
 #: A value: what it is a value of (``part``, and for leaves of payloads the path), its kind, and the value as number, text and length.
 VALUE = ("part", "path", "kind", "num", "str", "len")
 NUMBERS = ("int", "float", "bool")
+SMALL_BYTES = 64 << 20
 
 
 def _array(values: Sequence[float]):
@@ -125,9 +126,10 @@ def count_values(obs: DataFrame, by: Sequence[str], payloads: bool = True) -> Da
 
 
 def on_all_cores(obs: DataFrame) -> DataFrame:
-    """``obs``, dealt out if it comes in fewer parts than there are cores (a few files): parsing is more work than moving it then."""
-    cores = obs.sparkSession.sparkContext.defaultParallelism
-    return obs if obs.isStreaming or obs.rdd.getNumPartitions() >= cores else obs.repartition(cores)
+    """``obs``, dealt out over all cores if it is small (SMALL_BYTES): it may lie in one file then, and parsing is more work than moving it."""
+    if obs.isStreaming or int(str(obs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return obs
+    return obs.repartition(obs.sparkSession.sparkContext.defaultParallelism)
 
 
 def summaries(counts: DataFrame, by: Sequence[str]) -> DataFrame:

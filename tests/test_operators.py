@@ -295,7 +295,7 @@ def test_persistence_state_goes_after_a_day(spark, tmp_path):
     for day in (0, 1):
         far.withColumn("window_start", F.col("window_start") + F.make_dt_interval(F.lit(day))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         streams.drain(streams.persistence(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/run")
-    assert spark.read.format("statestore").load(f"{tmp_path}/run/state").count() == 0
+    assert spark.read.format("statestore").option("stateVarName", "value").load(f"{tmp_path}/run/state").count() == 0
 
 
 def test_six_detectors_by_hand(spark):
