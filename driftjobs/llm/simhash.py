@@ -164,14 +164,50 @@ def shingle_set(text: F.Column, shingle: int) -> F.Column:
     return of(text)
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles are similar enough."""
+    both = pairs.join(sets.toDF("n1", "s1"), F.col("a") == F.col("n1")).join(sets.toDF("n2", "s2"), F.col("b") == F.col("n2"))
+    shared = F.size(F.array_intersect("s1", "s2"))
+    return both.where(shared >= similarity * (F.size("s1") + F.size("s2") - shared)).select("a", "b")
+
+
+def _uncompared(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(node, component)`` of nodes that meet one of another group, neither being an end of the place; three at a place are all compared."""
+    inner = met.where("n > 3 and node <> a and node <> z")
+    known = inner.join(groups, F.col("node") == F.col("member"), "left").select("at", "node", F.coalesce("component", "node").alias("component"))
+    mixed = known.groupBy("at").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("at").alias("mixed"))
+    return known.join(mixed, F.col("at") == F.col("mixed"), "left_semi").select("node", "component").distinct()
+
+
+def _pairs_across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of different groups, among them all that are similar enough.
+
+    With shingles in one order (those that fewest texts have first), the first that two such texts share stands in the
+    first 1 - ``similarity`` of either, and enough are left behind it. A shingle of one group only joins nothing.
+    """
+    tokens = sets.join(rest, F.col("n") == F.col("node")).select("node", "component", F.size("s").alias("size"), F.explode("s").alias("token"))
+    tokens = written(tokens)
+    known = tokens.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    ranked = tokens.join(known, F.col("token") == F.col("t")).withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("held", "token")) - 1)
+    first = ranked.where((F.col("nth") <= (1 - similarity) * F.col("size") + 1e-6) & (F.col("lo") < F.col("hi")))
+    first = written(first.select("token", "node", "component", "size", (F.col("size") - F.col("nth")).alias("left")))
+    discard(tokens)
+    x, y = first.alias("x"), first.alias("y")
+    enough = F.least("x.left", "y.left") >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & enough)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group that links of Jaccard >= ``similarity`` over ``shingle``-word runs reach.
 
     Texts of equal words are one node; bytes that aren't UTF-8 count as U+FFFD, and rows stay as they are. Nodes meet where their SimHash balls of radius 1 do, and, as
     the ball of a near copy of many changed words lies further off, where a band of their least hashes is
-    equal. At a place each is linked to the least and to the greatest there, so rows stay linear,
-    and a link counts only if the similarity of the two sets of shingles is high enough. The
-    row of the smallest id (nulls last), then of the smallest row key, stays as it is.
+    equal. At a place each is compared with the least and the greatest there, so rows stay linear,
+    and a link counts only if the similarity of the two sets of shingles is high enough. Those of a
+    place that this leaves in several groups and that weren't compared with each other are joined exactly
+    (``_pairs_across``), so no link of two that meet is lost. The row of the smallest id (nulls last),
+    then of the smallest row key, stays as it is.
     """
     found = sized_batches(docs).select(F.col(id_col).alias("id"), row_key(docs).alias("row_key"), sketch(fine_text(text_col), shingle).alias("s"))
     rows = written(found.select("id", "row_key", "s.node", "s.fp", "s.bands"))
@@ -179,20 +215,26 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = written(rows.groupBy("node").agg(F.min(order).alias("k"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     at = F.concat(F.transform(_ball(F.col("fp")), lambda v: F.xxhash64(v)), "bands")
     placed = spread(nodes.select("node", "fp", "bands"), "node").select("node", F.explode(at).alias("place"))
-    ends = placed.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    ends = placed.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
     ends = written(ends.withColumnRenamed("place", "at"))
-    met = placed.join(ends, F.col("place") == F.col("at")).select("node", F.explode(F.array("a", "z")).alias("end")).where("node <> end")
-    pairs = written(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
+    met = written(placed.join(ends, F.col("place") == F.col("at")).select("at", "node", "a", "z", "n"))
+    ended = met.select("node", F.explode(F.array("a", "z")).alias("end")).where("node <> end")
+    pairs = written(ended.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     heads = written(nodes.join(asked, F.col("node") == F.col("asked"), "left_semi").select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__row_key")))
     texts = _rows_at(docs.select("*"), heads, id_col).select(fine_text(text_col).alias("t"))
     sets = texts.select(sketch(F.col("t"), shingle)["node"].alias("n"), shingle_set(F.col("t"), shingle).alias("s"))
     sets = written(sets.dropDuplicates(["n"]))
-    both = pairs.join(sets.toDF("n1", "s1"), F.col("a") == F.col("n1")).join(sets.toDF("n2", "s2"), F.col("b") == F.col("n2"))
-    shared = F.size(F.array_intersect("s1", "s2"))
-    links = written(both.where(shared >= similarity * (F.size("s1") + F.size("s2") - shared)).select("a", "b"))
+    links = written(_similar(pairs, sets, similarity))
     groups = connected_components(links).withColumnRenamed("node", "member")
+    rest = written(_uncompared(met, groups))
+    if not rest.isEmpty():
+        across = written(_pairs_across(rest, sets, similarity))
+        more = written(_similar(across, sets, similarity))
+        if not more.isEmpty():
+            groups = connected_components(links.union(more)).withColumnRenamed("node", "member")
+        discard(across)
     grouped = nodes.join(groups, F.col("node") == F.col("member"), "left").select(F.coalesce("component", "node").alias("component"), "k")
     least = written(grouped.groupBy("component").agg(F.min("k").alias("k")))
-    discard(nodes, ends, pairs, heads, sets, links)
+    discard(nodes, ends, met, pairs, heads, sets, links, rest)
     return _keep_heads(docs, rows, least, id_col)

@@ -52,6 +52,18 @@ def test_a_large_group_of_near_copies_is_found_whole(spark, docs_of):
     assert kept.where(F.col("doc_id") < 400).count() == 1 and kept.count() == 51
 
 
+def test_near_copies_among_many_unlike_texts_of_their_places(spark, docs_of):
+    draw = random.Random(0)
+    words = [f"w{i}" for i in range(100_000)]
+    base = draw.choices(words, k=100)
+    changed = lambda *at: " ".join(draw.choice(words) if k in at else w for k, w in enumerate(base))
+    texts = [changed(*draw.sample(range(100), 5)) for _ in range(800)]
+    texts[400:400] = [changed(99), changed(0)]  # wherever these meet, the least and the greatest are like neither
+    group = groups_of(range(802), near_copies(dict(enumerate(texts))))
+    kept = drop_near_copies(docs_of(*texts))
+    assert group[401] == 400 and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(group.values()))
+
+
 def test_language_query_judges_pages(spark, sf):
     rows = queries.op3_language_id(spark, sf).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").withColumn("path_lang", F.regexp_extract("url", "/(en|de|fr|es)/", 1)).collect()}
