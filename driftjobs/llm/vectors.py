@@ -1,4 +1,4 @@
-"""Embedding near-duplicates: a navigable small-world graph per shard, asked about every vector."""
+"""Embedding near-duplicates: a navigable small-world graph per shard; each vector asks its own and half of the others."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ from driftjobs.llm.components import connected_components
 DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 32, 48
 #: Components of a shard's vectors, on average; components of the vectors that stream past one copy of a graph.
 SHARD_VALUES, QUERY_VALUES = 4 << 20, 2 << 20
-#: Smaller tables have up to so many shards, of so many vectors at least.
-LEAST_SHARDS, LEAST_ROWS = 8, 2048
+#: Smaller tables have up to so many shards and ranges, of so many vectors at least.
+LEAST_SHARDS, LEAST_RANGES, LEAST_ROWS = 4, 8, 2048
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.999
 #: A shard whose audit no beam up to this one passes is answered by exact products, which cost less than wider beams.
 WIDEST_BEAM = 4096
@@ -270,29 +270,33 @@ class _Shard:
         self.raw = np.frombuffer(row["vectors"], dtype).reshape(len(self.nodes), -1).astype(np.float64)
         self.norms = np.sqrt((self.raw * self.raw).sum(1))
         self.graph, self.beam, self.recall, self.least = SmallWorld.load(self.raw / self.norms[:, None], row["graph"]), row["beam"], row["recall"], least
-        self.parent = np.arange(len(self.nodes))
+        self.parent, self.counts = np.arange(len(self.nodes)), np.zeros(len(self.nodes), np.int64)
 
-    def ask(self, asked: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        """Of each query that has links here: to how many vectors, without its own, and one that it is joined with."""
+    def ask(self, asked: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        """Of each query that has links here: to how many vectors, without its own, and one that it is joined with.
+
+        Queries of other shards are counted for the vectors here too, whose own queries don't go to those shards.
+        """
         n = len(self.nodes)
         norms = np.sqrt((own * own).sum(1))
         place = np.minimum(np.searchsorted(self.nodes, asked), n - 1)
         here = np.flatnonzero(self.nodes[place] == asked)
-        counts = np.zeros(len(asked), np.int64)
+        counts, foreign = np.zeros(len(asked), np.int64), self.nodes[place] != asked
         parent = _joined(np.r_[self.parent, np.arange(n, n + len(asked))], here + n, place[here])
         for q, c in self.graph.within((own / norms[:, None]).astype(np.float32), self.least, self.beam):
             ok = (asked[q] != self.nodes[c]) & (np.einsum("ij,ij->i", own[q], self.raw[c]) / (norms[q] * self.norms[c]) >= self.least)
             q, c = q[ok], c[ok]
             np.add.at(counts, q, self.sizes[c])
+            np.add.at(self.counts, c[foreign[q]], sizes[q[foreign[q]]])
             parent = _joined(parent, q + n, c)
         self.parent = parent[:n]
         linked = np.flatnonzero(counts)
         return _answers(asked[linked], counts[linked], np.r_[self.nodes, asked][parent[n:][linked]])
 
     def joins(self) -> pa.RecordBatch:
-        """Links that hold together what queries have joined."""
-        moved = np.flatnonzero(self.parent != np.arange(len(self.nodes)))
-        return _answers(self.nodes[moved], np.full(len(moved), -1, np.int64), self.nodes[self.parent[moved]])
+        """Links that hold together what queries have joined, and how many vectors of other shards the ones here have met."""
+        told = np.flatnonzero((self.parent != np.arange(len(self.nodes))) | (self.counts > 0))
+        return _answers(self.nodes[told], self.counts[told], self.nodes[self.parent[told]])
 
 
 def _answers(nodes: np.ndarray, counts: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
@@ -317,7 +321,8 @@ def _ask(least: float, dtype: type):
                     shard = _Shard(batch.slice(a, 1).to_pylist()[0], dtype, least)
                 elif shard is not None:
                     own = batch.column("vector").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
-                    yield shard.ask(batch.column("node").slice(a, b - a).to_numpy(), own.astype(np.float64))
+                    nodes, sizes = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("node", "size"))
+                    yield shard.ask(nodes, sizes, own.astype(np.float64))
         if shard is not None:
             yield shard.joins()
 
@@ -334,7 +339,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Each shard (SHARD_VALUES components, whatever the length of vectors) has a graph, built in one task and
     written. The vectors are cut into ranges of QUERY_VALUES components; a task loads one shard's graph once
-    and streams one range of vectors past it, so each vector moves once for each shard, and a graph once for each range.
+    and streams one range of vectors past it, so a graph moves once for each range. Of two shards one's vectors ask the other (which,
+    goes by whether their numbers differ evenly), and an answer counts for both ends: a vector asks its own and half of the others.
     Beams widen until an audit against brute force passes (exact products answer if none does) and until a
     query's beam holds something that is no link, so a large group is found whole. Cosine is verified in double precision.
     """
@@ -352,20 +358,24 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     values = F.col("n") * F.col("dim")
     least_shards = F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / LEAST_ROWS))
     shards = F.greatest(F.ceil(values / SHARD_VALUES), least_shards).cast("int")
-    sizes = written(sizes.select("dim", shards.alias("shards"), F.ceil(values / QUERY_VALUES).cast("long").alias("ranges")))
+    ranges = F.greatest(F.ceil(values / QUERY_VALUES), F.least(F.lit(LEAST_RANGES), F.ceil(F.col("n") / LEAST_ROWS))).cast("long")
+    sizes = written(sizes.select("dim", shards.alias("shards"), ranges.alias("ranges")))
     sized = attach(nodes.select("node", "k1", "size", "vector", "dim"), sizes, "dim", 3)
     placed = sized.withColumn("shard", F.pmod("k1", "shards").cast("int"))
     graphs = written(placed.select("dim", "shard", "node", "size", "vector").groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, least), GRAPHS))
     copies = attach(graphs, sizes, "dim", 3).withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges") - 1)))
-    asked = sized.withColumn("range", F.pmod(F.xxhash64("k1"), F.col("ranges"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asked = asked.select("dim", "shard", "ranges", "range", "node", "vector")
+    asked = placed.withColumn("range", F.pmod(F.xxhash64("k1"), F.col("ranges"))).withColumn("own", F.col("shard"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    apart = F.abs(F.col("shard") - F.col("own")) % 2
+    asked = asked.where(F.when(F.col("shard") < F.col("own"), apart == 1).otherwise(apart == 0))
+    asked = asked.select("dim", "shard", "ranges", "range", "node", "size", "vector")
     every = copies.drop("shards").unionByName(asked, allowMissingColumns=True)
     slot = F.col("dim") + F.col("shard").cast("long") * F.col("ranges") + F.col("range")
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = every.withColumn("slot", F.pmod(slot, F.lit(partitions)).cast("int")).repartitionById(partitions, "slot").sortWithinPartitions("dim", "shard", "range", F.col("graph").isNull())
     answers = written(laid.mapInArrow(_ask(least, dtype), ANSWERS))
     groups = connected_components(answers.where("node <> root"), "node", "root")
-    counts = answers.where("n >= 0").groupBy(F.col("node").alias("counted")).agg(F.sum("n").alias("n"))
+    counts = answers.groupBy(F.col("node").alias("counted")).agg(F.sum("n").alias("n"))
     recalls = written(graphs.groupBy("dim").agg(F.min("recall").alias("recall")))
     labelled = nodes.join(groups.withColumnRenamed("node", "grouped"), F.col("node") == F.col("grouped"), "left").withColumn("component", F.coalesce("component", "node"))
     heads = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))

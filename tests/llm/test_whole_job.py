@@ -147,6 +147,42 @@ def test_long_texts_repeats_and_clashing_names(spark, docs_of):
     assert found == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 2, 5), (6, 2, 5)}
 
 
+def test_of_two_shards_one_asks_the_other(spark, monkeypatch, tmp_path):
+    from driftjobs.llm import vectors
+
+    real, path = vectors._ask, str(tmp_path)
+
+    def counting(least, dtype):
+        ask = real(least, dtype)
+
+        def run(batches):
+            import uuid
+
+            def seen():
+                for batch in batches:
+                    with open(f"{path}/{uuid.uuid4().hex}", "w") as out:
+                        out.write(str(batch.column("graph").null_count))
+                    yield batch
+
+            yield from ask(seen())
+
+        return run
+
+    monkeypatch.setattr(vectors, "_ask", counting)
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 500)
+    draw = np.random.default_rng(3)
+    unit = draw.standard_normal((2400, 24))
+    unit[:300] = unit[0] + draw.standard_normal((300, 24)) * 0.03
+    unit[300:1300:2] = unit[301:1300:2] + draw.standard_normal((500, 24)) * 0.02
+    near = [(k, v.tolist()) for k, v in enumerate(unit)]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    group, counts = groups_of(range(2400), zip(a.tolist(), b.tolist(), strict=True)), np.bincount(np.r_[a, b], minlength=2400)
+    rows = link_vectors(spark.createDataFrame(near, "vec_id long, embedding array<double>")).collect()
+    assert {(r.id, r.n_links, r.component_id) for r in rows} == {(k, int(counts[k]), group[k]) for k in range(2400)} and len(a) > 10_000
+    assert 2 * 2400 < sum(int(f.read_text()) for f in tmp_path.iterdir()) < 3 * 2400  # four shards: the own one, and half of the others
+
+
 def test_large_groups_do_not_hide_misses():
     draw = np.random.default_rng(4)
     unit = draw.standard_normal((1500, 32))
