@@ -216,8 +216,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at = F.concat(F.transform(_ball(F.col("fp")), lambda v: F.xxhash64(v)), "bands")
     placed = spread(nodes.select("node", "fp", "bands"), "node").select("node", F.explode(at).alias("place"))
     ends = placed.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
-    ends = written(ends.withColumnRenamed("place", "at"))
-    met = written(placed.join(ends, F.col("place") == F.col("at")).select("at", "node", "a", "z", "n"))
+    met = written(placed.join(ends.withColumnRenamed("place", "at"), F.col("place") == F.col("at")).select("at", "node", "a", "z", "n"))
     ended = met.select("node", F.explode(F.array("a", "z")).alias("end")).where("node <> end")
     pairs = written(ended.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
@@ -235,6 +234,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             groups = connected_components(links.union(more)).withColumnRenamed("node", "member")
         discard(across)
     grouped = nodes.join(groups, F.col("node") == F.col("member"), "left").select(F.coalesce("component", "node").alias("component"), "k")
-    least = written(grouped.groupBy("component").agg(F.min("k").alias("k")))
-    discard(nodes, ends, met, pairs, heads, sets, links, rest)
-    return _keep_heads(docs, rows, least, id_col)
+    kept = _keep_heads(docs, rows, grouped.groupBy("component").agg(F.min("k").alias("k")), id_col)
+    discard(nodes, met, pairs, heads, sets, links, rest)
+    return kept

@@ -9,6 +9,7 @@ import corpus_pipeline
 from driftjobs.llm import queries
 from driftjobs.llm.language import letter_model
 from driftjobs.llm import passages
+from driftjobs.llm import simhash as simhash_module
 from driftjobs.llm.audio import audio_features
 from driftjobs.llm.mixing import mix_sources
 from driftjobs.llm.secrets import KINDS, redact, scan, scan_secrets
@@ -64,6 +65,16 @@ def test_near_copies_among_many_unlike_texts_of_their_places(spark, docs_of):
     assert group[401] == 400 and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(group.values()))
 
 
+def test_near_copies_write_each_place_once(spark, docs_of, monkeypatch):
+    tables = []
+    plain = simhash_module.written
+    monkeypatch.setattr(simhash_module, "written", lambda df: tables.append(df.columns) or plain(df))
+    words = " ".join(f"w{i}" for i in range(100))
+    docs = docs_of(words, words + " more", "quite another text of some words")
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [0, 2]
+    assert sum("at" in t for t in tables) == 1 and sum("k" in t for t in tables) == 1
+
+
 def test_language_query_judges_pages(spark, sf):
     rows = queries.op3_language_id(spark, sf).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").withColumn("path_lang", F.regexp_extract("url", "/(en|de|fr|es)/", 1)).collect()}
