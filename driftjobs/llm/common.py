@@ -57,11 +57,12 @@ def attach(df: DataFrame, table: DataFrame, key: str, width: F.Column | int = 8)
 def task_count(table: DataFrame) -> int:
     """How many tasks should share a table: as many as the session has for shuffles, more if they would get over TASK_BYTES of its files.
 
-    Spark knows the size of what is read from files; of a join it only knows a bound that is far too high, which isn't asked.
+    Spark knows the size of what is read from files; of a join it only knows a bound that is far too high, and of rows made by the
+    driver or an RDD the greatest long: these aren't asked.
     """
     plan = table._jdf.queryExecution().optimizedPlan()
     least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return least if "Join" in plan.toString() else max(least, -(-int(str(plan.stats().sizeInBytes())) // TASK_BYTES))
+    return least if any(x in plan.toString() for x in ("Join", "LogicalRDD")) else max(least, -(-int(str(plan.stats().sizeInBytes())) // TASK_BYTES))
 
 
 def sized_batches(docs: DataFrame) -> DataFrame:
