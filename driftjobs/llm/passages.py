@@ -284,7 +284,7 @@ def phrase_hits(docs: DataFrame, found: DataFrame, shared: DataFrame) -> DataFra
     anchors = written(phrases.groupBy(F.col("h").alias("ph")).agg(F.count(F.lit(1)).alias("n")).withColumn("hot", F.col("n") > HOT_PHRASES))
     n_hot, n_cold = anchors.agg(F.sum(F.when(F.col("hot"), F.col("n"))), F.sum(F.when(~F.col("hot"), F.col("n")))).first()
     shards, hot_shards = (max(1, -(-(n or 0) * WINDOW // SHARD_WORDS)) for n in (n_cold, n_hot))
-    passing = written(shared.join(anchors.drop("n"), F.col("h") == F.col("ph")).drop("ph"))
+    passing = shared.join(anchors.drop("n"), F.col("h") == F.col("ph")).drop("ph")  # read once, so not written
     texts = _beside(docs, passing).select("id", "key", F.explode(_cut(F.col("text"), F.col("spans"), shards, hot_shards)).alias("x"))
     texts = written(texts.select("id", "key", F.col("x.of").alias("shard"), F.col("x.at").alias("at"), F.col("x.words").alias("words")))
     loads = texts.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / (RANGE_WORDS * 6.0)).cast("int").alias("ranges"))
@@ -298,7 +298,7 @@ def phrase_hits(docs: DataFrame, found: DataFrame, shared: DataFrame) -> DataFra
     laid = rows.repartition("shard", "range").sortWithinPartitions("shard", "range", F.col("pid").asc_nulls_last())
     id_type = docs.schema["id"].dataType
     hits = written(laid.mapInArrow(_locate(to_arrow_type(id_type)), f"id {id_type.simpleString()}, {HITS}"))
-    discard(phrases, anchors, passing, texts, loads)
+    discard(phrases, anchors, texts, loads)
     return hits
 
 

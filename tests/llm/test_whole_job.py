@@ -126,6 +126,16 @@ def test_automata_decide(spark, docs_of, monkeypatch):
     assert removed() == [0 if i == 3 else n for i, n in enumerate(whole)]
 
 
+def test_passing_places_are_not_written(spark, docs_of, monkeypatch):
+    """A file written to a local folder costs a process of its own: the places that pass a shard are read once and go on as they are."""
+    real, kept = passages.written, []
+    monkeypatch.setattr(passages, "written", lambda df: kept.append(set(df.columns)) or real(df))
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = docs_of(passage, f"before {passage}", "other words")
+    assert sorted((r.id, r.n_removed) for r in passages.strip_passages(docs).collect()) == [(0, 0), (1, 60), (2, 0)]
+    assert len(kept) == 15 and not any({"id", "hot"} <= columns for columns in kept)
+
+
 def test_long_texts_repeats_and_clashing_names(spark, docs_of):
     """Each operator over texts of millions of letters, rows alike in every column and columns named like its own."""
     import public_tokenizers
