@@ -20,6 +20,8 @@ DAY_US = PERSIST_SECONDS * 1_000_000
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups in which redelivered entries share a call and a timer.
+ENTRY_BUCKETS = 1024
 
 
 def with_rocks(spark: SparkSession) -> SparkSession:
@@ -199,40 +201,97 @@ def persistence(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class _Deliveries(_Kept):
-    """How often an entry has failed."""
+    """Entries of a bucket that are failing: how often each has, and until when that counts. The value: how many these are, and when (ms) to look for those that may go.
+
+    A good delivery of an entry that isn't failing reads and writes no state of its own.
+    """
+
+    OUT = ("original_id", "value", "reason", "delivery_count", "at")
 
     def __init__(self, most: int, forget: int):
-        super().__init__("failed long")
+        super().__init__("held long, due long")
         self.most, self.forget = most, forget
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.failing = handle.getMapState("failing", "id string", "failed long, until long")
+
+    def known(self, ids: Sequence, held: int) -> dict:
+        """What is held of entries: those asked for, or all if these are fewer."""
+        if len(ids) < held:
+            found = {i: self.failing.getValue((i,)) for i in ids}
+            return {i: tuple(v) for i, v in found.items() if v is not None}
+        return {i: tuple(v) for (i,), v in self.failing.iterator()} if held else {}
+
+    def hold(self, before: tuple, held: int, due: int) -> None:
+        """A bucket has one timer, or none if it holds nothing."""
+        if before[1] and (not held or before[1] != due):
+            self.handle.deleteTimer(before[1])
+        if held and before[1] != due:
+            self.handle.registerTimer(due)
+        if held and before != (held, due):
+            self.value.update((held, due))
+        elif before[0] and not held:
+            self.value.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        (failed,), out = self.read((0,)), []
-        every = pd.concat(list(rows)).sort_values("at", kind="stable")
-        for at, value, reason in zip(every["at"].tolist(), every["value"], every["reason"], strict=True):
-            failed = failed + 1 if reason is not None else 0
-            if reason is None or failed >= self.most:
-                out.append((*key, value, reason, failed, at))
+        parts = []
+        for batch in rows:
+            good = batch["reason"].isna()
+            fine = batch[good]
+            yield pd.DataFrame({"original_id": fine["id"], "value": fine["value"], "reason": None, "delivery_count": 0, "at": fine["at"]})
+            parts.append(batch[["id", "at", "reason"]].assign(value=batch["value"].where(~good, None)))
+        every = pd.concat(parts, ignore_index=True)
+        before, now = self.read((0, 0)), timerValues.getCurrentWatermarkInMs() * 1000
+        known = self.known(every["id"].unique().tolist(), before[0])
+        counts = {i: failed for i, (failed, until) in known.items() if until > now}
+        told = every[every["id"].isin({*every["id"][every["reason"].notna()], *known})].sort_values("at", kind="stable")
+        last, dead = {}, []
+        for i, at, value, reason, fails in zip(told["id"], told["at"].tolist(), told["value"], told["reason"], told["reason"].notna(), strict=True):
+            failed = counts.get(i, 0) + 1 if fails else 0
+            if failed >= self.most:
+                dead.append((i, value, reason, failed, at))
                 failed = 0
-        self.keep((failed,) if failed else None, int(every["at"].max()) + self.forget)
-        yield pd.DataFrame(out, columns=["original_id", "value", "reason", "delivery_count", "at"])
+            counts[i], last[i] = failed, at
+        until = {i: at + self.forget for i, at in last.items() if counts[i]}
+        for i, at in until.items():
+            self.failing.updateValue((i,), (counts[i], at))
+        ended = [i for i in last if i in known and not counts[i]]
+        for i in ended:
+            self.failing.removeKey((i,))
+        held = before[0] + sum(i not in known for i in until) - len(ended)
+        dues = [-(-at // 1000) for at in until.values()] + ([before[1]] if before[1] else [])
+        self.hold(before, held, min(dues, default=0))
+        yield pd.DataFrame(dead, columns=self.OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.keep(None)
-        yield pd.DataFrame([], columns=["original_id", "value", "reason", "delivery_count", "at"])
+        before, now = self.read((0, 0)), timerValues.getCurrentWatermarkInMs() * 1000
+        until = {i: at for (i,), (_, at) in self.failing.iterator()}
+        left = {i: at for i, at in until.items() if at > now}
+        for i in until.keys() - left.keys():
+            self.failing.removeKey((i,))
+        # What may go meanwhile counts no more; a bucket is looked through 24 times at most while an entry is held.
+        self.hold(before, len(left), max(-(-min(left.values(), default=0) // 1000), (now + self.forget // 24) // 1000))
+        yield pd.DataFrame([], columns=self.OUT)
 
 
-def judged_deliveries(deliveries: DataFrame, most: int = DELIVERIES, forget_seconds: int = 86_400, delay: str = "10 minutes") -> DataFrame:
+def judged_deliveries(deliveries: DataFrame, most: int = DELIVERIES, forget_seconds: int = 86_400, delay: str = "10 minutes", buckets: int = ENTRY_BUCKETS) -> DataFrame:
     """What becomes of entries (``id``, ``value``, ``time`` of delivery) that a source delivers until they are done: good ones, and dead letters.
 
     An entry that can't be read (``malformed``) waits for its next delivery; the ``most``-th failure makes it a dead letter, with
     ``original_id``, ``reason``, ``delivery_count`` and ``dead_lettered_at``. A good delivery passes at once (no ``reason``) and ends the count.
     State is a number for each entry that is failing; it goes when it is dead or good, or hasn't come again for ``forget_seconds``.
+
+    Entries are dealt into buckets by their hash, and a bucket's rows go to Python together, so the many good ones cost a row each and
+    not a call each. Of a bucket's rows in a micro-batch the ids and times are held, and the values of bad ones; of its failing entries
+    as many are read as it has rows, at most. A checkpoint belongs to its number of buckets.
     """
     with_rocks(deliveries.sparkSession)
     rows = deliveries.withWatermark("time", delay).select(F.col("id").cast("string").alias("id"), "time", F.unix_micros("time").alias("at"), F.col("value").cast("string").alias("value"))
     rows = rows.withColumns({"reason": malformed(F.col("value")), "value": F.make_valid_utf8("value")})
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     out = "original_id string, value string, reason string, delivery_count long, at long"
-    found = rows.groupBy("id").transformWithStateInPandas(_Deliveries(most, forget_seconds * 1_000_000), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    found = rows.groupBy("bucket").transformWithStateInPandas(_Deliveries(most, forget_seconds * 1_000_000), outputStructType=out, outputMode="Append", timeMode="EventTime")
     return found.select("original_id", "value", "reason", "delivery_count", F.when(F.col("reason").isNotNull(), F.timestamp_micros("at")).alias("dead_lettered_at"))
 
 

@@ -178,3 +178,66 @@ def test_redelivered_entries(spark):
     got = {(r.original_id, r.reason, r.delivery_count, r.dead_lettered_at is None) for r in found[-1].collect()}
     assert got == {("good", None, 0, True), ("late good", None, 0, True), ("dead", "not JSON", 5, False), ("null", "not JSON", 5, False), ("nowhere", "no endpoint", 5, False)}
     assert isinstance(pd.Timestamp(found[-1].where("original_id = 'dead'").first().dead_lettered_at), pd.Timestamp)
+
+
+def deliveries(spark, rows):
+    return spark.createDataFrame([(i, v, T0 + dt.timedelta(minutes=m)) for i, v, m in rows], "id string, value string, time timestamp")
+
+
+def judged_in_parts(spark, parts, **options):
+    """What comes of deliveries that arrive in parts, each a run of its own."""
+    folder, found = io.shared_folder(spark), []
+    streams.in_turn([deliveries(spark, rows) for rows in parts], lambda s: found.append(streams.drained(streams.judged_deliveries(s, **options), folder)))
+    minutes = (F.unix_seconds("dead_lettered_at") - int(T0.replace(tzinfo=dt.UTC).timestamp())) / 60
+    return sorted((tuple(r) for r in found[-1].select("original_id", "value", "reason", "delivery_count", minutes.cast("int")).collect()), key=repr)
+
+
+def plain_deliveries(rows, most=5):
+    failed, out = {}, []
+    for i, value, minute in sorted(rows, key=lambda r: r[2]):
+        if value is not None and value.startswith("{") and value.endswith("}"):
+            failed[i] = 0
+            out.append((i, value, None, 0, None))
+        else:
+            failed[i] = failed.get(i, 0) + 1
+            if failed[i] == most:
+                out.append((i, value, "not JSON", most, minute))
+                failed[i] = 0
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("buckets", [1, 1024])
+def test_many_entries_share_a_bucket(spark, buckets):
+    """By hand with one row at a time; few and many rows a part, null ids and values, entries that fail again after their end."""
+    draw = random.Random(buckets)
+    ids = [None, *(f"e{k}" for k in range(90))]
+    values = ('{"payload":{"endpoint_id":"é%d"}}', "{broken %d", "[%d", "퟿%d {", None)
+    rows = []
+    for minute in range(900):
+        v = draw.choices(values, (2, 4, 3, 1, 1))[0]
+        rows.append((draw.choice(ids if minute < 880 else ids[:3]), v and (v % minute if "%d" in v else v), minute))
+    ends = (700, 880, 900)
+    got = judged_in_parts(spark, [[r for r in rows if a <= r[2] < z] for a, z in zip((0, *ends), ends, strict=False)], buckets=buckets)
+    expected = plain_deliveries(rows)
+    assert got == expected and sum(r[2] is not None for r in expected) > 20
+
+
+@pytest.mark.parametrize("options", [{}, {"buckets": 1}])
+def test_an_entry_is_forgotten_a_day_after_its_last_delivery(spark, options):
+    """Not a day after its first one: it came again."""
+    good, bad, hour = '{"payload":{"endpoint_id":"e"}}', "{broken", 60
+    first = [("again", bad, 0), *(("gone", bad, m) for m in range(4))]
+    second = [("again", bad, 20 * hour), ("other", good, 40 * hour)]
+    third = [("again", bad, h * hour) for h in (41, 42, 43)] + [("gone", bad, 41 * hour)]
+    got = judged_in_parts(spark, [first, second, third], **options)
+    assert got == [("again", bad, "not JSON", 5, 43 * hour), ("other", good, None, 0, None)]
+
+
+def test_good_entries_cost_no_state_each(spark):
+    """6000 of them read less of it than one value each."""
+    rows = spark.range(6000).select(F.concat(F.lit("e"), "id").alias("id"), F.lit('{"payload":{"endpoint_id":"e"}}').alias("value"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("time"))
+    folder = io.shared_folder(spark)
+    query = streams.judged_deliveries(streams.replayed(rows)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    reads = sum(op["customMetrics"]["rocksdbGetCount"] for progress in query.recentProgress for op in progress["stateOperators"])
+    assert spark.read.parquet(f"{folder}/out").count() == 6000 and reads < 2000
