@@ -348,3 +348,15 @@ def test_a_cap_that_is_given_is_kept(spark, monkeypatch):
     obs = observations(spark, 1500, step=0).drop("window_start")
     split, now = F.lit(T0).cast("timestamp"), F.lit(LATER).cast("timestamp")
     assert [run_pipeline(obs, split, now, max_per_window=n).first().sample_count for n in (None, 1200, 100)] == [1500, 1200, 100]
+
+
+@pytest.mark.parametrize("accuracy", [2, 50, 10_000])
+def test_ranked_latencies_whatever_the_sketch(spark, accuracy):
+    """By hand, also from sketches that are far off; null keys, few rows, equal rows, ranks that are whole numbers, groups without latencies."""
+    draw = random.Random(accuracy)
+    groups = {("a", None): [draw.random() for _ in range(3001)], (None, 1): [5.0], ("b", 1): [7.5] * 100, (None, None): [float(draw.randrange(-9, 9)) for _ in range(700)], ("c", 2): [], ("c", 3): [1.0, 2.0]}
+    rows = [(*key, v) for key, values in groups.items() for v in [*values, None]]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, w int, latency_ms double").repartition(5)
+    got = {(r.k, r.w): (r.p50, r.p95, r.p99) for r in features.latency_stats_ranked(df, ("k", "w"), accuracy).collect()}
+    assert got == {key: tuple(sorted(values)[max(-(-len(values) * s // 100), 1) - 1] for s in (50, 95, 99)) for key, values in groups.items() if values}

@@ -59,3 +59,15 @@ def test_every_detector_fires(tables):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns[:3] == ["endpoint_id", "segmentation_key", "day"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_latencies_of_a_hot_window_equal_sql(spark, tmp_path):
+    """More distinct latencies in one window than a sketch tells apart."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"""COPY (SELECT range AS event_id, TIMESTAMP '2024-01-05 00:00:00' + to_milliseconds(range) AS ts, CAST(0 AS BIGINT) AS user_id, 'view' AS event_type, (range * 7919 % 200003) / 10.0::DOUBLE AS value, '{{}}' AS props
+      FROM range(200000)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = con.execute(f"SELECT endpoint_id, segmentation_key, day, p50, p95, p99 FROM ({ORACLE_SQL['a1b_latency_approx']})").fetchall()
+    got = QUERIES["a1b_latency_approx"](spark, str(tmp_path)).select("endpoint_id", "segmentation_key", "day", "p50", "p95", "p99").collect()
+    assert [tuple(r) for r in got] == found and len(found) == 1
